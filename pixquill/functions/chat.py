@@ -156,7 +156,7 @@ def extend_mask(mask: Column | str) -> Column:
     """Set the position right after each 1 -> 0 edge, so the end-of-turn token
     is learned too."""
     m = col(mask)
-    previous = F.concat(F.array(F.lit(0)), F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0))))
+    previous = F.slice(F.concat(F.array(F.lit(0)), m), F.lit(1), F.size(m))
     return F.zip_with(m, previous, lambda v, p: F.when((v == 1) | (p == 1), F.lit(1)).otherwise(F.lit(0)))
 
 

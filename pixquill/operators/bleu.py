@@ -5,38 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_reply, ngrams, word_tokens
+from ..functions.text import extract_reply, ngram_starts, word_tokens
 
 ORDERS = (1, 2, 3, 4)
 SMOOTH = 0.1  # numerator used for an n-gram order without a match
 
 
 def _tagged(tokens: str, side: int) -> Column:
-    """All n-grams of a side as (n, gram, in generated, in reference)."""
-    def tag(n: int) -> Column:
-        return F.transform(
-            ngrams(tokens, n),
-            lambda g: F.struct(
-                F.lit(n).alias("n"),
-                g.alias("gram"),
-                F.lit(1 - side).alias("g"),
-                F.lit(side).alias("r"),
-            ),
-        )
-
-    return F.concat(*[tag(n) for n in ORDERS])
+    """All n-grams of a token column as (n, gram, in generated, in reference)."""
+    parts = [
+        f"transform({ngram_starts(tokens, n)}, i -> struct({n} AS n, "
+        f"concat_ws(' ', slice({tokens}, i, {n})) AS gram, {1 - side} AS g, {side} AS r))"
+        for n in ORDERS
+    ]
+    return F.expr(f"concat({', '.join(parts)})")
 
 
-def ngram_counts(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref") -> DataFrame:
+def ngram_counts(
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", partitions: int | None = None
+) -> DataFrame:
     """Per (pair, n): clipped matches and generated n-grams; plus text lengths.
 
     Pairs are spread by key while they are still one row each; both groupings
     after the n-gram explosion reuse that partitioning and do not shuffle again.
     A pair without any n-gram keeps one row with a null n.
     """
+    # a fixed partition count: the small rows must not be merged into few tasks
+    # before they grow by the n-gram explosion
+    spread = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = (
         pairs.select(key, F.coalesce(gen, F.lit("")).alias("gen"), F.coalesce(ref, F.lit("")).alias("ref"))
-        .repartition(key)
+        .repartition(spread, key)
         .select(key, word_tokens("gen").alias("gt"), word_tokens("ref").alias("rt"))
     )
     grams = tokens.select(

@@ -130,7 +130,8 @@ def build_vocab(tokens: DataFrame, token: str = "token", base: int | None = None
     specials = F.array(*[F.lit(t) for t in added])
     size = F.lit(base).cast("bigint") if base is not None else F.col("_size")
     extra = (
-        counts.agg(F.count(F.lit(1)).alias("_size"))
+        # counting over n keeps the aggregate, and so its shuffle, the same as above
+        counts.agg(F.count_if(F.col("n") > 0).alias("_size"))
         .select("_size", F.posexplode(specials).alias("_i", "token"))
         .select("token", F.lit(0).cast("bigint").alias("n"), (size + F.col("_i")).cast("bigint").alias("token_id"))
     )

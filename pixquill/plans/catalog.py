@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import chat, geometry, imagebytes, rand, text, vectors
 from ..operators import augment, bleu, corpus, ingest, logs, sampling, scoring, similarity, tokens
+from ..session import durable
 from . import flows, views
 
 QUERIES = {}
@@ -331,7 +332,8 @@ def build_vocab(spark, sf):
 @query
 def vocab_token_ids(spark, sf):
     toks = _document_tokens(spark, sf)
-    ids = tokens.lookup_token_ids(toks, tokens.build_vocab(toks))
+    # built once and written, as a vocabulary is, then read twice
+    ids = tokens.lookup_token_ids(toks, durable(tokens.build_vocab(toks)))
     return ids.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"), F.sum("token_id").alias("id_sum"), F.max("token_id").alias("id_max")
     )
