@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
@@ -19,22 +20,28 @@ def read_subsets(
 ) -> tuple[DataFrame, DataFrame]:
     """(samples with a ``subset`` column, status table).
 
-    Folders are ``root/subset=name``.  A subset that is missing contributes no
-    rows and has the status "missing"; unreadable files inside a subset are
-    skipped.  Subsets may differ in their columns.  With a ``schema`` all
+    Folders are ``root/subset=name``.  A subset that is missing or without any
+    readable file contributes no rows and has the status "missing" or "failed";
+    unreadable files inside a subset are skipped.  Subsets may differ in their columns.  With a ``schema`` all
     subsets are one partitioned scan; otherwise each brings its own columns.
     """
     names = names or K.INSTRUCTION_SUBSETS
-    found = {n: path_exists(spark, f"{root}/subset={n}") for n in names}
-    status = spark.createDataFrame(
-        [(n, "loaded" if ok else "missing") for n, ok in found.items()], "subset string, status string"
-    )
+    status = {n: "loaded" if path_exists(spark, f"{root}/subset={n}") else "missing" for n in names}
     reader = spark.read.option("ignoreCorruptFiles", True)
-    present = [n for n in names if found[n]]
-    if schema is not None or not present:
-        shape = schema or SUBSET_COLUMNS
-        if not present:
-            return spark.createDataFrame([], f"{shape}, subset string"), status
+    present = [n for n in names if status[n] == "loaded"]
+    frames = {}
+    if schema is not None:
         paths = [f"{root}/subset={n}" for n in present]
-        return reader.schema(f"{shape}, subset string").option("basePath", root).parquet(*paths), status
-    return union_subsets({n: reader.parquet(f"{root}/subset={n}") for n in present}), status
+        partitioned = reader.schema(f"{schema}, subset string").option("basePath", root)
+        samples = partitioned.parquet(*paths) if paths else None
+    else:
+        for n in present:
+            try:
+                # merging footers passes over an unreadable file
+                frames[n] = reader.option("mergeSchema", True).parquet(f"{root}/subset={n}")
+            except AnalysisException:
+                status[n] = "failed"
+        samples = union_subsets(frames) if frames else None
+    if samples is None:
+        samples = spark.createDataFrame([], f"{schema or SUBSET_COLUMNS}, subset string")
+    return samples, spark.createDataFrame(list(status.items()), "subset string, status string")
