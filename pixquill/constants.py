@@ -58,6 +58,8 @@ PLACEHOLDER = "<IMGPLH>"
 DUMP_PLACEHOLDER = "<image>"
 IMAGE_START = "<Image>"
 IMAGE_END = "<Image_End>"
+INFERENCE_IMAGE_START = "<IMAGE>"
+INFERENCE_IMAGE_END = "<IMAGE_END>"
 CAPTION_TOKEN = "<Caption>"
 IMAGE_TOKEN = "<Image_Token>"
 NUM_IMAGE_TOKENS = 64

@@ -37,6 +37,21 @@ def generation_messages(messages: Column | str) -> Column:
     return F.slice(m, F.lit(1), F.greatest(F.size(m) - 1, F.lit(0)))
 
 
+def inference_messages(
+    prompt: Column | str,
+    system_prompt: str = K.DIALOG_SYSTEM_PROMPT,
+    n_tokens: int = K.NUM_IMAGE_TOKENS,
+    start: str = K.INFERENCE_IMAGE_START,
+    end: str = K.INFERENCE_IMAGE_END,
+) -> Column:
+    """System and user message of a prompt to generate from.  The image markers
+    of inference differ from those of training."""
+    return F.array(
+        message("system", F.lit(system_prompt)),
+        message("user", expand_placeholder(prompt, n_tokens, start=start, end=end)),
+    )
+
+
 def qa_messages(question: Column | str, answer: Column | str, system_prompt: str = K.DIALOG_SYSTEM_PROMPT) -> Column:
     """System, user, assistant from a plain instruction/output pair."""
     return F.array(

@@ -22,32 +22,40 @@ def _tagged(tokens: str, side: int) -> Column:
 
 
 def ngram_counts(
-    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", partitions: int | None = None
+    pairs: DataFrame,
+    key: str,
+    gen: str = "gen",
+    ref: str = "ref",
+    keep: tuple[str, ...] = (),
+    partitions: int | None = None,
 ) -> DataFrame:
     """Per (pair, n): clipped matches and generated n-grams; plus text lengths.
 
-    Pairs are spread by key while they are still one row each; both groupings
+    Pairs are spread by key while they are still one row each; all groupings
     after the n-gram explosion reuse that partitioning and do not shuffle again.
-    A pair without any n-gram keeps one row with a null n.
+    A pair without any n-gram keeps one row with a null n.  ``keep`` columns
+    depend on the key and are carried along.
     """
     # a fixed partition count: the small rows must not be merged into few tasks
     # before they grow by the n-gram explosion
     spread = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tokens = (
-        pairs.select(key, F.coalesce(gen, F.lit("")).alias("gen"), F.coalesce(ref, F.lit("")).alias("ref"))
+        pairs.select(
+            key, *keep, F.coalesce(gen, F.lit("")).alias("gen"), F.coalesce(ref, F.lit("")).alias("ref")
+        )
         .repartition(spread, key)
-        .select(key, word_tokens("gen").alias("gt"), word_tokens("ref").alias("rt"))
+        .select(key, *keep, word_tokens("gen").alias("gt"), word_tokens("ref").alias("rt"))
     )
+    pair = [key, *keep, "gen_len", "ref_len"]
     grams = tokens.select(
         key,
+        *keep,
         F.size("gt").alias("gen_len"),
         F.size("rt").alias("ref_len"),
         F.explode_outer(F.concat(_tagged("gt", 0), _tagged("rt", 1))).alias("_x"),
-    ).select(key, "gen_len", "ref_len", "_x.*")
-    per_gram = grams.groupBy(key, "gen_len", "ref_len", "n", "gram").agg(
-        F.sum("g").alias("g"), F.sum("r").alias("r")
-    )
-    return per_gram.groupBy(key, "gen_len", "ref_len", "n").agg(
+    ).select(*pair, "_x.*")
+    per_gram = grams.groupBy(*pair, "n", "gram").agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
+    return per_gram.groupBy(*pair, "n").agg(
         F.sum(F.least("g", "r")).alias("matches"), F.sum("g").alias("total")
     )
 
@@ -61,14 +69,16 @@ def ngram_overlap(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref"
     )
 
 
-def sentence_bleu(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref") -> DataFrame:
-    """(key, bleu_1 .. bleu_4): cumulative uniform weights, brevity penalty.
+def sentence_bleu(
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """(key, keep, bleu_1 .. bleu_4): cumulative uniform weights, brevity penalty.
 
     A precision without a match has numerator 0.1 over a total of at least 1; a
     pair without any common word scores 0.
     """
-    counts = ngram_counts(pairs, key, gen, ref)
-    wide = counts.groupBy(key, "gen_len", "ref_len").agg(
+    counts = ngram_counts(pairs, key, gen, ref, keep)
+    wide = counts.groupBy(key, *keep, "gen_len", "ref_len").agg(
         *[
             F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}")
             for n in ORDERS
@@ -93,7 +103,7 @@ def sentence_bleu(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref"
         mean = sum((log_precision(i) for i in range(2, n + 1)), log_precision(1)) / n
         score = F.when(F.col("matches_1") == 0, F.lit(0.0)).otherwise(penalty * F.exp(mean))
         scores.append(score.alias(f"bleu_{n}"))
-    return wide.select(key, *scores)
+    return wide.select(key, *keep, *scores)
 
 
 BLEU_COLUMNS = [f"bleu_{n}" for n in ORDERS]
@@ -126,11 +136,13 @@ def evaluate_captions(
     reference: str = "ref",
     rank: str = "rank",
     batch: str = "batch",
+    losses: tuple[str, ...] = (),
 ) -> DataFrame:
     """Decoded model texts to averaged BLEU: extract the reply, score each pair,
-    average over batches and ranks.  Texts without a reply count as empty."""
+    average over batches and ranks.  Texts without a reply count as empty.
+    ``losses`` are further numeric columns to average the same way."""
     pairs = decoded.select(
-        key, rank, batch, extract_reply(text).alias("gen"), F.col(reference).alias("ref")
+        key, rank, batch, *losses, extract_reply(text).alias("gen"), F.col(reference).alias("ref")
     )
-    scored = sentence_bleu(pairs, key).join(pairs.select(key, rank, batch), key)
-    return metric_mean(scored, rank, batch)
+    scored = sentence_bleu(pairs, key, keep=(rank, batch, *losses))
+    return metric_mean(scored, rank, batch, [*BLEU_COLUMNS, *losses])

@@ -138,6 +138,14 @@ def build_vocab(tokens: DataFrame, token: str = "token", base: int | None = None
     return ranked.select("token", "n", "token_id").unionByName(extra)
 
 
+def special_token_map(tokens: DataFrame, base: int = K.BASE_VOCAB_SIZE) -> DataFrame:
+    """(type, token, id) of an added-token table (position, type, token): ids
+    follow the base vocabulary in table order."""
+    return tokens.select(
+        "type", "token", (F.lit(base) + F.col("position")).cast("int").alias("id")
+    )
+
+
 def lookup_token_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:
     """Add ``token_id`` to a long table with a ``token`` column.
 

@@ -304,6 +304,13 @@ def render_chat_eval(spark, sf):
     return _chat(spark, sf).select("conv_id", chat.render_chat(waiting, True).alias("text"))
 
 
+@query
+def render_inference(spark, sf):
+    asked = views.vqa_questions(spark, sf)
+    waiting = chat.inference_messages(text.eval_prompt("question"))
+    return asked.select("question_id", chat.render_chat(waiting, True).alias("text"))
+
+
 @query
 def prepare_requests(spark, sf):
     return corpus.prepare_requests(views.model_requests(spark, sf)).select(
@@ -636,8 +643,7 @@ _MEANS = [*bleu.BLEU_COLUMNS, *[f"row_{c}" for c in bleu.BLEU_COLUMNS]]
 
 @query
 def bleu_batch_mean(spark, sf):
-    pairs = views.caption_pairs(spark, sf)
-    scored = bleu.sentence_bleu(pairs, "question_id").join(pairs.select("question_id", "rank", "batch"), "question_id")
+    scored = bleu.sentence_bleu(views.caption_pairs(spark, sf), "question_id", keep=("rank", "batch"))
     return rounded(bleu.metric_mean(scored, "rank", "batch"), *_MEANS)
 
 

@@ -379,6 +379,10 @@ SELECT image_id, 'VQA/' || image_id AS image_path,
   || CASE WHEN answer_type = 'other' THEN 'It''s ' ELSE '' END || answer || '</assist>' AS prompt FROM v_vqa""",
     "render_chat_train": f"WITH {chat_view()} SELECT conv_id, {HEAD} || {USER} || {ANSWER} AS text FROM v_chat",
     "render_chat_eval": f"WITH {chat_view()} SELECT conv_id, {HEAD} || {USER} || {PROMPT} AS text FROM v_chat",
+    "render_inference": f"""WITH {V_VQA},
+v_ask AS (SELECT question_id, 'You are a powerful visual assistant.' AS system,
+  replace('<IMGPLH>' || question, '<IMGPLH>', '<IMAGE>' || repeat('<Image_Token>', 64) || '<IMAGE_END>') AS usr FROM v_q)
+SELECT question_id, {HEAD} || {USER} || {PROMPT} AS text FROM v_ask""",
     "prepare_requests": f"""WITH {REQUEST}
 SELECT request_id, CASE WHEN u > 0.2 AND NOT contains(p, '<IMGPLH>') THEN '<IMGPLH>' || p ELSE p END AS prompt,
   CASE WHEN u > 0.2 THEN md5(text) END AS image_digest FROM v_prompt""",

@@ -16,6 +16,7 @@ DUMP = (
 )
 QA_DUMP = "instruction string, input string, output string"
 REPLY = "array<array<string>>"
+ADDED_TOKENS = "added_tokens array<struct<type: string, token: string, value: string>>"
 
 
 def read_vqa(spark: SparkSession, questions: str, annotations: str) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +49,15 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_special_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """(position, type, token) from a configuration document with
+    ``added_tokens``."""
+    doc = spark.read.schema(ADDED_TOKENS).option("multiLine", True).json(path)
+    return doc.select(F.posexplode("added_tokens").alias("position", "_t")).select(
+        "position", F.col("_t.type").alias("type"), F.col("_t.token").alias("token")
+    )
+
+
 def read_llm_responses(spark: SparkSession, path: str) -> DataFrame:
     """Response lines as text, for ``parse_llm_responses``."""
     return spark.read.text(path)

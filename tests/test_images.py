@@ -91,6 +91,9 @@ def test_caption_corpus_flow(spark, folder):
     report = out.report.first()
     assert (report["total_images"], report["downloaded"], report["failed"]) == (6, 4, 2)
     assert (report["center_cropped"], report["padded"], report["images_per_second"]) == (1, 3, 2.0)
+    shown = ingest.report_text(out.report, out.errors).first()["value"].split("\n")
+    assert "Success rate: 66.67%" in shown and shown[-1].startswith("  - ")
+    assert sinks.write_report(out.report, f"{folder}/../reports").startswith(f"{folder}/../reports/download_report_")
     assert out.errors.agg(F.sum("n_errors")).first()[0] == 2
     assert out.failures.count() == 2
     assert out.metadata.count() == 4

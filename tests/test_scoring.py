@@ -138,4 +138,5 @@ def test_missing_reply_counts_as_empty(spark):
     df = spark.createDataFrame(rows, "id int, rank int, batch int, decoded string, ref string")
     got = bleu.evaluate_captions(df, "id").first()
     assert got["bleu_1"] == pytest.approx(0.5)
-    assert df.select(F.count("*")).first()[0] == 2
+    with_loss = bleu.evaluate_captions(df.withColumn("eval_loss", F.col("id") + 1.0), "id", losses=("eval_loss",)).first()
+    assert (with_loss["eval_loss"], with_loss["row_eval_loss"]) == (1.5, 1.5)

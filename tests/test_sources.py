@@ -197,3 +197,12 @@ def test_label_file(spark, path):
 
     got = {r["label"]: r["description"] for r in last_label_wins(tables.read_labels(spark, f"{path}/labels.csv")).collect()}
     assert got == {"cat": "last", "dog": "d"}
+
+
+def test_special_tokens(spark, path):
+    from pixquill.operators.tokens import special_token_map
+
+    with open(f"{path}/tokens.json", "w") as f:
+        json.dump({"added_tokens": [{"type": "Image", "token": "<I>", "value": "x"}, {"type": "End", "token": "<E>", "value": "x"}]}, f)
+    got = special_token_map(nested.read_special_tokens(spark, f"{path}/tokens.json"), base=10).collect()
+    assert [tuple(r) for r in got] == [("Image", "<I>", 10), ("End", "<E>", 11)]
