@@ -63,17 +63,6 @@ def chat_tokens(c: Column | str, specials: list[str]) -> Column:
     return F.regexp_extract_all(col(c), F.lit(f"(?:{heads})|{WORD_PATTERN}"), F.lit(0))
 
 
-def ngram_starts(tokens: str, n: int) -> str:
-    """SQL text of the 1-based n-gram start positions of a token column."""
-    # an unguarded sequence would count down for texts shorter than n
-    return f"if(size({tokens}) >= {n}, sequence(1, size({tokens}) - {n - 1}), CAST(array() AS array<int>))"
-
-
-def ngrams(tokens: str, n: int) -> Column:
-    """All n-grams of a token column, tokens joined by a blank."""
-    return F.expr(f"transform({ngram_starts(tokens, n)}, i -> concat_ws(' ', slice({tokens}, i, {n})))")
-
-
 def extract_reply(c: Column | str, marker: str = K.REPLY_MARKER) -> Column:
     """Text between the first and the second marker; null without a marker."""
     c = col(c)

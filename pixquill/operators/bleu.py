@@ -5,68 +5,85 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_reply, ngram_starts, word_tokens
+from ..functions.text import extract_reply, word_tokens
 
 ORDERS = (1, 2, 3, 4)
 SMOOTH = 0.1  # numerator used for an n-gram order without a match
 
 
-def _tagged(tokens: str, side: int) -> Column:
-    """All n-grams of a token column as (n, gram, in generated, in reference)."""
-    parts = [
-        f"transform({ngram_starts(tokens, n)}, i -> struct({n} AS n, "
-        f"concat_ws(' ', slice({tokens}, i, {n})) AS gram, {1 - side} AS g, {side} AS r))"
-        for n in ORDERS
-    ]
-    return F.expr(f"concat({', '.join(parts)})")
+def _tagged(tokens: str, n: int, side: int) -> str:
+    """SQL text: the n-grams of a token column, each ending in a separator and
+    the side (0 generated, 1 reference).  Entries are picked one by one, which
+    is much cheaper than slicing."""
+    gram = ", ' ', ".join(f"get({tokens}, i + {j})" for j in range(n))
+    starts = f"if(size({tokens}) >= {n}, sequence(0, size({tokens}) - {n}), CAST(array() AS array<int>))"
+    return f"transform({starts}, i -> concat({gram}, '\\u0001{side}'))"
+
+
+def _run_starts(n: int) -> str:
+    """SQL text: start positions of equal entries in the sorted list ``_all_n``."""
+    positions = f"if(size(_all_{n}) > 0, sequence(0, size(_all_{n}) - 1), CAST(array() AS array<int>))"
+    return f"filter({positions}, i -> NOT coalesce(get(_all_{n}, i - 1) = get(_all_{n}, i), false))"
+
+
+def _matches(n: int) -> str:
+    """SQL text: clipped matches.  In sort order the generated run of a gram
+    directly precedes its reference run; the shorter of the two counts."""
+    here, before = f"get(_all_{n}, s)", f"get(_runs_{n}, j - 1)"
+    twin = f"concat(substr({here}, 1, length({here}) - 1), '0')"
+    return (
+        f"aggregate(transform(_runs_{n}, (s, j) -> if("
+        f"j > 0 AND endswith({here}, '1') AND get(_all_{n}, {before}) = {twin}, "
+        f"least(s - {before}, coalesce(get(_runs_{n}, j + 1), size(_all_{n})) - s), 0)), "
+        f"0, (a, x) -> a + x)"
+    )
 
 
 def ngram_counts(
-    pairs: DataFrame,
-    key: str,
-    gen: str = "gen",
-    ref: str = "ref",
-    keep: tuple[str, ...] = (),
-    partitions: int | None = None,
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = ()
 ) -> DataFrame:
-    """Per (pair, n): clipped matches and generated n-grams; plus text lengths.
+    """Per pair: text lengths, clipped matches and generated n-grams per order.
 
-    Pairs are spread by key while they are still one row each; all groupings
-    after the n-gram explosion reuse that partitioning and do not shuffle again.
-    A pair without any n-gram keeps one row with a null n.  ``keep`` columns
-    depend on the key and are carried along.
+    Works inside the row: the n-grams of both sides are sorted together and
+    counted as runs, so nothing is exploded or shuffled and a long text costs
+    no more than its sort.  ``keep`` columns are carried along.
     """
-    # a fixed partition count: the small rows must not be merged into few tasks
-    # before they grow by the n-gram explosion
-    spread = partitions or int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = (
-        pairs.select(
-            key, *keep, F.coalesce(gen, F.lit("")).alias("gen"), F.coalesce(ref, F.lit("")).alias("ref")
-        )
-        .repartition(spread, key)
-        .select(key, *keep, word_tokens("gen").alias("gt"), word_tokens("ref").alias("rt"))
+    carried = [key, *keep]
+    tokens = pairs.select(
+        *carried,
+        word_tokens(F.coalesce(gen, F.lit(""))).alias("_gt"),
+        word_tokens(F.coalesce(ref, F.lit(""))).alias("_rt"),
     )
-    pair = [key, *keep, "gen_len", "ref_len"]
-    grams = tokens.select(
-        key,
-        *keep,
-        F.size("gt").alias("gen_len"),
-        F.size("rt").alias("ref_len"),
-        F.explode_outer(F.concat(_tagged("gt", 0), _tagged("rt", 1))).alias("_x"),
-    ).select(*pair, "_x.*")
-    per_gram = grams.groupBy(*pair, "n", "gram").agg(F.sum("g").alias("g"), F.sum("r").alias("r"))
-    return per_gram.groupBy(*pair, "n").agg(
-        F.sum(F.least("g", "r")).alias("matches"), F.sum("g").alias("total")
+    lengths = {"gen_len": F.size("_gt"), "ref_len": F.size("_rt")}
+    merged = tokens.select(
+        *carried,
+        *[c.alias(name) for name, c in lengths.items()],
+        *[F.expr(f"sort_array(concat({_tagged('_gt', n, 0)}, {_tagged('_rt', n, 1)}))").alias(f"_all_{n}") for n in ORDERS],
+    )
+    runs = merged.withColumns({f"_runs_{n}": F.expr(_run_starts(n)) for n in ORDERS})
+    return runs.select(
+        *carried,
+        *lengths,
+        *[F.expr(_matches(n)).alias(f"matches_{n}") for n in ORDERS],
+        *[F.greatest(F.col("gen_len") - (n - 1), F.lit(0)).alias(f"total_{n}") for n in ORDERS],
     )
 
 
 def ngram_overlap(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref") -> DataFrame:
     """(key, n, matches, total) for the orders occurring on either side."""
-    return (
-        ngram_counts(pairs, key, gen, ref)
-        .where(F.col("n").isNotNull())
-        .select(key, "n", "matches", "total")
+    counts = ngram_counts(pairs, key, gen, ref)
+    orders = F.array(
+        *[
+            F.struct(
+                F.lit(n).alias("n"),
+                F.col(f"matches_{n}").cast("bigint").alias("matches"),
+                F.col(f"total_{n}").cast("bigint").alias("total"),
+            )
+            for n in ORDERS
+        ]
     )
+    longest = F.greatest("gen_len", "ref_len")
+    return counts.select(key, longest.alias("_longest"), F.inline(orders)).where(F.col("n") <= F.col("_longest")).drop("_longest")
 
 
 def sentence_bleu(
@@ -77,14 +94,7 @@ def sentence_bleu(
     A precision without a match has numerator 0.1 over a total of at least 1; a
     pair without any common word scores 0.
     """
-    counts = ngram_counts(pairs, key, gen, ref, keep)
-    wide = counts.groupBy(key, *keep, "gen_len", "ref_len").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("n") == n, F.col(c))), F.lit(0)).alias(f"{c}_{n}")
-            for n in ORDERS
-            for c in ("matches", "total")
-        ]
-    )
+    wide = ngram_counts(pairs, key, gen, ref, keep)
 
     def log_precision(n: int) -> Column:
         hits = F.col(f"matches_{n}").cast("double")

@@ -35,33 +35,28 @@ def number_rows(
     are numbered by ``order``.
     """
     lead = lead or []
-    keyed = df.withColumn("_bucket", bucket)
-    cells = keyed.groupBy(*lead, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one struct key: its parts may be null, and the window and the join below
+    # share the partitioning by it
+    keyed = df.withColumn("_cell", F.struct(*lead, bucket.alias("_bucket")))
+    cells = keyed.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = cells.select("_cell", "_cell.*", "_n")
     earlier = (Window.unboundedPreceding, -1)
     in_lead = Window.partitionBy(*lead).orderBy("_bucket").rowsBetween(*earlier)
-    offsets = cells.withColumn("_offset", F.coalesce(F.sum("_n").over(in_lead), F.lit(0)))
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_n").over(in_lead), F.lit(0)))
     if lead:
         across = Window.orderBy(*(lead_order or lead)).rowsBetween(*earlier)
         starts = (
-            cells.groupBy(*lead).agg(F.sum("_n").alias("_n"))
-            .withColumn("_start", F.coalesce(F.sum("_n").over(across), F.lit(0)))
-            .drop("_n")
+            sizes.groupBy(*lead).agg(F.sum("_n").alias("_n"))
+            .select(F.struct(*lead).alias("_lead"), F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_start"))
         )
-        same = [F.col(f"c.{k}").eqNullSafe(F.col(f"s.{k}")) for k in lead]
-        offsets = offsets.alias("c").join(starts.alias("s"), same).select(
-            *[F.col(f"c.{k}").alias(f"_k_{k}") for k in lead],
-            F.col("c._bucket").alias("_k_bucket"),
-            (F.col("c._offset") + F.col("s._start")).alias("_offset"),
+        offsets = offsets.withColumn("_lead", F.struct(*lead)).join(starts, "_lead").withColumn(
+            "_offset", F.col("_offset") + F.col("_start")
         )
-    else:
-        offsets = offsets.select(F.col("_bucket").alias("_k_bucket"), "_offset")
-    ranked = keyed.withColumn(
-        "_rank", F.row_number().over(Window.partitionBy(*lead, "_bucket").orderBy(*order))
-    )
-    match = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in lead]
-    match.append(F.col("_bucket").eqNullSafe(F.col("_k_bucket")))
-    return ranked.join(offsets, match).select(
-        *df.columns, (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias(name)
+    rank = F.row_number().over(Window.partitionBy("_cell").orderBy(*order))
+    return (
+        keyed.withColumn("_rank", rank)
+        .join(offsets.select("_cell", "_offset"), "_cell")
+        .select(*df.columns, (F.col("_offset") + F.col("_rank") - 1).cast("bigint").alias(name))
     )
 
 

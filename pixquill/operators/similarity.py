@@ -112,7 +112,7 @@ def zero_shot(
         shared = items.sparkSession.sparkContext.broadcast((names, features))
 
         @F.pandas_udf(RESULT)
-        def classify(vectors_):
+        def score(vectors_):
             import numpy as np
             import pandas as pd
 
@@ -126,6 +126,9 @@ def zero_shot(
                 [[{"label": names_[j], "confidence": float(p[j])} for j in _top(p, names_, k)] for p in probs]
             )
 
+        # declared non-deterministic so that filters inferred from the explosion
+        # below do not evaluate it a second time
+        classify = score.asNondeterministic()
         best = present.select(key, classify(column).alias("_best"))
     return best.select(key, F.posexplode("_best").alias("_r", "_b")).select(
         key,

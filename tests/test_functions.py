@@ -70,11 +70,6 @@ def test_strip_is_unicode_aware(spark):
     assert values(spark, text.strip("c"), rows, "c string") == ["a b"]
 
 
-def test_ngrams_of_short_text(spark):
-    rows = [(["a", "b", "c"],), (["a"],), ([],)]
-    assert values(spark, text.ngrams("t", 2), rows, "t array<string>") == [["a b", "b c"], [], []]
-
-
 def test_geometry(spark):
     df = spark.createDataFrame(
         [(600, 1000), (599, 1000), (55, 10), (3000, 5), (1000, 600), (448, 448)], "w int, h int"

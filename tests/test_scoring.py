@@ -115,6 +115,8 @@ PAIRS = [
     ("", "a b"),
     ("hello, world! hello", "hello world"),
     ("a b c d e f g", "a b c d"),
+    ("0 1 0 1 1 0", "1 0 1 1"),
+    ("w " * 3000 + "x", "w " * 2000 + "x y"),
 ]
 
 
