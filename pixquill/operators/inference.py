@@ -25,6 +25,7 @@ def batch_predict(
 
     ``make_predict()`` loads the model once per Python worker and returns the
     batch function; it receives one numpy array per input column.
+    ``return_type`` is a Spark data type object.
     """
     predict = predict_batch_udf(
         make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=input_shapes

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions import chat, geometry, imagebytes, rand, text, vectors
-from ..operators import augment, bleu, corpus, ingest, logs, sampling, scoring, similarity, tokens
-from ..session import durable
+from ..operators import augment, bleu, corpus, inference, ingest, logs, resample, sampling, scoring, similarity, tokens
+from ..session import durable, scratch
+from ..sources import nested, tables
+from ..streaming import ingest as stream_ingest
+from ..streaming import serve
 from . import flows, views
 
 QUERIES = {}
@@ -676,3 +680,208 @@ def metric_routing(spark, sf):
 @query
 def metric_routing_eval(spark, sf):
     return rounded(logs.metric_rows(views.metric_logs(spark, sf), phase="eval"), "value")
+
+
+# --- nested documents -------------------------------------------------------
+
+
+@query
+def nested_questions(spark, sf):
+    """Question documents (one per text, one question per line) to rows."""
+    record = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.struct(
+            (F.col("doc_id") * 100_000 + i).alias("question_id"), F.col("doc_id").alias("image_id"), line.alias("question")
+        ),
+    )
+    docs = views.table(spark, sf, "documents").select(F.to_json(F.struct(record.alias("questions"))).alias("value"))
+    parsed = docs.select(F.from_json("value", nested.VQA_QUESTIONS).alias("_d")).select("_d.*")
+    return nested.unpack(parsed, "questions")
+
+
+@query
+def answers_json(spark, sf):
+    """Answer documents (arrays of four-element arrays) to rows."""
+    rows = F.transform(
+        F.split("text", "\n"),
+        lambda line, i: F.array(
+            F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), F.concat(F.lit("Is it "), line), F.lit("Yes"), line
+        ),
+    )
+    docs = views.table(spark, sf, "documents").select(F.to_json(rows).alias("value"))
+    return nested.parse_answers(docs)
+
+
+@query
+def header_size(spark, sf):
+    """Sizes read back from PNG headers made from the link sizes."""
+    def word(name):
+        return F.unhex(F.lpad(F.hex(F.col(name).cast("bigint")), 8, "0"))
+
+    start = F.unhex(F.lit("89504E470D0A1A0A0000000D49484452"))
+    files = views.links(spark, sf).select(
+        "page_id", F.concat(start, word("original_width"), word("original_height")).alias("content")
+    )
+    width, height = imagebytes.header_size("content")
+    return files.select("page_id", width.alias("width"), height.alias("height"))
+
+
+# --- outcomes ---------------------------------------------------------------
+
+
+@query
+def fetched_sizes(spark, sf):
+    """Outcomes joined to every requested identifier, about 25 % without one."""
+    fetched = views.fetches(spark, sf)
+    outcomes = fetched.where(rand.hash_uniform("identifier", "outcome") < 0.75).select(
+        "identifier", "ok", "original_width", "original_height"
+    )
+    joined = ingest.attach_outcomes(fetched.select("event_id", "identifier"), outcomes)
+    return corpus.keep_fetched(joined).select("event_id", "identifier", "original_width", "original_height")
+
+
+@query
+def failed_downloads(spark, sf):
+    urls = views.fetches(spark, sf).withColumn("image_url", F.concat(F.lit("http://h/"), F.col("identifier")))
+    return ingest.failures(urls)
+
+
+@query
+def report_text(spark, sf):
+    outcomes = views.fetches(spark, sf)
+    return ingest.report_text(ingest.download_report(outcomes, 1000.0), ingest.error_types(outcomes))
+
+
+# --- hooks, with stand-ins for models and clients ---------------------------
+
+
+def _sum_model():
+    def predict(batch):
+        return batch.astype("float64").sum(axis=1)
+
+    return predict
+
+
+@query
+def batch_predict(spark, sf):
+    df = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    out = inference.batch_predict(df, _sum_model, ["embedding"], "total", T.DoubleType(), batch_size=16, input_shapes=[[64]])
+    return out.select("vec_id", r6("total").alias("total"))
+
+
+def _byte_encoder():
+    def encode(contents):
+        return [[float(len(c)), float(c[0])] if len(c) else None for c in contents]
+
+    return encode
+
+
+@query
+def embed_images(spark, sf):
+    contents = views.table(spark, sf, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
+    out = inference.embed_images(contents, _byte_encoder)
+    return out.select(
+        "doc_id", F.get("embedding", F.lit(0)).cast("double").alias("length"), F.get("embedding", F.lit(1)).cast("double").alias("first")
+    )
+
+
+def _echo_client(requests, batch):
+    import json
+
+    if batch == 1:
+        raise RuntimeError("batch failed")
+    return {json.loads(r)["custom_id"]: f"batch {batch}" for r in requests}
+
+
+@query
+def llm_augment(spark, sf):
+    """Every batch through a client that fails for the second one."""
+    batched = augment.request_batches(_vqa(spark, sf), "question_id", 50, chunk=2000)
+    request = augment.request_struct(F.col("question_id"), F.col("question"), F.col("multiple_choice_answer"))
+    requests = batched.select(
+        F.col("question_id").cast("string").alias("custom_id"), F.to_json(request).alias("request"), "batch"
+    )
+    return augment.llm_augment(requests, _echo_client)
+
+
+@query
+def tokenizer_hook(spark, sf):
+    """A tokenizer giving one token per rendered piece, its length."""
+    @F.pandas_udf("array<array<int>>")
+    def lengths(texts):
+        return texts.map(lambda parts: [[len(p)] for p in parts])
+
+    rows = tokens.tokenize_chat(_chat(spark, sf), tokenizer=lengths)
+    return rows.select("conv_id", F.posexplode(F.arrays_zip("input_ids", "assistant_masks")).alias("pos", "_t")).select(
+        "conv_id", "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.assistant_masks").alias("mask")
+    )
+
+
+def _text_lengths(frame):
+    return frame.assign(n_chars=frame["text"].str.len())[["doc_id", "n_chars"]]
+
+
+@query
+def collate_hook(spark, sf):
+    docs = views.table(spark, sf, "documents").select("doc_id", "text")
+    return tokens.collate_batches(docs, _text_lengths, "doc_id long, n_chars long")
+
+
+@query
+def resample_images(spark, sf):
+    """Embeddings as 8 x 8 grey images, or 4 x 16 for some, to 32 x 32 RGB."""
+    level = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127.5)), 2, "0"))
+    wide = rand.hash_uniform("vec_id", "shape") < 0.3
+    images = views.table(spark, sf, "embeddings").select(
+        F.col("vec_id").cast("string").alias("identifier"),
+        F.when(wide, F.lit(16)).otherwise(F.lit(8)).alias("width"),
+        F.when(wide, F.lit(4)).otherwise(F.lit(8)).alias("height"),
+        F.lit(1).alias("n_channels"),
+        F.unhex(F.array_join(level, "")).alias("data"),
+    )
+    out = resample.resample_images(images, size=32)
+    return out.select("identifier", "width", "height", "action", F.md5("data").alias("digest"))
+
+
+# --- streams ----------------------------------------------------------------
+
+
+@query
+def ingest_stream(spark, sf):
+    """All pages as a stream of link files into a manifest."""
+    source = stream_ingest.stream_folder(spark, sf, "page_id bigint, url string", glob="pages.parquet")
+    links = source.select(F.col("url").alias("image_url"), F.lit("caption").alias("capsfusion"))
+
+    def step(batch):
+        return corpus.assign_identifier(batch).withColumns(
+            {"original_width": F.length("image_url"), "original_height": F.lit(1)}
+        )
+
+    work = scratch(spark, "ingest")
+    stream_ingest.ingest_incremental(links, f"{work}/manifest", f"{work}/checkpoint", step)
+    done = tables.read_manifest(spark, f"{work}/manifest")
+    return done.select("image_url", "identifier", "original_width", "batch_id")
+
+
+@query
+def stream_counts(spark, sf):
+    source = stream_ingest.stream_folder(spark, sf, "event_id bigint, event_type string", glob="events.parquet")
+    status = F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("ok"))
+    work = scratch(spark, "counts")
+    counts = stream_ingest.running_counts(source.select(status.alias("status")))
+    stream_ingest.write_running_counts(counts, f"{work}/counts", f"{work}/checkpoint")
+    return spark.read.parquet(f"{work}/counts")
+
+
+@query
+def serve_requests(spark, sf):
+    """Waiting requests through a stand-in model that repeats the prompt."""
+    work = scratch(spark, "serve")
+    waiting = views.model_requests(spark, sf).withColumn("request_id", F.col("request_id").cast("string"))
+    waiting.write.json(f"{work}/requests")
+
+    def predict(requests):
+        return requests.withColumn("reply", F.concat(F.col("prompt"), F.lit(K.REPLY_MARKER), F.md5("prompt")))
+
+    serve.serve_stream(spark, f"{work}/requests", f"{work}/replies", f"{work}/checkpoint", predict, extract=True)
+    return spark.read.parquet(f"{work}/replies").select("request_id", "response")

@@ -228,6 +228,14 @@ v_off AS (
 VALID = f"""v_path AS (SELECT conv_id, 'images/' || CAST(conv_id // 3 AS VARCHAR) || '.jpg' AS image_path FROM v_it),
 v_ok AS (SELECT DISTINCT image_path FROM v_path WHERE {u('valid', 'image_path')} < 0.75)"""
 
+MESSAGE_TEXTS = [
+    "HTTPSConnectionPool: Read timed out. (read Timeout=5)",
+    "Failed to establish a new connection: refused",
+    "404 Client Error: Not Found for url",
+    "EOF occurred in SSL handshake",
+    "Cannot allocate memory",
+    "cannot identify image file",
+]
 ERRORS = ["Timeout", "Connection Error", "Not Found (404)", "SSL Error", "Memory Error", "Other"]
 
 RETURNED = f"""v_back AS (
@@ -492,4 +500,43 @@ FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2""",
 SELECT step, CASE WHEN name IN ('loss', 'learning_rate') THEN 'training/' ELSE 'other/' END || name AS tag,
   {r6('value')} AS value, 'eval_' || name AS prefixed FROM v_log WHERE NOT starts_with(name, 'eval_')""",
     "metric_routing_eval": f"WITH {LOGS} SELECT step, 'evaluation/' || name AS tag, {r6('value')} AS value FROM v_log",
+    "nested_questions": f"""WITH {DUMP}
+SELECT doc_id * 100000 + turn - 1 AS question_id, doc_id AS image_id, line AS question FROM v_line""",
+    "answers_json": f"""WITH {DUMP}
+SELECT turn - 1 AS ord, source || '/' || v.doc_id AS question_id, 'Is it ' || line AS question, 'Yes' AS gt_ans, line AS pred_ans
+FROM v_line v JOIN documents d ON d.doc_id = v.doc_id""",
+    "header_size": f"WITH {V_LINKS} SELECT page_id, w AS width, h AS height FROM v_links",
+    "fetched_sizes": f"""WITH {V_FETCH}
+SELECT event_id, identifier, w AS original_width, h AS original_height FROM v_fetch WHERE ok AND {u('outcome', 'identifier')} < 0.75""",
+    "failed_downloads": f"""WITH {V_FETCH}
+SELECT 'http://h/' || identifier AS url, identifier, ({listing(MESSAGE_TEXTS)})[k % 6 + 1] AS error FROM v_fetch WHERE NOT ok""",
+    "report_text": f"""WITH {V_FETCH},
+t AS (SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS good, sum(elapsed) FILTER (WHERE ok) AS secs,
+        count(*) FILTER (WHERE ok AND least(w, h)::DOUBLE / greatest(w, h) >= 0.6) AS crops,
+        count(*) FILTER (WHERE ok AND least(w, h)::DOUBLE / greatest(w, h) < 0.6) AS pads FROM v_fetch),
+e AS (SELECT ({listing(ERRORS)})[k % 6 + 1] AS error_type, count(*) AS n FROM v_fetch WHERE NOT ok GROUP BY 1)
+SELECT array_to_string(['Download Report', repeat('=', 50), 'Total images processed: ' || total, 'Successfully downloaded: ' || good,
+  'Failed downloads: ' || (total - good), format('Success rate: {{:.2f}}%', good::DOUBLE / total * 100),
+  format('Average download time per image: {{:.2f}} seconds', secs / good), 'Total processing time: 1000.00 seconds',
+  format('Processing speed: {{:.2f}} images/second', good / 1000.0::DOUBLE),
+  format('Theoretical max speed: {{:.2f}} images/second', good / secs),
+  'Images center cropped: ' || crops, 'Images padded with black: ' || pads, repeat('=', 50), 'Common error types:']
+  || (SELECT list('  - ' || error_type || ': ' || n ORDER BY '  - ' || error_type || ': ' || n) FROM e), chr(10)) AS value FROM t""",
+    "batch_predict": f"SELECT vec_id, {r6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS total FROM embeddings",
+    "embed_images": """SELECT doc_id, CAST(strlen(text) AS DOUBLE) AS length,
+  CAST(('0x' || substr(hex(encode(text)), 1, 2))::BIGINT AS DOUBLE) AS first FROM documents""",
+    "llm_augment": f"""WITH {V_VQA},
+r AS (SELECT question_id, (row_number() OVER (ORDER BY question_id) - 1) // 50 AS batch FROM v_vqa)
+SELECT CAST(question_id AS VARCHAR) AS custom_id, 'batch ' || batch AS answer FROM r WHERE batch <> 1""",
+    "tokenizer_hook": f"""WITH {chat_view()},
+p AS (SELECT conv_id, [length({HEAD}), length({header('user')}), length({strip('usr')}), 10,
+        length({header('assistant')}), length({strip('assistant')}) + 1, 10] AS n FROM v_chat)
+SELECT conv_id, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS pos, CAST(unnest(n) AS INTEGER) AS token_id,
+  CASE WHEN generate_subscripts(n, 1) = 6 THEN 1 ELSE 0 END AS mask FROM p""",
+    "collate_hook": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
+    "ingest_stream": "SELECT url AS image_url, md5(url) AS identifier, CAST(length(url) AS INTEGER) AS original_width, CAST(0 AS BIGINT) AS batch_id FROM pages",
+    "stream_counts": "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n_rows FROM events GROUP BY 1",
+    "serve_requests": f"""WITH {REQUEST},
+f AS (SELECT request_id, CASE WHEN u > 0.2 AND NOT contains(p, '<IMGPLH>') THEN '<IMGPLH>' || p ELSE p END AS prompt FROM v_prompt)
+SELECT CAST(request_id AS VARCHAR) AS request_id, md5(prompt) AS response FROM f""",
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,21 +30,29 @@ def build_session(app: str = "pixquill", master: str | None = None, **conf) -> S
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point the context at the shared checkpoint folder of the cluster.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``.  A temporary folder is used
-    only in local mode, where driver and executors share one disk.
+    A temporary folder is used only in local mode, where driver and executors
+    share one disk.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
-        if not context.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        folder = tempfile.mkdtemp(prefix="pixquill-ckpt-")
-    context.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="pixquill-")
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, for tables between two jobs."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def durable(df: DataFrame) -> DataFrame:

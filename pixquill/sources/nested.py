@@ -22,11 +22,15 @@ ADDED_TOKENS = "added_tokens array<struct<type: string, token: string, value: st
 def read_vqa(spark: SparkSession, questions: str, annotations: str) -> tuple[DataFrame, DataFrame]:
     """The question and annotation documents as tables."""
 
-    def unpack(path: str, schema: str, field: str) -> DataFrame:
-        doc = spark.read.schema(schema).option("multiLine", True).json(path)
-        return doc.select(F.explode(field).alias("_r")).select("_r.*")
+    def load(path: str, schema: str, field: str) -> DataFrame:
+        return unpack(spark.read.schema(schema).option("multiLine", True).json(path), field)
 
-    return unpack(questions, VQA_QUESTIONS, "questions"), unpack(annotations, VQA_ANNOTATIONS, "annotations")
+    return load(questions, VQA_QUESTIONS, "questions"), load(annotations, VQA_ANNOTATIONS, "annotations")
+
+
+def unpack(docs: DataFrame, field: str) -> DataFrame:
+    """The records of a nested array field, one row each."""
+    return docs.select(F.explode(field).alias("_r")).select("_r.*")
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -40,8 +44,12 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """(ord, question_id, question, gt_ans, pred_ans) from arrays of arrays."""
-    raw = spark.read.option("wholetext", True).text(path)
-    items = raw.select(F.posexplode(F.from_json("value", REPLY)).alias("ord", "_a"))
+    return parse_answers(spark.read.option("wholetext", True).text(path))
+
+
+def parse_answers(documents: DataFrame, value: str = "value") -> DataFrame:
+    """Answer rows of JSON documents, each an array of four-element arrays."""
+    items = documents.select(F.posexplode(F.from_json(value, REPLY)).alias("ord", "_a"))
     names = ["question_id", "question", "gt_ans", "pred_ans"]
     return items.select(
         F.col("ord").cast("bigint").alias("ord"),

@@ -8,8 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def stream_folder(spark: SparkSession, folder: str, schema: str, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+def stream_folder(
+    spark: SparkSession,
+    folder: str,
+    schema: str,
+    fmt: str = "parquet",
+    files_per_batch: int | None = None,
+    glob: str | None = None,
+) -> DataFrame:
+    """Streaming read of the files of a folder, optionally by file name pattern."""
     reader = spark.readStream.schema(schema)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     return reader.format(fmt).load(folder)
@@ -46,3 +56,21 @@ def ingest_incremental(
 def running_counts(source: DataFrame, status: str = "status") -> DataFrame:
     """Running row counts per status; write in complete or update mode."""
     return source.groupBy(F.col(status)).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def write_running_counts(counts: DataFrame, target: str, checkpoint: str):
+    """Keep ``target`` at the current totals of a running count, until all
+    waiting input is processed.  The counts are as many as there are statuses."""
+
+    def write(batch: DataFrame, _batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(target)
+
+    query = (
+        counts.writeStream.outputMode("complete")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query

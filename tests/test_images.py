@@ -72,6 +72,59 @@ def test_resample(spark, folder):
     assert (grey[:, :, 0] == grey[:, :, 2]).all()
 
 
+def slow_resize(pixels, width, height):
+    """Bicubic by plain loops: per output pixel, taps within the widened kernel."""
+    def kernel(x):
+        x = abs(x)
+        if x < 1:
+            return 1.5 * x**3 - 2.5 * x**2 + 1
+        return -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2 if x < 2 else 0.0
+
+    def line(values, target):
+        scale = len(values) / target
+        spread = max(scale, 1.0)
+        out = []
+        for t in range(target):
+            center = (t + 0.5) * scale
+            taps = [(kernel((i + 0.5 - center) / spread), v) for i, v in enumerate(values)]
+            total = sum(w for w, _ in taps)
+            out.append(min(255, max(0, int(np.floor(sum(w * v for w, v in taps) / total + 0.5)))))
+        return out
+
+    rows = [[line([int(p[c]) for p in row], width) for c in range(3)] for row in pixels]
+    return np.array(
+        [[line([rows[y][c][x] for y in range(len(rows))], height) for x in range(width)] for c in range(3)], dtype=np.uint8
+    ).transpose(2, 1, 0)
+
+
+@pytest.mark.parametrize("size", [(12, 9), (5, 30), (24, 24), (13, 13)])
+def test_resize_equals_plain_loops(size):
+    pixels = np.random.default_rng(1).integers(0, 256, size=(17, 24, 3), dtype=np.uint8)
+    got, want = resample.resize(pixels, *size), slow_resize(pixels, *size)
+    assert got.shape == want.shape
+    assert np.abs(got.astype(int) - want.astype(int)).max() <= 1
+    assert (got != want).mean() < 0.001  # rounding of sums
+
+
+def test_registered_resample_equals_plain_loops(spark):
+    import hashlib
+
+    from conftest import SMALL
+    from pixquill.plans.catalog import QUERIES
+
+    got = {r["identifier"]: r for r in QUERIES["resample_images"](spark, SMALL).collect()}
+    vectors = spark.read.parquet(f"{SMALL}/embeddings.parquet").limit(5).collect()
+    for v in vectors:
+        r = got[str(v["vec_id"])]
+        grey = np.floor((np.array(v["embedding"], dtype=np.float32).astype(float) + 1) * 127.5).astype(np.uint8)
+        wide = r["action"] == "pad"
+        pixels = np.repeat(grey.reshape(*((4, 16) if wide else (8, 8)))[:, :, None], 3, axis=2)
+        scaled = slow_resize(pixels, 32, 8 if wide else 32)
+        canvas = np.zeros((32, 32, 3), dtype=np.uint8)
+        canvas[12 * wide : 12 * wide + scaled.shape[0]] = scaled
+        assert r["digest"] == hashlib.md5(canvas.tobytes()).hexdigest()
+
+
 def test_transform_hook_and_image_sink(spark, folder, path):
     decoded = source.decode_image_files(spark, folder).withColumn("identifier", F.md5("path"))
     flipped = resample.resample_images(decoded, size=8, transforms=[lambda a: a[::-1], lambda a: a[:8, :8]])

@@ -13,6 +13,9 @@ import __spark_entry__ as entry  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
 
+WITHOUT_SQL = {"resample_images"}  # compared with plain loops in test_images
+
+
 @pytest.fixture(scope="module")
 def con():
     return check_oracle.connect(SMALL)
@@ -21,6 +24,9 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, SMALL).toPandas()
+    if name in WITHOUT_SQL:
+        assert name not in entry.oracle_sql() and len(got) > 0
+        return
     want = con.execute(entry.oracle_sql()[name]).df()
     assert check_oracle.compare(got, want) == ""
     assert len(got) > 0
