@@ -20,33 +20,87 @@ def decode_data_url(url: Column | str) -> Column:
     return F.try_to_binary(payload, F.lit("base64"))
 
 
-def _unsigned(data: Column, start: int, length: int, little: bool = False) -> Column:
+def _unsigned(data: Column, start: int, length: int, little: bool = False, as_type: str = "int") -> Column:
     """Integer from ``length`` bytes starting at 1-based ``start``."""
     positions = range(start + length - 1, start - 1, -1) if little else range(start, start + length)
     digits = F.concat(*[F.hex(F.substring(data, p, 1)) for p in positions])
-    return F.conv(digits, 16, 10).cast("int")
+    return F.conv(digits, 16, 10).try_cast(as_type)
+
+
+def _signed(data: Column, start: int) -> Column:
+    """Little-endian 32-bit number; top-down bitmaps have a negative height."""
+    value = _unsigned(data, start, 4, little=True, as_type="bigint")
+    return F.when(value >= 2**31, value - 2**32).otherwise(value).cast("int")
 
 
 def _starts(data: Column, hex_prefix: str) -> Column:
     return F.hex(F.substring(data, 1, len(hex_prefix) // 2)) == hex_prefix
 
 
-def header_size(data: Column | str) -> tuple[Column, Column]:
-    """(width, height) read from a PNG, GIF or BMP header; null for others.
+# JPEG marker codes: frame headers carry the size; the others have no length
+_FRAME = ["C0", "C1", "C2", "C3", "C5", "C6", "C7", "C9", "CA", "CB", "CD", "CE", "CF"]
+_BARE = ["01", "D0", "D1", "D2", "D3", "D4", "D5", "D6", "D7", "D8"]
+_LAST = ["D9", "DA"]
+_USUAL_SEGMENTS = 1024
+
+
+def _jpeg_size(data: Column) -> Column:
+    """struct(pos, w, h, done) after walking the segments of a JPEG."""
+    def number(pos: Column) -> Column:
+        return F.conv(F.hex(F.substring(data, pos, F.lit(2))), 16, 10).cast("int")
+
+    def state(pos: Column, w: Column, h: Column, done: bool) -> Column:
+        return F.struct(pos.alias("pos"), w.alias("w"), h.alias("h"), F.lit(done).alias("done"))
 
-    JPEG keeps its size in a segment at a variable offset; use the image source
-    of :func:`pixquill.sources.images.scan_images` for it.
-    """
+    nothing = F.lit(None).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        pos = s["pos"]
+        lead = F.hex(F.substring(data, pos, F.lit(1)))
+        code = F.hex(F.substring(data, pos + 1, F.lit(1)))
+        return (
+            F.when(s["done"], s)
+            .when((lead != "FF") | (code == "") | code.isin(_LAST), state(pos, nothing, nothing, True))
+            .when(code == "FF", state(pos + 1, nothing, nothing, False))
+            .when(code.isin(_FRAME), state(pos, number(pos + 7), number(pos + 5), True))
+            .when(code.isin(_BARE), state(pos + 2, nothing, nothing, False))
+            .otherwise(state(pos + 2 + F.coalesce(number(pos + 2), F.lit(0)), nothing, nothing, False))
+        )
+
+    start = state(F.lit(3), nothing, nothing, False)
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(_USUAL_SEGMENTS)), start, step)
+    # a segment takes at least two bytes, so this walk reaches the end of any file
+    whole = F.aggregate(F.sequence(F.lit(1), F.octet_length(data)), start, step)
+    return F.when(usual["done"], usual).otherwise(whole)
+
+
+def header_size(data: Column | str) -> tuple[Column, Column]:
+    """(width, height) read from a PNG, JPEG, GIF, BMP or WebP header; null for
+    anything else."""
     d = col(data)
     png, gif, bmp = _starts(d, "89504E470D0A1A0A"), _starts(d, "474946"), _starts(d, "424D")
+    jpeg = _starts(d, "FFD8FF")
+    frame = _jpeg_size(d)
+    riff = _starts(d, "52494646") & (F.hex(F.substring(d, 9, 4)) == "57454250")
+    kind = F.hex(F.substring(d, 13, 4))
+    lossy, lossless, extended = riff & (kind == "56503820"), riff & (kind == "5650384C"), riff & (kind == "56503858")
+    packed = _unsigned(d, 22, 4, little=True, as_type="bigint")
     width = (
         F.when(png, _unsigned(d, 17, 4))
+        .when(jpeg, frame["w"])
         .when(gif, _unsigned(d, 7, 2, little=True))
         .when(bmp, _unsigned(d, 19, 4, little=True))
+        .when(lossy, _unsigned(d, 27, 2, little=True).bitwiseAND(0x3FFF))
+        .when(lossless, (packed.bitwiseAND(0x3FFF) + 1).cast("int"))
+        .when(extended, _unsigned(d, 25, 3, little=True) + 1)
     )
     height = (
         F.when(png, _unsigned(d, 21, 4))
+        .when(jpeg, frame["h"])
         .when(gif, _unsigned(d, 9, 2, little=True))
-        .when(bmp, _unsigned(d, 23, 4, little=True))
+        .when(bmp, F.abs(_signed(d, 23)))
+        .when(lossy, _unsigned(d, 29, 2, little=True).bitwiseAND(0x3FFF))
+        .when(lossless, (F.shiftright(packed, 14).bitwiseAND(0x3FFF) + 1).cast("int"))
+        .when(extended, _unsigned(d, 28, 3, little=True) + 1)
     )
     return width, height

@@ -3,48 +3,60 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from .. import constants as K
 from .corpus import image_plan
 
+ROWS_PER_BATCH = 32  # raw pixels are large: keep what leaves Python at once small
 OUTPUT = "identifier string, width int, height int, action string, data binary"
 
 
-def cubic_weights(source: int, target: int):
-    """Row-stochastic (target x source) matrix of bicubic weights.
+@lru_cache(maxsize=256)
+def cubic_taps(source: int, target: int):
+    """Source indices and weights (both target x taps) of a bicubic resize.
 
     The kernel (a = -0.5) is widened by the scale when shrinking, so the filter
-    averages; taps outside the image are dropped and weights renormalised.
+    averages; taps outside the image get weight zero and the rest is normalised.
     """
     import numpy as np
 
     scale = source / target
     spread = max(scale, 1.0)
     centers = (np.arange(target) + 0.5) * scale
-    taps = np.arange(source) + 0.5
-    x = np.abs(taps[None, :] - centers[:, None]) / spread
+    first = np.floor(centers - 2 * spread).astype(int)
+    index = first[:, None] + np.arange(int(4 * spread) + 3)[None, :]
+    x = np.abs(index + 0.5 - centers[:, None]) / spread
     a = -0.5
     near = ((a + 2) * x - (a + 3)) * x * x + 1
     far = a * (((x - 5) * x + 8) * x - 4)
     w = np.where(x < 1, near, np.where(x < 2, far, 0.0))
-    return w / w.sum(axis=1, keepdims=True)
+    w = np.where((index >= 0) & (index < source), w, 0.0)
+    return np.clip(index, 0, source - 1), w / w.sum(axis=1, keepdims=True)
+
+
+def _resize_columns(values, target: int):
+    """Resize the second axis of an H x W x C float array."""
+    import numpy as np
+
+    index, weights = cubic_taps(values.shape[1], target)
+    out = np.zeros((values.shape[0], target, values.shape[2]))
+    for tap in range(index.shape[1]):
+        out += weights[None, :, tap, None] * values[:, index[:, tap], :]
+    return np.clip(np.floor(out + 0.5), 0, 255)
 
 
 def resize(pixels, width: int, height: int):
     """Bicubic resize of an H x W x 3 uint8 array, columns first, then rows."""
     import numpy as np
 
-    def settle(values):
-        return np.clip(np.floor(values + 0.5), 0, 255)
-
-    source_h, source_w = pixels.shape[:2]
     out = pixels.astype(np.float64)
-    if width != source_w:
-        out = settle(np.einsum("ts,hsc->htc", cubic_weights(source_w, width), out))
-    if height != source_h:
-        out = settle(np.einsum("ts,swc->twc", cubic_weights(source_h, height), out))
+    if width != pixels.shape[1]:
+        out = _resize_columns(out, width)
+    if height != pixels.shape[0]:
+        out = _resize_columns(out.transpose(1, 0, 2), height).transpose(1, 0, 2)
     return out.astype(np.uint8)
 
 
@@ -88,21 +100,21 @@ def resample_images(
         "scaled_w", "scaled_h", "offset_x", "offset_y",
     ]
 
+    def one(r):
+        pixels = to_rgb(r.data, r.width, r.height, r.n_channels)
+        if transforms and r.action == "crop":
+            for fn in transforms:
+                pixels = fn(pixels)
+        else:
+            pixels = apply_plan(pixels, r.action, r.scaled_w, r.scaled_h, r.offset_x, r.offset_y, size)
+        return r.identifier, pixels.shape[1], pixels.shape[0], r.action, pixels.tobytes()
+
     def run(frames):
         import pandas as pd
 
         for pdf in frames:
-            rows = []
-            for r in pdf.itertuples(index=False):
-                pixels = to_rgb(r.data, r.width, r.height, r.n_channels)
-                if transforms and r.action == "crop":
-                    for fn in transforms:
-                        pixels = fn(pixels)
-                else:
-                    pixels = apply_plan(
-                        pixels, r.action, r.scaled_w, r.scaled_h, r.offset_x, r.offset_y, size
-                    )
-                rows.append((r.identifier, pixels.shape[1], pixels.shape[0], r.action, pixels.tobytes()))
-            yield pd.DataFrame(rows, columns=["identifier", "width", "height", "action", "data"])
+            for start in range(0, len(pdf), ROWS_PER_BATCH):
+                done = [one(r) for r in pdf.iloc[start : start + ROWS_PER_BATCH].itertuples(index=False)]
+                yield pd.DataFrame(done, columns=["identifier", "width", "height", "action", "data"])
 
     return plan.select(*needed).mapInPandas(run, OUTPUT)

@@ -12,7 +12,7 @@ from .. import constants as K
 from ..functions import chat
 from ..functions.text import ensure_placeholder, extract_reply, text_or_empty
 from ..operators import corpus, ingest, sampling, scoring, tokens
-from ..session import durable
+from ..session import scratch
 from ..sources import images as image_sources
 
 
@@ -23,32 +23,38 @@ class CaptionCorpus:
     errors: DataFrame
     failures: DataFrame
     samples: DataFrame
+    images: DataFrame
 
 
 def caption_corpus(
     links: DataFrame,
     manifest: DataFrame | None = None,
     fetch: Callable[[str], bytes] | None = None,
+    fetched: str | None = None,
     total_seconds: float | Column = 0.0,
 ) -> CaptionCorpus:
     """Links to training samples: identify, skip finished work, fetch, plan,
-    report, adapt.  Only the fetch leaves the JVM; its result is made durable
-    before it is read several times."""
+    report, adapt.
+
+    Only the fetch leaves the JVM.  Its outcomes, image bytes included, are
+    written to ``fetched`` (a new folder under the shared one by default) and
+    read from there, so everything below sees one and the same fetch.
+    """
+    spark = links.sparkSession
     identified = corpus.assign_identifier(links)
     if manifest is not None:
         identified = corpus.not_done(identified, manifest)
-    fetched = image_sources.probe_sizes(image_sources.fetch_images(identified, fetch))
+    fetched = fetched or scratch(spark, "fetched")
+    sized = image_sources.probe_sizes(image_sources.fetch_images(identified, fetch))
     known = F.col("original_width").isNotNull()
-    outcomes = durable(
-        fetched.select(
-            "identifier",
-            (F.col("ok") & known).alias("ok"),
-            F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error")).alias("error"),
-            "elapsed",
-            "original_width",
-            "original_height",
-        )
-    )
+    sized.withColumns(
+        {
+            "error": F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error")),
+            "ok": F.col("ok") & known,
+        }
+    ).drop("image_url").write.mode("overwrite").parquet(fetched)
+    images = spark.read.parquet(fetched)
+    outcomes = images.drop("content")
     rows = ingest.attach_outcomes(identified, outcomes)
     kept = corpus.keep_fetched(rows)
     metadata = kept.select("image_url", "capsfusion", "identifier", "original_width", "original_height")
@@ -58,6 +64,7 @@ def caption_corpus(
         errors=ingest.error_types(rows),
         failures=ingest.failures(rows),
         samples=corpus.adapt_pretrain(metadata),
+        images=images.where("ok").select("identifier", "original_width", "original_height", "content"),
     )
 
 

@@ -36,6 +36,31 @@ def decode_image_files(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -
     )
 
 
+def decode_contents(df: DataFrame, decoder: Callable, content: str = "content", rows: int = 32) -> DataFrame:
+    """Decoded images (identifier, width, height, n_channels, data) from a bytes
+    column through a user decoder; ``decoder(bytes)`` returns (width, height,
+    channels, data) with BGR order, or raises for what it cannot read."""
+
+    def one(item):
+        try:
+            return decoder(item)
+        except Exception:  # an unreadable image is left out
+            return None
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for start in range(0, len(pdf), rows):
+                part = pdf.iloc[start : start + rows]
+                found = [(k, *d) for k, d in zip(part["identifier"], map(one, part[content])) if d is not None]
+                yield pd.DataFrame(found, columns=["identifier", "width", "height", "n_channels", "data"])
+
+    return df.select("identifier", content).mapInPandas(
+        run, "identifier string, width int, height int, n_channels int, data binary"
+    )
+
+
 def image_size(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataFrame:
     """(path, width, height) of decodable images."""
     return decode_image_files(spark, path, glob).select("path", "width", "height")
@@ -95,10 +120,13 @@ def fetch_images(
 
         with ThreadPoolExecutor(threads) as pool:
             for pdf in frames:
-                outcomes = list(pool.map(one, pdf["image_url"]))
-                for i, name in enumerate(["ok", "error", "elapsed", "content"]):
-                    pdf[name] = [o[i] for o in outcomes]
-                yield pdf[["identifier", "image_url", "ok", "error", "elapsed", "content"]]
+                # image bytes are large: hand them on a few at a time
+                for start in range(0, len(pdf), 4 * threads):
+                    part = pdf.iloc[start : start + 4 * threads]
+                    outcomes = list(pool.map(one, part["image_url"]))
+                    yield part.assign(
+                        **{name: [o[i] for o in outcomes] for i, name in enumerate(["ok", "error", "elapsed", "content"])}
+                    )
 
     return spread.mapInPandas(run, OUTCOME)
 

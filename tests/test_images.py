@@ -38,6 +38,32 @@ def test_scan_and_sizes(spark, folder):
     assert got == {"wide.png": (100, 40), "tall.PNG.png": (30, 45), "grey.png": (20, 20), "junk.jpg": (None, None)}
 
 
+def segment(code: int, body: bytes) -> bytes:
+    return bytes([0xFF, code]) + (len(body) + 2).to_bytes(2, "big") + body
+
+
+def test_jpeg_and_webp_headers(spark):
+    frame = b"\x08" + (480).to_bytes(2, "big") + (640).to_bytes(2, "big") + b"\x03" + b"\0" * 9
+    thumbnail = b"\xff\xd8" + segment(0xC0, b"\x08" + b"\0\x10" * 2 + b"\0" * 10)
+    rest = segment(0xDA, b"\0" * 10) + b"\0" * 40 + b"\xff\xd9"
+    plain = b"\xff\xd8" + segment(0xE1, thumbnail) + b"\xff\xff" + segment(0xC2, frame)[1:] + rest
+    many = b"\xff\xd8" + segment(0xFE, b"") * 3000 + segment(0xC0, frame) + rest
+    broken = b"\xff\xd8" + segment(0xE0, b"JFIF") + rest
+    cut = b"\xff\xd8\xff"
+
+    def riff(kind: bytes, body: bytes) -> bytes:
+        return b"RIFF\0\0\0\0WEBP" + kind + b"\0\0\0\0" + body
+
+    lossy = riff(b"VP8 ", b"\0\0\0\x9d\x01\x2a" + (300).to_bytes(2, "little") + (200).to_bytes(2, "little"))
+    lossless = riff(b"VP8L", b"\x2f" + ((300 - 1) | (200 - 1) << 14).to_bytes(4, "little"))
+    extended = riff(b"VP8X", b"\0" * 4 + (299).to_bytes(3, "little") + (199).to_bytes(3, "little"))
+    files = [plain, many, broken, cut, lossy, lossless, extended, b"", None]
+    df = spark.createDataFrame([(bytearray(f) if f is not None else None,) for f in files], "d binary").coalesce(1)
+    assert [tuple(r) for r in df.select(*header_size("d")).collect()] == [
+        (640, 480), (640, 480), (None, None), (None, None), (300, 200), (300, 200), (300, 200), (None, None), (None, None),
+    ]
+
+
 def test_gif_and_bmp_headers(spark):
     gif = b"GIF89a" + (300).to_bytes(2, "little") + (7).to_bytes(2, "little") + b"\0" * 8
     bmp = b"BM" + b"\0" * 16 + (640).to_bytes(4, "little") + (480).to_bytes(4, "little") + b"\0" * 8
@@ -46,10 +72,10 @@ def test_gif_and_bmp_headers(spark):
 
 
 def test_bicubic_weights_reproduce_smooth_images():
-    w = resample.cubic_weights(90, 30)
+    index, w = resample.cubic_taps(90, 30)
     assert np.allclose(w.sum(axis=1), 1)
     line = np.arange(90, dtype=float)
-    inner = (w @ line)[3:-3]
+    inner = (w * line[index]).sum(axis=1)[3:-3]
     assert np.allclose(inner, ((np.arange(30) + 0.5) * 3 - 0.5)[3:-3])
     flat = np.full((50, 70, 3), 93, dtype=np.uint8)
     assert (resample.resize(flat, 33, 21) == 93).all()
@@ -152,6 +178,17 @@ def test_caption_corpus_flow(spark, folder):
     assert out.metadata.count() == 4
     sample = out.samples.first()
     assert sample["instruction"] == "Caption the image." and sample["image_path"].startswith("images/")
+    assert out.images.count() == 2 and out.images.where("length(content) > 50").count() == 2
+
+    def decoder(data):
+        import struct
+
+        width, height = struct.unpack(">II", data[16:24])
+        return width, height, 1, bytes(width * height)
+
+    decoded = source.decode_contents(out.images, decoder)
+    squares = resample.resample_images(decoded, size=16)
+    assert {len(r["data"]) for r in squares.collect()} == {16 * 16 * 3}
     done = out.metadata.select("identifier")
     again = corpus.not_done(corpus.assign_identifier(links), done)
     assert again.count() == 2
