@@ -53,6 +53,17 @@ SERVE_SUFFIX = "Carefully explain your reasoning before answering the question."
 SERVE_DEFAULT_PROMPT = "<IMGPLH>Describe this image."
 REASONING_SUFFIX = "Carefully exlain your reasoning beofer answering the question."
 
+# --- fixed values: tags of a question-answer training text ------------------
+VQA_TAGS = {"system": ("<sys>", "</sys>"), "user": ("<user>", "</user>"), "assistant": ("<assist>", "</assist>")}
+VQA_OPEN_ANSWER = "It's "
+
+# --- fixed values: metric tags ----------------------------------------------
+TRAINING_METRICS = ["loss", "grad_norm", "learning_rate"]
+TAG_TRAINING = "training/"
+TAG_OTHER = "other/"
+TAG_EVALUATION = "evaluation/"
+EVAL_PREFIX = "eval_"
+
 # --- fixed values: image markers -------------------------------------------
 PLACEHOLDER = "<IMGPLH>"
 DUMP_PLACEHOLDER = "<image>"
@@ -124,6 +135,24 @@ ERROR_CLASSES = [
     ("Memory Error", "memory"),
 ]
 
+# --- fixed values: text report, (format, report column) ---------------------
+REPORT_TITLE = "Download Report"
+REPORT_RULE = "=" * 50
+REPORT_LINES = [
+    ("Total images processed: %d", "total_images"),
+    ("Successfully downloaded: %d", "downloaded"),
+    ("Failed downloads: %d", "failed"),
+    ("Success rate: %.2f%%", "success_rate"),
+    ("Average download time per image: %.2f seconds", "average_seconds"),
+    ("Total processing time: %.2f seconds", "total_seconds"),
+    ("Processing speed: %.2f images/second", "images_per_second"),
+    ("Theoretical max speed: %.2f images/second", "theoretical_images_per_second"),
+    ("Images center cropped: %d", "center_cropped"),
+    ("Images padded with black: %d", "padded"),
+]
+REPORT_ERRORS_TITLE = "Common error types:"
+REPORT_ERROR_LINE = "  - %s: %d"
+
 # whitespace removed by a Python-style strip
 WHITESPACE = (
     "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"

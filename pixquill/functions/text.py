@@ -94,12 +94,15 @@ def eval_prompt(question: Column | str, suffix: str = "", placeholder: str = K.P
 
 def vqa_answer(answer: Column | str, answer_type: Column | str) -> Column:
     a = col(answer)
-    return F.when(col(answer_type) == "other", F.concat(F.lit("It's "), a)).otherwise(a)
+    return F.when(col(answer_type) == "other", F.concat(F.lit(K.VQA_OPEN_ANSWER), a)).otherwise(a)
 
 
 def vqa_prompt(question: Column | str, answer: Column | str, system: str = K.VQA_SYSTEM_PROMPT) -> Column:
     """One tagged training text from question and answer."""
+    def tagged(role: str, content: Column) -> list[Column]:
+        opening, closing = K.VQA_TAGS[role]
+        return [F.lit(opening), content, F.lit(closing)]
+
     return F.concat(
-        F.lit(f"<sys>{system}</sys><user>"), col(question),
-        F.lit("</user><assist>"), col(answer), F.lit("</assist>"),
+        *tagged("system", F.lit(system)), *tagged("user", col(question)), *tagged("assistant", col(answer))
     )

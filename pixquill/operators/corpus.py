@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import chat, geometry, imagebytes, rand, text
+from .joins import skew_join
 from .numbering import number_rows
 
 
@@ -27,18 +28,22 @@ def latest_identifiers(manifest: DataFrame) -> DataFrame:
     return manifest.groupBy("image_url").agg(F.min("identifier").alias("identifier"))
 
 
+def join_identifiers(links: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Links with their cached identifier, null where there is none."""
+    return skew_join(links, latest_identifiers(manifest), "image_url")
+
+
 def assign_identifier(links: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     """Identifier from the manifest where known, else the md5 of the URL."""
     fresh = F.md5("image_url")
     if manifest is None:
         return links.withColumn("identifier", fresh)
-    joined = links.join(latest_identifiers(manifest), "image_url", "left")
-    return joined.withColumn("identifier", F.coalesce("identifier", fresh))
+    return join_identifiers(links, manifest).withColumn("identifier", F.coalesce("identifier", fresh))
 
 
 def not_done(links: DataFrame, manifest: DataFrame) -> DataFrame:
     """Links whose identifier is not in the manifest: the work left to do."""
-    return links.join(manifest.select("identifier"), "identifier", "left_anti")
+    return skew_join(links, manifest, "identifier", "left_anti")
 
 
 # --- image geometry ---------------------------------------------------------
@@ -112,7 +117,7 @@ def keep_fetched(df: DataFrame, width: str = "original_width") -> DataFrame:
 
 def keep_valid_images(samples: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:
     """Samples whose image is in the table of decodable images."""
-    return samples.join(images.select(path), path, "left_semi")
+    return skew_join(samples, images, path, "left_semi")
 
 
 def validation_summary(samples: DataFrame, images: DataFrame, path: str = "image_path") -> DataFrame:

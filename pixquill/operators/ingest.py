@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import geometry
 from ..functions.text import classify_error
+from .joins import skew_join
 
 
 def attach_outcomes(links: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Fetched sizes by identifier; rows without an outcome keep nulls."""
-    return links.join(outcomes, "identifier", "left")
+    """Fetched sizes by identifier (unique in ``outcomes``); rows without an
+    outcome keep nulls."""
+    return skew_join(links, outcomes, "identifier")
 
 
 def download_report(
@@ -58,34 +61,15 @@ def download_report(
 def report_text(report: DataFrame, errors: DataFrame) -> DataFrame:
     """The report and its error classes as one text row."""
     classes = errors.agg(
-        F.array_sort(F.collect_list(F.format_string("  - %s: %d", "error_type", "n_errors"))).alias("lines")
+        F.array_sort(F.collect_list(F.format_string(K.REPORT_ERROR_LINE, "error_type", "n_errors")))
+    )
+    failed = F.concat(F.array(F.lit(K.REPORT_ERRORS_TITLE)), classes.scalar())
+    # a ratio without a value leaves its line out
+    figures = [F.when(F.col(name).isNotNull(), F.format_string(form, name)) for form, name in K.REPORT_LINES]
+    lines = F.array_compact(F.array(F.lit(K.REPORT_TITLE), F.lit(K.REPORT_RULE), *figures, F.lit(K.REPORT_RULE)))
+    return report.select(
+        F.array_join(F.when(F.col("failed") > 0, F.concat(lines, failed)).otherwise(lines), "\n").alias("value")
     )
-    rule = F.lit("=" * 50)
-
-    def count(label: str, name: str):
-        return F.concat(F.lit(f"{label}: "), F.col(name).cast("string"))
-
-    def figure(pattern: str, name: str):
-        return F.coalesce(F.format_string(pattern, name), F.lit(""))
-
-    lines = [
-        F.lit("Download Report"),
-        rule,
-        count("Total images processed", "total_images"),
-        count("Successfully downloaded", "downloaded"),
-        count("Failed downloads", "failed"),
-        figure("Success rate: %.2f%%", "success_rate"),
-        figure("Average download time per image: %.2f seconds", "average_seconds"),
-        figure("Total processing time: %.2f seconds", "total_seconds"),
-        figure("Processing speed: %.2f images/second", "images_per_second"),
-        figure("Theoretical max speed: %.2f images/second", "theoretical_images_per_second"),
-        count("Images center cropped", "center_cropped"),
-        count("Images padded with black", "padded"),
-        rule,
-    ]
-    failed = F.when(F.col("failed") > 0, F.concat(F.array(F.lit("Common error types:")), classes.scalar()))
-    all_lines = F.concat(F.array(*lines), F.coalesce(failed, F.array().cast("array<string>")))
-    return report.select(F.array_join(all_lines, "\n").alias("value"))
 
 
 def error_types(outcomes: DataFrame, ok: str = "ok", error: str = "error") -> DataFrame:

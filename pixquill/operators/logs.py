@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
+
 
 def metric_rows(
     logs: DataFrame,
@@ -30,11 +32,11 @@ def metric_rows(
     ).where(F.col("value").isNotNull())
     name = F.col("_name")
     if phase == "eval":
-        tag = F.concat(F.lit("evaluation/"), name)
+        tag = F.concat(F.lit(K.TAG_EVALUATION), name)
     else:
-        rows = rows.where(~F.startswith(name, F.lit("eval_")))
-        main = name.isin("loss", "grad_norm", "learning_rate")
-        tag = F.when(main, F.concat(F.lit("training/"), name)).otherwise(F.concat(F.lit("other/"), name))
+        rows = rows.where(~F.startswith(name, F.lit(K.EVAL_PREFIX)))
+        main = name.isin(K.TRAINING_METRICS)
+        tag = F.when(main, F.concat(F.lit(K.TAG_TRAINING), name)).otherwise(F.concat(F.lit(K.TAG_OTHER), name))
     extra = [F.concat(F.lit(f"{prefix}_"), name).alias("prefixed")] if prefix else []
     return rows.select(*columns, tag.alias("tag"), "value", *extra)
 

@@ -51,6 +51,8 @@ def _unit(rows):
     import numpy as np
 
     m = np.asarray(rows, dtype=np.float64)
+    if not len(m):
+        return m
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -109,6 +111,8 @@ def zero_shot(
         best = _blocked(present, labels, k, key, column, label_blocks or 64, item_blocks)
     else:
         names, features = small
+        if not names:
+            return _ranked(present.select(key, F.array().cast(RESULT).alias("_best")), key)
         shared = items.sparkSession.sparkContext.broadcast((names, features))
 
         @F.pandas_udf(RESULT)
@@ -130,6 +134,10 @@ def zero_shot(
         # below do not evaluate it a second time
         classify = score.asNondeterministic()
         best = present.select(key, classify(column).alias("_best"))
+    return _ranked(best, key)
+
+
+def _ranked(best: DataFrame, key: str) -> DataFrame:
     return best.select(key, F.posexplode("_best").alias("_r", "_b")).select(
         key,
         (F.col("_r") + 1).alias("rank"),

@@ -55,8 +55,8 @@ def assign_identifier(spark, sf):
 
 @query
 def identifier_left_join(spark, sf):
-    known = corpus.latest_identifiers(views.link_manifest(spark, sf))
-    return views.links(spark, sf).join(known, "image_url", "left").select("page_id", "image_url", "identifier")
+    joined = corpus.join_identifiers(views.links(spark, sf), views.link_manifest(spark, sf))
+    return joined.select("page_id", "image_url", "identifier")
 
 
 @query

@@ -18,14 +18,14 @@ BENCHMARK = "ord bigint, question_id string, question string, answer string, cat
 LABELS = "line_no int, category string, label string, description string"
 
 
-def _table(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
+def _table(spark: SparkSession, path: str, schema: str | None, line_breaks: bool = True) -> DataFrame:
     """Parquet when the path says so, else CSV with quoted line breaks.
 
     In CSV only the empty field is null; texts such as "NA" stay texts.
     """
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
     if schema is None:
         return reader.csv(path)
     # columns are matched by name: the header may hold more, or another order
@@ -36,11 +36,14 @@ def _table(spark: SparkSession, path: str, schema: str | None) -> DataFrame:
     return raw.select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
 
 
-def read_links(spark: SparkSession, path: str) -> DataFrame:
-    """Caption links; fails when image_url or capsfusion is missing."""
-    return require_columns(_table(spark, path, LINKS), ["image_url", "capsfusion"]).select(
-        "image_url", "capsfusion"
-    )
+def read_links(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """Caption links; fails when image_url or capsfusion is missing.
+
+    A CSV file whose fields may hold line breaks is read by one task; pass
+    ``line_breaks=False`` for large files without them, which then split.
+    """
+    links = _table(spark, path, LINKS, line_breaks)
+    return require_columns(links, ["image_url", "capsfusion"]).select("image_url", "capsfusion")
 
 
 def read_samples(spark: SparkSession, path: str) -> DataFrame:

@@ -44,6 +44,13 @@ def test_large_taxonomy_takes_the_blocked_path(spark, data, monkeypatch):
     assert {(r["id"], r["rank"]): r["label"] for r in df.collect()} == {k: v[0] for k, v in want.items()}
 
 
+def test_no_labels_no_rows(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
+    labels = spark.createDataFrame([], "label string, embedding array<double>")
+    assert similarity.zero_shot(items, labels).count() == 0
+    assert similarity.zero_shot(items, labels, label_blocks=2, item_blocks=2).count() == 0
+
+
 def test_pooling_leaves_out_the_rest_and_matches_numpy(spark):
     side, n = 7, 4  # stride 3, cells 2 x 2, last row and column unused
     rng = np.random.default_rng(5)
