@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -173,6 +173,29 @@ def dense_image_ids(
     )
 
 
+def offset_image_ids(
+    df: DataFrame,
+    subsets: list[str],
+    subset: str = "subset",
+    position: str = "position",
+    name: str = "image_id",
+) -> DataFrame:
+    """Global ids as the start of the subset plus the position, for positions
+    that already run 0..n-1 inside each subset.
+
+    Only the sizes of the named subsets are aggregated; rows, which may carry
+    image bytes, stay where they are.
+    """
+    order = F.array_position(F.array(*[F.lit(s) for s in subsets]), F.col(subset))
+    sizes = df.where(F.col(subset).isin(subsets)).groupBy(subset).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(subset, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    lookup = starts.agg(F.map_from_entries(F.collect_list(F.struct(subset, "_start")))).scalar()
+    placed = df.withColumn("_starts", lookup)
+    start = F.try_element_at("_starts", F.col(subset))
+    return placed.withColumn(name, start + F.col(position)).drop("_starts")
+
+
 # --- VQA --------------------------------------------------------------------
 
 

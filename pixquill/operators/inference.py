@@ -30,7 +30,8 @@ def batch_predict(
     predict = predict_batch_udf(
         make_predict, return_type=return_type, batch_size=batch_size, input_tensor_shapes=input_shapes
     )
-    return df.withColumn(output, predict(*[F.col(c) for c in inputs]))
+    # declared non-deterministic so that a filter on the output does not run the model again
+    return df.withColumn(output, predict.asNondeterministic()(*[F.col(c) for c in inputs]))
 
 
 def embed_images(

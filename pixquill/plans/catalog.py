@@ -164,8 +164,7 @@ def adapt_pretrain(spark, sf):
     return corpus.adapt_pretrain(corpus.assign_identifier(views.links(spark, sf)))
 
 
-@query
-def subset_union(spark, sf):
+def _subsets(spark, sf):
     docs = views.table(spark, sf, "documents")
     return corpus.union_subsets(
         {
@@ -180,6 +179,17 @@ def subset_union(spark, sf):
     ).select("subset", "position", "instruction", "inputs", "outputs")
 
 
+@query
+def subset_union(spark, sf):
+    return _subsets(spark, sf)
+
+
+@query
+def offset_image_ids(spark, sf):
+    out = corpus.offset_image_ids(_subsets(spark, sf), ["texts", "absent", "captions", "dialogs"])
+    return out.select("subset", "position", "image_id")
+
+
 @query
 def dense_image_ids(spark, sf):
     docs = views.table(spark, sf, "documents").select(

@@ -68,10 +68,21 @@ def caption_corpus(
     )
 
 
-def instruction_corpus(subsets: DataFrame, images: DataFrame, key: str) -> DataFrame:
-    """Subset union with image paths to mixed, validated samples."""
-    mixed = corpus.mix_prompts(subsets, key)
-    return corpus.keep_valid_images(mixed, images)
+def instruction_corpus(
+    raw: DataFrame, subsets: list[str], folder: str = "data/it_images"
+) -> tuple[DataFrame, DataFrame]:
+    """Raw subset rows to (mixed samples with a readable image, images).
+
+    ``raw`` has subset, position (0..n-1 inside each subset), instruction,
+    inputs, outputs and image_base64_str.  Ids count every row, readable or not.
+    No row is shuffled.
+    """
+    numbered = corpus.offset_image_ids(corpus.decode_images(raw), subsets)
+    readable = numbered.where((F.col("width") > 0) & (F.col("height") > 0)).withColumn(
+        "image_path", F.concat(F.lit(f"{folder}/"), F.col("image_id").cast("string"), F.lit(".jpg"))
+    )
+    samples = corpus.mix_prompts(readable, "image_id").drop("content", "width", "height")
+    return samples, readable.select("image_id", "image_path", "width", "height", "content")
 
 
 def chat_samples(samples: DataFrame, n_tokens: int = K.NUM_IMAGE_TOKENS) -> DataFrame:

@@ -352,6 +352,11 @@ SELECT 'Caption the image.' AS instruction,
 SELECT 'captions' AS subset, page_id AS position, NULL AS instruction, NULL AS inputs, capsfusion AS outputs FROM v_links
 UNION ALL SELECT 'dialogs', conv_id, instruction, inputs, outputs FROM v_it
 UNION ALL SELECT 'texts', doc_id, NULL, text, NULL FROM documents""",
+    "offset_image_ids": f"""WITH {V_IT},
+n AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM pages) AS p)
+SELECT 'texts' AS subset, doc_id AS position, doc_id AS image_id FROM documents
+UNION ALL SELECT 'captions', page_id, page_id + d FROM pages, n
+UNION ALL SELECT 'dialogs', conv_id, conv_id + d + p FROM v_it, n""",
     "dense_image_ids": """SELECT source AS subset, doc_id AS position, row_number() OVER (ORDER BY source, doc_id) - 1 AS image_id FROM documents""",
     "mix_prompt": f"""WITH {V_IT},
 d AS (SELECT conv_id, coalesce(instruction, '') AS a, coalesce(inputs, '') AS b, outputs, {u('mix', 'conv_id')} AS u FROM v_it)

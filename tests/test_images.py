@@ -244,3 +244,25 @@ def test_model_hooks(spark, folder):
     embedded = inference.embed_images(source.scan_images(spark, folder), make_encoder, batch_size=2)
     got = {r["name"]: r["embedding"] for r in embedded.collect()}
     assert got["junk.jpg"] is None and got["wide.png"][1] == 1.0
+
+
+def test_instruction_corpus_flow(spark):
+    import base64
+
+    good = base64.b64encode(png(ramp(9, 7))).decode()
+    rows = [
+        ("b", 0, "I", "x", "o", [good]), ("b", 1, None, None, "o", ["???"]), ("b", 2, "I", "x", "o", [good, "more"]),
+        ("a", 0, "I", "x", "o", [good]), ("a", 1, "I", "x", "o", []),
+    ]
+    raw = spark.createDataFrame(
+        rows, "subset string, position long, instruction string, inputs string, outputs string, image_base64_str array<string>"
+    )
+    samples, images = flows.instruction_corpus(raw, ["b", "a"])
+    got = {r["image_id"]: r for r in samples.collect()}
+    assert {k: (r["subset"], r["position"], r["image_path"]) for k, r in got.items()} == {
+        0: ("b", 0, "data/it_images/0.jpg"), 2: ("b", 2, "data/it_images/2.jpg"), 3: ("a", 0, "data/it_images/3.jpg"),
+    }
+    assert all((r["instruction"], r["inputs"]) in {("", "xI"), ("", "Ix"), ("I", "x")} for r in got.values())
+    assert {(r["width"], r["height"]) for r in images.collect()} == {(9, 7)}
+    rows_plan = samples._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+    assert "Exchange" not in rows_plan
