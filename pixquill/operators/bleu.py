@@ -11,13 +11,26 @@ ORDERS = (1, 2, 3, 4)
 SMOOTH = 0.1  # numerator used for an n-gram order without a match
 
 
-def _tagged(tokens: str, n: int, side: int) -> str:
-    """SQL text: the n-grams of a token column, each ending in a separator and
-    the side (0 generated, 1 reference).  Entries are picked one by one, which
-    is much cheaper than slicing."""
+def _grams(tokens: str, n: int) -> str:
+    """SQL text: the n-grams of a token column, tokens joined by a blank.
+    Entries are picked one by one, which is much cheaper than slicing."""
+    if n == 1:
+        return tokens
     gram = ", ' ', ".join(f"get({tokens}, i + {j})" for j in range(n))
     starts = f"if(size({tokens}) >= {n}, sequence(0, size({tokens}) - {n}), CAST(array() AS array<int>))"
-    return f"transform({starts}, i -> concat({gram}, '\\u0001{side}'))"
+    return f"transform({starts}, i -> concat({gram}))"
+
+
+def _unrepeated(n: int) -> str:
+    """SQL text: does one side have no n-gram twice?"""
+    return " OR ".join(f"size(array_distinct({side})) = size({side})" for side in (f"_g_{n}", f"_r_{n}"))
+
+
+def _sorted(n: int) -> str:
+    """SQL text: the n-grams of both sides in order, each ending in a separator
+    and its side (0 generated, 1 reference)."""
+    tagged = [f"transform(_{side}_{n}, x -> concat(x, '\\u0001{i}'))" for i, side in enumerate("gr")]
+    return f"if({_unrepeated(n)}, NULL, sort_array(concat({', '.join(tagged)})))"
 
 
 def _run_starts(n: int) -> str:
@@ -27,16 +40,21 @@ def _run_starts(n: int) -> str:
 
 
 def _matches(n: int) -> str:
-    """SQL text: clipped matches.  In sort order the generated run of a gram
-    directly precedes its reference run; the shorter of the two counts."""
+    """SQL text: clipped matches.
+
+    Where one side repeats nothing, each common n-gram counts once.  Otherwise,
+    in sort order the generated run of a gram directly precedes its reference
+    run, and the shorter of the two counts.
+    """
     here, before = f"get(_all_{n}, s)", f"get(_runs_{n}, j - 1)"
     twin = f"concat(substr({here}, 1, length({here}) - 1), '0')"
-    return (
+    by_runs = (
         f"aggregate(transform(_runs_{n}, (s, j) -> if("
         f"j > 0 AND endswith({here}, '1') AND get(_all_{n}, {before}) = {twin}, "
         f"least(s - {before}, coalesce(get(_runs_{n}, j + 1), size(_all_{n})) - s), 0)), "
         f"0, (a, x) -> a + x)"
     )
+    return f"if(_all_{n} IS NULL, size(array_intersect(_g_{n}, _r_{n})), {by_runs})"
 
 
 def ngram_counts(
@@ -44,9 +62,10 @@ def ngram_counts(
 ) -> DataFrame:
     """Per pair: text lengths, clipped matches and generated n-grams per order.
 
-    Works inside the row: the n-grams of both sides are sorted together and
-    counted as runs, so nothing is exploded or shuffled and a long text costs
-    no more than its sort.  ``keep`` columns are carried along.
+    Works inside the row: common n-grams are intersected, or, where both sides
+    repeat some, sorted together and counted as runs.  Nothing is exploded or
+    shuffled, and a long text costs no more than its sort.  ``keep`` columns are
+    carried along.
     """
     carried = [key, *keep]
     tokens = pairs.select(
@@ -54,16 +73,18 @@ def ngram_counts(
         word_tokens(F.coalesce(gen, F.lit(""))).alias("_gt"),
         word_tokens(F.coalesce(ref, F.lit(""))).alias("_rt"),
     )
-    lengths = {"gen_len": F.size("_gt"), "ref_len": F.size("_rt")}
-    merged = tokens.select(
+    grams = tokens.select(
         *carried,
-        *[c.alias(name) for name, c in lengths.items()],
-        *[F.expr(f"sort_array(concat({_tagged('_gt', n, 0)}, {_tagged('_rt', n, 1)}))").alias(f"_all_{n}") for n in ORDERS],
+        F.size("_gt").alias("gen_len"),
+        F.size("_rt").alias("ref_len"),
+        *[F.expr(f"{_grams(f'_{side}t', n)} AS _{side}_{n}") for n in ORDERS for side in "gr"],
     )
-    runs = merged.withColumns({f"_runs_{n}": F.expr(_run_starts(n)) for n in ORDERS})
+    ordered = grams.withColumns({f"_all_{n}": F.expr(_sorted(n)) for n in ORDERS})
+    runs = ordered.withColumns({f"_runs_{n}": F.expr(_run_starts(n)) for n in ORDERS})
     return runs.select(
         *carried,
-        *lengths,
+        "gen_len",
+        "ref_len",
         *[F.expr(_matches(n)).alias(f"matches_{n}") for n in ORDERS],
         *[F.greatest(F.col("gen_len") - (n - 1), F.lit(0)).alias(f"total_{n}") for n in ORDERS],
     )
