@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words: U+0020 and U+0009 to U+000D.
@@ -50,3 +50,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTE
 def pick(df: DataFrame, **columns: str) -> DataFrame:
     """Only the named columns, under the operator's own names: others cannot clash."""
     return df.select(*[F.col(f"`{have}`").alias(name) for name, have in columns.items()])
+
+
+def rank_in_groups(df: DataFrame, group: list[str], cell: Column, order: list[str], name: str) -> DataFrame:
+    """Add dense ranks 0..n-1 inside each group, of which there are few and large ones.
+
+    Rows are numbered inside (group, cell) by ``order``, and the sizes of the
+    cells give each cell's first rank, so no task holds a group.  ``df`` is read
+    twice; one exchange by group and cell serves the numbering and the join.
+    """
+    keyed = df.withColumn("_cell", cell)
+    sizes = keyed.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_rows"))
+    earlier = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*group, "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
+    ranked = keyed.withColumn("_in", inside).join(starts, [*group, "_cell"])
+    return ranked.select(*df.columns, (F.col("_start") + F.col("_in")).cast("bigint").alias(name))

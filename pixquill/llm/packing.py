@@ -22,11 +22,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import pick, slices
+from .common import pick, rank_in_groups, slices
 
 CAPACITY = 1024
 END_ID = 2
@@ -211,17 +211,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, order: tuple[str, ...] =
     slots = F.broadcast(
         spark.createDataFrame(plan(counts, capacity), "_n bigint, _low bigint, _high bigint, _first bigint, _per bigint, _offset bigint")
     )
-    keyed = pieces.join(cut, "length").withColumn("_cell", F.pmod(F.xxhash64(*order), F.col("_cells")).cast("int"))
-    sizes = keyed.groupBy("length", "_cell").agg(F.count(F.lit(1)).alias("_rows"))
-    # a length has one row here per cell: at most one per ROWS_PER_CELL of its rows
-    earlier = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_cell", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("length", "_cell").orderBy(*order, *[c for c in pieces.columns if c not in order and c != "length"])
-    ranked = keyed.withColumn("_in", F.row_number().over(inside) - 1).join(starts, ["length", "_cell"])
-    rank = F.col("_start") + F.col("_in")
+    keyed = pieces.join(cut, "length").select(*pieces.columns, "_cells")
+    # a length has one cell per ROWS_PER_CELL of its rows
+    cell = F.pmod(F.xxhash64(*order), F.col("_cells")).cast("int")
+    rest = [c for c in pieces.columns if c not in order and c != "length"]
+    ranked = rank_in_groups(keyed, ["length"], cell, [*order, *rest], "_rank")
     return (
-        ranked.withColumn("_rank", rank)
-        .join(slots, (F.col("length") == F.col("_n")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
+        ranked.join(slots, (F.col("length") == F.col("_n")) & (F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
         .select(
             *pieces.columns,
             (F.col("_first") + F.expr("(_rank - _low) div _per")).alias("sequence_id"),

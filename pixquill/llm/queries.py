@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import packing, simhash, token_counts
+from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash, token_counts
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,38 @@ def op1_best_fit_packing(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op3_quality_rules(spark, sf):
+    ruled = quality_rules.quality_rules(table(spark, sf, "documents"))
+    return ruled.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "n_lines_removed", F.sha2(F.encode("cleaned", "UTF-8"), 256).alias("cleaned_sha256"),
+    )
+
+
+@query
+def op4_secret_scan(spark, sf):
+    found = secret_scan.scan_secrets(table(spark, sf, "documents"))
+    base = F.encode(secret_scan.joined(F.col("base")), "UTF-8")
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(base, 256).alias("base_sha256"),
+        secret_scan.joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query
+def op5_jump_shards(spark, sf):
+    placed = sharding.shard_documents(table(spark, sf, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"
+    )
+
+
+@query
+def op8_decontamination(spark, sf):
+    return decontaminate.contaminated_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op9_token_counts(spark, sf):
     counted = token_counts.count_tokens(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
