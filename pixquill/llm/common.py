@@ -66,3 +66,12 @@ def rank_in_groups(df: DataFrame, group: list[str], cell: Column, order: list[st
     inside = F.row_number().over(Window.partitionBy(*group, "_cell").orderBy(*order)) - 1
     ranked = keyed.withColumn("_in", inside).join(starts, [*group, "_cell"])
     return ranked.select(*df.columns, (F.col("_start") + F.col("_in")).cast("bigint").alias(name))
+
+
+#: Broadcasts are for tables of at most so many narrow rows; beyond, the join is shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; counts no further than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

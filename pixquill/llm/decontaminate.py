@@ -14,15 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import bind, col
+from .common import bind, broadcast_if_small, col
 
 #: Five words of windows of eight; no two masks ignore the same places.
 MASKS = ("11010011", "11001101", "10110101")
 SPAN = 8
 STRETCH = 13
 SIMILARITY = 0.8
-#: Broadcasts are for tables of at most so many rows (about 50 MB); beyond, the join is shuffled.
-BROADCAST_ROWS = 1_000_000
 
 
 def plain_words(text: Column | str) -> Column:
@@ -47,10 +45,6 @@ def seeds(rows: DataFrame, id_name: str, words: str = "_w") -> DataFrame:
     return windows.select(id_name, "at", F.explode(F.array(*hashes)).alias("seed"))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def overlap(words: Column, item: Column, shift: Column, stretch: int) -> Column:
     """Largest share of equal words over stretches of the item laid on the document at ``shift``."""
 
@@ -86,14 +80,14 @@ def contamination(
         F.col(doc_id).alias("doc_id"), plain_words(text).alias("_w")
     )
     known = seeds(items, "item_id", "_item").select("item_id", F.col("at").alias("_item_at"), "seed").distinct()
-    hits = seeds(texts, "doc_id").join(_small(materialize(known, "seeds")), "seed")
+    hits = seeds(texts, "doc_id").join(broadcast_if_small(materialize(known, "seeds")), "seed")
     diagonals = materialize(
         hits.select("doc_id", "item_id", (F.col("at") - F.col("_item_at")).alias("shift")).distinct(), "hits"
     )
     # few documents have a hit: their ids thin the texts out before the words travel
-    hit_ids = _small(diagonals.select("doc_id").distinct())
+    hit_ids = broadcast_if_small(diagonals.select("doc_id").distinct())
     hit_texts = texts.join(hit_ids, "doc_id", "left_semi")
-    aligned = diagonals.join(_small(items), "item_id").join(hit_texts, "doc_id")
+    aligned = diagonals.join(broadcast_if_small(items), "item_id").join(hit_texts, "doc_id")
     measured = aligned.select(
         "doc_id", "item_id", "shift", overlap(F.col("_w"), F.col("_item"), F.col("shift"), stretch).alias("overlap")
     )
@@ -123,4 +117,4 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, doc_id: str =
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", **how) -> DataFrame:
     """``docs`` without the contaminated ones; rows with a null id stay."""
     found = materialize(contamination(docs, benchmark, doc_id, **how).select(F.col("doc_id").alias(doc_id)).distinct(), "leaks")
-    return docs.join(_small(found), doc_id, "left_anti").select(*docs.columns)
+    return docs.join(broadcast_if_small(found), doc_id, "left_anti").select(*docs.columns)

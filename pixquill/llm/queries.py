@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash, token_counts
+from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash, token_counts, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -56,6 +56,12 @@ def op5_jump_shards(spark, sf):
     )
 
 
+@query
+def op6_warc_bundles(spark, sf):
+    records = warc.read_bundles(warc.write_bundles(table(spark, sf, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op8_decontamination(spark, sf):
     return decontaminate.contaminated_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
