@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, quality_rules, secret_scan, sharding, simhash, token_counts, warc
+from . import decontaminate, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_counts, warc
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -29,6 +29,13 @@ def op1_best_fit_packing(spark, sf):
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+@query
+def op2_lm_scoring(spark, sf):
+    target = table(spark, sf, "labels").where("quality = 1")
+    scored = lm_scoring.cross_entropy_difference(table(spark, sf, "documents"), target)
+    return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
+
+
 @query
 def op3_quality_rules(spark, sf):
     ruled = quality_rules.quality_rules(table(spark, sf, "documents"))
@@ -62,6 +69,12 @@ def op6_warc_bundles(spark, sf):
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op7_quality_classifier(spark, sf):
+    judged = quality_classifier.classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return judged.select("doc_id", "lang", "n_tokens", F.round("perplexity", 6).alias("perplexity"), F.round("limit", 6).alias("limit"), "kept")
+
+
 @query
 def op8_decontamination(spark, sf):
     return decontaminate.contaminated_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
