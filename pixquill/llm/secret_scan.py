@@ -20,6 +20,7 @@ length classes x bins, at most a few thousand rows) is all that is gathered.
 from __future__ import annotations
 
 import math
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -138,14 +139,14 @@ def _statistics(codes: Column, k: int, apart: float) -> Column:
         pairs = F.sequence(F.lit(1), F.size(x) - 1)
         changes = F.size(F.filter(pairs, lambda i: F.get(high, i) != F.get(high, i - 1))).cast("double")
         expected = 2 * n1 * n2 / n + 1
-        spread = F.sqrt((expected - 1) * (expected - 2) / (n - 1))
-        z_runs = F.when((n1 < 1) | (n2 < 1) | (spread <= 0), F.lit(40.0)).otherwise((changes + 1 - expected) / spread)
+        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))
+        z_runs = F.when((n1 < 1) | (n2 < 1) | (spread <= 0), F.lit(40.0)).otherwise(F.try_divide(changes + 1 - expected, spread))
         mean = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
         var = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
         lag = F.aggregate(
             pairs, F.lit(0.0), lambda acc, i: acc + (F.get(x, i) - mean) * (F.get(x, i - 1) - mean)
         )
-        z_lag = F.when(var <= 0, F.lit(40.0)).otherwise((lag / var + 1 / n) * F.sqrt(n))
+        z_lag = F.when(var <= 0, F.lit(40.0)).otherwise((F.try_divide(lag, var) + 1 / n) * F.sqrt(n))
         worst = F.least(_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_lag)))
         z_text = (chi - df - n * apart) / F.sqrt(2 * df + 4 * n * apart)
         return F.struct(F.least(3 * worst, F.lit(1.0)).alias("battery"), _upper_tail(-z_text).alias("p_text"))
@@ -153,28 +154,35 @@ def _statistics(codes: Column, k: int, apart: float) -> Column:
     return bind(codes, of)
 
 
+def _code(letters: Column, c: Column) -> Column:
+    return F.instr(letters, c) - 1
+
+
+def _graded(name: str, codes: Column, size: Column, k: int, apart: float) -> Column:
+    step = F.lit(0)
+    for limit in LENGTH_CLASSES:
+        step = step + (size >= limit).cast("int")
+
+    def grade(s: Column) -> Column:
+        tenth = F.floor(-10 * F.log10(F.greatest(s["p_text"], F.lit(1e-300)))).cast("int")
+        return F.struct(
+            F.concat(F.lit(f"{name}:"), step.cast("string")).alias("stratum"),
+            F.least(F.greatest(tenth, F.lit(0)), F.lit(MAX_BIN)).alias("bin"),
+            s["battery"].alias("battery"),
+        )
+
+    return bind(_statistics(codes, k, apart), grade)
+
+
 def tested(token: Column) -> Column:
     """struct(stratum, bin, battery) of a token; null where no encoding can be inferred."""
     body = F.rtrim(F.translate(token, "=", " "))
     out = F.lit(None).cast("struct<stratum:string,bin:int,battery:double>")
     for name, form, alphabet, apart in reversed(ENCODINGS):
-        value = F.lower(body) if name == "hex" else body
-        codes = F.transform(F.split(value, ""), lambda c, a=alphabet: F.instr(F.lit(a), c) - 1)
-        codes = F.filter(codes, lambda v: v >= 0)
-
-        def graded(s: Column, name=name) -> Column:
-            size = F.length(body)
-            step = F.lit(0)
-            for limit in LENGTH_CLASSES:
-                step = step + (size >= limit).cast("int")
-            tenth = F.floor(-10 * F.log10(F.greatest(s["p_text"], F.lit(1e-300)))).cast("int")
-            return F.struct(
-                F.concat(F.lit(f"{name}:"), step.cast("string")).alias("stratum"),
-                F.least(F.greatest(tenth, F.lit(0)), F.lit(MAX_BIN)).alias("bin"),
-                s["battery"].alias("battery"),
-            )
-
-        out = F.when(token.rlike(form), bind(_statistics(codes, len(alphabet), apart), graded)).otherwise(out)
+        letters = F.lit(alphabet)
+        codes = F.transform(F.split(F.lower(body) if name == "hex" else body, ""), partial(_code, letters))
+        graded = _graded(name, codes, F.length(body), len(alphabet), apart)
+        out = F.when(token.rlike(form), graded).otherwise(out)
     return out
 
 
