@@ -4,9 +4,10 @@ Patterns give the base spans (assign, access, hex).  Every other token of 20
 characters or more whose encoding can be inferred (hex, base32, base64, URL-safe
 base64) is tested:
 
-* chi-squared uniformity over the encoding's alphabet, runs above and below the
-  middle of the alphabet, and serial correlation of neighbours.  A token that
-  any of them finds non-random is dropped (each at a third of ``BATTERY``);
+* chi-squared uniformity over the encoding's alphabet and over its classes (upper
+  case, lower case, digits, signs), runs above and below the middle of the
+  alphabet, and serial correlation of neighbours.  A token that any of them finds
+  non-random is dropped (each at a quarter of ``BATTERY``);
 * the same chi-squared value against ordinary text, whose uneven letters raise
   it in proportion to the length.  The p-values of that null hypothesis go to
   the Benjamini-Hochberg step-up procedure, separately for each encoding and
@@ -20,7 +21,7 @@ length classes x bins, at most a few thousand rows) is all that is gathered.
 from __future__ import annotations
 
 import math
-from functools import partial
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,15 +43,15 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api")
 LEAST = {"assign": 6, "access": 20}
 
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-#: Encoding, what its tokens must match, alphabet, and how far ordinary text is from uniform on it.
+#: Encoding, what its tokens must match, classes of its alphabet, and how far ordinary text is from uniform on it.
 ENCODINGS = (
-    ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef", 0.6),
-    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", UPPER + "234567", 1.1),
-    ("base64", r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]+=*$", UPPER + LOWER + DIGITS + "+/", 3.2),
-    ("url64", r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9_-]+=*$", UPPER + LOWER + DIGITS + "-_", 3.2),
+    ("hex", r"^(?=.*[0-9])(?=.*[A-Fa-f])([0-9a-f]+|[0-9A-F]+)$", (DIGITS, "abcdef"), 0.6),
+    ("base32", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$", (UPPER, "234567"), 1.1),
+    ("base64", r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9+/]+=*$", (UPPER, LOWER, DIGITS, "+/"), 3.2),
+    ("url64", r"^(?=.*[A-Z])(?=.*[a-z])(?=.*[0-9])[A-Za-z0-9_-]+=*$", (UPPER, LOWER, DIGITS, "-_"), 3.2),
 )
 LENGTH_CLASSES = (24, 32, 40, 64, 128)
-BATTERY = 1e-4
+BATTERY = 0.01
 RATE = 0.01
 MAX_BIN = 400
 
@@ -120,70 +121,89 @@ def _upper_tail(z: Column) -> Column:
     return F.when(z >= 0, half).otherwise(1 - half)
 
 
-def _statistics(codes: Column, k: int, apart: float) -> Column:
-    """(battery, p_text) of a token given as numbers 0 to k - 1."""
+def _chi_tail(chi: Column, df: Column) -> Column:
+    """P of a larger chi-squared value, by Wilson and Hilferty's normal form."""
+    part = 2 / (9 * df)
+    return _upper_tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - part)) / F.sqrt(part))
 
-    def of(x: Column) -> Column:
-        n = F.size(x).cast("double")
-        square = F.aggregate(
-            F.transform(F.array_distinct(x), lambda v: F.size(F.filter(x, lambda y: y == v)).cast("double")),
-            F.lit(0.0), lambda acc, c: acc + c * c,
-        )
-        chi = square * k / n - n
-        df = k - 1.0
-        # Wilson and Hilferty's normal form of a chi-squared value
-        z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
-        high = F.transform(x, lambda v: v >= k // 2)
-        n1 = F.size(F.filter(high, lambda v: v)).cast("double")
-        n2 = n - n1
-        pairs = F.sequence(F.lit(1), F.size(x) - 1)
-        changes = F.size(F.filter(pairs, lambda i: F.get(high, i) != F.get(high, i - 1))).cast("double")
-        expected = 2 * n1 * n2 / n + 1
-        spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))
-        z_runs = F.when((n1 < 1) | (n2 < 1) | (spread <= 0), F.lit(40.0)).otherwise(F.try_divide(changes + 1 - expected, spread))
-        mean = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v) / n
-        var = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + (v - mean) * (v - mean))
-        lag = F.aggregate(
-            pairs, F.lit(0.0), lambda acc, i: acc + (F.get(x, i) - mean) * (F.get(x, i - 1) - mean)
-        )
-        z_lag = F.when(var <= 0, F.lit(40.0)).otherwise((F.try_divide(lag, var) + 1 / n) * F.sqrt(n))
-        worst = F.least(_upper_tail(z_chi), 2 * _upper_tail(F.abs(z_runs)), 2 * _upper_tail(F.abs(z_lag)))
-        z_text = (chi - df - n * apart) / F.sqrt(2 * df + 4 * n * apart)
-        return F.struct(F.least(3 * worst, F.lit(1.0)).alias("battery"), _upper_tail(-z_text).alias("p_text"))
-
-    return bind(codes, of)
 
+def _add(xs: Column, f) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda acc, v: acc + f(v))
 
-def _code(letters: Column, c: Column) -> Column:
-    return F.instr(letters, c) - 1
 
-
-def _graded(name: str, codes: Column, size: Column, k: int, apart: float) -> Column:
+def _codes(e: Column, body: Column) -> Column:
+    """The token as places in the alphabet of its encoding, with what depends on the encoding."""
+    value = F.when(e["name"] == "hex", F.lower(body)).otherwise(body)
+    x = F.transform(F.split(value, ""), lambda c: F.instr(e["alphabet"], c) - 1)
+    k = F.length(e["alphabet"])
+    n = F.size(x).cast("double")
+    given = F.struct(
+        e["name"].alias("name"), e["classes"].alias("classes"), e["apart"].alias("apart"), k.cast("double").alias("k"),
+        x.alias("x"), n.alias("n"), (_add(x, lambda v: v) / n).alias("mean"),
+        F.transform(x, lambda v: v >= k / 2).alias("high"),
+    )
+    return bind(given, _sums)
+
+
+def _sums(s: Column) -> Column:
+    """What the statistics need of the whole token, each part once."""
+    x, n, k, mean, high = (s[c] for c in ("x", "n", "k", "mean", "high"))
+    square = _add(F.array_distinct(x), lambda v: F.pow(F.size(F.filter(x, lambda y: y == v)), F.lit(2.0)))
+
+    def class_term(c: Column) -> Column:
+        own = F.size(F.filter(x, lambda v: (v >= c["low"]) & (v < c["high"])))
+        expected = n * (c["high"] - c["low"]) / k
+        return F.pow(own - expected, F.lit(2.0)) / expected
+
+    neighbours = F.sequence(F.lit(1), F.size(x) - 1)
+    found = {
+        "name": s["name"], "apart": s["apart"], "n": n, "df": k - 1, "chi": square * k / n - n,
+        "class_df": F.size(s["classes"]).cast("double") - 1, "chi_class": _add(s["classes"], class_term),
+        "changes": F.size(F.filter(neighbours, lambda i: F.get(high, i) != F.get(high, i - 1))).cast("double"),
+        "n1": F.size(F.filter(high, lambda v: v)).cast("double"),
+        "var": _add(x, lambda v: (v - mean) * (v - mean)),
+        "lag": _add(neighbours, lambda i: (F.get(x, i) - mean) * (F.get(x, i - 1) - mean)),
+    }
+    return bind(F.struct(*[c.alias(name) for name, c in found.items()]), _grade)
+
+
+def _grade(s: Column) -> Column:
+    """The battery's and the text's p-values, and where the token stands in the procedure."""
+    n, n1, df = s["n"], s["n1"], s["df"]
+    expected = 2 * n1 * (n - n1) / n + 1
+    spread = F.sqrt(F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(0.0)))
+    far = F.lit(40.0)
+    z_runs = F.when((n1 < 1) | (n1 >= n) | (spread <= 0), far).otherwise(F.try_divide(s["changes"] + 1 - expected, spread))
+    z_lag = F.when(s["var"] <= 0, far).otherwise((F.try_divide(s["lag"], s["var"]) + 1 / n) * F.sqrt(n))
+    uniform = F.least(_chi_tail(s["chi"], df), _chi_tail(s["chi_class"], s["class_df"]))
+    worst = F.least(uniform, 2 * _upper_tail(F.greatest(F.abs(z_runs), F.abs(z_lag))))
+    z_text = (s["chi"] - df - n * s["apart"]) / F.sqrt(2 * df + 4 * n * s["apart"])
+    tenth = F.floor(-10 * F.log10(F.greatest(_upper_tail(-z_text), F.lit(1e-300)))).cast("int")
     step = F.lit(0)
     for limit in LENGTH_CLASSES:
-        step = step + (size >= limit).cast("int")
-
-    def grade(s: Column) -> Column:
-        tenth = F.floor(-10 * F.log10(F.greatest(s["p_text"], F.lit(1e-300)))).cast("int")
-        return F.struct(
-            F.concat(F.lit(f"{name}:"), step.cast("string")).alias("stratum"),
-            F.least(F.greatest(tenth, F.lit(0)), F.lit(MAX_BIN)).alias("bin"),
-            s["battery"].alias("battery"),
-        )
+        step = step + (n >= limit).cast("int")
+    return F.struct(
+        F.concat_ws(":", s["name"], step.cast("string")).alias("stratum"),
+        F.least(F.greatest(tenth, F.lit(0)), F.lit(MAX_BIN)).alias("bin"),
+        F.least(4 * worst, F.lit(1.0)).alias("battery"),
+    )
 
-    return bind(_statistics(codes, k, apart), grade)
+
+def _encoding(token: Column) -> Column:
+    """The first encoding that the token fits; null where it fits none."""
+    out = F.lit(None)
+    for name, form, classes, apart in reversed(ENCODINGS):
+        ends = [sum(map(len, classes[:i])) for i in range(len(classes) + 1)]
+        parts = [F.struct(F.lit(a).alias("low"), F.lit(b).alias("high")) for a, b in pairwise(ends)]
+        known = {"name": F.lit(name), "alphabet": F.lit("".join(classes)), "classes": F.array(*parts), "apart": F.lit(apart)}
+        out = F.when(token.rlike(form), F.struct(*[c.alias(n) for n, c in known.items()])).otherwise(out)
+    return out
 
 
 def tested(token: Column) -> Column:
     """struct(stratum, bin, battery) of a token; null where no encoding can be inferred."""
     body = F.rtrim(F.translate(token, "=", " "))
-    out = F.lit(None).cast("struct<stratum:string,bin:int,battery:double>")
-    for name, form, alphabet, apart in reversed(ENCODINGS):
-        letters = F.lit(alphabet)
-        codes = F.transform(F.split(F.lower(body) if name == "hex" else body, ""), partial(_code, letters))
-        graded = _graded(name, codes, F.length(body), len(alphabet), apart)
-        out = F.when(token.rlike(form), graded).otherwise(out)
-    return out
+    return bind(_encoding(token), lambda e: F.when(e.isNotNull(), _codes(e, body)))
 
 
 def candidates(text: Column, base: Column) -> Column:

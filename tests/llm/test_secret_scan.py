@@ -53,13 +53,18 @@ def upper_tail(z):
 
 
 def brute_test(token):
-    for name, form, alphabet, apart in secret_scan.ENCODINGS:
+    for name, form, classes, apart in secret_scan.ENCODINGS:
         if re.match(form, token):
+            alphabet = "".join(classes)
             x = [alphabet.index(c) for c in (token.lower() if name == "hex" else token).rstrip("=")]
             n, k = len(x), len(alphabet)
             chi = sum(c * c for c in Counter(x).values()) * k / n - n
             df = k - 1
-            z_chi = ((max(chi, 0) / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+            ends = [sum(map(len, classes[: i + 1])) for i in range(len(classes))]
+            sizes = Counter(next(i for i, e in enumerate(ends) if v < e) for v in x)
+            chi_class = sum((sizes[i] - n * len(c) / k) ** 2 / (n * len(c) / k) for i, c in enumerate(classes))
+            normal = lambda c, d: ((max(c, 0) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+            z_chi = max(normal(chi, df), normal(chi_class, len(classes) - 1))
             high = [v >= k // 2 for v in x]
             n1 = sum(high)
             expected = 2 * n1 * (n - n1) / n + 1
@@ -69,7 +74,7 @@ def brute_test(token):
             mean = sum(x) / n
             var = sum((v - mean) ** 2 for v in x)
             z_lag = (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / var + 1 / n) * math.sqrt(n) if var else 40
-            battery = min(1, 3 * min(upper_tail(z_chi), 2 * upper_tail(abs(z_runs)), 2 * upper_tail(abs(z_lag))))
+            battery = min(1, 4 * min(upper_tail(z_chi), 2 * upper_tail(abs(z_runs)), 2 * upper_tail(abs(z_lag))))
             return name, n, battery, upper_tail(-(chi - df - n * apart) / math.sqrt(2 * df + 4 * n * apart))
     return None
 
