@@ -14,11 +14,12 @@ the smallest gap that takes it, and open new sequences when no gap does.
 
 from __future__ import annotations
 
+import base64
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,54 +31,67 @@ from .common import pick, rank_in_groups, slices
 
 CAPACITY = 1024
 END_ID = 2
-ROWS_PER_CELL = 50_000
-CACHE_CHUNKS = 300_000
+ROWS_PER_CELL = 1_000
+CACHE_CHUNKS = 600_000
 #: Characters on which all versions of Unicode tables agree; a text with others goes to the library as a whole.
-PLAIN = r"[\t\n\r\x20-\x7e\xa1-\xac\xae-ſ‐-‧‰-⁞₠-₿]*"
+LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ſ\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*").fullmatch
+#: Where the pre-tokenizer cuts such texts.
+CUT = re.compile(
+    rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[0-9]+| ?[^\s0-9{LETTERS}]+|\s+(?!\S)|\s+"
+).findall
+
 
 
 # --- tokens -------------------------------------------------------------------
 
 
-class ByteBpe:
-    """Token ids as the ``tokenizers`` file gives them, with words remembered.
+class ByteBpe(dict):
+    """Token ids as the ``tokenizers`` file gives them; a dictionary from chunks of text to their ids as bytes.
 
     Text is cut where the byte-level pre-tokenizer cuts it.  A chunk is encoded
-    once by the library and then taken from a bounded cache.
+    once and then taken from the dictionary, which is emptied when it is full.
+    ``ranks_path``, if given, is the same vocabulary as a rank file, with which
+    single chunks are encoded faster.
     """
 
-    def __init__(self, path: str):
-        import public_tokenizers
-        import regex
+    def __init__(self, path: str, ranks_path: str | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.plain = regex.compile(PLAIN).fullmatch
-        self.cut = regex.compile(public_tokenizers.PATTERN).findall
-        self.cache: dict[str, array] = {}
-
-    def whole(self, text: str) -> array:
-        return array("I", self.library.encode(text, add_special_tokens=False).ids)
-
-    def ids(self, text: str | None) -> array:
+        self.single = self.whole
+        if ranks_path:
+            import tiktoken
+
+            with open(ranks_path, "rb") as lines:
+                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+            # chunks are cut already: each is one piece
+            own = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+            self.single = lambda chunk: array("I", own.encode_ordinary(chunk)).tobytes()
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(self) >= CACHE_CHUNKS:
+            self.clear()
+        found = self[chunk] = self.single(chunk)
+        return found
+
+    def ids(self, text: str | None) -> np.ndarray:
         if not text:
-            return array("I")
-        if any(t in text for t in self.special) or not self.plain(text):
-            return self.whole(text)
-        chunks, cache = self.cut(text), self.cache
-        missing = list({c for c in chunks if c not in cache})
-        if len(cache) + len(missing) > CACHE_CHUNKS:
-            cache.clear()
-            missing = list(set(chunks))
-        for chunk, found in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False)):
-            cache[chunk] = array("I", found.ids)
-        return array("I", chain.from_iterable(map(cache.__getitem__, chunks)))
+            packed = b""
+        elif any(t in text for t in self.special) or not PLAIN(text):
+            packed = self.whole(text)
+        else:
+            packed = b"".join(map(self.__getitem__, CUT(text)))
+        return np.frombuffer(packed, np.uint32)
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str) -> ByteBpe:
-    return ByteBpe(path)
+def byte_bpe(path: str, ranks_path: str | None = None) -> ByteBpe:
+    return ByteBpe(path, ranks_path)
 
 
 def token_pieces(
@@ -87,6 +101,7 @@ def token_pieces(
     end_id: int = END_ID,
     doc_id: str = "doc_id",
     text: str = "text",
+    ranks_path: str | None = None,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids``: each document's tokens in pieces that fit.
 
@@ -97,11 +112,11 @@ def token_pieces(
     rows = pick(docs, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = byte_bpe(tokenizer_path)
+        model = byte_bpe(tokenizer_path, ranks_path)
         for batch in slices(batches, "text"):
             owner, piece, start, size, blob = [], [], [], [], []
             for row, value in enumerate(batch.column("text").to_pylist()):
-                ids = np.append(np.frombuffer(model.ids(value), np.uint32), np.uint32(end_id)).astype("<u4")
+                ids = np.append(model.ids(value), np.uint32(end_id)).astype("<u4")
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     owner.append(row)
@@ -234,13 +249,14 @@ def pack_documents(
     doc_id: str = "doc_id",
     text: str = "text",
     digest: bool = False,
+    ranks_path: str | None = None,
 ) -> DataFrame:
     """``doc_id, piece, start, length, ids, sequence_id, offset``: all documents in packed sequences.
 
     With ``digest``, ``ids_crc32`` takes the place of ``ids``, for reports that
     need no tokens.  Repeated rows are packed each.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, end_id, doc_id, text)
+    pieces = token_pieces(docs, tokenizer_path, capacity, end_id, doc_id, text, ranks_path)
     if digest:
         pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return place(materialize(pieces, "pieces"), capacity)

@@ -24,7 +24,8 @@ def table(spark, sf: str, name: str) -> DataFrame:
 @query
 def op1_best_fit_packing(spark, sf):
     packed = packing.pack_documents(
-        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digest=True,
+        ranks_path=public_tokenizers.path("byte_bpe_50k.tiktoken"),
     )
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

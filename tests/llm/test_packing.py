@@ -12,15 +12,17 @@ from pixquill.llm import packing
 
 from .conftest import texts
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 LIBRARY = Tokenizer.from_file(PATH)
-PARTS = ["a", "B", " ", "  ", "<|endoftext|>", "\n", "é", "日本", "'s", "\x00", "😀", "the", "tion", "'LL", "12", "!!", "\t", "\r\n", "\x1c", "\x85", "—", "ſ", "᠎"]
+PARTS = ["a", "B", " ", "  ", "<|endoftext|>", "\n", "é", "日本", "'s", "\x00", "😀", "the", "tion", "'LL", "12", "!!", "\t", "\r\n", "\x1c", "\x85", "—", "ſ", "᠎", "²", "½", "à", "×", "ª", "­", " ", "“", "€"]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.sampled_from(PARTS), max_size=30).map("".join))
+@given(st.one_of(st.text(max_size=40), st.lists(st.sampled_from(PARTS), max_size=30).map("".join)))
 def test_ids_equal_the_library(text):
-    assert list(packing.byte_bpe(PATH).ids(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
+    for ranks in (None, RANKS):
+        assert list(packing.byte_bpe(PATH, ranks).ids(text)) == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def laid_out(rows, capacity):
@@ -83,7 +85,7 @@ def test_plan_work_does_not_depend_on_counts():
 
 
 def test_documents(spark, odd_docs):
-    rows = packing.pack_documents(odd_docs, PATH).collect()
+    rows = packing.pack_documents(odd_docs, PATH, ranks_path=RANKS).collect()
     expected = Counter()
     for doc_id, text in texts():
         ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
