@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import scratch
+from ..sources.tables import path_exists
 from .numbering import number_rows
 
 ANSWER_PATH = "$.response.body.choices[0].message.content"
@@ -44,12 +46,18 @@ def llm_requests(
 
 
 def request_batches(
-    df: DataFrame, key: str, batch_size: int = K.REQUEST_BATCH_SIZE, chunk: int = K.CHUNK_ROWS
+    df: DataFrame, key: str, batch_size: int = K.REQUEST_BATCH_SIZE, buckets: int = 65_536
 ) -> DataFrame:
-    """Add the batch number: rows by integer key, ``batch_size`` to a batch."""
-    numbered = number_rows(
-        df, order=[F.col(key)], bucket=F.floor(F.col(key) / chunk), name="_position"
-    )
+    """Add the batch number: rows by integer key, ``batch_size`` to a batch.
+
+    The histogram has at most ``buckets`` rows: the range of the keys is cut
+    evenly, which suits dense ids and hashes alike.
+    """
+    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
+    low, high = ends["low"] or 0, ends["high"] or 0
+    width = max(-(-(high - low + 1) // buckets), 1)
+    bucket = F.floor((F.col(key) - F.lit(low)) / F.lit(width))
+    numbered = number_rows(df, order=[F.col(key)], bucket=bucket, name="_position")
     return numbered.withColumn("batch", F.floor(F.col("_position") / batch_size)).drop("_position")
 
 
@@ -73,9 +81,14 @@ def parse_llm_responses(lines: DataFrame, output_type: str = "text", line: str =
     return parsed
 
 
-def join_llm_responses(samples: DataFrame, responses: DataFrame, key: str) -> DataFrame:
-    """Answers joined back by id, with a status per sample."""
-    answers = responses.select(F.col("custom_id").alias("_id"), F.col("answer").alias("complete_answer"))
+def join_llm_responses(samples: DataFrame, responses: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Answers joined back by id, with a status per sample.
+
+    Of several answers for an id the last by ``order`` counts, without one the
+    greatest; a sample is never multiplied.
+    """
+    one = F.max_by("answer", order) if order else F.max("answer")
+    answers = responses.groupBy(F.col("custom_id").alias("_id")).agg(one.alias("complete_answer"))
     joined = samples.join(answers, F.col(key).cast("string") == F.col("_id"), "left").drop("_id")
     status = F.when(F.col("complete_answer").isNull(), F.lit("missing")).otherwise(F.lit("answered"))
     return joined.withColumn("status", status)
@@ -85,15 +98,31 @@ def augmentation_coverage(joined: DataFrame) -> DataFrame:
     return joined.groupBy("status").agg(F.count(F.lit(1)).alias("n_samples"))
 
 
+ANSWERS = "custom_id string, answer string, batch bigint, error string"
+
+
 def llm_augment(
     batched: DataFrame,
     client: Callable[[list[str], int], dict[str, str]],
+    path: str | None = None,
 ) -> DataFrame:
     """Send each batch of (custom_id, request, batch) through a user client.
 
-    ``client(requests, batch)`` returns answers by custom id.  A batch whose
-    client raises yields no answers.  A batch holds at most the batch size.
+    ``client(requests, batch)`` returns answers by custom id.  Returns
+    (custom_id, answer, batch, error); a batch whose client raises gives one row
+    with the error's text and no id.
+
+    Answers are written under ``path`` (a new folder of the shared one by
+    default) before they are read, so later actions send nothing again.  With
+    the same folder again only batches without answers are sent; a lost executor
+    repeats at most the batches of the tasks it was running.
     """
+    spark = batched.sparkSession
+    path = path or scratch(spark, "answers")
+    todo = batched.select("custom_id", "request", F.col("batch").cast("bigint").alias("batch"))
+    if path_exists(spark, path):
+        done = spark.read.schema(ANSWERS).parquet(path).where("error is null").select("batch").distinct()
+        todo = todo.join(done, "batch", "left_anti")
 
     def send(pdf):
         import pandas as pd
@@ -102,16 +131,13 @@ def llm_augment(
         ordered = pdf.sort_values("custom_id")
         try:
             answers = client(list(ordered["request"]), batch)
-        except Exception:  # a failing batch is skipped, the others go on
-            answers = {}
-        return pd.DataFrame(
-            {"custom_id": list(answers.keys()), "answer": list(answers.values())},
-            columns=["custom_id", "answer"],
-            dtype=object,
-        )
-
-    return (
-        batched.select("custom_id", "request", "batch")
-        .groupBy("batch")
-        .applyInPandas(send, "custom_id string, answer string")
-    )
+            rows = [(i, a, batch, None) for i, a in answers.items()] or [(None, None, batch, None)]
+        except Exception as e:  # a failing batch is recorded, the others go on
+            rows = [(None, None, batch, str(e) or type(e).__name__)]
+        return pd.DataFrame(rows, columns=["custom_id", "answer", "batch", "error"], dtype=object)
+
+    todo.groupBy("batch").applyInPandas(send, ANSWERS).write.mode("append").parquet(path)
+    sent = spark.read.schema(ANSWERS).parquet(path)
+    # an error of an earlier run does not count once its batch has been answered
+    answered = sent.where("error is null").select("batch").distinct()
+    return sent.where("error is null").unionByName(sent.where("error is not null").join(answered, "batch", "left_anti").select(*sent.columns))

@@ -183,16 +183,18 @@ def offset_image_ids(
     """Global ids as the start of the subset plus the position, for positions
     that already run 0..n-1 inside each subset.
 
-    Only the sizes of the named subsets are aggregated; rows, which may carry
-    image bytes, stay where they are.
+    Subsets that are not listed follow in the order of their names, as in
+    ``dense_image_ids``.  Only the sizes of the subsets are aggregated; rows,
+    which may carry image bytes, stay where they are.
     """
-    order = F.array_position(F.array(*[F.lit(s) for s in subsets]), F.col(subset))
-    sizes = df.where(F.col(subset).isin(subsets)).groupBy(subset).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.array_position(F.array(*[F.lit(s) for s in subsets]), F.col(subset))
+    order = [F.when(rank > 0, rank).otherwise(len(subsets) + 1), F.col(subset)]
+    sizes = df.groupBy(F.coalesce(subset, F.lit("")).alias(subset)).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(subset, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
     lookup = starts.agg(F.map_from_entries(F.collect_list(F.struct(subset, "_start")))).scalar()
     placed = df.withColumn("_starts", lookup)
-    start = F.try_element_at("_starts", F.col(subset))
+    start = F.try_element_at("_starts", F.coalesce(subset, F.lit("")))
     return placed.withColumn(name, start + F.col(position)).drop("_starts")
 
 

@@ -73,17 +73,17 @@ def report_text(report: DataFrame, errors: DataFrame) -> DataFrame:
 
 
 def error_types(outcomes: DataFrame, ok: str = "ok", error: str = "error") -> DataFrame:
-    """Failure counts per error class."""
+    """Failure counts per error class; an unrecorded outcome is a failure, as in the report."""
     return (
-        outcomes.where(~F.col(ok))
+        outcomes.where(~F.coalesce(ok, F.lit(False)))
         .groupBy(classify_error(F.coalesce(error, F.lit(""))).alias("error_type"))
         .agg(F.count(F.lit(1)).alias("n_errors"))
     )
 
 
 def failures(outcomes: DataFrame) -> DataFrame:
-    """The failed downloads as a table."""
-    return outcomes.where(~F.col("ok")).select(F.col("image_url").alias("url"), "identifier", "error")
+    """The failed downloads, unrecorded outcomes among them, as a table."""
+    return outcomes.where(~F.coalesce("ok", F.lit(False))).select(F.col("image_url").alias("url"), "identifier", "error")
 
 
 def ingest_progress(manifest: DataFrame, group: str, done: Column, batch: str = "batch_id") -> DataFrame:

@@ -2,38 +2,74 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 HOT_SHARE = 10_000
+CELLS = 1 << 20
+SPREAD = 1021
+
+
+def _hot_keys(left: DataFrame, key: str, share: int) -> tuple[DataFrame | None, bool]:
+    """(keys holding more than 1/``share`` of the keyed rows or None, whether some rows have no key).
+
+    Rows are first counted into hash cells, which combine before the shuffle to
+    at most ``CELLS`` counts; only keys of the few large cells are counted one by
+    one.
+    """
+    cell = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(CELLS)))
+    cells = materialize(left.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")), "cells")
+    known = F.col("_cell").isNotNull()
+    total, unkeyed = cells.agg(F.sum(F.when(known, F.col("_n"))), F.count_if(~known)).first()
+    # fewer than ``share`` cells can be that large
+    large = [r["_cell"] for r in cells.where(known & (F.col("_n") * share > (total or 0))).collect()]
+    if not large:
+        return None, unkeyed > 0
+    suspects = F.broadcast(left.sparkSession.createDataFrame([(c,) for c in large], "_cell bigint"))
+    counts = left.select(key, cell.alias("_cell")).join(suspects, "_cell", "left_semi").groupBy(key).agg(
+        F.count(F.lit(1)).alias("_n")
+    )
+    hot = materialize(counts.where(F.col("_n") * share > total).select(key), "hot")
+    return (None if hot.isEmpty() else hot), unkeyed > 0
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
     """``left.join(right, key, how)`` for left, left_semi and left_anti joins.
 
     A key holding more than 1/``share`` of the keyed left rows is hot, so fewer
-    than ``share`` keys are.  Their rows meet a broadcast of just those keys'
-    right rows and are never shuffled; all other rows take an ordinary join.
-    Rows without a key are set aside.  For a left join ``key`` is unique on the
+    than ``share`` keys are.  Their right rows are broadcast, and left out of the
+    shuffled right side; hot and null keys of the left side are dealt over all
+    tasks, as they cannot match there.  For a left join ``key`` is unique on the
     right.  Splitting by size at run time would miss hot keys made of copies,
     which compress to almost nothing.
     """
     if how not in ("left", "left_semi", "left_anti"):
         raise ValueError("how must be left, left_semi or left_anti")
-    keyed, unkeyed = left.where(F.col(key).isNotNull()), left.where(F.col(key).isNull())
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot = F.broadcast(counts.where(F.col("_n") * share > total).select(key))
-    hot_right = right.join(hot, key, "left_semi")
+    hot, unkeyed = _hot_keys(left, key, share)
+    if hot is None and (not unkeyed or how == "left_semi"):
+        return left.join(right, key, how)
     if how != "left":
-        right = right.select(key)
-        hot_right = hot_right.select(key).distinct()
-    parts = [
-        keyed.join(hot, key, "left_semi").join(F.broadcast(hot_right), key, how),
-        keyed.join(hot, key, "left_anti").join(right, key, how),
-    ]
-    if how != "left_semi":
-        parts.append(unkeyed)
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        right = right.select(key).distinct()
+    values = [c for c in right.columns if c != key]
+    # one struct per side: a match with null values is still a match
+    packed = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct(key, *values).alias("_right"))
+    joined = left
+    cold_key = F.col(key)
+    if hot is not None:
+        hot = F.broadcast(hot.select(F.col(key).alias("_k")))
+        hot_right = F.broadcast(hot.join(packed, "_k", "left").select(F.col("_k").alias("_hk"), F.col("_right").alias("_hot")))
+        joined = joined.join(hot_right, F.col(key) == F.col("_hk"), "left")
+        cold_key = F.when(F.col("_hk").isNull(), F.col(key))
+        packed = packed.join(hot, "_k", "left_anti")
+    else:
+        joined = joined.withColumn("_hot", F.lit(None).cast(packed.schema["_right"].dataType))
+    spread = F.when(cold_key.isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(SPREAD))).otherwise(F.lit(0))
+    joined = joined.withColumns({"_k": cold_key, "_deal": spread})
+    packed = packed.withColumn("_deal", F.lit(0).cast("bigint"))
+    joined = joined.join(packed, ["_k", "_deal"], "left").withColumn("_found", F.coalesce("_hot", "_right"))
+    if how == "left":
+        return joined.select(key, *[c for c in left.columns if c != key], *[F.col(f"_found.{c}").alias(c) for c in values])
+    match = F.col("_found").isNotNull()
+    return joined.where(match if how == "left_semi" else ~match).select(*left.columns)

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 
-LABEL_BYTES_LIMIT = 256 * 1024 * 1024
-LABEL_COUNT_LIMIT = 50_000
+#: Largest taxonomy, as doubles; a larger one is refused.
+LABEL_BYTES_LIMIT = 512 * 1024 * 1024
+#: Scores held at once by a task: rows are taken in slices against slices of labels.
+SLICE_SCORES = 4_000_000
+SLICE_LABELS = 4096
 TEMPERATURE = 100.0
 RESULT = "array<struct<label: string, confidence: double>>"
 
@@ -37,50 +40,50 @@ def label_centroids(df: DataFrame, label: str = "label", column: str = "embeddin
     )
 
 
-def _scores(matrix, features):
-    """Temperature-scaled cosine logits of a batch of vectors."""
-    import numpy as np
-
-    x = np.asarray(matrix, dtype=np.float64)
-    with np.errstate(invalid="ignore", divide="ignore"):
-        x = x / np.linalg.norm(x, axis=1, keepdims=True)
-    return TEMPERATURE * (x @ features.T)
+def _features(labels: DataFrame):
+    """Names in order and unit vectors of the labels that have a direction.
 
-
-def _unit(rows):
+    The size is counted first; the vectors come to the driver in Arrow form.
+    """
     import numpy as np
 
-    m = np.asarray(rows, dtype=np.float64)
-    if not len(m):
-        return m
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
-def _top(row, names, k):
-    """Indices of the k best labels, ties by label."""
+    usable = labels.where(
+        F.col("label").isNotNull() & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
+    )
+    size = usable.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
+    if size > LABEL_BYTES_LIMIT:
+        raise ValueError(f"labels take {size} bytes; at most {LABEL_BYTES_LIMIT} are broadcast")
+    rows = usable.orderBy("label").select("label", F.col("embedding").cast("array<double>")).toArrow().combine_chunks()
+    names = rows.column("label").to_pylist()
+    if not names:
+        return [], np.zeros((0, 0))
+    flat = rows.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    features = flat.reshape(len(names), -1)
+    return names, features / np.linalg.norm(features, axis=1, keepdims=True)
+
+
+def _classify(items, features, k, slice_labels):
+    """(indices, confidences) of the best ``k`` labels of each row; ties go to the first label.
+
+    Labels are met slice by slice with a running maximum, softmax sum and top list.
+    """
     import numpy as np
 
-    if k < len(row):
-        edge = np.partition(row, len(row) - k)[len(row) - k]
-        candidates = np.flatnonzero(row >= edge)
-    else:
-        candidates = range(len(row))
-    return sorted(candidates, key=lambda j: (-row[j], names[j]))[:k]
-
-
-def _small_labels(labels: DataFrame):
-    """Names and unit feature matrix, or None when the table is over the limit.
-
-    Only sizes are fetched before the table is known to be small.
-    """
-    size = labels.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.size("embedding") * 8 + F.octet_length("label")), F.lit(0)).alias("bytes"),
-    ).first()
-    if size["n"] > LABEL_COUNT_LIMIT or size["bytes"] > LABEL_BYTES_LIMIT:
-        return None
-    rows = labels.orderBy("label").collect()
-    return [r["label"] for r in rows], _unit([r["embedding"] for r in rows])
+    x = items / np.linalg.norm(items, axis=1, keepdims=True)
+    peak = np.full(len(x), -np.inf)
+    mass = np.zeros(len(x))
+    best = np.zeros((len(x), 0))
+    which = np.zeros((len(x), 0), np.int64)
+    for at in range(0, len(features), slice_labels):
+        logits = TEMPERATURE * (x @ features[at : at + slice_labels].T)
+        higher = np.maximum(peak, logits.max(axis=1))
+        mass = mass * np.exp(peak - higher) + np.exp(logits - higher[:, None]).sum(axis=1)
+        peak = higher
+        known = np.concatenate([best, logits], axis=1)
+        index = np.concatenate([which, np.broadcast_to(np.arange(at, at + logits.shape[1]), logits.shape)], axis=1)
+        order = np.argsort(-known, axis=1, kind="stable")[:, :k]
+        best, which = np.take_along_axis(known, order, 1), np.take_along_axis(index, order, 1)
+    return which, np.exp(best - peak[:, None]) / mass[:, None]
 
 
 def zero_shot(
@@ -89,52 +92,46 @@ def zero_shot(
     k: int = 1,
     key: str = "id",
     column: str = "embedding",
-    label_blocks: int | None = None,
-    item_blocks: int = 64,
+    slice_labels: int = SLICE_LABELS,
 ) -> DataFrame:
     """Top ``k`` labels per item by softmax of scaled cosine similarity.
 
-    Returns (key, rank, label, confidence).  Items with a null vector are left
-    out.  ``labels`` has a string ``label`` (unique) and an ``embedding``.
+    Returns (key, rank, label, confidence).  ``labels`` has a unique ``label``
+    and an ``embedding``.  What has no direction has no cosine: items and labels
+    whose vector is null or all zero are left out.
 
-    A taxonomy within the size limit is broadcast as a matrix and items are
-    scored where they are, without a shuffle or a row per pair.  A larger one is
-    cut into blocks and met block by block (``label_blocks`` forces this path);
-    partial softmax sums and partial top lists are then merged, so the result
-    is the same.  Choose ``item_blocks`` so that a block of items fits a task;
-    ``key`` is unique, so its hash spreads the items evenly.
+    The taxonomy, whose size is checked, is broadcast as a matrix; items are
+    scored where they are, in slices of rows and labels, so memory does not
+    depend on the number of labels.
     """
-    present = items.where(F.col(column).isNotNull()).select(key, column)
-    labels = labels.select(F.col("label").cast("string").alias("label"), "embedding")
-    small = None if label_blocks else _small_labels(labels)
-    if small is None:
-        best = _blocked(present, labels, k, key, column, label_blocks or 64, item_blocks)
-    else:
-        names, features = small
-        if not names:
-            return _ranked(present.select(key, F.array().cast(RESULT).alias("_best")), key)
-        shared = items.sparkSession.sparkContext.broadcast((names, features))
-
-        @F.pandas_udf(RESULT)
-        def score(vectors_):
-            import numpy as np
-            import pandas as pd
-
-            names_, features_ = shared.value
-            if not len(vectors_):
-                return pd.Series([], dtype=object)
-            logits = _scores(np.stack(vectors_.to_numpy()), features_)
-            weights = np.exp(logits - logits.max(axis=1, keepdims=True))
-            probs = weights / weights.sum(axis=1, keepdims=True)
-            return pd.Series(
-                [[{"label": names_[j], "confidence": float(p[j])} for j in _top(p, names_, k)] for p in probs]
-            )
-
-        # declared non-deterministic so that filters inferred from the explosion
-        # below do not evaluate it a second time
-        classify = score.asNondeterministic()
-        best = present.select(key, classify(column).alias("_best"))
-    return _ranked(best, key)
+    directed = F.exists(column, lambda x: F.coalesce(x != 0, F.lit(False)))
+    present = items.where(F.col(column).isNotNull() & directed).select(key, column)
+    names, features = _features(labels.select(F.col("label").cast("string").alias("label"), "embedding"))
+    if not names:
+        return _ranked(present.select(key, F.array().cast(RESULT).alias("_best")), key)
+    shared = items.sparkSession.sparkContext.broadcast((names, features))
+    rows = max(1, SLICE_SCORES // min(len(names), slice_labels))
+
+    @F.pandas_udf(RESULT)
+    def score(vectors_):
+        import numpy as np
+        import pandas as pd
+
+        names_, features_ = shared.value
+        out = []
+        for at in range(0, len(vectors_), rows):
+            part = np.stack(vectors_.iloc[at : at + rows].to_numpy()).astype(np.float64)
+            which, confidence = _classify(part, features_, k, slice_labels)
+            out += [
+                [{"label": names_[j], "confidence": c} for j, c in zip(js, cs)]
+                for js, cs in zip(which.tolist(), confidence.tolist())
+            ]
+        return pd.Series(out, dtype=object)
+
+    # declared non-deterministic so that filters inferred from the explosion
+    # below do not evaluate it a second time
+    classify = score.asNondeterministic()
+    return _ranked(present.select(key, classify(column).alias("_best")), key)
 
 
 def _ranked(best: DataFrame, key: str) -> DataFrame:
@@ -146,70 +143,6 @@ def _ranked(best: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _blocked(present, labels, k, key, column, label_blocks, item_blocks):
-    """Block-wise scoring: each task meets one block of items and one of labels
-    and returns, per item, its local maximum, softmax sum and top list."""
-    cells = ["_lb", "_ib"]
-    left = present.select(
-        F.col(key).alias("_id"),
-        F.col(column).cast("array<double>").alias("_v"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(item_blocks)).cast("int").alias("_ib"),
-        F.explode(F.sequence(F.lit(0), F.lit(label_blocks - 1))).alias("_lb"),
-    )
-    right = labels.select(
-        "label",
-        F.col("embedding").cast("array<double>").alias("_f"),
-        F.pmod(F.xxhash64("label"), F.lit(label_blocks)).cast("int").alias("_lb"),
-        F.explode(F.sequence(F.lit(0), F.lit(item_blocks - 1))).alias("_ib"),
-    )
-    id_type = present.schema[key].dataType.simpleString()
-
-    def meet(item_rows, label_rows):
-        import numpy as np
-        import pandas as pd
-
-        columns = ["_id", "_max", "_sum", "_top"]
-        if item_rows.empty or label_rows.empty:
-            return pd.DataFrame({c: pd.Series(dtype=object) for c in columns})
-        names = list(label_rows["label"])
-        logits = _scores(np.stack(item_rows["_v"].to_numpy()), _unit(np.stack(label_rows["_f"].to_numpy())))
-        peak = logits.max(axis=1)
-        total = np.exp(logits - peak[:, None]).sum(axis=1)
-        tops = [[{"logit": float(r[j]), "label": names[j]} for j in _top(r, names, k)] for r in logits]
-        return pd.DataFrame({"_id": item_rows["_id"].to_numpy(), "_max": peak, "_sum": total, "_top": tops})
-
-    partial = (
-        left.groupBy(*cells)
-        .cogroup(right.groupBy(*cells))
-        .applyInPandas(
-            meet,
-            f"_id {id_type}, _max double, _sum double, _top array<struct<logit: double, label: string>>",
-        )
-    )
-    part = F.struct("_max", "_sum")
-    merged = partial.groupBy("_id").agg(
-        F.max("_max").alias("_peak"),
-        F.collect_list(part).alias("_parts"),
-        F.flatten(F.collect_list("_top")).alias("_all"),
-    )
-    mass = F.aggregate(
-        "_parts", F.lit(0.0), lambda acc, p: acc + p["_sum"] * F.exp(p["_max"] - F.col("_peak"))
-    )
-    order = F.array_sort(
-        F.transform("_all", lambda t: F.struct((-t["logit"]).alias("cost"), t["label"].alias("label")))
-    )
-    return merged.withColumn("_mass", mass).select(
-        F.col("_id").alias(key),
-        F.transform(
-            F.slice(order, 1, k),
-            lambda t: F.struct(
-                t["label"].alias("label"),
-                (F.exp(-t["cost"] - F.col("_peak")) / F.col("_mass")).alias("confidence"),
-            ),
-        ).alias("_best"),
-    )
-
-
 def class_distribution(classified: DataFrame) -> DataFrame:
     """Items and mean confidence per label."""
     return classified.groupBy("label").agg(
@@ -238,12 +171,12 @@ def pool_patches(
         image,
         F.floor(row / stride).alias("_r"),
         F.floor(column_no / stride).alias("_c"),
-        F.struct(F.col(index).alias("i"), F.col(column).cast("array<double>").alias("v")).alias("_p"),
+        F.struct(F.col(index).alias("i"), F.col(column).alias("v")).alias("_p"),
     ).where((F.col("_r") < cells) & (F.col("_c") < cells))
     gathered = placed.groupBy(image, "_r", "_c").agg(F.sort_array(F.collect_list("_p")).alias("_ps"))
     zero = F.transform(F.element_at("_ps", 1)["v"], lambda x: F.lit(0.0))
     total = F.aggregate(
-        "_ps", zero, lambda acc, p: F.zip_with(acc, p["v"], lambda a, b: a + b)
+        "_ps", zero, lambda acc, p: F.zip_with(acc, p["v"], lambda a, b: a + b.cast("double"))
     )
     return gathered.select(
         image,

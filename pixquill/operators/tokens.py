@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import chat
+from .joins import skew_join
 from .numbering import digest_bucket, number_rows
 
 HEAD_VOCABULARY = 4096
@@ -95,14 +96,13 @@ def collate(df: DataFrame, batch: str, order: str, columns: list[str]) -> DataFr
     return gathered.select(batch, *[field(c) for c in columns])
 
 
-def collate_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
-    """User collate function on Arrow batches: pandas frame in, frame out."""
+def collate_batches(df: DataFrame, fn: Callable, schema: str, batch: str = "batch") -> DataFrame:
+    """User collate function on training batches: the frame of one batch in, a frame out.
 
-    def run(frames):
-        for pdf in frames:
-            yield fn(pdf)
-
-    return df.mapInPandas(run, schema)
+    All rows of a batch are in its frame, whatever the partitioning; a batch
+    holds at most the training batch size.
+    """
+    return df.groupBy(batch).applyInPandas(fn, schema)
 
 
 # --- vocabulary -------------------------------------------------------------
@@ -149,15 +149,16 @@ def special_token_map(tokens: DataFrame, base: int = K.BASE_VOCAB_SIZE) -> DataF
 def lookup_token_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:
     """Add ``token_id`` to a long table with a ``token`` column.
 
-    The most frequent tokens (ids below a constant, hence of bounded size) are
-    broadcast, which takes every hot key out of the shuffle.  The remaining
-    rows join the rest of the vocabulary on the token; no key is hot there.
+    The most frequent tokens (ids below a constant, hence of bounded size) and
+    the added tokens, which stand many times in a sample though their ids come
+    last, are broadcast and never shuffled.  The remaining rows join the rest of
+    the vocabulary; a frequent token that it lacks is dealt over all tasks.
     """
     ids = vocab.select("token", "token_id")
-    head = F.broadcast(ids.where(F.col("token_id") < HEAD_VOCABULARY))
-    tail = ids.where(F.col("token_id") >= HEAD_VOCABULARY)
+    first = (F.col("token_id") < HEAD_VOCABULARY) | F.col("token").isin([t for _, t in K.ADDED_TOKENS])
+    head = F.broadcast(ids.where(first))
     common = tokens.join(head, "token")
-    rare = tokens.join(head, "token", "left_anti").join(tail, "token", "left")
+    rare = skew_join(tokens.join(head, "token", "left_anti"), ids.where(~first), "token")
     rare = rare.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("bigint")))
     return common.unionByName(rare)
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from .. import constants as K
 from ..functions import chat, geometry, imagebytes, rand, text, vectors
 from ..operators import augment, bleu, corpus, inference, ingest, logs, resample, sampling, scoring, similarity, tokens
+from ..operators.numbering import number_rows
 from ..session import durable, scratch
 from ..sources import nested, tables
 from ..streaming import ingest as stream_ingest
@@ -171,9 +172,9 @@ def _subsets(spark, sf):
             "captions": views.links(spark, sf).select(
                 F.col("page_id").alias("position"), F.col("capsfusion").alias("outputs")
             ),
-            "dialogs": views.it_samples(spark, sf).select(
-                F.col("conv_id").alias("position"), "instruction", "inputs", "outputs"
-            ),
+            "dialogs": number_rows(
+                views.it_samples(spark, sf), [F.col("sample_id")], F.floor(F.col("sample_id") / 2**44), name="position"
+            ).select("position", "instruction", "inputs", "outputs"),
             "texts": docs.select(F.col("doc_id").alias("position"), F.col("text").alias("inputs")),
         }
     ).select("subset", "position", "instruction", "inputs", "outputs")
@@ -186,7 +187,7 @@ def subset_union(spark, sf):
 
 @query
 def offset_image_ids(spark, sf):
-    out = corpus.offset_image_ids(_subsets(spark, sf), ["texts", "absent", "captions", "dialogs"])
+    out = corpus.offset_image_ids(_subsets(spark, sf), ["texts", "absent", "captions"])  # dialogs, not listed, come last
     return out.select("subset", "position", "image_id")
 
 
@@ -200,7 +201,7 @@ def dense_image_ids(spark, sf):
 
 @query
 def mix_prompt(spark, sf):
-    return corpus.mix_prompts(views.it_samples(spark, sf), "conv_id")
+    return corpus.mix_prompts(views.it_samples(spark, sf).drop("conv_id"), "sample_id")
 
 
 @query
@@ -225,7 +226,7 @@ def _valid_images(spark, sf):
 @query
 def keep_valid(spark, sf):
     df = corpus.keep_valid_images(_with_path(views.it_samples(spark, sf)), _valid_images(spark, sf))
-    return df.select("conv_id", "image_path")
+    return df.select("sample_id", "image_path")
 
 
 @query
@@ -239,17 +240,17 @@ def validation_summary(spark, sf):
 @query
 def ensure_placeholder(spark, sf):
     seeded = F.when(
-        rand.hash_uniform("conv_id", "placed") < 0.3, F.concat(F.lit("Look: <IMGPLH> "), F.col("inputs"))
+        rand.hash_uniform("sample_id", "placed") < 0.3, F.concat(F.lit("Look: <IMGPLH> "), F.col("inputs"))
     ).otherwise(F.col("inputs"))
     return views.it_samples(spark, sf).select(
-        "conv_id", text.ensure_placeholder(text.text_or_empty(seeded)).alias("inputs")
+        "sample_id", text.ensure_placeholder(text.text_or_empty(seeded)).alias("inputs")
     )
 
 
 @query
 def expand_placeholder(spark, sf):
     placed = text.ensure_placeholder(text.text_or_empty("inputs"))
-    return views.it_samples(spark, sf).select("conv_id", text.expand_placeholder(placed).alias("inputs"))
+    return views.it_samples(spark, sf).select("sample_id", text.expand_placeholder(placed).alias("inputs"))
 
 
 def _exploded(df, key, messages):
@@ -264,12 +265,12 @@ def _chat(spark, sf, n_tokens=K.NUM_IMAGE_TOKENS):
 
 @query
 def to_messages(spark, sf):
-    return _exploded(_chat(spark, sf), "conv_id", "messages")
+    return _exploded(_chat(spark, sf), "sample_id", "messages")
 
 
 @query
 def generation_messages(spark, sf):
-    return _exploded(_chat(spark, sf), "conv_id", chat.generation_messages("messages"))
+    return _exploded(_chat(spark, sf), "sample_id", chat.generation_messages("messages"))
 
 
 @query
@@ -290,7 +291,7 @@ def normalize_turns(spark, sf):
 
 @query
 def alpaca_messages(spark, sf):
-    return _exploded(views.it_samples(spark, sf), "conv_id", chat.qa_messages("inputs", "outputs"))
+    return _exploded(views.it_samples(spark, sf), "sample_id", chat.qa_messages("inputs", "outputs"))
 
 
 @query
@@ -309,13 +310,13 @@ def vqa_prompts(spark, sf):
 
 @query
 def render_chat_train(spark, sf):
-    return _chat(spark, sf).select("conv_id", chat.render_chat("messages").alias("text"))
+    return _chat(spark, sf).select("sample_id", chat.render_chat("messages").alias("text"))
 
 
 @query
 def render_chat_eval(spark, sf):
     waiting = chat.generation_messages("messages")
-    return _chat(spark, sf).select("conv_id", chat.render_chat(waiting, True).alias("text"))
+    return _chat(spark, sf).select("sample_id", chat.render_chat(waiting, True).alias("text"))
 
 
 @query
@@ -367,15 +368,15 @@ def _tokenized(spark, sf):
 @query
 def assistant_mask(spark, sf):
     return _tokenized(spark, sf).select(
-        "conv_id", F.posexplode(F.arrays_zip("input_ids", "assistant_masks")).alias("pos", "_t")
-    ).select("conv_id", "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.assistant_masks").alias("mask"))
+        "sample_id", F.posexplode(F.arrays_zip("input_ids", "assistant_masks")).alias("pos", "_t")
+    ).select("sample_id", "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.assistant_masks").alias("mask"))
 
 
 @query
 def label_mask(spark, sf):
     return tokens.create_labels(_tokenized(spark, sf)).select(
-        "conv_id", F.posexplode(F.arrays_zip("assistant_masks", "labels")).alias("pos", "_t")
-    ).select("conv_id", "pos", F.col("_t.assistant_masks").alias("mask"), F.col("_t.labels").alias("label"))
+        "sample_id", F.posexplode(F.arrays_zip("assistant_masks", "labels")).alias("pos", "_t")
+    ).select("sample_id", "pos", F.col("_t.assistant_masks").alias("mask"), F.col("_t.labels").alias("label"))
 
 
 PAD_ID = 128_001
@@ -385,9 +386,9 @@ def _padded(df, side):
     batched = df.withColumn("batch", sampling.batch_index("conv_id", 16))
     padded = tokens.pad_batch(batched, "batch", {"input_ids": PAD_ID, "attention_mask": 0}, side=side)
     return padded.select(
-        "batch", "conv_id", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "_t")
+        "batch", "sample_id", F.posexplode(F.arrays_zip("input_ids", "attention_mask")).alias("pos", "_t")
     ).select(
-        "batch", "conv_id", "pos",
+        "batch", "sample_id", "pos",
         F.col("_t.input_ids").alias("token_id"), F.col("_t.attention_mask").alias("attention"),
     )
 
@@ -406,18 +407,20 @@ def pad_left(spark, sf):
 @query
 def collate_batches(spark, sf):
     items = views.it_samples(spark, sf).withColumn("batch", sampling.batch_index("conv_id", 16))
-    out = tokens.collate(items, "batch", "conv_id", ["conv_id", "inputs", "outputs"])
+    out = tokens.collate(items, "batch", "sample_id", ["sample_id", "inputs", "outputs"])
     joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "|", "")
     return out.select(
-        "batch", joined("conv_id").alias("conv_ids"), joined("inputs").alias("inputs"), joined("outputs").alias("outputs")
+        "batch", joined("sample_id").alias("sample_ids"), joined("inputs").alias("inputs"), joined("outputs").alias("outputs")
     )
 
 
 @query
 def align_patches(spark, sf):
-    samples = tokens.tokenize_chat(_chat(spark, sf, n_tokens=16)).withColumnRenamed("conv_id", "sample_id")
-    rows = views.patches(spark, sf).select(
-        F.col("image_id").alias("sample_id"), F.col("patch_idx").alias("patch_rank"), "embedding"
+    samples = tokens.tokenize_chat(_chat(spark, sf, n_tokens=16))
+    # all samples of a conversation show its image
+    shown = samples.select("sample_id", F.col("conv_id").alias("image_id"))
+    rows = views.patches(spark, sf).join(shown, "image_id").select(
+        "sample_id", F.col("patch_idx").alias("patch_rank"), "embedding"
     )
     image_token = K.BASE_VOCAB_SIZE + [t for _, t in K.ADDED_TOKENS].index(K.IMAGE_TOKEN)
     aligned = tokens.align_patches(samples, rows, image_token)
@@ -450,7 +453,7 @@ def split_counts(spark, sf):
 
 @query
 def rendered_prompts(spark, sf):
-    return flows.rendered_training_prompts(views.it_samples(spark, sf), "conv_id", 0.1)
+    return flows.rendered_training_prompts(views.it_samples(spark, sf), "sample_id", 0.1)
 
 
 # --- augmentation -----------------------------------------------------------
@@ -467,7 +470,7 @@ def llm_requests(spark, sf):
 
 @query
 def llm_request_batches(spark, sf):
-    batched = augment.request_batches(_vqa(spark, sf).select("question_id"), "question_id", 50, chunk=2000)
+    batched = augment.request_batches(_vqa(spark, sf).select("question_id"), "question_id", 50)
     return batched.groupBy("batch").agg(
         F.count(F.lit(1)).alias("n_requests"),
         F.min("question_id").alias("first_id"),
@@ -526,8 +529,7 @@ def cosine_to_reference(spark, sf):
 
 
 def _classified(spark, sf, k, **kw):
-    centroids = similarity.label_centroids(views.table(spark, sf, "embeddings"))
-    return similarity.zero_shot(views.items(spark, sf), centroids, k=k, **kw)
+    return similarity.zero_shot(views.items(spark, sf), views.taxonomy(spark, sf), k=k, **kw)
 
 
 @query
@@ -542,7 +544,7 @@ def zero_shot_top3(spark, sf):
 
 @query
 def zero_shot_blocked(spark, sf):
-    return rounded(_classified(spark, sf, 3, label_blocks=3, item_blocks=8), "confidence")
+    return rounded(_classified(spark, sf, 3, slice_labels=3), "confidence")
 
 
 @query
@@ -571,7 +573,7 @@ def label_last_wins(spark, sf):
 
 @query
 def extract_reply(spark, sf):
-    return views.decoded_samples(spark, sf).select("conv_id", text.extract_reply("decoded").alias("reply"))
+    return views.decoded_samples(spark, sf).select("sample_id", text.extract_reply("decoded").alias("reply"))
 
 
 @query
@@ -606,7 +608,7 @@ def _judged(spark, sf):
 
 
 def _scores(spark, sf):
-    return scoring.mme_scores(scoring.mme_pairs(_judged(spark, sf), "pair"))
+    return scoring.mme_scores(scoring.mme_pairs(_judged(spark, sf), "pair", strict=False))
 
 
 @query
@@ -695,13 +697,17 @@ def metric_routing_eval(spark, sf):
 # --- nested documents -------------------------------------------------------
 
 
+def _line_key(i):
+    return F.conv(F.substring(F.md5(F.concat_ws(":", "doc_id", i)), 1, 15), 16, 10).cast("bigint")
+
+
 @query
 def nested_questions(spark, sf):
     """Question documents (one per text, one question per line) to rows."""
     record = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.struct(
-            (F.col("doc_id") * 100_000 + i).alias("question_id"), F.col("doc_id").alias("image_id"), line.alias("question")
+            _line_key(i).alias("question_id"), F.col("doc_id").alias("image_id"), line.alias("question")
         ),
     )
     docs = views.table(spark, sf, "documents").select(F.to_json(F.struct(record.alias("questions"))).alias("value"))
@@ -711,15 +717,17 @@ def nested_questions(spark, sf):
 
 @query
 def answers_json(spark, sf):
-    """Answer documents (arrays of four-element arrays) to rows."""
+    """Answer documents (arrays of four-element arrays) to rows; about 5 % are cut short."""
     rows = F.transform(
         F.split("text", "\n"),
         lambda line, i: F.array(
             F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string")), F.concat(F.lit("Is it "), line), F.lit("Yes"), line
         ),
     )
-    docs = views.table(spark, sf, "documents").select(F.to_json(rows).alias("value"))
-    return nested.parse_answers(docs)
+    value = F.to_json(rows)
+    cut = F.when(rand.hash_uniform("doc_id", "torn") < 0.05, F.substring(value, 1, 40)).otherwise(value)
+    docs = views.table(spark, sf, "documents").select(cut.alias("value"))
+    return nested.parse_answers(docs, strict=False).withColumn("ord", F.coalesce("ord", F.lit(-1)))
 
 
 @query
@@ -806,7 +814,7 @@ def _echo_client(requests, batch):
 @query
 def llm_augment(spark, sf):
     """Every batch through a client that fails for the second one."""
-    batched = augment.request_batches(_vqa(spark, sf), "question_id", 50, chunk=2000)
+    batched = augment.request_batches(_vqa(spark, sf), "question_id", 50)
     request = augment.request_struct(F.col("question_id"), F.col("question"), F.col("multiple_choice_answer"))
     requests = batched.select(
         F.col("question_id").cast("string").alias("custom_id"), F.to_json(request).alias("request"), "batch"
@@ -822,19 +830,22 @@ def tokenizer_hook(spark, sf):
         return texts.map(lambda parts: [[len(p)] for p in parts])
 
     rows = tokens.tokenize_chat(_chat(spark, sf), tokenizer=lengths)
-    return rows.select("conv_id", F.posexplode(F.arrays_zip("input_ids", "assistant_masks")).alias("pos", "_t")).select(
-        "conv_id", "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.assistant_masks").alias("mask")
+    return rows.select("sample_id", F.posexplode(F.arrays_zip("input_ids", "assistant_masks")).alias("pos", "_t")).select(
+        "sample_id", "pos", F.col("_t.input_ids").alias("token_id"), F.col("_t.assistant_masks").alias("mask")
     )
 
 
 def _text_lengths(frame):
-    return frame.assign(n_chars=frame["text"].str.len())[["doc_id", "n_chars"]]
+    size = frame["text"].str.len()
+    return frame.assign(n_chars=size, n_padding=size.max() - size, n_rows=len(frame))[
+        ["doc_id", "batch", "n_chars", "n_padding", "n_rows"]
+    ]
 
 
 @query
 def collate_hook(spark, sf):
-    docs = views.table(spark, sf, "documents").select("doc_id", "text")
-    return tokens.collate_batches(docs, _text_lengths, "doc_id long, n_chars long")
+    docs = views.table(spark, sf, "documents").select("doc_id", "text", sampling.batch_index("doc_id", 16).alias("batch"))
+    return tokens.collate_batches(docs, _text_lengths, "doc_id long, batch long, n_chars long, n_padding long, n_rows long")
 
 
 @query

@@ -37,23 +37,17 @@ def caption_corpus(
     report, adapt.
 
     Only the fetch leaves the JVM.  Its outcomes, image bytes included, are
-    written to ``fetched`` (a new folder under the shared one by default) and
-    read from there, so everything below sees one and the same fetch.
+    written chunk by chunk to ``fetched`` (a new folder under the shared one by
+    default) and read from there, so everything below sees one and the same
+    fetch; given the same folder again, a run that died goes on from its last
+    finished chunk.
     """
     spark = links.sparkSession
     identified = corpus.assign_identifier(links)
     if manifest is not None:
         identified = corpus.not_done(identified, manifest)
     fetched = fetched or scratch(spark, "fetched")
-    sized = image_sources.probe_sizes(image_sources.fetch_images(identified, fetch))
-    known = F.col("original_width").isNotNull()
-    sized.withColumns(
-        {
-            "error": F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error")),
-            "ok": F.col("ok") & known,
-        }
-    ).drop("image_url").write.mode("overwrite").parquet(fetched)
-    images = spark.read.parquet(fetched)
+    images = image_sources.fetch_in_chunks(identified, fetched, fetch).drop("image_url")
     outcomes = images.drop("content")
     rows = ingest.attach_outcomes(identified, outcomes)
     kept = corpus.keep_fetched(rows)

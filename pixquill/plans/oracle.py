@@ -53,26 +53,31 @@ V_LINKS = f"""v_links AS (
 
 V_FETCH = f"""v_fetch AS (
   SELECT event_id, ts, CAST(event_id AS VARCHAR) AS identifier, user_id % 29 AS subset,
-         event_id // 1000 AS batch_id, event_type <> 'error' AS ok, value AS elapsed,
+         event_id // 1000 AS batch_id, CASE WHEN {u('lost', 'event_id')} >= 0.02 THEN event_type <> 'error' END AS ok, value AS elapsed,
+         event_type = 'error' AS told,
          CAST(json_extract(props, '$.k') AS INTEGER) AS k,
-         CASE WHEN event_type <> 'error' THEN {size16('CAST(event_id AS VARCHAR)', 1)} END AS w,
-         CASE WHEN event_type <> 'error' THEN {size16('CAST(event_id AS VARCHAR)', 5)} END AS h
+         CASE WHEN event_type <> 'error' AND {u('lost', 'event_id')} >= 0.02 THEN {size16('CAST(event_id AS VARCHAR)', 1)} END AS w,
+         CASE WHEN event_type <> 'error' AND {u('lost', 'event_id')} >= 0.02 THEN {size16('CAST(event_id AS VARCHAR)', 5)} END AS h
   FROM events)"""
 
-V_IT = """v_it AS (
-  SELECT conv_id,
-         arg_min(text, turn) FILTER (WHERE role = 'system') AS instruction,
-         arg_min(text, turn) FILTER (WHERE role = 'user') AS inputs,
-         arg_min(text, turn) FILTER (WHERE role = 'assistant') AS outputs
-  FROM conversations GROUP BY conv_id)"""
+def turn_key(turn: str = "turn") -> str:
+    return f"(('0x' || substr(md5(conv_id || ':' || ({turn})), 1, 15))::BIGINT)"
+
+
+V_IT = f"""v_it AS (
+  SELECT {turn_key()} AS sample_id, conv_id, s.text AS instruction, q.inputs, a.outputs
+  FROM (SELECT conv_id, turn, text AS inputs FROM conversations WHERE role = 'user') q
+  FULL JOIN (SELECT conv_id, turn - 1 AS turn, text AS outputs FROM conversations WHERE role = 'assistant') a USING (conv_id, turn)
+  LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS text FROM conversations WHERE role = 'system' GROUP BY conv_id) s USING (conv_id))"""
 
 V_VQA = f"""v_q AS (
-  SELECT conv_id * 100 + turn AS question_id, conv_id AS image_id, text AS question
+  SELECT {turn_key()} AS question_id, conv_id AS image_id, text AS question
   FROM conversations WHERE role = 'user'),
 v_a AS (
-  SELECT conv_id * 100 + turn - 1 AS question_id, conv_id AS image_id, text AS answer,
-         CASE WHEN {u('answer_type', '(conv_id * 100 + turn - 1)')} < 0.5 THEN 'other' ELSE 'yes/no' END AS answer_type
-  FROM conversations WHERE role = 'assistant'),
+  SELECT question_id, image_id, answer,
+         CASE WHEN {u('answer_type', 'question_id')} < 0.5 THEN 'other' ELSE 'yes/no' END AS answer_type
+  FROM (SELECT {turn_key('turn - 1')} AS question_id, conv_id AS image_id, text AS answer
+        FROM conversations WHERE role = 'assistant')),
 v_vqa AS (
   SELECT q.question_id, q.image_id, question, answer, answer_type
   FROM v_q q JOIN v_a a ON q.question_id = a.question_id AND q.image_id = a.image_id)"""
@@ -81,14 +86,13 @@ V_PAIRS = V_VQA + """,
 v_pairs AS (
   SELECT question_id, image_id % 2 AS rank, image_id // 16 AS batch, question AS ref, answer AS gen FROM v_vqa)"""
 
-V_MME = f"""v_lab AS (SELECT doc_id, quality, doc_id // 2 AS pair FROM labels),
+V_MME = f"""v_lab AS (SELECT doc_id, quality, (row_number() OVER (ORDER BY doc_id) - 1) // 2 AS pair FROM labels),
 v_mme AS (
   SELECT l.doc_id, l.pair, ({listing(TASKS)})[CAST(l.pair % {len(TASKS)} + 1 AS INTEGER)] AS category,
          CASE WHEN quality = 1 THEN 'yes' ELSE 'no' END AS gt,
          CASE WHEN contains(lower(d.text), 'yes') THEN 'yes'
               WHEN contains(lower(d.text), 'no') THEN 'no' ELSE 'other' END AS pred
-  FROM v_lab l JOIN documents d ON l.doc_id = d.doc_id
-  WHERE l.pair IN (SELECT pair FROM v_lab GROUP BY pair HAVING count(*) = 2)),
+  FROM v_lab l JOIN documents d ON l.doc_id = d.doc_id),
 v_img AS (
   SELECT category, pair, count(*) AS questions,
          count(*) FILTER (WHERE gt = pred) AS correct, count(*) FILTER (WHERE pred = 'other') AS other
@@ -105,7 +109,7 @@ V_PATCH = "v_patch AS (SELECT vec_id // 16 AS image_id, vec_id % 16 AS patch_idx
 # conversation samples with the image placeholder put in front where absent
 V_CHAT = V_IT + f""",
 v_chat AS (
-  SELECT conv_id,
+  SELECT sample_id,
          {s(K.TRAIN_SYSTEM_PROMPT)} || coalesce(instruction, '') AS system,
          replace(CASE WHEN contains(coalesce(inputs, ''), '<IMGPLH>') THEN coalesce(inputs, '')
                       ELSE '<IMGPLH>' || coalesce(inputs, '') END,
@@ -139,7 +143,7 @@ TOKEN_ID = (
 
 
 def token_view(train: bool = True, n: int = K.NUM_IMAGE_TOKENS) -> str:
-    """v_tok: conv_id, pos, tok, mask of the rendered conversation."""
+    """v_tok: sample_id, pos, tok, mask of the rendered conversation."""
     if train:
         parts = [(f"{HEAD} || {USER} || {header('assistant')}", 0),
                  (f"{strip('assistant')} || chr(10)", 1), ("'<|eot_id|>'", 0)]
@@ -149,10 +153,10 @@ def token_view(train: bool = True, n: int = K.NUM_IMAGE_TOKENS) -> str:
     toks = " || ".join(f"t{i}" for i in range(len(parts)))
     mask = " || ".join(f"list_transform(t{i}, lambda x: {m})" for i, (_, m) in enumerate(parts))
     return chat_view(n) + f""",
-v_cut AS (SELECT conv_id, {cut} FROM v_chat),
-v_list AS (SELECT conv_id, {toks} AS toks, {mask} AS mask FROM v_cut),
+v_cut AS (SELECT sample_id, {cut} FROM v_chat),
+v_list AS (SELECT sample_id, {toks} AS toks, {mask} AS mask FROM v_cut),
 v_tok AS (
-  SELECT conv_id, unnest(toks) AS tok, unnest(mask) AS mask, generate_subscripts(toks, 1) - 1 AS pos FROM v_list)"""
+  SELECT sample_id, unnest(toks) AS tok, unnest(mask) AS mask, generate_subscripts(toks, 1) - 1 AS pos FROM v_list)"""
 
 
 def ngrams(side: str) -> str:
@@ -195,14 +199,14 @@ v_norm AS (SELECT label, d, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x
 
 V_ZERO = V_CENTROID + f""",
 v_item AS (SELECT vec_id AS id, d, x / sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS x
-           FROM v_dim WHERE {u('broken', 'vec_id')} >= 0.02),
+           FROM v_dim WHERE {u('broken', 'vec_id')} >= 0.02 AND {u('blank', 'vec_id')} >= 0.02),
 v_logit AS (SELECT id, label, 100 * sum(i.x * n.x) AS l FROM v_item i JOIN v_norm n USING (d) GROUP BY id, label),
 v_exp AS (SELECT id, CAST(label AS VARCHAR) AS label, exp(l - max(l) OVER (PARTITION BY id)) AS e FROM v_logit),
 v_prob AS (SELECT id, label, e / sum(e) OVER (PARTITION BY id) AS p FROM v_exp),
 v_rank AS (SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY p DESC, label) AS INTEGER) AS rank FROM v_prob)"""
 
-MESSAGES = f"""SELECT conv_id, 0 AS turn, 'system' AS role, system AS content FROM v_chat
-UNION ALL SELECT conv_id, 1, 'user', usr FROM v_chat"""
+MESSAGES = f"""SELECT sample_id, 0 AS turn, 'system' AS role, system AS content FROM v_chat
+UNION ALL SELECT sample_id, 1, 'user', usr FROM v_chat"""
 
 SPLIT = f"""v_split AS (
   SELECT doc_id, source,
@@ -225,7 +229,7 @@ v_off AS (
          CAST((448 - pw) // 2 AS INTEGER) AS px, CAST((448 - ph) // 2 AS INTEGER) AS py
   FROM v_geo)"""
 
-VALID = f"""v_path AS (SELECT conv_id, 'images/' || CAST(conv_id // 3 AS VARCHAR) || '.jpg' AS image_path FROM v_it),
+VALID = f"""v_path AS (SELECT sample_id, 'images/' || CAST(conv_id // 3 AS VARCHAR) || '.jpg' AS image_path FROM v_it),
 v_ok AS (SELECT DISTINCT image_path FROM v_path WHERE {u('valid', 'image_path')} < 0.75)"""
 
 MESSAGE_TEXTS = [
@@ -238,6 +242,8 @@ MESSAGE_TEXTS = [
 ]
 ERRORS = ["Timeout", "Connection Error", "Not Found (404)", "SSL Error", "Memory Error", "Other"]
 
+ERROR_TYPE = f"CASE WHEN told THEN ({listing(ERRORS)})[k % 6 + 1] ELSE 'Other' END"
+
 RETURNED = f"""v_back AS (
   SELECT question_id, answer FROM v_a
   WHERE {u('returned', 'question_id')} < 0.8 AND {u('cut', 'question_id')} >= 0.05)"""
@@ -251,13 +257,14 @@ v_vocab AS (
 def padded(train: bool) -> str:
     place = "p.pos" if train else "p.pos - (p.longest - l.len)"
     return f"""WITH {token_view(train)},
-v_ids AS (SELECT conv_id, pos, {TOKEN_ID} AS token_id FROM v_tok),
-l AS (SELECT conv_id, conv_id // 16 AS batch, count(*) AS len FROM v_ids GROUP BY conv_id),
+v_ids AS (SELECT sample_id, pos, {TOKEN_ID} AS token_id FROM v_tok),
+l AS (SELECT i.sample_id, any_value(v.conv_id) // 16 AS batch, count(*) AS len
+      FROM v_ids i JOIN v_it v ON v.sample_id = i.sample_id GROUP BY i.sample_id),
 m AS (SELECT batch, max(len) AS longest FROM l GROUP BY batch),
 p AS (SELECT batch, longest, unnest(range(longest)) AS pos FROM m)
-SELECT l.batch, l.conv_id, CAST(p.pos AS INTEGER) AS pos, CAST(coalesce(i.token_id, 128001) AS INTEGER) AS token_id,
+SELECT l.batch, l.sample_id, CAST(p.pos AS INTEGER) AS pos, CAST(coalesce(i.token_id, 128001) AS INTEGER) AS token_id,
        CASE WHEN i.token_id IS NULL THEN 0 ELSE 1 END AS attention
-FROM l JOIN p ON l.batch = p.batch LEFT JOIN v_ids i ON i.conv_id = l.conv_id AND i.pos = {place}"""
+FROM l JOIN p ON l.batch = p.batch LEFT JOIN v_ids i ON i.sample_id = l.sample_id AND i.pos = {place}"""
 
 
 def zero_shot(k: int) -> str:
@@ -286,15 +293,15 @@ LOGS = """v_log AS (
   UNION ALL SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS DOUBLE) FROM events)"""
 
 REQUEST = f"""v_req AS (
-  SELECT conv_id * 100 + turn AS request_id, text, {u('request', '(conv_id * 100 + turn)')} AS u
-  FROM conversations WHERE role = 'user'),
+  SELECT request_id, text, {u('request', 'request_id')} AS u
+  FROM (SELECT {turn_key()} AS request_id, text FROM conversations WHERE role = 'user')),
 v_msg AS (
   SELECT *, CASE WHEN u < 0.1 THEN '' WHEN u < 0.3 THEN {strip("'<IMGPLH>' || text")} ELSE {strip('text')} END AS m FROM v_req),
 v_prompt AS (
   SELECT *, CASE WHEN m = '' THEN {s(K.SERVE_DEFAULT_PROMPT)} ELSE m || {s(K.SERVE_SUFFIX)} END AS p FROM v_msg)"""
 
 V_DEC = V_IT + f""",
-v_dec AS (SELECT conv_id, coalesce(outputs, '') AS reply, {u('decoded', 'conv_id')} AS u FROM v_it)"""
+v_dec AS (SELECT sample_id, coalesce(outputs, '') AS reply, {u('decoded', 'sample_id')} AS u FROM v_it)"""
 
 DUMP = """v_line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -338,7 +345,7 @@ SELECT total AS total_images, good AS downloaded, total - good AS failed, {r6('g
   {r6('secs / good')} AS average_seconds, {r6('wall')} AS total_seconds, {r6('good / wall')} AS images_per_second,
   {r6('good / secs')} AS theoretical_images_per_second, crops AS center_cropped, pads AS padded FROM t""",
     "error_types": f"""WITH {V_FETCH}
-SELECT ({listing(ERRORS)})[k % 6 + 1] AS error_type, count(*) AS n_errors FROM v_fetch WHERE NOT ok GROUP BY 1""",
+SELECT {ERROR_TYPE} AS error_type, count(*) AS n_errors FROM v_fetch WHERE ok IS NOT TRUE GROUP BY 1""",
     "ingest_progress": f"""WITH {V_FETCH}
 SELECT subset, count(*) AS total, count(*) FILTER (WHERE ok) AS processed,
   CAST(floor((count(*) FILTER (WHERE ok)) * 100 / count(*)) AS BIGINT) AS percent,
@@ -350,30 +357,30 @@ SELECT 'Caption the image.' AS instruction,
   capsfusion AS outputs, 'images/' || md5(image_url) || '.jpg' AS image_path FROM v_links""",
     "subset_union": f"""WITH {V_LINKS}, {V_IT}
 SELECT 'captions' AS subset, page_id AS position, NULL AS instruction, NULL AS inputs, capsfusion AS outputs FROM v_links
-UNION ALL SELECT 'dialogs', conv_id, instruction, inputs, outputs FROM v_it
+UNION ALL SELECT 'dialogs', row_number() OVER (ORDER BY sample_id) - 1, instruction, inputs, outputs FROM v_it
 UNION ALL SELECT 'texts', doc_id, NULL, text, NULL FROM documents""",
     "offset_image_ids": f"""WITH {V_IT},
 n AS (SELECT (SELECT count(*) FROM documents) AS d, (SELECT count(*) FROM pages) AS p)
 SELECT 'texts' AS subset, doc_id AS position, doc_id AS image_id FROM documents
 UNION ALL SELECT 'captions', page_id, page_id + d FROM pages, n
-UNION ALL SELECT 'dialogs', conv_id, conv_id + d + p FROM v_it, n""",
+UNION ALL SELECT 'dialogs', i, i + d + p FROM (SELECT row_number() OVER (ORDER BY sample_id) - 1 AS i FROM v_it), n""",
     "dense_image_ids": """SELECT source AS subset, doc_id AS position, row_number() OVER (ORDER BY source, doc_id) - 1 AS image_id FROM documents""",
     "mix_prompt": f"""WITH {V_IT},
-d AS (SELECT conv_id, coalesce(instruction, '') AS a, coalesce(inputs, '') AS b, outputs, {u('mix', 'conv_id')} AS u FROM v_it)
-SELECT conv_id, CASE WHEN u < 0.66 THEN '' ELSE a END AS instruction,
+d AS (SELECT sample_id, coalesce(instruction, '') AS a, coalesce(inputs, '') AS b, outputs, {u('mix', 'sample_id')} AS u FROM v_it)
+SELECT sample_id, CASE WHEN u < 0.66 THEN '' ELSE a END AS instruction,
   CASE WHEN u < 0.33 THEN b || a WHEN u < 0.66 THEN a || b ELSE b END AS inputs, outputs FROM d""",
     "mix_prompt_distribution": f"""SELECT CASE WHEN {u('mix', 'doc_id')} < 0.33 THEN 'inputs+instruction'
   WHEN {u('mix', 'doc_id')} < 0.66 THEN 'instruction+inputs' ELSE 'unchanged' END AS kind, count(*) AS n_rows
 FROM documents GROUP BY 1""",
-    "keep_valid": f"WITH {V_IT}, {VALID} SELECT conv_id, image_path FROM v_path WHERE image_path IN (SELECT image_path FROM v_ok)",
+    "keep_valid": f"WITH {V_IT}, {VALID} SELECT sample_id, image_path FROM v_path WHERE image_path IN (SELECT image_path FROM v_ok)",
     "validation_summary": f"""WITH {V_IT}, {VALID}
 SELECT count(*) AS initial_rows, count(*) FILTER (WHERE image_path IN (SELECT image_path FROM v_ok)) AS valid_rows,
   count(*) FILTER (WHERE image_path NOT IN (SELECT image_path FROM v_ok)) AS removed_rows FROM v_path""",
     "ensure_placeholder": f"""WITH {V_IT},
-d AS (SELECT conv_id, CASE WHEN {u('placed', 'conv_id')} < 0.3 THEN 'Look: <IMGPLH> ' || inputs ELSE inputs END AS t FROM v_it)
-SELECT conv_id, CASE WHEN contains(coalesce(t, ''), '<IMGPLH>') THEN t ELSE '<IMGPLH>' || coalesce(t, '') END AS inputs FROM d""",
-    "expand_placeholder": f"WITH {chat_view()} SELECT conv_id, usr AS inputs FROM v_chat",
-    "to_messages": f"WITH {chat_view()} {MESSAGES} UNION ALL SELECT conv_id, 2, 'assistant', assistant FROM v_chat",
+d AS (SELECT sample_id, CASE WHEN {u('placed', 'sample_id')} < 0.3 THEN 'Look: <IMGPLH> ' || inputs ELSE inputs END AS t FROM v_it)
+SELECT sample_id, CASE WHEN contains(coalesce(t, ''), '<IMGPLH>') THEN t ELSE '<IMGPLH>' || coalesce(t, '') END AS inputs FROM d""",
+    "expand_placeholder": f"WITH {chat_view()} SELECT sample_id, usr AS inputs FROM v_chat",
+    "to_messages": f"WITH {chat_view()} {MESSAGES} UNION ALL SELECT sample_id, 2, 'assistant', assistant FROM v_chat",
     "generation_messages": f"WITH {chat_view()} {MESSAGES}",
     "normalize_conversation": f"""WITH {DUMP}
 SELECT doc_id, 0 AS turn, 'system' AS role, 'You are a powerful visual assistant.' AS content FROM documents
@@ -383,15 +390,15 @@ SELECT doc_id, CAST(turn AS INTEGER), (['user', 'assistant', 'tool'])[CAST((turn
     "normalize_turns": """SELECT DISTINCT conv_id, CAST(-1 AS BIGINT) AS turn, 'system' AS role, 'You are a powerful visual assistant.' AS content FROM conversations
 UNION ALL SELECT conv_id, turn, role, '<IMGPLH>' || text FROM conversations""",
     "alpaca_messages": f"""WITH {V_IT}
-SELECT conv_id, 0 AS turn, 'system' AS role, 'You are a powerful visual assistant.' AS content FROM v_it
-UNION ALL SELECT conv_id, 1, 'user', inputs FROM v_it UNION ALL SELECT conv_id, 2, 'assistant', outputs FROM v_it""",
+SELECT sample_id, 0 AS turn, 'system' AS role, 'You are a powerful visual assistant.' AS content FROM v_it
+UNION ALL SELECT sample_id, 1, 'user', inputs FROM v_it UNION ALL SELECT sample_id, 2, 'assistant', outputs FROM v_it""",
     "vqa_join": f"WITH {V_VQA} SELECT question_id, image_id, question, answer AS multiple_choice_answer, answer_type FROM v_vqa",
     "vqa_prompts": f"""WITH {V_VQA}
 SELECT image_id, 'VQA/' || image_id AS image_path,
   '<sys>You are a useful Visual Assitant</sys><user>' || question || '</user><assist>'
   || CASE WHEN answer_type = 'other' THEN 'It''s ' ELSE '' END || answer || '</assist>' AS prompt FROM v_vqa""",
-    "render_chat_train": f"WITH {chat_view()} SELECT conv_id, {HEAD} || {USER} || {ANSWER} AS text FROM v_chat",
-    "render_chat_eval": f"WITH {chat_view()} SELECT conv_id, {HEAD} || {USER} || {PROMPT} AS text FROM v_chat",
+    "render_chat_train": f"WITH {chat_view()} SELECT sample_id, {HEAD} || {USER} || {ANSWER} AS text FROM v_chat",
+    "render_chat_eval": f"WITH {chat_view()} SELECT sample_id, {HEAD} || {USER} || {PROMPT} AS text FROM v_chat",
     "render_inference": f"""WITH {V_VQA},
 v_ask AS (SELECT question_id, 'You are a powerful visual assistant.' AS system,
   replace('<IMGPLH>' || question, '<IMGPLH>', '<IMAGE>' || repeat('<Image_Token>', 64) || '<IMAGE_END>') AS usr FROM v_q)
@@ -409,32 +416,32 @@ FROM (SELECT unnest(range(4)) AS i)""",
 SELECT doc_id, count(*) AS n_tokens, CAST(sum(token_id) AS BIGINT) AS id_sum, max(token_id) AS id_max
 FROM v_tokens JOIN v_vocab USING (token) GROUP BY doc_id""",
     "assistant_mask": f"""WITH {token_view()}
-SELECT conv_id, CAST(pos AS INTEGER) AS pos, CAST({TOKEN_ID} AS INTEGER) AS token_id, mask FROM v_tok""",
+SELECT sample_id, CAST(pos AS INTEGER) AS pos, CAST({TOKEN_ID} AS INTEGER) AS token_id, mask FROM v_tok""",
     "label_mask": f"""WITH {token_view()},
-m AS (SELECT conv_id, pos, tok, CASE WHEN mask = 1 OR lag(mask) OVER (PARTITION BY conv_id ORDER BY pos) = 1 THEN 1 ELSE 0 END AS mask FROM v_tok)
-SELECT conv_id, CAST(pos AS INTEGER) AS pos, mask, CAST(CASE WHEN mask = 1 THEN {TOKEN_ID} ELSE -100 END AS INTEGER) AS label FROM m""",
+m AS (SELECT sample_id, pos, tok, CASE WHEN mask = 1 OR lag(mask) OVER (PARTITION BY sample_id ORDER BY pos) = 1 THEN 1 ELSE 0 END AS mask FROM v_tok)
+SELECT sample_id, CAST(pos AS INTEGER) AS pos, mask, CAST(CASE WHEN mask = 1 THEN {TOKEN_ID} ELSE -100 END AS INTEGER) AS label FROM m""",
     "pad_right": padded(True),
     "pad_left": padded(False),
     "collate_batches": f"""WITH {V_IT}
-SELECT conv_id // 16 AS batch, string_agg(CAST(conv_id AS VARCHAR), '|' ORDER BY conv_id) AS conv_ids,
-  string_agg(coalesce(inputs, ''), '|' ORDER BY conv_id) AS inputs, string_agg(coalesce(outputs, ''), '|' ORDER BY conv_id) AS outputs
+SELECT conv_id // 16 AS batch, string_agg(CAST(sample_id AS VARCHAR), '|' ORDER BY sample_id) AS sample_ids,
+  string_agg(coalesce(inputs, ''), '|' ORDER BY sample_id) AS inputs, string_agg(coalesce(outputs, ''), '|' ORDER BY sample_id) AS outputs
 FROM v_it GROUP BY 1""",
     "align_patches": f"""WITH {token_view(n=16)}, {V_PATCH},
-i AS (SELECT conv_id, pos, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS rank FROM v_tok WHERE tok = '<Image_Token>')
-SELECT conv_id AS sample_id, CAST(rank AS INTEGER) AS patch_rank, CAST(pos AS INTEGER) AS position,
+i AS (SELECT sample_id, pos, row_number() OVER (PARTITION BY sample_id ORDER BY pos) - 1 AS rank FROM v_tok WHERE tok = '<Image_Token>')
+SELECT i.sample_id, CAST(rank AS INTEGER) AS patch_rank, CAST(pos AS INTEGER) AS position,
   {r6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS embedding_sum
-FROM i JOIN v_patch p ON p.image_id = conv_id AND p.patch_idx = rank""",
+FROM i JOIN v_it v ON v.sample_id = i.sample_id JOIN v_patch p ON p.image_id = v.conv_id AND p.patch_idx = rank""",
     "train_split": f"WITH {SPLIT} SELECT doc_id, source FROM v_split WHERE split = 'train'",
     "valid_split": f"WITH {SPLIT} SELECT doc_id, source FROM v_split WHERE split = 'valid'",
     "split_counts": f"WITH {SPLIT} SELECT split, count(*) AS n_rows FROM v_split GROUP BY split",
     "rendered_prompts": f"""WITH {V_IT},
-d AS (SELECT conv_id, coalesce(instruction, '') AS a, coalesce(inputs, '') AS b, coalesce(outputs, '') AS assistant, {u('mix', 'conv_id')} AS u,
-  row_number() OVER (ORDER BY {h32('42', 'conv_id')}, conv_id) AS rn, count(*) OVER () AS n FROM v_it),
-v_mixed AS (SELECT conv_id, assistant, rn, n, {s(K.TRAIN_SYSTEM_PROMPT)} || CASE WHEN u < 0.66 THEN '' ELSE a END AS system,
+d AS (SELECT sample_id, coalesce(instruction, '') AS a, coalesce(inputs, '') AS b, coalesce(outputs, '') AS assistant, {u('mix', 'sample_id')} AS u,
+  row_number() OVER (ORDER BY {h32('42', 'sample_id')}, sample_id) AS rn, count(*) OVER () AS n FROM v_it),
+v_mixed AS (SELECT sample_id, assistant, rn, n, {s(K.TRAIN_SYSTEM_PROMPT)} || CASE WHEN u < 0.66 THEN '' ELSE a END AS system,
   CASE WHEN u < 0.33 THEN b || a WHEN u < 0.66 THEN a || b ELSE b END AS t FROM d),
 v_ready AS (SELECT *, replace(CASE WHEN contains(t, '<IMGPLH>') THEN t ELSE '<IMGPLH>' || t END, '<IMGPLH>',
   '<Image>' || repeat('<Image_Token>', 64) || '<Image_End>') AS usr FROM v_mixed)
-SELECT conv_id, CASE WHEN rn <= n - CAST(trunc(n * 0.9::DOUBLE) AS BIGINT) THEN 'valid' ELSE 'train' END AS split,
+SELECT sample_id, CASE WHEN rn <= n - CAST(trunc(n * 0.9::DOUBLE) AS BIGINT) THEN 'valid' ELSE 'train' END AS split,
   {HEAD} || {USER} || {ANSWER} AS text FROM v_ready""",
     "llm_requests": f"""WITH {V_VQA}
 SELECT CAST(question_id AS VARCHAR) AS custom_id,
@@ -472,7 +479,7 @@ d AS (SELECT image_id, patch_idx // 4 // 2 * 2 + patch_idx % 4 // 2 AS cell, unn
         generate_subscripts(embedding, 1) - 1 AS dim FROM v_patch)
 SELECT image_id, CAST(cell AS INTEGER) AS cell, CAST(dim AS INTEGER) AS dim, {r6('avg(x)')} AS value FROM d GROUP BY image_id, cell, dim""",
     "label_last_wins": """SELECT 'label_' || label AS label, 'description of line ' || max(vec_id) AS description FROM embeddings GROUP BY label""",
-    "extract_reply": f"WITH {V_DEC} SELECT conv_id, CASE WHEN u >= 0.1 THEN reply END AS reply FROM v_dec",
+    "extract_reply": f"WITH {V_DEC} SELECT sample_id, CASE WHEN u >= 0.1 THEN reply END AS reply FROM v_dec",
     "eval_prompt": f"""WITH {V_VQA}
 SELECT question_id, '<IMGPLH>' || question AS prompt, '<IMGPLH>' || question || {s(K.REASONING_SUFFIX)} AS reasoning_prompt FROM v_q""",
     "format_answers": f"""SELECT source AS category, doc_id || '.jpg' AS img_name, lang AS question, 'Yes' AS gt_ans,
@@ -506,20 +513,21 @@ SELECT step, CASE WHEN name IN ('loss', 'learning_rate') THEN 'training/' ELSE '
   {r6('value')} AS value, 'eval_' || name AS prefixed FROM v_log WHERE NOT starts_with(name, 'eval_')""",
     "metric_routing_eval": f"WITH {LOGS} SELECT step, 'evaluation/' || name AS tag, {r6('value')} AS value FROM v_log",
     "nested_questions": f"""WITH {DUMP}
-SELECT doc_id * 100000 + turn - 1 AS question_id, doc_id AS image_id, line AS question FROM v_line""",
+SELECT ('0x' || substr(md5(doc_id || ':' || (turn - 1)), 1, 15))::BIGINT AS question_id, doc_id AS image_id, line AS question FROM v_line""",
     "answers_json": f"""WITH {DUMP}
 SELECT turn - 1 AS ord, source || '/' || v.doc_id AS question_id, 'Is it ' || line AS question, 'Yes' AS gt_ans, line AS pred_ans
-FROM v_line v JOIN documents d ON d.doc_id = v.doc_id""",
+FROM v_line v JOIN documents d ON d.doc_id = v.doc_id WHERE {u('torn', 'v.doc_id')} >= 0.05
+UNION ALL SELECT -1, NULL, NULL, NULL, NULL FROM documents WHERE {u('torn', 'doc_id')} < 0.05""",
     "header_size": f"WITH {V_LINKS} SELECT page_id, w AS width, h AS height FROM v_links",
     "fetched_sizes": f"""WITH {V_FETCH}
 SELECT event_id, identifier, w AS original_width, h AS original_height FROM v_fetch WHERE ok AND {u('outcome', 'identifier')} < 0.75""",
     "failed_downloads": f"""WITH {V_FETCH}
-SELECT 'http://h/' || identifier AS url, identifier, ({listing(MESSAGE_TEXTS)})[k % 6 + 1] AS error FROM v_fetch WHERE NOT ok""",
+SELECT 'http://h/' || identifier AS url, identifier, CASE WHEN told THEN ({listing(MESSAGE_TEXTS)})[k % 6 + 1] END AS error FROM v_fetch WHERE ok IS NOT TRUE""",
     "report_text": f"""WITH {V_FETCH},
 t AS (SELECT count(*) AS total, count(*) FILTER (WHERE ok) AS good, sum(elapsed) FILTER (WHERE ok) AS secs,
         count(*) FILTER (WHERE ok AND least(w, h)::DOUBLE / greatest(w, h) >= 0.6) AS crops,
         count(*) FILTER (WHERE ok AND least(w, h)::DOUBLE / greatest(w, h) < 0.6) AS pads FROM v_fetch),
-e AS (SELECT ({listing(ERRORS)})[k % 6 + 1] AS error_type, count(*) AS n FROM v_fetch WHERE NOT ok GROUP BY 1)
+e AS (SELECT {ERROR_TYPE} AS error_type, count(*) AS n FROM v_fetch WHERE ok IS NOT TRUE GROUP BY 1)
 SELECT array_to_string(['Download Report', repeat('=', 50), 'Total images processed: ' || total, 'Successfully downloaded: ' || good,
   'Failed downloads: ' || (total - good), format('Success rate: {{:.2f}}%', good::DOUBLE / total * 100),
   format('Average download time per image: {{:.2f}} seconds', secs / good), 'Total processing time: 1000.00 seconds',
@@ -532,13 +540,16 @@ SELECT array_to_string(['Download Report', repeat('=', 50), 'Total images proces
   CAST(('0x' || substr(hex(encode(text)), 1, 2))::BIGINT AS DOUBLE) AS first FROM documents""",
     "llm_augment": f"""WITH {V_VQA},
 r AS (SELECT question_id, (row_number() OVER (ORDER BY question_id) - 1) // 50 AS batch FROM v_vqa)
-SELECT CAST(question_id AS VARCHAR) AS custom_id, 'batch ' || batch AS answer FROM r WHERE batch <> 1""",
+SELECT CAST(question_id AS VARCHAR) AS custom_id, 'batch ' || batch AS answer, batch, NULL AS error FROM r WHERE batch <> 1
+UNION ALL SELECT DISTINCT NULL, NULL, batch, 'batch failed' FROM r WHERE batch = 1""",
     "tokenizer_hook": f"""WITH {chat_view()},
-p AS (SELECT conv_id, [length({HEAD}), length({header('user')}), length({strip('usr')}), 10,
+p AS (SELECT sample_id, [length({HEAD}), length({header('user')}), length({strip('usr')}), 10,
         length({header('assistant')}), length({strip('assistant')}) + 1, 10] AS n FROM v_chat)
-SELECT conv_id, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS pos, CAST(unnest(n) AS INTEGER) AS token_id,
+SELECT sample_id, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS pos, CAST(unnest(n) AS INTEGER) AS token_id,
   CASE WHEN generate_subscripts(n, 1) = 6 THEN 1 ELSE 0 END AS mask FROM p""",
-    "collate_hook": "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents",
+    "collate_hook": """SELECT doc_id, doc_id // 16 AS batch, CAST(length(text) AS BIGINT) AS n_chars,
+  CAST(max(length(text)) OVER w - length(text) AS BIGINT) AS n_padding, count(*) OVER w AS n_rows
+FROM documents WINDOW w AS (PARTITION BY doc_id // 16)""",
     "ingest_stream": "SELECT url AS image_url, md5(url) AS identifier, CAST(length(url) AS INTEGER) AS original_width, CAST(0 AS BIGINT) AS batch_id FROM pages",
     "stream_counts": "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n_rows FROM events GROUP BY 1",
     "serve_requests": f"""WITH {REQUEST},

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.rand import hash_uniform
+from ..operators.numbering import number_rows
+from ..operators.similarity import label_centroids
 
 TASKS = [task for tasks in K.TASK_TYPES.values() for task in tasks]
 
@@ -56,6 +58,8 @@ def link_manifest(spark, sf_dir) -> DataFrame:
 def fetches(spark, sf_dir) -> DataFrame:
     events = table(spark, sf_dir, "events")
     ok = F.col("event_type") != "error"
+    # the outcome of about 2 % was never recorded
+    recorded = F.when(hash_uniform("event_id", "lost") >= 0.02, ok)
     key = F.col("event_id").cast("string")
     k = F.get_json_object("props", "$.k").cast("int")
     messages = F.array(*[F.lit(m) for m in ERROR_MESSAGES])
@@ -65,25 +69,36 @@ def fetches(spark, sf_dir) -> DataFrame:
         key.alias("identifier"),
         (F.col("user_id") % 29).alias("subset"),
         F.floor(F.col("event_id") / 1000).alias("batch_id"),
-        ok.alias("ok"),
+        recorded.alias("ok"),
         F.col("value").alias("elapsed"),
         F.when(~ok, F.element_at(messages, (k % 6 + 1).cast("int"))).alias("error"),
-        F.when(ok, _digest_int(key, 1) % 1500 + 64).alias("original_width"),
-        F.when(ok, _digest_int(key, 5) % 1500 + 64).alias("original_height"),
+        F.when(recorded, _digest_int(key, 1) % 1500 + 64).alias("original_width"),
+        F.when(recorded, _digest_int(key, 5) % 1500 + 64).alias("original_height"),
     )
 
 
-def it_samples(spark, sf_dir) -> DataFrame:
-    """One instruction sample per conversation; partial aggregation only keeps
-    the first turn per role."""
+def turn_key(turn: Column | None = None) -> Column:
+    """Id of a turn of a conversation, without a bound on the number of turns."""
+    name = F.concat_ws(":", "conv_id", turn if turn is not None else F.col("turn"))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint")
 
-    def first(role: str) -> Column:
-        return F.min_by("text", F.when(F.col("role") == role, F.col("turn")))
 
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(
-        first("system").alias("instruction"),
-        first("user").alias("inputs"),
-        first("assistant").alias("outputs"),
+def it_samples(spark, sf_dir) -> DataFrame:
+    """One instruction sample per user turn and per answer: a question, the
+    answer of the next turn, and the conversation's first system turn.
+
+    A question without an answer has null outputs, an answer to no question null
+    inputs, so every user and assistant turn is in exactly one sample.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    asked = turns.where(F.col("role") == "user").select("conv_id", "turn", F.col("text").alias("inputs"))
+    answered = turns.where(F.col("role") == "assistant").select(
+        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("outputs")
+    )
+    system = turns.where(F.col("role") == "system").groupBy("conv_id").agg(F.min_by("text", "turn").alias("instruction"))
+    return (
+        asked.join(answered, ["conv_id", "turn"], "full").join(system, "conv_id", "left")
+        .select(turn_key().alias("sample_id"), "conv_id", "instruction", "inputs", "outputs")
     )
 
 
@@ -103,14 +118,14 @@ def dump(spark, sf_dir) -> DataFrame:
 
 def vqa_questions(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("question_id"),
+        turn_key().alias("question_id"),
         F.col("conv_id").alias("image_id"),
         F.col("text").alias("question"),
     )
 
 
 def vqa_annotations(spark, sf_dir) -> DataFrame:
-    qid = F.col("conv_id") * 100 + F.col("turn") - 1
+    qid = turn_key(F.col("turn") - 1)
     return table(spark, sf_dir, "conversations").where(F.col("role") == "assistant").select(
         qid.alias("question_id"),
         F.col("conv_id").alias("image_id"),
@@ -120,32 +135,42 @@ def vqa_annotations(spark, sf_dir) -> DataFrame:
 
 
 def mme_answers(spark, sf_dir) -> DataFrame:
-    """Labelled documents as benchmark answers; two neighbouring documents make
-    an image, kept when both are labelled."""
-    pair = F.floor(F.col("doc_id") / 2)
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", pair.alias("pair"))
-    full = labels.groupBy("pair").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 2)
+    """All labelled documents as benchmark answers; two neighbours in the order
+    of ids make an image, and the last may stay alone."""
+    labels = number_rows(
+        table(spark, sf_dir, "labels").select("doc_id", "quality"),
+        order=[F.col("doc_id")], bucket=F.floor(F.col("doc_id") / 1000), name="position",
+    ).withColumn("pair", F.floor(F.col("position") / 2))
     texts = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("pred_ans"))
     names = F.array(*[F.lit(t) for t in TASKS])
-    return (
-        labels.join(full.select("pair"), "pair", "left_semi")
-        .join(texts, "doc_id")
-        .select(
-            "doc_id",
-            "pair",
-            F.element_at(names, (F.col("pair") % len(TASKS) + 1).cast("int")).alias("category"),
-            F.when(F.col("quality") == 1, F.lit("Yes")).otherwise(F.lit("No")).alias("gt_ans"),
-            "pred_ans",
-        )
+    return labels.join(texts, "doc_id").select(
+        "doc_id",
+        "pair",
+        F.element_at(names, (F.col("pair") % len(TASKS) + 1).cast("int")).alias("category"),
+        F.when(F.col("quality") == 1, F.lit("Yes")).otherwise(F.lit("No")).alias("gt_ans"),
+        "pred_ans",
     )
 
 
 def items(spark, sf_dir) -> DataFrame:
-    """Embeddings to classify; about 2 % lost their image."""
+    """Embeddings to classify; about 2 % lost their image, about 2 % are all zero."""
+    blank = F.transform("embedding", lambda x: x * 0)
     return table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias("id"),
-        F.when(hash_uniform("vec_id", "broken") >= 0.02, F.col("embedding")).alias("embedding"),
+        F.when(hash_uniform("vec_id", "broken") < 0.02, None)
+        .when(hash_uniform("vec_id", "blank") < 0.02, blank)
+        .otherwise(F.col("embedding")).alias("embedding"),
+    )
+
+
+def taxonomy(spark, sf_dir) -> DataFrame:
+    """A label per embedding label, and some whose vector is null or all zero."""
+    blank = F.when(F.col("vec_id") % 2 == 0, F.transform("embedding", lambda x: (x * 0).cast("double")))
+    empty = table(spark, sf_dir, "embeddings").where(hash_uniform("vec_id", "empty") < 0.05).select(
+        F.concat(F.lit("empty "), F.col("vec_id").cast("string")).alias("label"), blank.alias("embedding")
     )
+    centroids = label_centroids(table(spark, sf_dir, "embeddings"))
+    return centroids.select(F.col("label").cast("string").alias("label"), "embedding").unionByName(empty)
 
 
 def patches(spark, sf_dir) -> DataFrame:
@@ -220,20 +245,20 @@ def repeated_response_lines(spark, sf_dir) -> DataFrame:
 
 def decoded_samples(spark, sf_dir) -> DataFrame:
     """Decoded generations: some without a reply marker, some with two."""
-    u = hash_uniform("conv_id", "decoded")
+    u = hash_uniform("sample_id", "decoded")
     marker = F.lit(K.REPLY_MARKER)
     reply = F.coalesce("outputs", F.lit(""))
     tail = F.when(u < 0.1, reply).when(u > 0.8, F.concat(marker, reply, marker, F.lit("again"))).otherwise(
         F.concat(marker, reply)
     )
     return it_samples(spark, sf_dir).select(
-        "conv_id", F.concat(F.lit("user\n\n"), F.coalesce("inputs", F.lit("")), tail).alias("decoded")
+        "sample_id", F.concat(F.lit("user\n\n"), F.coalesce("inputs", F.lit("")), tail).alias("decoded")
     )
 
 
 def model_requests(spark, sf_dir) -> DataFrame:
     """Interactive requests from user turns: some blank, some with an image."""
-    key = F.col("conv_id") * 100 + F.col("turn")
+    key = turn_key()
     u = hash_uniform(key, "request")
     image = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8")))
     return table(spark, sf_dir, "conversations").where(F.col("role") == "user").select(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -10,12 +11,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "pixquill", master: str | None = None, **conf) -> SparkSession:
+#: Input bytes that one shuffle partition should stand for.
+PARTITION_BYTES = 128 << 20
+
+
+def build_session(app: str = "pixquill", master: str | None = None, input_bytes: int | None = None, **conf) -> SparkSession:
     """Session with the settings the operators are written for.
 
-    Shuffle partition counts are left to adaptive execution, which coalesces
-    small partitions and splits skewed ones of sort-merge joins.
+    Adaptive execution coalesces small shuffle partitions and splits skewed ones
+    of sort-merge joins, but it never adds any: give ``input_bytes``, the size of
+    what will be read, to start from enough of them.
     """
+    if input_bytes:
+        first = str(max(200, -(-input_bytes // PARTITION_BYTES)))
+        conf.setdefault("spark.sql.adaptive.coalescePartitions.initialPartitionNum", first)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -29,7 +38,24 @@ def build_session(app: str = "pixquill", master: str | None = None, **conf) -> S
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; functions name it there.
+
+    Needless where it is installed on all machines, and harmless there.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_pixquill_shipped", False):
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="pixquill-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/pixquill", "zip", home, "pixquill"))
+    context._pixquill_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:

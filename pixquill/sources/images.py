@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.imagebytes import header_size
+from ..operators.joins import skew_join
+from .tables import path_exists
 
 IMAGE_GLOB = "*.{jpg,jpeg,JPG,JPEG,png,webp,avif}"
 PHOTO_GLOB = "*.{jpg,jpeg,JPG,JPEG}"
@@ -87,7 +89,7 @@ def url_fetcher(timeout: float = K.FETCH_TIMEOUT_SECONDS) -> Callable[[str], byt
 def fetch_images(
     links: DataFrame,
     fetch: Callable[[str], bytes] | None = None,
-    threads: int = 16,
+    threads: int = K.FETCH_THREADS,
     partitions: int | None = None,
     max_attempts: int = 1,
 ) -> DataFrame:
@@ -100,8 +102,11 @@ def fetch_images(
     reading it twice.
     """
     fetch = fetch or url_fetcher()
-    distinct = links.select("identifier", "image_url").distinct()
-    spread = distinct.repartition(*([partitions] if partitions else []), "identifier")
+    rows = links.select("identifier", "image_url")
+    if partitions:
+        # one exchange by identifier serves the removal of copies too
+        rows = rows.repartition(partitions, "identifier")
+    spread = rows.dropDuplicates(["identifier", "image_url"])
 
     def one(url: str):
         import time
@@ -131,13 +136,46 @@ def fetch_images(
     return spread.mapInPandas(run, OUTCOME)
 
 
+def fetch_in_chunks(
+    links: DataFrame,
+    path: str,
+    fetch: Callable[[str], bytes] | None = None,
+    chunk: int = K.CHUNK_ROWS,
+    **how,
+) -> DataFrame:
+    """Fetch outcomes with header sizes, kept chunk by chunk under ``path``.
+
+    Images are dealt into chunks of about ``chunk`` by a hash of the identifier;
+    a finished chunk is a folder ``chunk=N/of=M`` and is never fetched again, so
+    a run that died goes on where it stopped.  An outcome whose bytes are no
+    image counts as failed.
+    """
+    spark = links.sparkSession
+    distinct = links.select("identifier", "image_url").distinct()
+    mark = f"{path}/plan"
+    if not path_exists(spark, mark):
+        chunks = max(1, -(-distinct.count() // chunk))
+        spark.createDataFrame([(chunks,)], "chunks int").write.parquet(mark)
+    chunks = spark.read.parquet(mark).first()["chunks"]
+    number = F.pmod(F.xxhash64("identifier"), F.lit(chunks))
+    known = F.col("original_width").isNotNull()
+    folders = [f"{path}/chunk={n}" for n in range(chunks)]
+    for n, folder in enumerate(folders):
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            continue
+        sized = probe_sizes(fetch_images(links.where(number == n), fetch, **how))
+        error = F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error"))
+        sized.withColumns({"error": error, "ok": F.col("ok") & known}).write.mode("overwrite").parquet(folder)
+    return spark.read.parquet(*folders)
+
+
 def join_local_images(links: DataFrame, files: DataFrame, file_name) -> DataFrame:
     """Offline stand-in for a fetch: outcomes from image files already on disk.
 
     ``file_name`` is a column of the link giving the file name.
     """
     named = links.select("identifier", "image_url", file_name.alias("name")).distinct()
-    joined = named.join(files.select("name", "content"), "name", "left")
+    joined = skew_join(named, files.select("name", "content"), "name")
     return joined.select(
         "identifier",
         "image_url",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 VQA_QUESTIONS = "questions array<struct<question_id: bigint, image_id: bigint, question: string>>"
@@ -42,14 +42,23 @@ def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_answers(spark: SparkSession, path: str) -> DataFrame:
+def read_answers(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """(ord, question_id, question, gt_ans, pred_ans) from arrays of arrays."""
-    return parse_answers(spark.read.option("wholetext", True).text(path))
+    return parse_answers(spark.read.option("wholetext", True).text(path), strict=strict)
 
 
-def parse_answers(documents: DataFrame, value: str = "value") -> DataFrame:
-    """Answer rows of JSON documents, each an array of four-element arrays."""
-    items = documents.select(F.posexplode(F.from_json(value, REPLY)).alias("ord", "_a"))
+def parse_answers(documents: DataFrame, value: str = "value", strict: bool = True) -> DataFrame:
+    """Answer rows of JSON documents, each an array of four-element arrays.
+
+    Strict mode fails on a document that is no such array; otherwise it gives
+    one row of nulls, so that it can be counted.
+    """
+    read = F.from_json(value, REPLY)
+    if strict:
+        refuse = F.raise_error(F.concat(F.lit("no array of answers: "), F.left(F.col(value), F.lit(80))))
+        read = F.when(read.isNull() & F.col(value).isNotNull(), refuse.cast(REPLY)).otherwise(read)
+    explode = F.posexplode if strict else F.posexplode_outer
+    items = documents.select(explode(read).alias("ord", "_a"))
     names = ["question_id", "question", "gt_ans", "pred_ans"]
     return items.select(
         F.col("ord").cast("bigint").alias("ord"),
@@ -67,5 +76,18 @@ def read_special_tokens(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_llm_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response lines as text, for ``parse_llm_responses``."""
-    return spark.read.text(path)
+    """Response lines (value, ord) for ``parse_llm_responses``.
+
+    ``ord`` puts lines in the order of the files' names and then of their lines.
+    """
+    lines = spark.read.text(path)
+    return lines.select("value", line_order().alias("ord"))
+
+
+def line_order() -> Column:
+    """Orders the rows of a text scan by file and place in it: a file's splits are read
+    as blocks, and a split's rows one after another."""
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(
+        F.input_file_name().alias("file"), F.input_file_block_start().alias("block"), within.alias("row")
+    )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .nested import line_order
+
 TSV_COLUMNS = "img_name string, question string, gt_ans string, pred_ans string"
 
 
@@ -20,6 +22,7 @@ def write_table(
     if fmt == "csv":
         # null and "" must stay apart; a blank field is null
         writer = writer.option("header", True).option("escape", '"').option("emptyValue", '""')
+        writer = writer.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     writer.format(fmt).save(path)
 
 
@@ -44,14 +47,27 @@ def _clean(name: str):
     return F.regexp_replace(name, "[\t\r\n]", " ").alias(name)
 
 
-def write_mme_dir(answers: DataFrame, path: str) -> None:
+def write_answers(answers: DataFrame, path: str, part: str = "part") -> None:
+    """(question_id, question, gt_ans, pred_ans) as JSON arrays of four-element arrays.
+
+    Each value of ``part`` becomes one file, in the order of ``ord``; choose parts
+    that fit a task.
+    """
+    item = F.struct("ord", F.array("question_id", "question", "gt_ans", "pred_ans").alias("a"))
+    rows = answers.groupBy(part).agg(F.sort_array(F.collect_list(item)).alias("_items"))
+    text = F.to_json(F.transform("_items", lambda x: x["a"]), {"ignoreNullFields": "false"})
+    rows.select(part, text.alias("value")).write.mode("overwrite").partitionBy(part).text(path)
+
+
+def write_mme_dir(answers: DataFrame, path: str, order: str | None = None) -> None:
     """Tab-separated answers, one folder per category, no header, overwriting.
 
-    A category may be written by several tasks; a pair is found again by image
-    name and order columns, not by line adjacency across files.  Tabs and line
-    breaks inside a field become blanks.
+    With ``order`` the lines of a category follow that column, over its files in
+    the order of their names.  Tabs and line breaks inside a field become blanks.
     """
     fields = ["img_name", "question", "gt_ans", "pred_ans"]
+    if order:
+        answers = answers.repartitionByRange("category", order).sortWithinPartitions("category", order)
     (
         answers.select("category", *[_clean(f) for f in fields])
         .write.mode("overwrite")
@@ -62,7 +78,7 @@ def write_mme_dir(answers: DataFrame, path: str) -> None:
 
 
 def read_mme_dir(spark: SparkSession, path: str) -> DataFrame:
-    """Answer files of a folder with their category.
+    """Answer files of a folder with their category and ``ord``, the order of their lines.
 
     Takes both layouts: ``category=name/`` folders and ``name.txt`` files.
     Missing trailing fields are null.
@@ -72,7 +88,21 @@ def read_mme_dir(spark: SparkSession, path: str) -> DataFrame:
     file = F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B")))
     folder = F.regexp_extract(file, "category=([^/]+)/", 1)
     stem = F.regexp_extract(file, r"([^/]+)\.txt$", 1)
-    return rows.withColumn("category", F.when(folder != "", folder).otherwise(stem))
+    return rows.withColumns({"category": F.when(folder != "", folder).otherwise(stem), "ord": line_order()})
+
+
+def number_lines(lines: DataFrame, category: str = "category") -> DataFrame:
+    """Add ``line``, 0..n-1 in each category by ``ord``: blocks of files are counted, and
+    lines numbered inside a block."""
+    block = F.struct("ord.file", "ord.block")
+    keyed = lines.withColumn("_block", block)
+    sizes = keyed.groupBy(category, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(category).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(category, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy(category, "_block").orderBy("ord.row")) - 1
+    return keyed.withColumn("_in", inside).join(starts, [category, "_block"]).select(
+        *lines.columns, (F.col("_start") + F.col("_in")).alias("line")
+    )
 
 
 def write_images(images: DataFrame, path: str, encoder: Callable | None = None) -> None:

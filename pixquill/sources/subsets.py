@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..operators.corpus import union_subsets
@@ -20,10 +21,12 @@ def read_subsets(
 ) -> tuple[DataFrame, DataFrame]:
     """(samples with a ``subset`` column, status table).
 
-    Folders are ``root/subset=name``.  A subset that is missing or without any
-    readable file contributes no rows and has the status "missing" or "failed";
-    unreadable files inside a subset are skipped.  Subsets may differ in their columns.  With a ``schema`` all
-    subsets are one partitioned scan; otherwise each brings its own columns.
+    Folders are ``root/subset=name``; subsets may differ in their columns.  With
+    a ``schema`` all subsets are one partitioned scan; otherwise each brings its
+    own columns.  Unreadable files are skipped and counted: the status table has
+    ``files`` and ``unreadable`` per subset, and the status "loaded", "partial"
+    (some files are unreadable), "failed" (all are) or "missing".  The count
+    reads footers, and the end of files that gave no rows.
     """
     names = names or K.INSTRUCTION_SUBSETS
     status = {n: "loaded" if path_exists(spark, f"{root}/subset={n}") else "missing" for n in names}
@@ -42,6 +45,45 @@ def read_subsets(
             except AnalysisException:
                 status[n] = "failed"
         samples = union_subsets(frames) if frames else None
-    if samples is None:
-        samples = spark.createDataFrame([], f"{schema or SUBSET_COLUMNS}, subset string")
-    return samples, spark.createDataFrame(list(status.items()), "subset string, status string")
+    return (
+        samples if samples is not None else spark.createDataFrame([], f"{schema or SUBSET_COLUMNS}, subset string"),
+        _files(spark, root, status, samples),
+    )
+
+
+def _files(spark: SparkSession, root: str, status: dict[str, str], samples: DataFrame | None) -> DataFrame:
+    """The status table, with the files of each subset and those that are no Parquet."""
+    rows = spark.createDataFrame(list(status.items()), "subset string, _status string")
+    listed = [f"{root}/subset={n}" for n, s in status.items() if s != "missing"]
+    if not listed:
+        return rows.selectExpr("subset", "_status status", "0L files", "0L unreadable")
+
+    def scan(paths: list[str]) -> DataFrame:
+        reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+        return reader.load(paths)
+
+    def place(path: Column) -> list[Column]:
+        decoded = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+        return [F.regexp_extract(decoded, "subset=([^/]+)/", 1).alias("subset"), F.regexp_extract(decoded, "([^/]+)$", 1).alias("file")]
+
+    files = scan(listed).select("path", *place(F.col("path")))
+    rowless = files
+    if samples is not None:
+        full = samples.select(*place(F.input_file_name())).distinct()
+        rowless = files.join(full, ["subset", "file"], "left_anti")
+    suspects = [r["path"] for r in rowless.select("path").collect()]
+    if suspects:
+        ends = scan(suspects).select(place(F.col("path"))[0], F.substring("content", -4, 4).alias("end"))
+        bad = ends.where(F.coalesce(F.col("end").cast("string"), F.lit("")) != "PAR1").groupBy("subset").agg(F.count(F.lit(1)).alias("_bad"))
+    else:
+        bad = spark.createDataFrame([], "subset string, _bad bigint")
+    counts = files.groupBy("subset").agg(F.count(F.lit(1)).alias("files"))
+    known = rows.join(counts, "subset", "left").join(bad, "subset", "left").select(
+        "subset", "_status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("_bad", F.lit(0)).alias("unreadable")
+    )
+    return known.select(
+        "subset",
+        F.when(F.col("_status") != "loaded", F.col("_status")).when(F.col("unreadable") == F.col("files"), "failed")
+        .when(F.col("unreadable") > 0, "partial").otherwise("loaded").alias("status"),
+        "files", "unreadable",
+    )

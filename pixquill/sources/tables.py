@@ -46,8 +46,8 @@ def read_links(spark: SparkSession, path: str, line_breaks: bool = True) -> Data
     return require_columns(links, ["image_url", "capsfusion"]).select("image_url", "capsfusion")
 
 
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    return require_columns(_table(spark, path, SAMPLES), ["instruction", "inputs", "outputs", "image_path"])
+def read_samples(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    return require_columns(_table(spark, path, SAMPLES, line_breaks), ["instruction", "inputs", "outputs", "image_path"])
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -59,9 +59,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).withColumn("file", F.input_file_name())
 
 
-def read_identifiers(spark: SparkSession, path: str) -> DataFrame:
+def read_identifiers(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Cached (image_url, identifier) pairs, CSV or parquet."""
-    return _table(spark, path, "image_url string, identifier string").select("image_url", "identifier")
+    return _table(spark, path, "image_url string, identifier string", line_breaks).select("image_url", "identifier")
 
 
 def read_scalars(spark: SparkSession, path: str, tag: str | None = None) -> DataFrame:
@@ -70,14 +70,14 @@ def read_scalars(spark: SparkSession, path: str, tag: str | None = None) -> Data
     return scalars.where(F.col("tag") == tag) if tag else scalars
 
 
-def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
+def read_benchmark(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Benchmark items; ``ord`` carries the order of the source."""
-    return _table(spark, path, BENCHMARK)
+    return _table(spark, path, BENCHMARK, line_breaks)
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
+def read_labels(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Label taxonomy (line_no, category, label, description)."""
-    return _table(spark, path, LABELS)
+    return _table(spark, path, LABELS, line_breaks)
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

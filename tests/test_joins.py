@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +36,25 @@ def test_semi_join_allows_copies_on_the_right(spark):
     left, right = spark.range(5), spark.createDataFrame([(1,), (1,), (2,)], "id long")
     assert sorted(r[0] for r in skew_join(left, right, "id", "left_semi").collect()) == [1, 2]
     assert sorted(r[0] for r in skew_join(left, right, "id", "left_semi", share=1).collect()) == [1, 2]
+
+
+def test_copies_on_both_sides_and_few_scans(spark, tmp_path):
+    spark.range(400).select(F.when(F.col("id") % 2 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"), "id").write.parquet(f"{tmp_path}/left")
+    left = spark.read.parquet(f"{tmp_path}/left")
+    right = spark.createDataFrame([("hot",)] * 50 + [("1",), ("1",), ("3",)], "k string")
+    for how, n in (("left_semi", 202), ("left_anti", 198)):
+        df = skew_join(left, right, "k", how, share=4)
+        assert df.count() == n
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert len(re.findall(r"Relation \[k#\d+,id#", plan)) == 1  # two passes came before: cells, and keys of large cells
+
+
+def test_frequent_and_unknown_tokens(spark):
+    from pixquill.operators import tokens
+
+    rows = ["<Image_Token>"] * 300 + ["a"] * 20 + ["b"] * 3 + ["unseen"] * 200
+    vocab = tokens.build_vocab(spark.createDataFrame([(t,) for t in ["a", "a", "b"]], "token string"))
+    got = tokens.lookup_token_ids(spark.createDataFrame([(t,) for t in rows], "token string"), vocab)
+    counts = {(r["token"], r["token_id"]): r["count"] for r in got.groupBy("token", "token_id").count().collect()}
+    known = {r["token"]: r["token_id"] for r in vocab.collect()}
+    assert counts == {("<Image_Token>", known["<Image_Token>"]): 300, ("a", 0): 20, ("b", 1): 3, ("unseen", -1): 200}

@@ -8,12 +8,15 @@ import pytest
 sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
 
 import check_oracle  # noqa: E402
+from pixquill.plans import roundtrips  # noqa: E402
+from pixquill.plans.catalog import QUERIES  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
 
 WITHOUT_SQL = {"resample_images"}  # compared with plain loops in test_images
+NAMES = sorted(QUERIES | roundtrips.QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +24,7 @@ def con():
     return check_oracle.connect(SMALL)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", NAMES)
 def test_query_equals_sql(spark, con, name):
     got = entry.queries()[name](spark, SMALL).toPandas()
     if name in WITHOUT_SQL:
@@ -34,5 +37,5 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry(spark):
     df = entry.entry(spark)
-    assert df.columns == ["conv_id", "split", "text"]
+    assert df.columns == ["sample_id", "split", "text"]
     assert df.count() > 0

@@ -103,5 +103,7 @@ def test_collate_function_hook(spark):
     def count(pdf):
         return pdf.assign(n=len(pdf))[["id", "n"]]
 
-    got = tokens.collate_batches(spark.range(10).coalesce(1), count, "id long, n long").collect()
-    assert {r["n"] for r in got} == {10}
+    rows = spark.range(10).withColumn("batch", F.col("id") % 3)
+    for parts in (1, 7):  # batches, not partitions, reach the function
+        got = tokens.collate_batches(rows.repartition(parts), count, "id long, n long").collect()
+        assert {r["id"]: r["n"] for r in got} == {i: 4 if i % 3 == 0 else 3 for i in range(10)}

@@ -21,12 +21,13 @@ def brute(items, labels, k):
     return {(i, r + 1): (f"l{j:02d}", p[i, j]) for i in range(len(items)) for r, j in enumerate(best[i])}
 
 
-@pytest.mark.parametrize("blocks", [None, 1, 5])
+@pytest.mark.parametrize("slices", [4096, 1, 5])
 @pytest.mark.parametrize("k", [1, 3, 50])
-def test_zero_shot_equals_brute_force(spark, data, blocks, k):
+def test_zero_shot_equals_brute_force(spark, data, slices, k, monkeypatch):
+    monkeypatch.setattr(similarity, "SLICE_SCORES", 60)  # several row slices
     items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data[0])], "id long, embedding array<double>")
     labels = spark.createDataFrame([(f"l{j:02d}", v.tolist()) for j, v in enumerate(data[1])], "label string, embedding array<double>")
-    got = similarity.zero_shot(items, labels, k=k, label_blocks=blocks, item_blocks=4).collect()
+    got = similarity.zero_shot(items, labels, k=k, slice_labels=slices).collect()
     want = brute(*data, k)
     assert len(got) == len(want)
     for r in got:
@@ -34,21 +35,28 @@ def test_zero_shot_equals_brute_force(spark, data, blocks, k):
         assert r["label"] == label and r["confidence"] == pytest.approx(p, rel=1e-9, abs=1e-15)
 
 
-def test_large_taxonomy_takes_the_blocked_path(spark, data, monkeypatch):
-    monkeypatch.setattr(similarity, "LABEL_COUNT_LIMIT", 5)
-    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data[0])], "id long, embedding array<double>")
+def test_too_large_a_taxonomy_is_refused(spark, data, monkeypatch):
+    monkeypatch.setattr(similarity, "LABEL_BYTES_LIMIT", 5 * 16 * 8)
+    items = spark.createDataFrame([(0, data[0][0].tolist())], "id long, embedding array<double>")
     labels = spark.createDataFrame([(f"l{j:02d}", v.tolist()) for j, v in enumerate(data[1])], "label string, embedding array<double>")
-    df = similarity.zero_shot(items, labels, k=2, item_blocks=3)
-    assert "FlatMapCoGroupsInPandas" in df._jdf.queryExecution().executedPlan().toString()
-    want = brute(*data, 2)
-    assert {(r["id"], r["rank"]): r["label"] for r in df.collect()} == {k: v[0] for k, v in want.items()}
+    assert similarity.zero_shot(items, labels.limit(5), k=2).count() == 2
+    with pytest.raises(ValueError):
+        similarity.zero_shot(items, labels, k=2)
+
+
+def test_vectors_without_direction_are_left_out(spark):
+    items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, embedding array<double>")
+    labels = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [0.0, 1.0])], "label string, embedding array<double>")
+    for slices in (4096, 1):
+        got = similarity.zero_shot(items, labels, k=5, slice_labels=slices).orderBy("rank").collect()
+        assert [(r["id"], r["label"]) for r in got] == [(1, "a"), (1, "d")]
+        assert got[0]["confidence"] + got[1]["confidence"] == pytest.approx(1)
 
 
 def test_no_labels_no_rows(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0])], "id long, embedding array<double>")
     labels = spark.createDataFrame([], "label string, embedding array<double>")
     assert similarity.zero_shot(items, labels).count() == 0
-    assert similarity.zero_shot(items, labels, label_blocks=2, item_blocks=2).count() == 0
 
 
 def test_pooling_leaves_out_the_rest_and_matches_numpy(spark):

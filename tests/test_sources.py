@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pixquill.operators import augment, corpus, logs, scoring
 from pixquill.plans import flows
-from pixquill.sources import nested, sinks, subsets, tables
+from pixquill.sources import images, nested, sinks, subsets, tables
 
 
 def test_links_csv(spark, path):
@@ -113,27 +113,72 @@ def test_responses(spark, path):
         augment.parse_llm_responses(raw, "xml")
 
 
-def test_augment_client_with_a_failing_batch(spark):
+def test_augment_client_with_a_failing_batch(spark, path):
     df = spark.range(5).select(F.col("id").alias("k"), F.lit("q").alias("question"), F.lit("a").alias("multiple_choice_answer"))
     batched = augment.request_batches(df, "k", 2)
     full = augment.llm_requests(batched, "k").join(
         batched.select(F.col("k").cast("string").alias("custom_id"), "batch"), "custom_id"
     )
 
-    def client(requests, batch):
+    calls = f"{path}/calls"
+    os.makedirs(calls)
+
+    def client(requests, batch, fails=True):
         import json
+        import uuid
 
-        if batch == 1:
+        open(f"{calls}/{batch}-{uuid.uuid4()}", "w").close()
+        if fails and batch == 1:
             raise RuntimeError("quota")
         return {json.loads(r)["custom_id"]: f"answer {batch}" for r in requests}
 
-    answers = augment.llm_augment(full, client)
+    answers = augment.llm_augment(full, client, f"{path}/answers")
+    assert answers.count() == 4 and answers.where("batch = 1").first()["error"] == "quota"
+    assert sorted(f.split("-")[0] for f in os.listdir(calls)) == ["0", "1", "2"]  # each batch once, over two actions
+    again = augment.llm_augment(full, lambda r, b: client(r, b, False), f"{path}/answers")
+    assert again.count() == 5 and again.where("error is not null").count() == 0
+    assert sorted(f.split("-")[0] for f in os.listdir(calls)) == ["0", "1", "1", "2"]  # only the failed one again
     joined = augment.join_llm_responses(df, answers, "k")
     got = {r["k"]: r["status"] for r in joined.collect()}
     assert got == {0: "answered", 1: "answered", 2: "missing", 3: "missing", 4: "answered"}
     assert {r["status"]: r["n_samples"] for r in augment.augmentation_coverage(joined).collect()} == {"answered": 3, "missing": 2}
 
 
+def test_two_answers_do_not_multiply_a_sample(spark):
+    samples = spark.range(2).withColumnRenamed("id", "k")
+    answers = spark.createDataFrame([("0", "a", 1), ("0", "b", 0)], "custom_id string, answer string, n int")
+    got = augment.join_llm_responses(samples, answers, "k", order="n").orderBy("k").collect()
+    assert [(r["k"], r["complete_answer"]) for r in got] == [(0, "a"), (1, None)]
+    assert augment.join_llm_responses(samples, answers, "k").count() == 2
+
+
+def test_answers_that_are_no_array(spark):
+    docs = spark.createDataFrame([('[["a", "b", "c", "d"]]',), ('[["a"',)], "value string")
+    assert nested.parse_answers(docs, strict=False).where("ord is null").count() == 1
+    with pytest.raises(Exception, match="no array of answers"):
+        nested.parse_answers(docs).collect()
+
+
+def test_fetch_goes_on_after_the_last_finished_chunk(spark, path):
+    links = spark.range(40).select(F.col("id").cast("string").alias("identifier"), F.concat(F.lit("u"), F.col("id")).alias("image_url"))
+    os.makedirs(f"{path}/calls")
+
+    def fetch(url, dies=()):
+        import uuid
+
+        open(f"{path}/calls/{url}-{uuid.uuid4()}", "w").close()
+        return b"GIF89a\x01\x00\x01\x00"
+
+    images.fetch_in_chunks(links, f"{path}/out", fetch, chunk=10)
+    done = sorted(d for d in os.listdir(f"{path}/out") if d.startswith("chunk="))
+    os.remove(f"{path}/out/{done[1]}/_SUCCESS")  # as if the run had died in this chunk
+    lost = {r["image_url"] for r in spark.read.parquet(f"{path}/out/{done[1]}").collect()}
+    out = images.fetch_in_chunks(links, f"{path}/out", fetch, chunk=10)
+    assert out.count() == 40 and out.where("ok").count() == 40
+    calls = [f.split("-")[0] for f in os.listdir(f"{path}/calls")]
+    assert {u for u in calls if calls.count(u) == 2} == lost and len(calls) == 40 + len(lost)
+
+
 def test_subsets(spark, path):
     spark.createDataFrame([("i", "x", "o", ["aGk="], 0)], subsets.SUBSET_COLUMNS).write.parquet(f"{path}/subset=coco")
     spark.createDataFrame([("o2", 1)], "outputs string, position long").write.parquet(f"{path}/subset=vqa-v2")
@@ -144,7 +189,7 @@ def test_subsets(spark, path):
         df, status = subsets.read_subsets(spark, path, names, schema)
         got = sorted((r["subset"], r["outputs"], r["instruction"]) for r in df.collect())
         assert got == [("coco", "o", "i"), ("vqa-v2", "o2", None)]
-        assert {r["subset"]: r["status"] for r in status.collect()} == {"coco": "loaded", "vqa-v2": "loaded", "absent": "missing"}
+        assert {r["subset"]: r["status"] for r in status.collect()} == {"coco": "partial", "vqa-v2": "loaded", "absent": "missing"}
     os.makedirs(f"{path}/subset=gqa")
     with open(f"{path}/subset=gqa/bad.parquet", "w") as f:
         f.write("not parquet")
