@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import decontaminate, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_counts, warc
+from .oracle import SQL  # noqa: F401
 
 QUERIES = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn):
