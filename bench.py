@@ -73,10 +73,10 @@ def main() -> None:
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
-    times = {}
+    cold, times = {}, {}
     for name in names:
-        # the first run compiles the plan's code; the better of two is reported
-        times[name] = round(min(run(QUERIES[name], spark, sf_dir) for _ in range(2)), 3)
+        # the first run also plans and compiles; both are reported, the second makes up the total
+        cold[name], times[name] = (round(run(QUERIES[name], spark, sf_dir), 3) for _ in range(2))
     spark.stop()
     print(
         json.dumps(
@@ -85,6 +85,7 @@ def main() -> None:
                 "value": round(sum(times.values()), 3),
                 "unit": "sec",
                 "queries": times,
+                "first_run": cold,
                 "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
             }
         )
