@@ -48,6 +48,9 @@ REQUEST_MODEL = "gpt-4o-mini"
 REQUEST_MAX_TOKENS = 128
 REQUEST_BATCH_SIZE = 50_000
 
+# --- reply to a request with a broken image ---------------------------------
+SERVE_IMAGE_ERROR = "The image cannot be decoded."
+
 # --- fixed values: interactive requests ------------------------------------
 SERVE_SUFFIX = "Carefully explain your reasoning before answering the question."
 SERVE_DEFAULT_PROMPT = "<IMGPLH>Describe this image."

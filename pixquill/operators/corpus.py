@@ -251,7 +251,8 @@ def prepare_requests(requests: DataFrame, suffix: str = K.SERVE_SUFFIX, default:
     """Model requests (message, image data URL) to prompt and image bytes.
 
     A blank message becomes the default prompt; the placeholder is added only
-    when an image came along.
+    when an image came along.  An image that does not decode gives an ``error``
+    for the reply.
     """
     stripped = text.strip(text.text_or_empty("message"))
     prompt = F.when(stripped == "", F.lit(default)).otherwise(F.concat(stripped, F.lit(suffix)))
@@ -261,4 +262,6 @@ def prepare_requests(requests: DataFrame, suffix: str = K.SERVE_SUFFIX, default:
             "prompt": F.when(has_image, text.ensure_placeholder(prompt)).otherwise(prompt),
             "image_bytes": imagebytes.decode_data_url("image"),
         }
+    ).withColumn(
+        "error", F.when(has_image & F.col("image_bytes").isNull(), F.lit(K.SERVE_IMAGE_ERROR))
     ).drop("message", "image")

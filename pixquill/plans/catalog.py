@@ -329,7 +329,7 @@ def render_inference(spark, sf):
 @query
 def prepare_requests(spark, sf):
     return corpus.prepare_requests(views.model_requests(spark, sf)).select(
-        "request_id", "prompt", F.md5("image_bytes").alias("image_digest")
+        "request_id", "prompt", F.md5("image_bytes").alias("image_digest"), "error"
     )
 
 
@@ -891,7 +891,7 @@ def stream_counts(spark, sf):
     work = scratch(spark, "counts")
     counts = stream_ingest.running_counts(source.select(status.alias("status")))
     stream_ingest.write_running_counts(counts, f"{work}/counts", f"{work}/checkpoint")
-    return spark.read.parquet(f"{work}/counts")
+    return stream_ingest.read_running_counts(spark, f"{work}/counts")
 
 
 @query

@@ -405,7 +405,8 @@ v_ask AS (SELECT question_id, 'You are a powerful visual assistant.' AS system,
 SELECT question_id, {HEAD} || {USER} || {PROMPT} AS text FROM v_ask""",
     "prepare_requests": f"""WITH {REQUEST}
 SELECT request_id, CASE WHEN u > 0.2 AND NOT contains(p, '<IMGPLH>') THEN '<IMGPLH>' || p ELSE p END AS prompt,
-  CASE WHEN u > 0.2 THEN md5(text) END AS image_digest FROM v_prompt""",
+  CASE WHEN u > 0.2 AND u <= 0.95 THEN md5(text) END AS image_digest,
+  CASE WHEN u > 0.95 THEN {s(K.SERVE_IMAGE_ERROR)} END AS error FROM v_prompt""",
     "word_tokens": f"""WITH t AS (SELECT doc_id, {words('text')} AS t FROM documents)
 SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tokens, md5(array_to_string(t, ' ')) AS digest FROM t""",
     "build_vocab": f"""WITH {VOCAB}
@@ -553,6 +554,6 @@ FROM documents WINDOW w AS (PARTITION BY doc_id // 16)""",
     "ingest_stream": "SELECT url AS image_url, md5(url) AS identifier, CAST(length(url) AS INTEGER) AS original_width, CAST(0 AS BIGINT) AS batch_id FROM pages",
     "stream_counts": "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n_rows FROM events GROUP BY 1",
     "serve_requests": f"""WITH {REQUEST},
-f AS (SELECT request_id, CASE WHEN u > 0.2 AND NOT contains(p, '<IMGPLH>') THEN '<IMGPLH>' || p ELSE p END AS prompt FROM v_prompt)
-SELECT CAST(request_id AS VARCHAR) AS request_id, md5(prompt) AS response FROM f""",
+f AS (SELECT request_id, u, CASE WHEN u > 0.2 AND NOT contains(p, '<IMGPLH>') THEN '<IMGPLH>' || p ELSE p END AS prompt FROM v_prompt)
+SELECT CAST(request_id AS VARCHAR) AS request_id, CASE WHEN u > 0.95 THEN {s(K.SERVE_IMAGE_ERROR)} ELSE md5(prompt) END AS response FROM f""",
 }

@@ -257,7 +257,7 @@ def decoded_samples(spark, sf_dir) -> DataFrame:
 
 
 def model_requests(spark, sf_dir) -> DataFrame:
-    """Interactive requests from user turns: some blank, some with an image."""
+    """Interactive requests from user turns: some blank, some with an image, a few with a broken one."""
     key = turn_key()
     u = hash_uniform(key, "request")
     image = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8")))
@@ -266,5 +266,5 @@ def model_requests(spark, sf_dir) -> DataFrame:
         F.when(u < 0.1, F.lit(" \n ")).when(u < 0.3, F.concat(F.lit(K.PLACEHOLDER), F.col("text"))).otherwise(
             F.concat(F.lit("  "), F.col("text"), F.lit(" \n"))
         ).alias("message"),
-        F.when(u > 0.2, image).alias("image"),
+        F.when(u > 0.95, F.lit("data:image/png;base64")).when(u > 0.2, image).alias("image"),
     )

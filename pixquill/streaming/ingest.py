@@ -59,11 +59,15 @@ def running_counts(source: DataFrame, status: str = "status") -> DataFrame:
 
 
 def write_running_counts(counts: DataFrame, target: str, checkpoint: str):
-    """Keep ``target`` at the current totals of a running count, until all
-    waiting input is processed.  The counts are as many as there are statuses."""
+    """Write the totals of a running count after each batch, until all waiting
+    input is processed.  The counts are as many as there are statuses.
 
-    def write(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    Each batch has a folder of its own, so a crash never leaves ``target``
+    without totals; ``read_running_counts`` gives the latest.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     query = (
         counts.writeStream.outputMode("complete")
@@ -74,3 +78,10 @@ def write_running_counts(counts: DataFrame, target: str, checkpoint: str):
     )
     query.awaitTermination()
     return query
+
+
+def read_running_counts(spark: SparkSession, target: str) -> DataFrame:
+    """The totals of the last finished batch."""
+    every = spark.read.parquet(target)
+    latest = every.agg(F.max("batch_id")).scalar()
+    return every.where(F.col("batch_id") == latest).drop("batch_id")

@@ -23,14 +23,15 @@ def serve_stream(
 ):
     """Answer all waiting requests of a JSON-lines folder, then stop.
 
-    ``predict`` adds a column ``reply`` to (request_id, prompt, image_bytes).
-    With ``extract`` the reply is cut out of the decoded conversation.
+    ``predict`` adds a column ``reply`` to (request_id, prompt, image_bytes, error).
+    With ``extract`` the reply is cut out of the decoded conversation.  A request
+    whose image does not decode is answered with the error.
     """
     incoming = spark.readStream.schema(REQUEST).json(requests)
     answered = predict(prepare_requests(incoming))
     text = extract_reply("reply") if extract else F.col("reply")
     query = (
-        answered.select("request_id", text.alias("response"))
+        answered.select("request_id", F.coalesce("error", text).alias("response"))
         .writeStream.format("parquet")
         .option("path", replies)
         .option("checkpointLocation", checkpoint)
