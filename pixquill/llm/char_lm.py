@@ -30,8 +30,8 @@ from .common import slices
 
 ORDER = 4
 START, END = "\x02", "\x03"
-BLOCK_BYTES = 16 << 20
-STEP_CHARS = 1 << 20
+BLOCK_BYTES = 8 << 20
+STEP_CHARS = 1 << 19
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 LEVEL = 9
 

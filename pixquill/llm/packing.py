@@ -32,7 +32,7 @@ from .common import pick, rank_in_groups, slices
 CAPACITY = 1024
 END_ID = 2
 ROWS_PER_CELL = 1_000
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 200_000
 #: Characters on which all versions of Unicode tables agree; a text with others goes to the library as a whole.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ſ\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*").fullmatch
