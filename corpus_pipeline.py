@@ -4,7 +4,8 @@ Each stage takes what its predecessor kept, reread from Parquet, and all but the
 last return the columns of ``documents``:
 
 1. the quality classifier drops documents that trusted text makes improbable,
-2. of each group of near-duplicates the document with the smallest id stays,
+2. of each group of near copies (Jaccard similarity of five-word shingles from 0.8)
+   the document with the smallest id stays,
 3. documents that overlap with a benchmark item go,
 4. secrets are cut out of the texts (``n_chars`` follows), documents stay,
 5. what is left is packed into token sequences.
@@ -16,7 +17,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixquill.llm import decontaminate, packing, quality_classifier, secret_scan, simhash
+from pixquill.llm import decontaminate, near_copies, packing, quality_classifier, secret_scan
 from pixquill.session import materialize
 
 
@@ -25,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.drop_near_duplicates(docs)
+    return near_copies.drop_near_copies(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -255,7 +255,12 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     Rows repeated under that id leave one row; rows with a null id, which
     cannot be told apart, stay unless their group has a named document.
     """
-    groups = near_duplicates(docs, doc_id, text, **how)
+    return firsts_of_groups(docs, near_duplicates(docs, doc_id, text, **how), doc_id)
+
+
+def firsts_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id), and those with a null id
+    unless their group is named."""
     leave = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
     named = docs.where(F.col(doc_id).isNotNull())
     # one exchange by id serves the join and the removal of repeated ids
