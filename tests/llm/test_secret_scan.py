@@ -133,3 +133,38 @@ def test_redact(odd_docs, no_docs):
         at = max(at, end)
     assert rows[9] == out + text[at:]
     assert secret_scan.redact(no_docs).count() == 0
+
+
+def test_recall_by_encoding_and_length(spark):
+    """Planted keys among as many ordinary tokens of their encoding and length are found, the ordinary ones are not."""
+    rng = random.Random(4)
+    words = "the session name user count table report value index file cache store order state error table feed face bead deed".split()
+    alphabets = {
+        "hex": "0123456789ABCDEF", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "alnum": "abcdefghijklmnopqrstuvwxyz0123456789",
+        "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    }
+
+    def ordinary(name, n):
+        out = ""
+        while len(out) < n:
+            word = rng.choice(words[-4:] if name == "hex" else words)
+            digits = "".join(rng.choices("234567", k=rng.randint(2, 6))) if rng.random() < 0.4 or not out else ""
+            out += (word if name == "alnum" else word.capitalize() if name == "base64" else word.upper()) + digits
+        return out[:n]
+
+    rows, cases = [], {}
+    for name, letters in alphabets.items():
+        form = next(f for x, f, _, _ in secret_scan.ENCODINGS if x == name)
+        for n in (20, 23, 32, 40, 48, 64):
+            for planted in (True, False):
+                for _ in range(40):
+                    token = ""
+                    while not re.match(form, token):
+                        token = "".join(rng.choices(letters, k=n)) if planted else ordinary(name, n)
+                    cases[len(rows)] = name, n, planted
+                    rows.append((len(rows), f"see {token} here"))
+    found = secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)).collect()
+    hits = Counter(cases[r["doc_id"]] for r in found if r["n_random"])
+    recall = {c: hits[c] / 40 for c in set(cases.values()) if c[2]}
+    assert all(share >= (0.6 if n < 32 and name == "hex" else 0.85) for (name, n, _), share in recall.items()), recall
+    assert sum(n for c, n in hits.items() if not c[2]) <= 0.02 * sum(hits.values()), hits
