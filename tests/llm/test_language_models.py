@@ -167,3 +167,17 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert scored.count() == len(texts()) and scored.where("score is null or isnan(score)").count() == 0
     assert lm_scoring.cross_entropy_difference(odd_docs, labels.where("false")).where("score is null").count() == 0
     assert lm_scoring.cross_entropy_difference(no_docs, labels).count() == 0
+
+
+def test_toxic_documents_and_their_cost(spark):
+    """English toxic documents are told apart at the cost of a known share of clean ones; others hardly (README)."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged = quality_classifier.classify(docs, labels).join(labels.where("quality = 1"), "doc_id")
+    rows = judged.groupBy("lang", F.coalesce("toxic", F.lit(0)).alias("toxic")).agg(F.avg((~F.col("kept")).cast("double")).alias("out"))
+    out = {(r["lang"], r["toxic"]): r["out"] for r in rows.collect()}
+    assert out["en", 1] > 0.7, out
+    assert all(out[lang, 1] >= 0 and out[lang, 0] < 0.05 for lang in ("en", "de", "fr", "es")), out
+    print("rejected", {k: round(v, 3) for k, v in sorted(out.items())})
