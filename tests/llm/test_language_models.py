@@ -181,3 +181,17 @@ def test_toxic_documents_and_their_cost(spark):
     assert out["en", 1] > 0.7, out
     assert all(out[lang, 1] >= 0 and out[lang, 0] < 0.05 for lang in ("en", "de", "fr", "es")), out
     print("rejected", {k: round(v, 3) for k, v in sorted(out.items())})
+
+
+def test_limits_of_rare_languages(spark):
+    """A rare language is judged by its own median: the spread between languages does not reach its limit."""
+    rng = random.Random(9)
+    rows = [("a", 1.0 + abs(rng.gauss(0, 0.05))) for _ in range(400)] + [("b", 3.0 + abs(rng.gauss(0, 0.05))) for _ in range(400)]
+    rare = [("rare", 1.8 + 0.01 * i) for i in range(5)]
+    limits = {}
+    for name, extra in (("few", rare), ("many", rare * 30)):
+        df = spark.createDataFrame([(lang, 10_000, loss) for lang, loss in rows + extra], "lang string, n_tokens bigint, loss double")
+        limits[name] = {r["lang"]: r["limit"] for r in quality_classifier.language_limits(df).collect()}
+        assert set(limits[name]) == {"a", "b", "rare"}
+        assert 1.82 < limits[name]["rare"] < 2.0  # junk of 2.64 goes; the pooled fence would be near 9
+    assert abs(limits["few"]["rare"] - limits["many"]["rare"]) < 0.1
