@@ -22,12 +22,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import simhash
-from .common import pick, slices
+from .common import broadcast_if_small, pick, slices
 
 SHINGLE = 5
 #: The similarity as a fraction, so that its limit is exact.
@@ -47,21 +48,24 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``doc_id, node, fp, grams``: the node's number is a hash of its shingles, which are written as bytes."""
+    """``doc_id, row, node, fp, grams``: the node's number is a hash of its shingles, which are written as bytes."""
     rows = pick(docs, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             grams = [shingles(t, shingle).tobytes() for t in texts]
             nodes = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64)
             fps = pa.array([simhash.fingerprint(t, shingle) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(nodes), fps, pa.array(grams, pa.binary())], ["doc_id", "node", "fp", "grams"]
+                [batch.column("doc_id"), pa.array(np.arange(at, at + len(grams))), pa.array(nodes), fps, pa.array(grams, pa.binary())],
+                ["doc_id", "row", "node", "fp", "grams"],
             )
+            at += len(grams)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node bigint, fp bigint, grams binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, node bigint, fp bigint, grams binary")
 
 
 def _frequent(nodes: DataFrame) -> np.ndarray:
@@ -109,6 +113,10 @@ def _sizes_fit(a: Column, b: Column) -> Column:
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Those of ``pairs`` (u, v) whose shingles are similar enough."""
+    pairs = materialize(pairs, "pairs")
+    # only the shingles of nodes that have a pair move
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    nodes = nodes.join(broadcast_if_small(materialize(asked, "asked")), "node", "left_semi")
     left = nodes.select(F.col("node").alias("u"), F.col("grams").alias("a"))
     right = nodes.select(F.col("node").alias("v"), F.col("grams").alias("b"))
 
@@ -171,7 +179,9 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     ``simhash.near_duplicates``.
     """
     marks = materialize(_marks(docs, doc_id, text, shingle), "shingles")
-    nodes = materialize(marks.groupBy("node").agg(F.first("fp").alias("fp"), F.first("grams").alias("grams")), "nodes")
+    # one row of each node, read from where it was written
+    chosen = materialize(marks.groupBy("node").agg(F.min("row").alias("row")).select("row"), "nodes")
+    nodes = marks.join(broadcast_if_small(chosen), "row", "left_semi").select("node", "fp", "grams")
     roots = node_links(nodes.where(F.length("grams") > 0))
     placed = (
         marks.select("doc_id", "node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
