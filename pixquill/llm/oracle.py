@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import decontaminate as leaks
 from . import quality_rules as rules
 from . import sharding
+from . import source_audit as audit
 
 SPACE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -108,4 +109,27 @@ b AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat > {rules.MAX_REPEA
 SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup AS n_dup_lines, n_repeat AS n_repeat_words,
   failed AS base_failed, NOT failed AND whole - remaining <= {rules.MAX_LOST} * whole AS kept, removed AS n_lines_removed,
   sha256(cleaned) AS cleaned_sha256 FROM b""",
+    "op13_source_divergence": rf"""WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS df FROM t GROUP BY ALL),
+k AS (SELECT lang, term, sum(n) AS n FROM c GROUP BY ALL HAVING sum(df) >= {audit.LEAST_DOCUMENTS}),
+v AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY ALL),
+g AS (SELECT DISTINCT lang, source FROM d),
+x AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.n AS lang_n
+  FROM g JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+s AS (SELECT lang, source, sum(n) AS total FROM x GROUP BY ALL),
+p AS (SELECT x.*, 1 + ({audit.UNIT}::HUGEINT * (x.n + {audit.ADDED})) // (s.total + {audit.ADDED} * v.v) AS p,
+    1 + ({audit.UNIT}::HUGEINT * (x.lang_n + {audit.ADDED})) // (v.total + {audit.ADDED} * v.v) AS q
+  FROM x JOIN s USING (lang, source) JOIN v USING (lang)),
+f AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, abs(p - q) FROM p WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item)) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM o WHERE part = 'pair' OR rank <= {audit.TOP_TERMS}""",
 }

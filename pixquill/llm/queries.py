@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import decontaminate, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash, token_counts, warc
+from . import (
+    decontaminate, language_id, lm_scoring, packing, quality_classifier, quality_rules, secret_scan, sharding, simhash,
+    source_audit, token_counts, warc, whitening,
+)
 from .oracle import SQL  # noqa: F401
 
 QUERIES = {}
@@ -92,3 +95,18 @@ def op10_simhash_near_dedup(spark, sf):
     groups = simhash.near_duplicates(table(spark, sf, "documents"))
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return groups.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op11_embedding_whitening(spark, sf):
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
+@query
+def op12_language_id(spark, sf):
+    return language_id.identify(table(spark, sf, "documents"))
+
+
+@query
+def op13_source_divergence(spark, sf):
+    return source_audit.source_divergence(table(spark, sf, "documents"))
