@@ -74,20 +74,47 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    """(file system, path) of the JVM for a path on whatever file system it names."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, for tables between two jobs."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path for a table between two jobs, in the application's own folder under the shared one.
+
+    That folder goes when the application ends.
+    """
+    context = spark.sparkContext
+    folder = f"{shared_folder(spark)}/pixquill-{context.applicationId}"
+    if getattr(context, "_pixquill_scratch", None) != folder:
+        files, target = _file_system(spark, folder)
+        files.mkdirs(target)
+        files.deleteOnExit(target)
+        context._pixquill_scratch = folder
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet under the shared folder and read back.
 
     Cuts the lineage: what several later steps read is computed once, and a
-    lost executor costs none of it.
+    lost executor costs none of it.  ``release`` frees it.
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written._pixquill_path = path
+    return written
+
+
+def release(*written: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote, once nothing will read them again; others are left alone."""
+    for df in written:
+        path = getattr(df, "_pixquill_path", None)
+        if path:
+            files, target = _file_system(df.sparkSession, path)
+            files.delete(target, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
