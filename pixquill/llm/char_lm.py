@@ -190,7 +190,10 @@ def vocabulary(levels: DataFrame) -> int:
 
 def _model(levels: DataFrame, stats: DataFrame, share: Column, lower: Column) -> DataFrame:
     """(key, value) from the counts and, per context, what ``share`` and ``lower`` need."""
-    shares = levels.join(stats, ["k", "ctx"]).select(F.concat(F.lit("a"), "gram").alias("key"), share.alias("value"))
+    # contexts of up to one character: as many as there are characters, and the largest ones
+    few = F.col("k") <= 2
+    near = levels.where(few).join(F.broadcast(stats.where(few)), ["k", "ctx"])
+    shares = near.unionByName(levels.where(~few).join(stats.where(~few), ["k", "ctx"])).select(F.concat(F.lit("a"), "gram").alias("key"), share.alias("value"))
     return shares.unionByName(stats.select(F.concat(F.lit("g"), "ctx").alias("key"), lower.alias("value")))
 
 
@@ -236,21 +239,29 @@ def window_losses(grams: DataFrame, model: DataFrame, names: list[str], size: in
     Every window asks for its n-grams and contexts of all orders; the questions
     are joined with the model by key.  ``size`` is that of the vocabulary.
     """
-    suffixes = [_suffix(F.col("gram"), k) for k in range(1, order + 1)]
-    asked = [F.struct(F.lit(2 * k).alias("slot"), F.concat(F.lit("a"), s).alias("key")) for k, s in enumerate(suffixes, 1)]
-    asked += [
-        F.struct(F.lit(2 * k + 1).alias("slot"), F.concat(F.lit("g"), F.substring(s, 1, k - 1)).alias("key"))
-        for k, s in enumerate(suffixes, 1)
-    ]
-    found = grams.select("gram", F.explode(F.array(*asked)).alias("q")).select("gram", "q.*").join(model, "key", "left")
+    # keys of one character at most, which all windows ask for: as many as there are characters
+    low = F.length("key") <= 2
+    asked = []
+    for k in range(2, order + 1):
+        s = _suffix(F.col("gram"), k)
+        asked.append(F.struct(F.lit(2 * k).alias("slot"), F.concat(F.lit("a"), s).alias("key")))
+        if k > 2:
+            asked.append(F.struct(F.lit(2 * k + 1).alias("slot"), F.concat(F.lit("g"), F.substring(s, 1, k - 1)).alias("key")))
+    found = grams.select("gram", F.explode(F.array(*asked)).alias("q")).select("gram", "q.*").join(model.where(~low), "key", "left")
     slot = lambda name, i, missing: F.coalesce(F.max(F.when(F.col("slot") == i, F.col(name))), F.lit(missing))
+    high = [(2 * k, 0.0) for k in range(2, order + 1)] + [(2 * k + 1, 1.0) for k in range(3, order + 1)]
+    found = found.groupBy("gram").agg(*[slot(name, i, missing).alias(f"{name}{i}") for name in names for i, missing in high])
+    few = model.where(low)
+    for i, key in ((2, F.concat(F.lit("a"), _suffix(F.col("gram"), 1))), (3, F.lit("g")), (5, F.concat(F.lit("g"), F.substring(_suffix(F.col("gram"), 2), 1, 1)))):
+        part = F.broadcast(few.select(F.col("key").alias("_key"), *[F.col(n).alias(f"{n}{i}") for n in names]))
+        found = found.withColumn("_asked", key).join(part, F.col("_asked") == F.col("_key"), "left").drop("_asked", "_key")
     losses = []
     for name in names:
         p = F.lit(1.0 / size)
         for k in range(1, order + 1):
-            p = slot(name, 2 * k, 0.0) + slot(name, 2 * k + 1, 1.0) * p
+            p = F.coalesce(F.col(f"{name}{2 * k}"), F.lit(0.0)) + F.coalesce(F.col(f"{name}{2 * k + 1}"), F.lit(1.0)) * p
         losses.append((-F.log(p)).alias(name))
-    return found.groupBy("gram").agg(*losses)
+    return found.select("gram", *losses)
 
 
 def text_losses(blocks: DataFrame, model: DataFrame, names: list[str], size: int, order: int = ORDER) -> DataFrame:

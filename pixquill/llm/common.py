@@ -68,10 +68,17 @@ def rank_in_groups(df: DataFrame, group: list[str], cell: Column, order: list[st
     return ranked.select(*df.columns, (F.col("_start") + F.col("_in")).cast("bigint").alias(name))
 
 
-#: Broadcasts are for tables of at most so many narrow rows; beyond, the join is shuffled.
+#: Broadcasts are for tables of at most so many narrow rows, or so many bytes; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+BROADCAST_BYTES = 32 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` rows; counts no further than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, width: Column | None = None) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``rows`` rows; counts no further than that.
+
+    Rows of no fixed width give theirs in bytes as ``width``; then all are measured.
+    """
+    if width is None:
+        return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, size = df.agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= BROADCAST_BYTES else df

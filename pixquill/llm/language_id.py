@@ -211,9 +211,10 @@ def fit(rows: DataFrame, size: int = TRAINING_DOCUMENTS, epochs: int = EPOCHS) -
     order = ["lang", "at", "segment", "length"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).sort_by([(c, "ascending") for c in order])
-        if not table.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        table = pa.Table.from_batches(held).sort_by([(c, "ascending") for c in order])
         langs = sorted(set(table.column("lang").to_pylist()), key=lambda v: v.encode("utf-8", "surrogatepass"))
         target = np.array([{v: i for i, v in enumerate(langs)}[v] for v in table.column("lang").to_pylist()])
         at = table.column("at").to_numpy()

@@ -1,41 +1,49 @@
 """Near copies: texts whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
-Texts with the same shingles are one node.  Pairs of nodes come from two places,
-and every pair is held against the shingles themselves before it links:
-
-* fingerprints within op10's radius, found with the BK-trees.  A similarity of 0.8
-  leaves up to some 20 bits of difference, which no choice of blocks covers;
-* so all other pairs come from prefixes, which miss none: with the shingles in one
-  order for all, two sets of that similarity share one among the first
-  n - ceil(0.8 n) + 1 of each.
-
-The order is that of the hashes, with frequent shingles (by a sample of the nodes,
-which decides the cost alone, as every order gives the same links) at the end.
-Large groups are first tied to one of them, with another choice in each round; then
-the pairs that share a prefix shingle and are still apart are compared, all of them.
+Texts with the same shingles are one node.  A node has a fingerprint (SimHash of
+its distinct shingles) and band keys, each a hash of a few min-hashes.  Nodes that
+share a band key are a shard; each shard becomes BK-trees of at most
+``TREE_SIZE`` fingerprints, and what the trees find within the radius is held
+against the shingles themselves before it links.
+
+Three searches follow each other.  In the first every tree gives its nodes to a
+few leaders, so a large group takes one pair per node.  In the second nodes look
+for the nearest of another group, in the third for all of other groups that are
+left: a shard whose nodes are all in one group is closed.
+
+Two nodes at the limit share no band key once in ``(1 - 0.8^3)^20``, 6 in ten
+million pairs; the radii lie five standard deviations above the distance expected
+there.  Closer pairs are lost far more rarely still.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from . import simhash
 from .common import broadcast_if_small, pick, slices
 
 SHINGLE = 5
 #: The similarity as a fraction, so that its limit is exact.
 SHARE = (4, 5)
-#: One node in so many is looked at for frequent shingles; those in so many of them are frequent, so many at most.
-SAMPLED, FREQUENT, MOST_FREQUENT = 16, 4, 100_000
-STAR_ROUNDS = 3
+#: Band keys per node, and min-hashes per band key.
+BANDS, ROWS = 20, 3
+#: Bits that fingerprints of near copies differ by at most; few shingles leave more to chance.
+RADIUS, SMALL_RADIUS, SMALL = 24, 28, 32
+TREE_SIZE = 1024
+#: Multipliers of the min-hashes.
+MULTIPLIERS = np.random.default_rng(10).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+# --- nodes ----------------------------------------------------------------------
 
 
 def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -47,129 +55,224 @@ def shingles(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(x, simhash.SEED) for x in map(b" ".join, parts)), np.uint64))
 
 
+def set_fingerprint(grams: np.ndarray) -> int:
+    """Bit b is set if more than half of the hashes have it."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(grams), 1 << 16):
+        part = grams[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(grams), bitorder="little").view(np.int64)[0])
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """A key per band: a hash of the band's number and the least of the shingles by each of its min-hashes."""
+    least = np.full(len(MULTIPLIERS), np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), 4096):
+        least = np.minimum(least, (grams[at : at + 4096, None] * MULTIPLIERS).min(axis=0))
+    rows = least.reshape(BANDS, ROWS)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), t) for t, r in enumerate(rows)), np.uint64, BANDS).view(np.int64)
+
+
 def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """``doc_id, row, node, fp, grams``: the node's number is a hash of its shingles, which are written as bytes."""
-    rows = pick(docs, doc_id=doc_id, text=text)
+    """``doc_id, text_key, node, fp, size, keys, grams``: the node's number is a hash of its shingles, which are written as bytes."""
+    rows = pick(docs, doc_id=doc_id, text=text).withColumn("text_key", simhash.text_key("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
         for batch in slices(batches, "text"):
-            texts = batch.column("text").to_pylist()
-            grams = [shingles(t, shingle).tobytes() for t in texts]
-            nodes = np.fromiter((xxhash.xxh3_64_intdigest(g) for g in grams), np.uint64, len(grams)).view(np.int64)
-            fps = pa.array([simhash.fingerprint(t, shingle) for t in texts], pa.int64())
+            grams = [shingles(t, shingle) for t in batch.column("text").to_pylist()]
+            keys = np.concatenate([band_keys(g) if len(g) else np.zeros(0, np.int64) for g in grams] or [np.zeros(0, np.int64)])
+            ends = np.cumsum([0] + [BANDS * (len(g) > 0) for g in grams])
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.arange(at, at + len(grams))), pa.array(nodes), fps, pa.array(grams, pa.binary())],
-                ["doc_id", "row", "node", "fp", "grams"],
+                [
+                    batch.column("doc_id"), batch.column("text_key"),
+                    pa.array(np.fromiter((xxhash.xxh3_64_intdigest(g.tobytes()) for g in grams), np.uint64, len(grams)).view(np.int64)),
+                    pa.array([set_fingerprint(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)),
+                    pa.array([g.tobytes() for g in grams], pa.binary()),
+                ],
+                ["doc_id", "text_key", "node", "fp", "size", "keys", "grams"],
             )
-            at += len(grams)
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, row bigint, node bigint, fp bigint, grams binary")
+    schema = f"doc_id {kind}, text_key bigint, node bigint, fp bigint, size bigint, keys array<bigint>, grams binary"
+    return rows.mapInArrow(run, schema)
 
 
-def _frequent(nodes: DataFrame) -> np.ndarray:
-    """Frequent shingles, the less frequent first."""
+# --- trees of a shard ---------------------------------------------------------------
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for g in batch.column("grams").to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(g, np.int64))], ["gram"])
 
-    sample = nodes.where(F.pmod("node", F.lit(SAMPLED)) == 0).select("grams").mapInArrow(run, "gram bigint")
-    counts = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    # a bounded number of rows
-    found = counts.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).collect()
-    return np.array([r["gram"] for r in reversed(found)], np.int64).view(np.uint64)
+def _fit(a, b):
+    """Whether sets of so many shingles can be similar enough."""
+    return (SHARE[1] * a >= SHARE[0] * b) & (SHARE[1] * b >= SHARE[0] * a)
 
 
-def _prefixes(nodes: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """``gram, node, size``: the shingles that each node has to be looked up by."""
-    order = np.argsort(frequent)
-    known = frequent[order]
+def leaders(fp: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(leader, nodes given to it): the first free node takes all free ones that the tree finds near it."""
+    tree = simhash.BKTree(fp)
+    free = np.ones(len(fp), bool)
+    for i in range(len(fp)):
+        if free[i]:
+            free[i] = False
+            found = tree.within(int(fp[i]), SMALL_RADIUS)
+            found = found[free[found]]
+            found = found[_fit(size[found], size[i]) & _near(fp[found], fp[i], size[found], size[i])]
+            free[found] = False
+            if len(found):
+                yield i, found
+
+
+def _near(a: np.ndarray, b, size_a: np.ndarray, size_b) -> np.ndarray:
+    limit = np.where(np.minimum(size_a, size_b) < SMALL, SMALL_RADIUS, RADIUS)
+    return np.bitwise_count(a ^ b) <= limit
+
+
+def _pairs_in_trees(entries: DataFrame, counts: DataFrame, search: str) -> DataFrame:
+    """``u, v, distance``: what the trees of each shard find.
+
+    ``entries`` (key, node, fp, size, root) are dealt into trees of about
+    ``TREE_SIZE`` nodes.  Leaders are looked for inside each tree; the searches
+    for other groups send each tree to the nodes of the others, two trees at a time.
+    """
+    sized = entries.join(broadcast_if_small(counts), "key")
+    trees = F.ceil(F.col("n") / TREE_SIZE).cast("int")
+    own = F.pmod(F.xxhash64("node", "key"), trees).cast("int")
+    if search == "leaders":
+        dealt = sized.select("key", own.alias("a"), own.alias("b"), own.alias("own"), "node", "fp", "size", "root")
+    else:
+        dealt = sized.select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), trees - 1)).alias("other")).select(
+            "key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "fp", "size", "root"
+        )
+    order = F.xxhash64("node")  # the same leader in every shard that has it
+    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b", "own", order)
+
+    def shard(own: np.ndarray, first: int, node: np.ndarray, fp: np.ndarray, size: np.ndarray, root: np.ndarray, alone: bool):
+        if search == "leaders":
+            for i, found in leaders(fp, size):
+                yield node[found], np.full(len(found), node[i]), np.bitwise_count(fp[found] ^ fp[i])
+            return
+        inside = own == first
+        if (root == root[0]).all() or not alone and (inside.all() or not inside.any()):
+            return
+        asked = np.arange(len(fp)) if alone else np.flatnonzero(~inside)
+        tree = np.arange(len(fp)) if alone else np.flatnonzero(inside)
+        best = np.full(len(asked), 65)
+        partner = np.zeros(len(asked), np.int64)
+        for t, hits in simhash.BKTree(fp[tree]).near(fp[asked], SMALL_RADIUS):
+            at, q = tree[t], asked[hits]
+            good = (root[q] != root[at]) & _fit(size[q], size[at]) & _near(fp[q], fp[at], size[q], size[at])
+            if alone:
+                good &= q > at
+            hits, q = hits[good], q[good]
+            if not len(q):
+                continue
+            distance = np.bitwise_count(fp[q] ^ fp[at])
+            if search == "all":
+                yield node[q], np.full(len(q), node[at]), distance
+            else:
+                closer = distance < best[hits]
+                best[hits[closer]], partner[hits[closer]] = distance[closer], node[at]
+        some = best < 65
+        if search == "nearest" and some.any():
+            yield node[asked[some]], partner[some], best[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((0, 8), np.int64)
+
+        def flush(rows: np.ndarray, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for a, b in itertools.pairwise(starts):
+                part = rows[a:b]
+                columns = part[:, 4], part[:, 5].view(np.uint64), part[:, 6], part[:, 7]
+                for u, v, distance in shard(part[:, 3], part[0, 1], *columns, alone=part[0, 1] == part[0, 2]):
+                    arrays = [pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v)), pa.array(distance.astype(np.int64))]
+                    yield pa.RecordBatch.from_arrays(arrays, ["u", "v", "distance"])
+
         for batch in batches:
-            for node, raw in zip(batch.column("node").to_pylist(), batch.column("grams").to_pylist()):
-                grams = np.frombuffer(raw, np.uint64)
-                n = len(grams)
-                least = -(-SHARE[0] * n // SHARE[1])
-                late = np.zeros(n, np.int64)
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-                    late = np.where(known[at] == grams, order[at] + 1, 0)
-                first = grams[np.argsort(late, kind="stable")][: n - least + 1]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(first.view(np.int64)), pa.array(np.full(len(first), node)), pa.array(np.full(len(first), n))],
-                    ["gram", "node", "size"],
-                )
-
-    return nodes.select("node", "grams").mapInArrow(run, "gram bigint, node bigint, size bigint")
-
-
-def _sizes_fit(a: Column, b: Column) -> Column:
-    return (SHARE[1] * a >= SHARE[0] * b) & (SHARE[1] * b >= SHARE[0] * a)
+            columns = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(8)]
+            held = np.concatenate([held, np.stack(columns, axis=1)])
+            starts = np.flatnonzero(np.append(True, (held[1:, :3] != held[:-1, :3]).any(axis=1)))
+            yield from flush(held, starts)
+            held = np.ascontiguousarray(held[starts[-1] :])
+        if len(held):
+            yield from flush(held, np.array([0, len(held)]))
+
+    return dealt.mapInArrow(run, "u bigint, v bigint, distance bigint")
+
+
+# --- links ------------------------------------------------------------------------
 
 
 def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (u, v) whose shingles are similar enough."""
-    pairs = materialize(pairs, "pairs")
-    # only the shingles of nodes that have a pair move
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    nodes = nodes.join(broadcast_if_small(materialize(asked, "asked")), "node", "left_semi")
-    left = nodes.select(F.col("node").alias("u"), F.col("grams").alias("a"))
-    right = nodes.select(F.col("node").alias("v"), F.col("grams").alias("b"))
+    """Those of the written ``pairs`` (u, v) whose shingles are similar enough, written.
+
+    Only shingles of nodes that have a pair move.
+    """
+    asked = materialize(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    known = nodes.join(broadcast_if_small(asked), "node", "left_semi")
+    left = known.select(F.col("node").alias("u"), F.col("grams").alias("a"))
+    right = known.select(F.col("node").alias("v"), F.col("grams").alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("a"), batch.column("b")):
-                x, y = (np.frombuffer(c.as_py(), np.uint64) for c in (a, b))
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (a, b))
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u bigint, v bigint")
+    both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
+    found = materialize(both.mapInArrow(run, "u bigint, v bigint"), "similar")
+    release(asked)
+    return found
+
+
+def node_links(nodes: DataFrame) -> DataFrame:
+    """``u, v``: nodes (node, fp, size, keys, grams) that are not the smallest of their group, with that smallest one."""
+    each = nodes.select(F.explode("keys").alias("key"), "node", "fp", "size")
+    shared = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
+    entries = materialize(each.join(broadcast_if_small(shared.select("key")), "key", "left_semi"), "entries")
+    roots = None
+    for search in ("leaders", "nearest", "all"):
+        if roots is None:
+            marked, counts = entries.withColumn("root", F.col("node")), shared
+        else:
+            marked = entries.join(broadcast_if_small(roots.select(F.col("u").alias("node"), F.col("v").alias("root"))), "node", "left")
+            marked = materialize(marked.withColumn("root", F.coalesce("root", "node")), "marked")
+            # closed shards are left out
+            span = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+            counts = materialize(span.where("low <> high").select("key", "n"), "open")
+        found = _pairs_in_trees(marked, counts, search)
+        if search != "all":
+            # one partner per node here: by rank among leaders, else the nearest
+            best = F.struct(F.when(F.lit(search == "nearest"), F.col("distance")), F.xxhash64("v"), "v")
+            found = found.groupBy("u").agg(F.min(best).alias("best")).select("u", "best.v")
+        pairs = materialize(found.select("u", "v").distinct(), "pairs")
+        similar = verified(pairs, nodes)
+        if roots is not None:
+            release(marked, counts)
+        last, roots = roots, simhash.components(similar if roots is None else roots.unionByName(similar))
+        release(pairs, similar, *([last] if last is not None else []))
+    release(shared, entries)
+    return roots
 
 
-def node_links(nodes: DataFrame, radius: int = simhash.RADIUS) -> DataFrame:
-    """``u, v``: nodes (node, fp, grams) that are not the smallest of their group, with that smallest one."""
-    firsts = materialize(nodes.groupBy("fp").agg(F.min("node").alias("first")), "distinct")
-    named = simhash.links(firsts.select("fp"), radius)
-    for c in ("u", "v"):
-        named = named.join(firsts.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}")), c)
-    pairs = named.select(F.col("first_u").alias("u"), F.col("first_v").alias("v")).unionByName(
-        nodes.join(firsts, "fp").select(F.col("node").alias("u"), F.col("first").alias("v"))
+def _placed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
+    """``doc_id, text_key, group``, written."""
+    marks = materialize(_marks(docs, doc_id, text, shingle), "marks")
+    narrow = [c for c in marks.columns if c not in ("doc_id", "text_key")]
+    copies = marks.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
+    copies = materialize(copies, "copies")
+    # nodes of several rows are put together; the others stay where they are
+    small = broadcast_if_small(copies)
+    nodes = marks.join(small, "node", "left_anti").select(*narrow).unionByName(
+        marks.join(small, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in narrow if c != "node"])
     )
-    roots = simhash.components(verified(pairs.where("u <> v").distinct(), nodes))
-
-    entries = _prefixes(nodes, _frequent(nodes))
-    entries = materialize(entries, "prefixes")
-    shared = entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
-    entries = materialize(entries.join(shared, "gram"), "shared")
-
-    for i in range(STAR_ROUNDS + 1):
-        marked = entries.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn(
-            "root", F.coalesce("root", "node")
-        )
-        # only shingles that still have nodes of two groups
-        open_ = marked.groupBy("gram").agg(
-            F.min("root").alias("low"), F.max("root").alias("high"),
-            F.min_by(F.struct("node", "root", "size"), F.xxhash64("node", F.lit(i))).alias("chosen"),
-        ).where("low <> high")
-        if i < STAR_ROUNDS:
-            met = marked.join(open_.select("gram", "chosen"), "gram").where(F.col("root") != F.col("chosen.root"))
-            pairs = met.where(_sizes_fit(F.col("size"), F.col("chosen.size"))).select(
-                F.greatest("node", "chosen.node").alias("u"), F.least("node", "chosen.node").alias("v")
-            )
-        else:
-            rest = materialize(marked.join(open_.select("gram"), "gram"), "apart")
-            other = rest.select("gram", *[F.col(c).alias(f"{c}_v") for c in ("node", "root", "size")])
-            met = rest.join(other, "gram").where("node > node_v and root <> root_v")
-            pairs = met.where(_sizes_fit(F.col("size"), F.col("size_v"))).select(F.col("node").alias("u"), F.col("node_v").alias("v"))
-        found = materialize(verified(pairs.distinct(), nodes), "similar")
-        roots = simhash.components(roots.unionByName(found))
-    return roots
+    roots = node_links(nodes.where("size > 0"))
+    known = broadcast_if_small(roots.select(F.col("u").alias("node"), F.col("v").alias("root")))
+    placed = marks.select("doc_id", "text_key", "node").join(known, "node", "left")
+    placed = materialize(placed.select("doc_id", "text_key", F.coalesce("root", "node").alias("group")), "groups")
+    release(marks, copies, roots)
+    return placed
 
 
 def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -178,19 +281,11 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Links chain.  Texts without words are copies of each other.  Null ids as in
     ``simhash.near_duplicates``.
     """
-    marks = materialize(_marks(docs, doc_id, text, shingle), "shingles")
-    # one row of each node, read from where it was written
-    chosen = materialize(marks.groupBy("node").agg(F.min("row").alias("row")).select("row"), "nodes")
-    nodes = marks.join(broadcast_if_small(chosen), "row", "left_semi").select("node", "fp", "grams")
-    roots = node_links(nodes.where(F.length("grams") > 0))
-    placed = (
-        marks.select("doc_id", "node").join(roots.select(F.col("u").alias("node"), F.col("v").alias("root")), "node", "left")
-        .select("doc_id", F.coalesce("root", "node").alias("root"))
-    )
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "root").select("doc_id", "component_id")
+    placed = _placed(docs, doc_id, text, shingle)
+    names = placed.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    return placed.join(broadcast_if_small(names), "group").select("doc_id", "component_id")
 
 
 def drop_near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id; other rows as in ``simhash``."""
-    return simhash.firsts_of_groups(docs, near_copies(docs, doc_id, text, shingle), doc_id)
+    """``docs`` with one document of each group, as ``simhash.firsts_of_groups`` chooses it."""
+    return simhash.firsts_of_groups(docs, _placed(docs, doc_id, text, shingle), doc_id, text)

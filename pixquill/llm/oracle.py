@@ -81,7 +81,11 @@ m AS (SELECT doc_id, item_id, least(len(b.w), {leaks.STRETCH}) AS width,
   FROM hits JOIN d USING (doc_id) JOIN b USING (item_id)),
 o AS (SELECT doc_id, item_id,
     list_max(list_transform(range(len(same) - width + 1), lambda i: list_sum(same[i + 1:i + width])::DOUBLE / width)) AS overlap FROM m),
-f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(overlap) AS best FROM o WHERE overlap >= {leaks.SIMILARITY}::DOUBLE GROUP BY doc_id)
+short AS (SELECT d.doc_id, b.item_id, 1.0::DOUBLE AS overlap FROM b JOIN d ON len(b.w) BETWEEN 1 AND {leaks.SPAN - 1}
+  AND CASE WHEN len(b.w) >= {leaks.LEAST_WORDS} THEN contains(' ' || array_to_string(d.w, ' ') || ' ', ' ' || array_to_string(b.w, ' ') || ' ')
+    ELSE d.w = b.w END),
+e AS (SELECT doc_id, item_id, overlap FROM o WHERE overlap >= {leaks.SIMILARITY}::DOUBLE UNION ALL SELECT * FROM short),
+f AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, max(overlap) AS best FROM e GROUP BY doc_id)
 SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(best, 0.0::DOUBLE) AS best_overlap
 FROM documents LEFT JOIN f USING (doc_id)""",
     "op5_jump_shards": f"""WITH d AS (SELECT doc_id, text, {KEY} AS key FROM documents),

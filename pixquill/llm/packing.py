@@ -33,6 +33,8 @@ CAPACITY = 1024
 END_ID = 2
 ROWS_PER_CELL = 1_000
 CACHE_CHUNKS = 200_000
+#: Longer chunks are encoded each time, so the cache is bounded in bytes too.
+CACHE_LENGTH = 64
 #: Characters on which all versions of Unicode tables agree; a text with others goes to the library as a whole.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ſ"
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-ſ\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*").fullmatch
@@ -74,6 +76,8 @@ class ByteBpe(dict):
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > CACHE_LENGTH:
+            return self.single(chunk)
         if len(self) >= CACHE_CHUNKS:
             self.clear()
         found = self[chunk] = self.single(chunk)
@@ -107,7 +111,8 @@ def token_pieces(
 
     ``ids`` are little-endian unsigned 32-bit numbers.  A document is its tokens
     and ``end_id``; a null or empty text is ``end_id`` alone.  One longer than
-    the capacity is cut into full pieces and one shorter last one.
+    the capacity is cut into full pieces, but for the first one, which takes
+    what is left over.
     """
     rows = pick(docs, doc_id=doc_id, text=text)
 
@@ -117,8 +122,9 @@ def token_pieces(
             owner, piece, start, size, blob = [], [], [], [], []
             for row, value in enumerate(batch.column("text").to_pylist()):
                 ids = np.append(model.ids(value), np.uint32(end_id)).astype("<u4")
-                for k, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
+                first = len(ids) % capacity
+                for k, at in enumerate(([0] if first else []) + list(range(first, len(ids), capacity))):
+                    part = ids[at : at + capacity if k or not first else first]
                     owner.append(row)
                     piece.append(k)
                     start.append(at)

@@ -35,7 +35,7 @@ def op1_best_fit_packing(spark, sf):
 
 @query
 def op2_lm_scoring(spark, sf):
-    target = table(spark, sf, "labels").where("quality = 1")
+    target = table(spark, sf, "labels").where("quality = 1 AND coalesce(toxic, 0) = 0")
     scored = lm_scoring.cross_entropy_difference(table(spark, sf, "documents"), target)
     return scored.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 

@@ -70,6 +70,8 @@ FOLLOWS = {
 #: Share of the rate for the chi-squared value.
 CHI_SHARE = 0.05
 LENGTH_CLASSES = (24, 32, 40, 64, 128)
+#: Spans of one text are worked on in chunks of so many, so a text of many costs little more for each.
+CHUNK = 256
 BATTERY = 0.01
 RATE = 0.01
 MAX_BIN = 400
@@ -78,6 +80,13 @@ MAX_BIN = 400
 # --- spans --------------------------------------------------------------------
 
 
+def chunks(items: Column, size: int = CHUNK) -> Column:
+    """An array cut into arrays of ``size``: what is built up step by step is copied within them only."""
+    last = F.floor((F.size(items) - 1) / size).cast("int")
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(items, i * size + 1, F.lit(size)))
+    return F.when(F.size(items) > 0, cut).otherwise(F.slice(F.array(items), 1, 0))
+
+
 def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
     """All matches, leftmost and non-overlapping, as structs (start, kind number, end, value) in code points.
 
@@ -93,18 +102,27 @@ def spans(text: Column, pattern: str, kind: str, keep=None) -> Column:
             F.transform(found, F.length).alias("n"),
             F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"),
         )
+        return bind(F.filter(parts, lambda p: p["n"].isNotNull()), place)
+
+    def place(parts: Column) -> Column:
+        return bind(chunks(parts), lambda own: bind(starts(own), lambda at: F.flatten(F.transform(own, lambda c, i: run(c, F.get(at, i))))))
+
+    def starts(own: Column) -> Column:
+        """Where each chunk begins."""
+        width = lambda c: F.aggregate(c, F.lit(0), lambda n, p: n + p["gap"] + p["n"])
+        first = F.array(F.lit(0))
+        return F.aggregate(own, first, lambda acc, c: F.concat(acc, F.array(F.element_at(acc, -1) + width(c))))
+
+    def run(c: Column, at: Column) -> Column:
         empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
-        start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+        start = F.struct(at.alias("at"), empty.alias("out"))
 
         def add(acc: Column, p: Column) -> Column:
-            at = acc["at"] + p["gap"]
-            one = F.struct(
-                at.alias("start"), F.lit(number).alias("kind"), (at + p["n"]).alias("end"), p["value"].alias("value")
-            )
-            grown = F.concat(acc["out"], F.array(one))
-            return F.when(p["n"].isNull(), acc).otherwise(F.struct((at + p["n"]).alias("at"), grown.alias("out")))
+            low = acc["at"] + p["gap"]
+            one = F.struct(low.alias("start"), F.lit(number).alias("kind"), (low + p["n"]).alias("end"), p["value"].alias("value"))
+            return F.struct((low + p["n"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        return F.aggregate(parts, start, add, lambda acc: acc["out"])
+        return F.aggregate(c, start, add, lambda acc: acc["out"])
 
     found = bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)
     return F.filter(found, keep) if keep else found
@@ -260,7 +278,16 @@ def candidates(text: Column, base: Column) -> Column:
     """Long tokens that touch no base span, with their tests."""
     found = spans(text, TOKEN, "random")
     graded_by = lambda t: F.when(t.isNotNull(), F.struct(t["stratum"].alias("stratum"), t["combined"].alias("bin"), t["battery"].alias("battery")))
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+
+    def untouched(parts: Column) -> Column:
+        meets = lambda b, s: (b["start"] < s["end"]) & (s["start"] < b["end"])
+        return F.filter(found, lambda s: ~F.exists(parts, lambda p: meets(p, s) & F.exists(p["own"], lambda b: meets(b, s))))
+
+    def bounds(own: Column) -> Column:
+        low, high = (f(F.transform(own, lambda b: b[name])) for f, name in ((F.array_min, "start"), (F.array_max, "end")))
+        return F.struct(low.alias("start"), high.alias("end"), own.alias("own"))
+
+    free = bind(F.transform(chunks(base), bounds), untouched)
     graded = F.transform(
         free, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), bind(tested(s["value"]), graded_by).alias("test"))
     )
@@ -271,11 +298,11 @@ def candidates(text: Column, base: Column) -> Column:
 # --- whole tables -------------------------------------------------------------
 
 
-def scanned(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus ``_base`` and ``_tokens``; a null text counts as empty."""
+def scanned(docs: DataFrame, text: str = "text", base: str = "_base", tokens: str = "_tokens") -> DataFrame:
+    """``docs`` plus base spans and tested tokens under these names; a null text counts as empty."""
     value = F.coalesce(col(text), F.lit(""))
-    with_base = docs.withColumn("_base", base_spans(value))
-    return with_base.withColumn("_tokens", candidates(value, F.col("_base")))
+    with_base = docs.withColumn(base, base_spans(value))
+    return with_base.withColumn(tokens, candidates(value, F.col(base)))
 
 
 def thresholds(tokens: DataFrame, rate: float = RATE) -> dict[str, int]:
@@ -302,18 +329,18 @@ def plain(spans_: Column) -> Column:
     )
 
 
-def all_spans(limits: dict[str, int]) -> Column:
+def all_spans(limits: dict[str, int], base: str = "_base", tokens: str = "_tokens") -> Column:
     """Base spans and reported tokens of a scanned row, by start, then kind."""
     if not limits:
-        extra = F.filter("_tokens", lambda s: F.lit(False))
+        extra = F.filter(tokens, lambda s: F.lit(False))
     else:
         low = F.create_map(*[F.lit(x) for pair in sorted(limits.items()) for x in pair])
         extra = F.filter(
-            "_tokens",
+            tokens,
             lambda s: F.coalesce(s["test"]["bin"] >= F.try_element_at(low, s["test"]["stratum"]), F.lit(False))
             & (s["test"]["battery"] >= BATTERY),
         )
-    return F.sort_array(F.concat(plain(F.col("_base")), plain(extra)))
+    return F.sort_array(F.concat(plain(F.col(base)), plain(extra)))
 
 
 def joined(spans_: Column) -> Column:
@@ -360,5 +387,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", rate: fl
         rest = lambda acc: F.concat(acc["out"], F.substring(value, acc["at"] + 1, F.length(value)))
         return F.when(F.size(found) == 0, value).otherwise(F.aggregate(found, start, add, rest))
 
-    marked = scanned(docs, text).withColumn(text, bind(all_spans(limits), cut))
+    taken = {c.lower() for c in docs.columns}
+    base, tokens = (next(n for n in (f"_{kind}{i}" for i in range(len(taken) + 1)) if n not in taken) for kind in ("base", "tokens"))
+    marked = scanned(docs, text, base, tokens).withColumn(text, bind(all_spans(limits, base, tokens), cut))
     return marked.select(*docs.columns)

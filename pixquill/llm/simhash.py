@@ -22,11 +22,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import pick, slices
+from ..session import materialize, release
+from .common import broadcast_if_small, col, pick, slices
 
 RADIUS = 3
 SHINGLE = 3
@@ -56,17 +56,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, keyed: bool = False
 ) -> DataFrame:
-    """``doc_id, fp``: one row per row of ``docs``, in the partitions they are in."""
+    """``doc_id, fp``, and ``text_key`` if ``keyed``: one row per row of ``docs``, in the partitions they are in."""
     rows = pick(docs, doc_id=doc_id, text=text)
+    kept = ["doc_id"]
+    if keyed:
+        rows, kept = rows.withColumn("text_key", text_key("text")), ["doc_id", "text_key"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             found = pa.array([fingerprint(x, shingle) for x in batch.column("text").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), found], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), found], [*kept, "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept)
+    return rows.mapInArrow(run, f"{kinds}, fp bigint")
 
 
 # --- BK-trees -----------------------------------------------------------------
@@ -78,7 +82,7 @@ class BKTree:
     def __init__(self, values: np.ndarray):
         self.values = values
         self.children: list[dict[int, int]] = [{} for _ in values]
-        numbers = [int(v) for v in values]
+        numbers = self.numbers = [int(v) for v in values]
         for i in range(1, len(numbers)):
             node = 0
             while True:
@@ -89,6 +93,17 @@ class BKTree:
                     break
                 node = below[step]
 
+    def within(self, query: int, radius: int) -> np.ndarray:
+        """Positions of the values within the radius of one query."""
+        found, stack = [], [0] if len(self.values) else []
+        while stack:
+            node = stack.pop()
+            distance = (self.numbers[node] ^ query).bit_count()
+            if distance <= radius:
+                found.append(node)
+            stack += [c for edge, c in self.children[node].items() if abs(edge - distance) <= radius]
+        return np.array(sorted(found), np.int64)
+
     def near(self, queries: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
         """(node, positions of the queries within the radius of it), all queries walking down together."""
         stack = [(0, np.arange(len(queries)))] if len(self.values) else []
@@ -215,7 +230,8 @@ def components(edges: DataFrame) -> DataFrame:
             .unionByName(tied.withColumnRenamed("m", "v"))
             .distinct()
         )
-        edges = materialize(smaller, "links")
+        last, edges = edges, materialize(smaller, "links")
+        release(last)
         before, state = state, _state(edges)
         if state == before:
             break
@@ -239,30 +255,64 @@ def near_duplicates(
     never names it, so a group of such rows alone has a null ``component_id``.
     """
     marks = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
-    firsts = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(firsts.select("fp"), radius, tree_size))
-    placed = firsts.join(roots.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    firsts, roots = _roots(marks, radius, tree_size)
+    placed = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with one document of each group: the one with the smallest id.
+def _roots(marks: DataFrame, radius: int, tree_size: int) -> tuple[DataFrame, DataFrame]:
+    """(fp, first: the distinct fingerprints with their smallest id), (fp, root: those that are not the smallest of their group)."""
+    firsts = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    found = components(links(firsts.select("fp"), radius, tree_size))
+    return firsts, found.select(F.col("u").alias("fp"), F.col("v").alias("root"))
 
-    Rows repeated under that id leave one row; rows with a null id, which
-    cannot be told apart, stay unless their group has a named document.
-    """
-    return firsts_of_groups(docs, near_duplicates(docs, doc_id, text, **how), doc_id)
+
+def drop_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS,
+    tree_size: int = TREE_SIZE,
+) -> DataFrame:
+    """``docs`` with one row of each group, as ``firsts_of_groups`` chooses it."""
+    marks = materialize(fingerprints(docs, doc_id, text, shingle, keyed=True), "fingerprints")
+    _, roots = _roots(marks, radius, tree_size)
+    placed = marks.join(roots, "fp", "left").select("doc_id", "text_key", F.coalesce("root", "fp").alias("group"))
+    return firsts_of_groups(docs, materialize(placed, "groups"), doc_id, text)
+
+
+def text_key(text: Column | str) -> Column:
+    """What tells the texts under one id apart: a hash, that of the empty text for null."""
+    return F.xxhash64(F.coalesce(col(text), F.lit("")))
 
 
-def firsts_of_groups(docs: DataFrame, groups: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` that name their group in ``groups`` (doc_id, component_id), and those with a null id
-    unless their group is named."""
-    leave = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct()
-    named = docs.where(F.col(doc_id).isNotNull())
-    # one exchange by id serves the join and the removal of repeated ids
-    kept = named.join(leave, doc_id, "left_anti").dropDuplicates([doc_id])
-    return kept.select(*docs.columns).unionByName(docs.where(F.col(doc_id).isNull()))
+def firsts_of_groups(docs: DataFrame, placed: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id.
+
+    ``placed`` is a written table (doc_id, text_key, group) of all rows of
+    ``docs``.  A null id comes after all others, so such a row stays only where
+    its group has no named document.  Of rows of a group under that id the one
+    with the smallest text hash stays, and of repeated rows (same id, same text)
+    one; different texts under one id are judged each in its own group.  Texts
+    do not move: only the keys of rows that go are joined.
+    """
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    firsts = placed.groupBy("group").agg(F.min(own).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = materialize(firsts.select("group", "first"), "firsts")
+    others = placed.join(broadcast_if_small(firsts), "group").where(~own.eqNullSafe(F.col("first")))
+    leave = materialize(others.select("doc_id", "text_key").distinct(), "leave")
+    counts = placed.groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    twice = materialize(counts.where("n > 1").select("doc_id", "text_key"), "repeated")
+    release(firsts)
+
+    def meets(rows: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+        keys = broadcast_if_small(keys)
+        return rows.join(keys, docs[doc_id].eqNullSafe(keys["doc_id"]) & (text_key(docs[text]) == keys["text_key"]), how)
+
+    kept = meets(docs, leave, "left_anti")
+    if twice.isEmpty():
+        return kept.select(*docs.columns)
+    once, again = (meets(kept, twice, how) for how in ("left_anti", "left_semi"))
+    one = again.groupBy(docs[doc_id].alias("id"), text_key(docs[text]).alias("key")).agg(
+        F.first(F.struct(*[docs[c] for c in docs.columns])).alias("row")
+    )
+    return once.select(*docs.columns).unionByName(one.select("row.*"))

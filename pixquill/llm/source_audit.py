@@ -34,8 +34,6 @@ BLOCK_BYTES = 16 << 20
 CELL_SHARES = 1 << 15
 #: Sources of a language are compared in tiles of about so many.
 TILE_SOURCES = 512
-#: Bytes of kept terms that are broadcast at most; more are joined in a shuffle.
-BROADCAST_BYTES = 32 << 20
 
 
 # --- word-start pointers --------------------------------------------------------
@@ -158,18 +156,17 @@ def term_counts(docs: DataFrame, text: str = "text", lang: str = "lang", source:
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
-    """1 + floor(10^9 (n + 5) / (total + 5 terms)), exact beyond 64 bits."""
+    """1 + floor(10^9 (n + 5) / (total + 5 terms)), exact beyond 64 bits; without terms nothing asks for it."""
     wide = lambda c: c.cast("decimal(20,0)")
     high = wide(n + ADDED) * F.lit(UNIT).cast("decimal(10,0)")
-    return F.call_function("div", high, wide(total + ADDED * terms)) + 1
+    return F.call_function("div", high, wide(F.greatest(total + ADDED * terms, F.lit(1)))) + 1
 
 
 def _kept(counts: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(kept terms: lang, term, lang_n), (their counts: lang, source, term, n, lang_n), (groups with totals)."""
     terms = counts.where("term <> ''").groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("df").alias("df"))
     terms = materialize(terms.where(F.col("df") >= least).drop("df"), "terms")
-    size = terms.agg(F.sum(F.octet_length("term") + F.octet_length("lang") + 64)).first()[0] or 0
-    small = F.broadcast(terms) if size <= BROADCAST_BYTES else terms
+    small = broadcast_if_small(terms, width=F.octet_length("term") + F.octet_length("lang") + 64)
     kept = materialize(counts.select("lang", "source", "term", "n").join(small, ["lang", "term"]), "kept")
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("lang_total"))
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))

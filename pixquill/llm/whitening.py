@@ -137,7 +137,7 @@ def scatter(fit: DataFrame) -> tuple[int, list[int], list[list[int]]]:
 
 def rank(matrix: list[list[int]]) -> int:
     """Rank of a whole-number matrix modulo a large prime: that of the matrix but for one case in some 10^9."""
-    m = np.array([[v % PRIME for v in row] for row in matrix], np.int64).reshape(len(matrix), -1)
+    m = np.array([[v % PRIME for v in row] for row in matrix], np.int64).reshape(len(matrix), len(matrix))
     found = 0
     for c in range(m.shape[1]):
         rows = np.flatnonzero(m[found:, c]) + found

@@ -24,7 +24,12 @@ def brute(docs, items, stretch=decontaminate.STRETCH, similarity=decontaminate.S
         w = words(text)
         for i, item in items:
             v = words(item)
-            if d is None or i is None or len(v) < 8:
+            if d is None or i is None or not v:
+                continue
+            if len(v) < 8:  # word for word; below four words the document has nothing else
+                for shift in range(len(w) - len(v) + 1):
+                    if w[shift : shift + len(v)] == v and (len(v) >= 4 or w == v):
+                        found[d, i, shift] = 1.0
                 continue
             for shift in range(-len(v), len(w)):
                 same = [0 <= shift + k < len(w) and w[shift + k] == x for k, x in enumerate(v)]
@@ -78,3 +83,27 @@ def test_odd_documents(spark, odd_docs, no_docs):
     assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 3]
     assert decontaminate.contaminated_documents(no_docs, bench).count() == 0
     assert decontaminate.drop_contaminated(odd_docs, bench.where("false")).count() == odd_docs.count()
+
+
+def test_short_items_match_word_for_word(spark):
+    items = [(1, "a b c d e f g"), (2, "A-b c, d"), (3, "x y z"), (4, "yes"), (5, "a b c d e f g"), (6, "b b b b")]
+    docs = [
+        (1, "so a b c d e f g it goes"), (2, "a b c x d e f g"), (3, "x y z"), (4, "x y z w"), (5, "Yes!"), (6, "yes and no"),
+        (7, None), (8, "b b b b b b"), (9, "a b c d a b c d"), (None, "x y z"),
+    ]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"], r["shift"]): r["overlap"] for r in decontaminate.contamination(frame, bench).collect()}
+    assert got == brute(docs, items)
+    verdicts = {r["doc_id"]: r["n_items"] for r in decontaminate.contaminated_documents(frame, bench).collect()}
+    assert verdicts == {1: 3, 2: 0, 3: 1, 4: 0, 5: 1, 6: 0, 7: 0, 8: 1, 9: 1, None: 0}
+
+
+def test_items_too_heavy_to_broadcast(spark, monkeypatch):
+    from pixquill.llm import common
+
+    docs = [(1, ITEMS[0][1]), (2, ITEMS[1][1]), (3, "nothing of this")]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(ITEMS, "item_id bigint, text string")
+    want = sorted(map(tuple, decontaminate.contamination(frame, bench).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, decontaminate.contamination(frame, bench).collect())) == want and len(want) == 2

@@ -3,9 +3,10 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
-from pixquill.llm import near_copies
+from pixquill.llm import near_copies, simhash
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -47,10 +48,9 @@ def test_stage_on_given_documents(spark):
     assert kept == brute_kept(rows)
 
 
-@pytest.mark.parametrize("frequent", [1, 10_000])
-def test_limit_large_groups_and_common_lines(spark, monkeypatch, frequent):
-    monkeypatch.setattr(near_copies, "SAMPLED", 1)
-    monkeypatch.setattr(near_copies, "FREQUENT", max(2, frequent))
+@pytest.mark.parametrize("tree", [1024, 8])
+def test_limit_large_groups_and_common_lines(spark, monkeypatch, tree):
+    monkeypatch.setattr(near_copies, "TREE_SIZE", tree)
     rng = random.Random(11)
     word = lambda: "".join(rng.choices("abcdefghij", k=6))
     texts, line = [], [word() for _ in range(12)]
@@ -69,3 +69,73 @@ def test_limit_large_groups_and_common_lines(spark, monkeypatch, frequent):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
     kept = {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()}
     assert kept == brute_kept(rows) and len(kept) < len(rows) - 20
+
+
+def test_chain_of_copies_is_one_group(spark):
+    """Each text is like the next one only, so no leader reaches them all."""
+    rng = random.Random(12)
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(300)]
+    rows = [(i, " ".join(words[3 * i : 3 * i + 60])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert brute_kept(rows) == {0}
+    assert [r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()] == [0]
+
+
+def test_pairs_at_the_limit_are_found():
+    """Recall of band keys and radii over pairs of similarity 0.8, short texts among them."""
+    rng = np.random.default_rng(13)
+    missed = total = 0
+    for n in (4, 8, 20, 36, 100, 400):  # shared shingles; the rest is split over both sides
+        for _ in range(400):
+            extra = n // 4
+            left = int(rng.integers(0, extra + 1))
+            grams = rng.integers(0, 2**63, n + extra, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            a, b = np.unique(grams[: n + left]), np.unique(np.append(grams[:n], grams[n + left :]))
+            share = bool((near_copies.band_keys(a) == near_copies.band_keys(b)).any())
+            fps = np.array([near_copies.set_fingerprint(a), near_copies.set_fingerprint(b)], np.int64).view(np.uint64)
+            near = near_copies._near(fps[:1], fps[1], np.array([len(a)]), len(b))[0]
+            total += 1
+            missed += not (share and near)
+    assert missed <= 2, (missed, total)
+
+
+def test_tree_search_equals_a_scan():
+    rng = np.random.default_rng(14)
+    values = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+    tree = simhash.BKTree(values)
+    for radius in (0, 3, 24, 30):
+        for q in [*values[:5], *rng.integers(0, 2**63, 5, dtype=np.uint64)]:
+            want = np.flatnonzero(np.bitwise_count(values ^ q) <= radius)
+            assert tree.within(int(q), radius).tolist() == want.tolist()
+
+
+def test_odd_rows(spark, odd_docs, no_docs):
+    """Null ids go where their group is named, texts under one id are judged apart, clashing columns stay."""
+    kept = near_copies.drop_near_copies(odd_docs)
+    assert kept.columns == odd_docs.columns and kept.dtypes == odd_docs.dtypes
+    assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7, 8, 9]
+    assert near_copies.drop_near_copies(no_docs).collect() == []
+    rows = [
+        (None, "one text of a few words"), (1, "one text of a few words"), (None, "another text of some more words"),
+        (None, "another text of some more words"), (2, "first under two"), (2, "second under two"), (2, "second under two"),
+        (3, "first under two"), (None, None), (4, ""),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    for drop in (near_copies.drop_near_copies, simhash.drop_near_duplicates):
+        got = sorted(((r["doc_id"] or 0), r["text"]) for r in drop(docs).collect())
+        assert got == [(0, "another text of some more words"), (1, rows[0][1]), (2, "first under two"), (2, "second under two"), (4, "")]
+    groups = near_copies.near_copies(docs).collect()
+    assert len(groups) == len(rows) and {r["component_id"] for r in groups if r["doc_id"] == 3} == {2}
+
+
+def test_intermediate_tables_are_freed(spark):
+    import glob
+
+    from pixquill.session import scratch, shared_folder
+
+    scratch(spark, "x")
+    docs = spark.createDataFrame([(i, f"some words of text number {i % 7} and so on") for i in range(40)], "doc_id bigint, text string")
+    before = set(glob.glob(f"{shared_folder(spark)}/pixquill-*/*"))
+    near_copies.drop_near_copies(docs).count()
+    left = {p.rsplit("/", 1)[1].split("-")[0] for p in set(glob.glob(f"{shared_folder(spark)}/pixquill-*/*")) - before}
+    assert left <= {"groups", "leave", "repeated", "links"}

@@ -39,6 +39,13 @@ def laid_out(rows, capacity):
     return len(by)
 
 
+def cut(ids, capacity=1024):
+    """(piece, start, ids): only the first piece may be shorter than the capacity."""
+    rest = len(ids) % capacity
+    starts = ([0] if rest else []) + list(range(rest, len(ids), capacity))
+    return [(k, a, ids[a:b]) for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)]))]
+
+
 def piece_by_piece(counts, capacity):
     """Sequences that the method needs, one piece at a time."""
     pieces = sorted((k for k, v in counts.items() for _ in range(v)), reverse=True)
@@ -89,8 +96,8 @@ def test_documents(spark, odd_docs):
     expected = Counter()
     for doc_id, text in texts():
         ids = [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 2]
-        for k, at in enumerate(range(0, len(ids), 1024)):
-            part = np.array(ids[at : at + 1024], "<u4").tobytes()
+        for k, at, part in cut(ids):
+            part = np.array(part, "<u4").tobytes()
             expected[doc_id, k, at, len(part) // 4, part] += 1
     assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], bytes(r["ids"])) for r in rows) == expected
     laid_out(rows, 1024)
@@ -98,6 +105,23 @@ def test_documents(spark, odd_docs):
     assert Counter(r["ids_crc32"] for r in digests) == Counter(zlib.crc32(bytes(r["ids"])) for r in rows)
 
 
+def test_only_the_first_piece_is_shorter(spark):
+    sizes = [0, 1, 1023, 1024, 1025, 2047, 3071, 5000]  # one token a word, and the end
+    docs = spark.createDataFrame([(n, " the" * n) for n in sizes], "doc_id bigint, text string")
+    by = {}
+    for r in packing.pack_documents(docs, PATH, ranks_path=RANKS).collect():
+        by.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"]))
+    for n in sizes:
+        assert sorted(by[n]) == [(k, at, len(part)) for k, at, part in cut([0] * (n + 1))]
+        assert all(length == 1024 for k, _, length in by[n] if k)
+
+
+def test_cache_keeps_no_long_chunks():
+    model = packing.ByteBpe(PATH, RANKS)
+    model.ids("short " + "x" * 10_000)
+    assert max(map(len, model)) <= packing.CACHE_LENGTH
+
+
 def test_cells_of_a_hot_length(spark, monkeypatch):
     monkeypatch.setattr(packing, "ROWS_PER_CELL", 7)
     pieces = spark.range(500).selectExpr("id doc_id", "0 piece", "cast(if(id % 3 = 0, 100, 1 + id % 900) as bigint) length")

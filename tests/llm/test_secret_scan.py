@@ -168,3 +168,38 @@ def test_recall_by_encoding_and_length(spark):
     recall = {c: hits[c] / 40 for c in set(cases.values()) if c[2]}
     assert all(share >= (0.6 if n < 32 and name == "hex" else 0.85) for (name, n, _), share in recall.items()), recall
     assert sum(n for c, n in hits.items() if not c[2]) <= 0.02 * sum(hits.values()), hits
+
+
+def test_clashing_columns_come_back_as_they_were(spark, odd_docs):
+    before = odd_docs.withColumns({c: F.lit(f"own {c}") for c in ("_tokens", "_base0", "_BASE1", "_tokens0")})
+    after = secret_scan.redact(before)
+    assert after.dtypes == before.dtypes
+    own = [c for c in before.columns if c != "text"]
+    assert Counter(map(tuple, after.select(own).collect())) == Counter(map(tuple, before.select(own).collect()))
+
+
+def test_many_matches_in_one_text(spark, monkeypatch):
+    """Spans of texts of many matches equal those of a plain scan, whatever the chunks; the cost grows with their number."""
+    import time
+
+    rng = random.Random(9)
+    part = lambda: rng.choice([
+        "é " + "".join(rng.choices("0123456789abcdef", k=32)), "password: " + "".join(rng.choices("abcXYZ019", k=9)),
+        "AKIA" + "".join(rng.choices("ABCDEFGH0123", k=16)), "".join(rng.choices("abcdXYZW0189_-", k=28)), "plain words",
+    ])
+    texts = [" ".join(part() for _ in range(n)) for n in (0, 1, 40, 700, 3000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs).collect()}
+    for i, text in enumerate(texts):
+        assert [tuple(s) for s in found[i]["base"]] == base(text)
+    monkeypatch.setattr(secret_scan, "CHUNK", 3)
+    again = {r["doc_id"]: r for r in secret_scan.scan_secrets(docs.where("doc_id < 4")).collect()}
+    assert all(again[i] == found[i] for i in range(4))
+    monkeypatch.undo()
+    took = []
+    for n in (4000, 32000):
+        keys = spark.createDataFrame([(1, " ".join("%032x" % rng.getrandbits(128) for _ in range(n)))], "doc_id bigint, text string")
+        start = time.time()
+        assert secret_scan.scan_secrets(keys).first()["n_hex"] > 0.9 * n
+        took.append(time.time() - start)
+    assert took[1] < 16 * took[0]
