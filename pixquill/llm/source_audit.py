@@ -29,7 +29,7 @@ UNIT = 1_000_000_000
 TOP_TERMS = 50
 
 #: Bytes of text whose words are sorted at once.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 #: A group of the pair sums holds about so many shares, or four terms per source where that is more.
 CELL_SHARES = 1 << 15
 #: Sources of a language are compared in tiles of about so many.
