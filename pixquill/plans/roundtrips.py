@@ -126,6 +126,57 @@ def answers_file(spark, sf):
     return nested.read_answers(spark, path)
 
 
+def _fine_splits(spark):
+    """A session that splits files from 64 KB on, as large ones are split by any."""
+    fine = spark.newSession()
+    fine.conf.set("spark.sql.session.timeZone", "UTC")
+    fine.conf.set("spark.sql.files.openCostInBytes", str(64 << 10))
+    fine.conf.set("spark.sql.files.maxPartitionBytes", str(64 << 10))
+    return fine
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS id, 'a "quoted", [bracketed} \\ name' AS image, 'human' AS first_role, text AS first_value,
+  'é, "' || lang || '"' AS second_value, CAST(2 AS INTEGER) AS turns FROM documents""")
+def large_json_array(spark, sf):
+    """Dumps of 4,096 nested records in one array each, whose strings hold quotes, commas and brackets, read in splits of 64 KB."""
+    path = scratch(spark, "dumps")
+    turn = lambda role, value: F.struct(F.lit(role).alias("from"), value.alias("value"))
+    record = F.struct(
+        F.col("doc_id").cast("string").alias("id"), F.lit('a "quoted", [bracketed} \\ name').alias("image"),
+        F.array(turn("human", F.col("text")), turn("gpt", F.concat(F.lit('é, "'), F.col("lang"), F.lit('"')))).alias("conversations"),
+    )
+    docs = views.table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 4096).alias("part"))
+    docs.agg(F.to_json(F.collect_list(record)).alias("value")).select("value").write.text(path)
+    turns = F.col("conversations")
+    return nested.read_json_array(_fine_splits(spark), path, nested.DUMP).select(
+        "id", "image", turns[0]["from"].alias("first_role"), turns[0]["value"].alias("first_value"),
+        turns[1]["value"].alias("second_value"), F.size(turns).alias("turns"),
+    )
+
+
+@query("""SELECT doc_id % 4096 AS ord, source || '/' || doc_id AS question_id, lang AS question, 'No, "x"' AS gt_ans, text AS pred_ans FROM documents""")
+def large_answers_file(spark, sf):
+    """Answers in arrays of 4,096, read in splits of 64 KB; every answer has its place in the file."""
+    path = scratch(spark, "answers")
+    docs = views.table(spark, sf, "documents").select(
+        F.floor(F.col("doc_id") / 4096).alias("part"), F.col("doc_id").alias("ord"), F.concat_ws("/", "source", "doc_id").alias("question_id"),
+        F.col("lang").alias("question"), F.lit('No, "x"').alias("gt_ans"), F.col("text").alias("pred_ans"),
+    )
+    sinks.write_answers(docs, path, part="part")
+    return nested.read_answers(_fine_splits(spark), path)
+
+
+@query("""SELECT CAST(doc_id AS VARCHAR) AS image_url, nullif(text, '') AS capsfusion FROM documents""")
+def large_csv(spark, sf):
+    """CSV whose fields hold line breaks, quotes and commas, read in splits of 64 KB."""
+    path = scratch(spark, "captions")
+    rows = views.table(spark, sf, "documents").select(
+        F.col("lang").alias("more"), F.when(F.col("text") != "", F.col("text")).alias("capsfusion"), F.col("doc_id").cast("string").alias("image_url"),
+    )
+    sinks.write_table(rows, path, "csv")
+    return tables.read_links(_fine_splits(spark), path)
+
+
 # --- subsets ------------------------------------------------------------------
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import JsonArray, read_records, torn_files
+
 VQA_QUESTIONS = "questions array<struct<question_id: bigint, image_id: bigint, question: string>>"
 VQA_ANNOTATIONS = (
     "annotations array<struct<question_id: bigint, image_id: bigint, "
@@ -34,17 +36,35 @@ def unpack(docs: DataFrame, field: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A file holding one top-level JSON array of records.
+    """The records of files that hold one top-level JSON array each.
 
-    Files are read whole by one task each; split large dumps into several files
-    of a folder, or into JSON lines.
+    Files are cut into records by many tasks, wherever their splits begin.  A
+    document that is no array is one record; a record that is none gives nulls.
     """
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    records = read_records(spark, path, JsonArray)
+    return records.select(F.from_json("value", schema).alias("_r")).select("_r.*")
 
 
 def read_answers(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
-    """(ord, question_id, question, gt_ans, pred_ans) from arrays of arrays."""
-    return parse_answers(spark.read.option("wholetext", True).text(path), strict=strict)
+    """(ord, question_id, question, gt_ans, pred_ans) from files of one array of arrays each.
+
+    ``ord`` is the place in the file.  Files are cut by many tasks.  Strict mode
+    fails on a file that ends inside its array and on an element that is no
+    array; otherwise such an element gives a row of nulls.
+    """
+    if strict and not torn_files(spark, path, JsonArray).isEmpty():
+        raise ValueError(f"a file of {path} ends inside its array")
+    records = read_records(spark, path, JsonArray, numbered=True)
+    read = F.from_json("value", "array<string>")
+    if strict:
+        refuse = F.raise_error(F.concat(F.lit("no array of answers: "), F.left("value", F.lit(80))))
+        read = F.when(read.isNull(), refuse.cast("array<string>")).otherwise(read)
+    return records.select("ord", *_answer(read))
+
+
+def _answer(item: Column) -> list[Column]:
+    names = ["question_id", "question", "gt_ans", "pred_ans"]
+    return [F.try_element_at(item, F.lit(i + 1)).alias(n) for i, n in enumerate(names)]
 
 
 def parse_answers(documents: DataFrame, value: str = "value", strict: bool = True) -> DataFrame:
@@ -59,11 +79,7 @@ def parse_answers(documents: DataFrame, value: str = "value", strict: bool = Tru
         read = F.when(read.isNull() & F.col(value).isNotNull(), refuse.cast(REPLY)).otherwise(read)
     explode = F.posexplode if strict else F.posexplode_outer
     items = documents.select(explode(read).alias("ord", "_a"))
-    names = ["question_id", "question", "gt_ans", "pred_ans"]
-    return items.select(
-        F.col("ord").cast("bigint").alias("ord"),
-        *[F.try_element_at("_a", F.lit(i + 1)).alias(n) for i, n in enumerate(names)],
-    )
+    return items.select(F.col("ord").cast("bigint").alias("ord"), *_answer(F.col("_a")))
 
 
 def read_special_tokens(spark: SparkSession, path: str) -> DataFrame:

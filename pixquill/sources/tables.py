@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.corpus import require_columns
+from .blocks import Csv, read_records
 
 LINKS = "image_url string, capsfusion string"
 SAMPLES = "instruction string, inputs string, outputs string, image_path string"
@@ -19,28 +20,46 @@ LABELS = "line_no int, category string, label string, description string"
 
 
 def _table(spark: SparkSession, path: str, schema: str | None, line_breaks: bool = True) -> DataFrame:
-    """Parquet when the path says so, else CSV with quoted line breaks.
+    """Parquet when the path says so, else CSV, whose quoted fields may hold line breaks.
 
-    In CSV only the empty field is null; texts such as "NA" stay texts.
+    In CSV only the empty field is null; texts such as "NA" stay texts.  Files are
+    split whether fields hold line breaks or not (``read_csv``); ``line_breaks=False``
+    spares the scan that finds out where quotes begin.
     """
     if path.endswith(".parquet"):
         return spark.read.parquet(path)
-    reader = spark.read.option("header", True).option("multiLine", line_breaks).option("escape", '"')
+    if line_breaks:
+        raw = read_csv(spark, path)
+    else:
+        raw = spark.read.option("header", True).option("escape", '"').csv(path)
     if schema is None:
-        return reader.csv(path)
+        return raw
     # columns are matched by name: the header may hold more, or another order
-    raw = reader.csv(path)
     names = [part.split()[0] for part in schema.split(", ")]
     types = [part.split()[1] for part in schema.split(", ")]
     require_columns(raw, names)
     return raw.select(*[F.col(n).cast(t).alias(n) for n, t in zip(names, types)])
 
 
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and quoted line breaks as text columns, each file read by many tasks.
+
+    Quotes stand around whole fields and are doubled inside.  All files have the
+    columns of the first one.
+    """
+    options = {"escape": '"', "multiLine": "true"}
+    # reads the first record only
+    names = [n.removesuffix("\r") for n in spark.read.options(header=True, **options).csv(path).columns]
+    ddl = ", ".join("`" + n.replace("`", "``") + "` string" for n in names)
+    records = read_records(spark, path, Csv).where(~F.col("first"))
+    value = F.regexp_replace("value", "\r$", "")
+    return records.select(F.from_csv(value, ddl, options).alias("_r")).select("_r.*")
+
+
 def read_links(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """Caption links; fails when image_url or capsfusion is missing.
 
-    A CSV file whose fields may hold line breaks is read by one task; pass
-    ``line_breaks=False`` for large files without them, which then split.
+    Pass ``line_breaks=False`` for CSV whose fields hold none: it takes one scan less.
     """
     links = _table(spark, path, LINKS, line_breaks)
     return require_columns(links, ["image_url", "capsfusion"]).select("image_url", "capsfusion")
