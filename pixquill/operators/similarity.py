@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors
+from ..session import materialize
 
-#: Largest taxonomy, as doubles; a larger one is refused.
-LABEL_BYTES_LIMIT = 512 * 1024 * 1024
+#: Bytes of labels, as doubles, that all tasks get at once; more labels are met in blocks of about so many.
+LABEL_BYTES_LIMIT = 256 * 1024 * 1024
 #: Scores held at once by a task: rows are taken in slices against slices of labels.
 SLICE_SCORES = 4_000_000
 SLICE_LABELS = 4096
 TEMPERATURE = 100.0
-RESULT = "array<struct<label: string, confidence: double>>"
+STATE = "top: array<struct<label: string, logit: double>>, peak: double, mass: double"
 
 
 def cosine_to(df: DataFrame, reference: DataFrame, column: str = "embedding", name: str = "cosine") -> DataFrame:
@@ -40,19 +43,10 @@ def label_centroids(df: DataFrame, label: str = "label", column: str = "embeddin
     )
 
 
-def _features(labels: DataFrame):
-    """Names in order and unit vectors of the labels that have a direction.
-
-    The size is counted first; the vectors come to the driver in Arrow form.
-    """
+def _features(usable: DataFrame):
+    """Names in order and unit vectors of labels that have a direction; they come to the driver in Arrow form."""
     import numpy as np
 
-    usable = labels.where(
-        F.col("label").isNotNull() & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False)))
-    )
-    size = usable.agg(F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()[0]
-    if size > LABEL_BYTES_LIMIT:
-        raise ValueError(f"labels take {size} bytes; at most {LABEL_BYTES_LIMIT} are broadcast")
     rows = usable.orderBy("label").select("label", F.col("embedding").cast("array<double>")).toArrow().combine_chunks()
     names = rows.column("label").to_pylist()
     if not names:
@@ -63,9 +57,10 @@ def _features(labels: DataFrame):
 
 
 def _classify(items, features, k, slice_labels):
-    """(indices, confidences) of the best ``k`` labels of each row; ties go to the first label.
+    """(indices and logits of the best ``k`` labels, highest logit, softmax sum below it) of each row.
 
-    Labels are met slice by slice with a running maximum, softmax sum and top list.
+    Ties go to the first label.  Labels are met slice by slice with a running
+    maximum, softmax sum and top list.
     """
     import numpy as np
 
@@ -83,63 +78,101 @@ def _classify(items, features, k, slice_labels):
         index = np.concatenate([which, np.broadcast_to(np.arange(at, at + logits.shape[1]), logits.shape)], axis=1)
         order = np.argsort(-known, axis=1, kind="stable")[:, :k]
         best, which = np.take_along_axis(known, order, 1), np.take_along_axis(index, order, 1)
-    return which, np.exp(best - peak[:, None]) / mass[:, None]
-
-
-def zero_shot(
-    items: DataFrame,
-    labels: DataFrame,
-    k: int = 1,
-    key: str = "id",
-    column: str = "embedding",
-    slice_labels: int = SLICE_LABELS,
-) -> DataFrame:
-    """Top ``k`` labels per item by softmax of scaled cosine similarity.
+    return which, best, peak, mass
 
-    Returns (key, rank, label, confidence).  ``labels`` has a unique ``label``
-    and an ``embedding``.  What has no direction has no cosine: items and labels
-    whose vector is null or all zero are left out.
 
-    The taxonomy, whose size is checked, is broadcast as a matrix; items are
-    scored where they are, in slices of rows and labels, so memory does not
-    depend on the number of labels.
-    """
-    directed = F.exists(column, lambda x: F.coalesce(x != 0, F.lit(False)))
-    present = items.where(F.col(column).isNotNull() & directed).select(key, column)
-    names, features = _features(labels.select(F.col("label").cast("string").alias("label"), "embedding"))
+def _states(items: DataFrame, column: str, labels: DataFrame, k: int, slice_labels: int):
+    """(``items`` with a ``_state`` for these labels: top list, highest logit, softmax sum; what to free afterwards)."""
+    names, features = _features(labels)
     if not names:
-        return _ranked(present.select(key, F.array().cast(RESULT).alias("_best")), key)
+        return items.withColumn("_state", F.lit(None).cast(f"struct<{STATE}>")), None
     shared = items.sparkSession.sparkContext.broadcast((names, features))
     rows = max(1, SLICE_SCORES // min(len(names), slice_labels))
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(f"struct<{STATE}>")
     def score(vectors_):
         import numpy as np
         import pandas as pd
 
         names_, features_ = shared.value
-        out = []
+        tops, peaks, masses = [], [], []
         for at in range(0, len(vectors_), rows):
             part = np.stack(vectors_.iloc[at : at + rows].to_numpy()).astype(np.float64)
-            which, confidence = _classify(part, features_, k, slice_labels)
-            out += [
-                [{"label": names_[j], "confidence": c} for j, c in zip(js, cs)]
-                for js, cs in zip(which.tolist(), confidence.tolist())
-            ]
-        return pd.Series(out, dtype=object)
+            which, logits, peak, mass = _classify(part, features_, k, slice_labels)
+            tops += [[{"label": names_[j], "logit": v} for j, v in zip(js, vs)] for js, vs in zip(which.tolist(), logits.tolist())]
+            peaks.append(peak)
+            masses.append(mass)
+        empty = np.zeros(0)
+        return pd.DataFrame({
+            "top": pd.Series(tops, dtype=object), "peak": np.concatenate(peaks or [empty]), "mass": np.concatenate(masses or [empty]),
+        })
 
     # declared non-deterministic so that filters inferred from the explosion
-    # below do not evaluate it a second time
-    classify = score.asNondeterministic()
-    return _ranked(present.select(key, classify(column).alias("_best")), key)
+    # later do not evaluate it a second time
+    return items.withColumn("_state", score.asNondeterministic()(column)), shared
+
+
+def zero_shot(
+    items: DataFrame,
+    labels: DataFrame,
+    k: int = 1,
+    key: str = "id",
+    column: str = "embedding",
+    slice_labels: int = SLICE_LABELS,
+    block_bytes: int | None = None,
+) -> DataFrame:
+    """Top ``k`` labels per item by softmax of scaled cosine similarity.
 
+    Returns (key, rank, label, confidence).  ``labels`` has a unique ``label``
+    and an ``embedding``.  What has no direction has no cosine: items and labels
+    whose vector is null or all zero are left out.
 
-def _ranked(best: DataFrame, key: str) -> DataFrame:
-    return best.select(key, F.posexplode("_best").alias("_r", "_b")).select(
+    Labels are broadcast as a matrix and items scored where they are, in slices
+    of rows and labels.  Labels of more than ``block_bytes`` (by default
+    ``LABEL_BYTES_LIMIT``) are met block by block: each block leaves a top list,
+    a highest logit and a softmax sum per item under the shared folder, and these
+    are put together at the end, so nothing is refused and neither driver nor task
+    holds more than a block.
+    """
+    limit = LABEL_BYTES_LIMIT if block_bytes is None else block_bytes
+    directed = lambda c: F.col(c).isNotNull() & F.exists(c, lambda x: F.coalesce(x != 0, F.lit(False)))
+    present = items.where(directed(column)).select(key, column)
+    usable = labels.where(F.col("label").isNotNull() & directed("embedding")).select(F.col("label").cast("string").alias("label"), "embedding")
+    n, size = usable.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("embedding") * 8), F.lit(0))).first()
+    blocks = max(1, min(n, -(-size // limit)))
+    if blocks == 1:
+        scored, _ = _states(present, column, usable, k, slice_labels)
+        return _ranked(scored.select(key, F.array("_state").alias("_states")), key, k)
+    # a row's number tells it from others of its key
+    numbered = materialize(present.withColumn("_row", F.monotonically_increasing_id()), "items")
+    block = F.pmod(F.xxhash64("label", F.lit("block")), F.lit(blocks))
+    parts = []
+    for i in range(blocks):
+        scored, shared = _states(numbered, column, usable.where(block == i), k, slice_labels)
+        parts.append(materialize(scored.where(F.col("_state").isNotNull()).select("_row", key, "_state"), "scored"))
+        if shared is not None:
+            shared.destroy()
+    # one state per block and item
+    gathered = reduce(DataFrame.unionByName, parts).groupBy("_row", key).agg(F.collect_list("_state").alias("_states"))
+    return _ranked(gathered.select(key, "_states"), key, k)
+
+
+def _ranked(states: DataFrame, key: str, k: int) -> DataFrame:
+    """The best ``k`` labels over the states of all blocks; equal logits go by label."""
+    order = lambda a, b: (
+        F.when(a["logit"] > b["logit"], -1).when(a["logit"] < b["logit"], 1).when(a["label"] < b["label"], -1).when(a["label"] > b["label"], 1).otherwise(0)
+    )
+    known = states.select(key, F.filter("_states", lambda s: s.isNotNull()).alias("_states")).withColumn(
+        "_peak", F.array_max(F.transform("_states", lambda s: s["peak"]))
+    )
+    total = F.aggregate("_states", F.lit(0.0), lambda n, s: n + s["mass"] * F.exp(s["peak"] - F.col("_peak")))
+    merged = F.array_sort(F.flatten(F.transform("_states", lambda s: s["top"])), order)
+    top = F.when(F.size("_states") == 1, F.col("_states")[0]["top"]).otherwise(F.slice(merged, 1, k))
+    return known.select(key, "_peak", total.alias("_mass"), F.posexplode(top).alias("_r", "_b")).select(
         key,
         (F.col("_r") + 1).alias("rank"),
         F.col("_b.label").alias("label"),
-        F.col("_b.confidence").alias("confidence"),
+        (F.exp(F.col("_b.logit") - F.col("_peak")) / F.col("_mass")).alias("confidence"),
     )
 
 

@@ -92,6 +92,7 @@ def fetch_images(
     threads: int = K.FETCH_THREADS,
     partitions: int | None = None,
     max_attempts: int = 1,
+    per_host: int | None = None,
 ) -> DataFrame:
     """Fetch outcome per distinct image (identifier, image_url).
 
@@ -100,13 +101,23 @@ def fetch_images(
     small thread pool inside each Arrow batch hides network waits.  The result
     depends on the network: pass it through ``durable`` or write it before
     reading it twice.
+
+    ``per_host`` bounds the requests that a host gets at the same time: its URLs
+    are dealt into so many lanes, a lane is in one task, and one thread after the
+    other works on it.  A host that has a third of all URLs thus has as many tasks
+    as lanes.
     """
     fetch = fetch or url_fetcher()
     rows = links.select("identifier", "image_url")
-    if partitions:
+    if partitions and not per_host:
         # one exchange by identifier serves the removal of copies too
         rows = rows.repartition(partitions, "identifier")
     spread = rows.dropDuplicates(["identifier", "image_url"])
+    if per_host:
+        host = F.regexp_extract("image_url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+        lane = F.pmod(F.xxhash64("image_url"), F.lit(per_host))
+        spread = spread.withColumn("lane", F.xxhash64(F.lower(host), lane))
+        spread = spread.repartition(partitions, "lane") if partitions else spread.repartition("lane")
 
     def one(url: str):
         import time
@@ -123,12 +134,24 @@ def fetch_images(
     def run(frames):
         from concurrent.futures import ThreadPoolExecutor
 
+        def in_lanes(pool, part) -> list:
+            """Outcomes in the order of the rows; the rows of a lane one after another."""
+            lanes: dict = {}
+            for at, lane in enumerate(part["lane"]):
+                lanes.setdefault(lane, []).append(at)
+            urls, found = part["image_url"].tolist(), [None] * len(part)
+            for places, outcomes in pool.map(lambda own: (own, [one(urls[i]) for i in own]), lanes.values()):
+                for i, outcome in zip(places, outcomes):
+                    found[i] = outcome
+            return found
+
         with ThreadPoolExecutor(threads) as pool:
             for pdf in frames:
                 # image bytes are large: hand them on a few at a time
                 for start in range(0, len(pdf), 4 * threads):
                     part = pdf.iloc[start : start + 4 * threads]
-                    outcomes = list(pool.map(one, part["image_url"]))
+                    outcomes = in_lanes(pool, part) if per_host else list(pool.map(one, part["image_url"]))
+                    part = part[["identifier", "image_url"]]
                     yield part.assign(
                         **{name: [o[i] for o in outcomes] for i, name in enumerate(["ok", "error", "elapsed", "content"])}
                     )
@@ -145,28 +168,45 @@ def fetch_in_chunks(
 ) -> DataFrame:
     """Fetch outcomes with header sizes, kept chunk by chunk under ``path``.
 
-    Images are dealt into chunks of about ``chunk`` by a hash of the identifier;
-    a finished chunk is a folder ``chunk=N/of=M`` and is never fetched again, so
-    a run that died goes on where it stopped.  An outcome whose bytes are no
-    image counts as failed.
+    Links are read once: the distinct ones are written to ``path/links``, then
+    dealt into chunks of about ``chunk`` by a hash of the identifier, a folder
+    each under ``path/plan``.  Fetching a chunk reads its folder alone and leaves
+    ``path/chunk=N``, whose ``_SUCCESS`` is the mark of a finished chunk, which is
+    never fetched again: a run that died goes on where it stopped, without the
+    links.  An outcome whose bytes are no image counts as failed.
     """
     spark = links.sparkSession
-    distinct = links.select("identifier", "image_url").distinct()
-    mark = f"{path}/plan"
-    if not path_exists(spark, mark):
-        chunks = max(1, -(-distinct.count() // chunk))
-        spark.createDataFrame([(chunks,)], "chunks int").write.parquet(mark)
-    chunks = spark.read.parquet(mark).first()["chunks"]
-    number = F.pmod(F.xxhash64("identifier"), F.lit(chunks))
+    kept, plan = f"{path}/links", f"{path}/plan"
+    if not path_exists(spark, f"{plan}/_SUCCESS"):
+        if not path_exists(spark, f"{kept}/_SUCCESS"):
+            links.select("identifier", "image_url").distinct().write.mode("overwrite").parquet(kept)
+        rows = spark.read.parquet(kept)
+        chunks = max(1, -(-rows.count() // chunk))
+        number = F.pmod(F.xxhash64("identifier"), F.lit(chunks)).alias("chunk")
+        # a file per chunk: one task has all rows of a chunk, which are as many as a chunk may have
+        dealt = rows.select("identifier", "image_url", number).repartition("chunk")
+        dealt.write.mode("overwrite").partitionBy("chunk").parquet(plan)
     known = F.col("original_width").isNotNull()
-    folders = [f"{path}/chunk={n}" for n in range(chunks)]
-    for n, folder in enumerate(folders):
+    # folders of the plan: as many as chunks
+    numbers = sorted(r["chunk"] for r in spark.read.parquet(plan).select("chunk").distinct().collect()) if _has_rows(spark, plan) else []
+    for n in numbers:
+        folder = f"{path}/chunk={n}"
         if path_exists(spark, f"{folder}/_SUCCESS"):
             continue
-        sized = probe_sizes(fetch_images(links.where(number == n), fetch, **how))
+        own = spark.read.schema("identifier string, image_url string").parquet(f"{plan}/chunk={n}")
+        sized = probe_sizes(fetch_images(own.repartition(spark.sparkContext.defaultParallelism), fetch, **how))
         error = F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error"))
         sized.withColumns({"error": error, "ok": F.col("ok") & known}).write.mode("overwrite").parquet(folder)
-    return spark.read.parquet(*folders)
+    outcome = f"{OUTCOME}, original_width int, original_height int"
+    return spark.read.parquet(*[f"{path}/chunk={n}" for n in numbers]) if numbers else spark.createDataFrame([], outcome)
+
+
+def _has_rows(spark: SparkSession, plan: str) -> bool:
+    """Whether a table with folders per chunk has any folder: one of no rows has no schema."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(plan)
+    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
+    return any(f.isDirectory() for f in listed)
 
 
 def join_local_images(links: DataFrame, files: DataFrame, file_name) -> DataFrame:

@@ -128,3 +128,40 @@ def write_images(images: DataFrame, path: str, encoder: Callable | None = None)
 def append_scalars(rows: DataFrame, path: str) -> None:
     """Append (run, tag, step, value) rows to the scalar table."""
     rows.select("run", "tag", F.col("step").cast("bigint").alias("step"), "value").write.mode("append").parquet(path)
+
+
+def local_file(path: str):
+    """Opens a file for writing on a mounted file system, with its folder."""
+    import os
+
+    if "://" in path or path.startswith(("hdfs:", "s3:", "viewfs:")):
+        raise ValueError(f"{path} is no mounted folder; give an opener of its file system")
+    os.makedirs(os.path.dirname(path), exist_ok=True)
+    return open(path, "wb")
+
+
+def write_files(files: DataFrame, path: str, opener: Callable | None = None) -> int:
+    """One file per row of ``files`` (name, content) under ``path``; gives their number.
+
+    Each task writes its own rows, where they are; a repeated task overwrites
+    its files with the same bytes.  ``opener(path)`` gives a binary file to
+    write to, by default one of a mounted folder.  Names are those of files,
+    without folders, and unique; null contents are left out.
+    """
+    opener = opener or local_file
+    folder = path[len("file:") :] if path.startswith("file:") else path
+    folder = "/" + folder.lstrip("/") if path.startswith("file:") else folder
+
+    def run(frames):
+        import pandas as pd
+
+        for pdf in frames:
+            for name, content in zip(pdf["name"], pdf["content"]):
+                if "/" in name or name in ("", ".", ".."):
+                    raise ValueError(f"no name of a file: {name!r}")
+                with opener(f"{folder}/{name}") as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    written = files.select("name", "content").where("name is not null and content is not null").mapInPandas(run, "n bigint")
+    return written.groupBy().sum("n").first()[0] or 0

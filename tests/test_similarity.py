@@ -35,20 +35,23 @@ def test_zero_shot_equals_brute_force(spark, data, slices, k, monkeypatch):
         assert r["label"] == label and r["confidence"] == pytest.approx(p, rel=1e-9, abs=1e-15)
 
 
-def test_too_large_a_taxonomy_is_refused(spark, data, monkeypatch):
-    monkeypatch.setattr(similarity, "LABEL_BYTES_LIMIT", 5 * 16 * 8)
-    items = spark.createDataFrame([(0, data[0][0].tolist())], "id long, embedding array<double>")
-    labels = spark.createDataFrame([(f"l{j:02d}", v.tolist()) for j, v in enumerate(data[1])], "label string, embedding array<double>")
-    assert similarity.zero_shot(items, labels.limit(5), k=2).count() == 2
-    with pytest.raises(ValueError):
-        similarity.zero_shot(items, labels, k=2)
+@pytest.mark.parametrize("block", [10 * 16 * 8, 20 * 16 * 8])
+def test_blocks_of_labels_give_the_same_rows(spark, data, block):
+    """Nothing is refused: labels beyond the limit are met in blocks, repeated keys stay apart, ties go by label."""
+    items = spark.createDataFrame([(i % 100, v.tolist()) for i, v in enumerate(data[0])], "id long, embedding array<double>")
+    vectors = [*data[1], data[1][3], data[1][7]]
+    labels = spark.createDataFrame([(f"l{j:02d}", v.tolist()) for j, v in enumerate(vectors)], "label string, embedding array<double>")
+    rows = lambda df: sorted((r["id"], r["rank"], r["label"], round(r["confidence"], 9)) for r in df.collect())
+    assert rows(similarity.zero_shot(items, labels, k=4, block_bytes=block)) == rows(similarity.zero_shot(items, labels, k=4))
+    if block > 2000:
+        assert len(rows(similarity.zero_shot(items, labels, k=50, block_bytes=block))) == 120 * 39
 
 
 def test_vectors_without_direction_are_left_out(spark):
     items = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None)], "id long, embedding array<double>")
     labels = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 0.0]), ("c", None), ("d", [0.0, 1.0])], "label string, embedding array<double>")
-    for slices in (4096, 1):
-        got = similarity.zero_shot(items, labels, k=5, slice_labels=slices).orderBy("rank").collect()
+    for slices, block in ((4096, None), (1, None), (4096, 1)):
+        got = similarity.zero_shot(items, labels, k=5, slice_labels=slices, block_bytes=block).orderBy("rank").collect()
         assert [(r["id"], r["label"]) for r in got] == [(1, "a"), (1, "d")]
         assert got[0]["confidence"] + got[1]["confidence"] == pytest.approx(1)
 

@@ -179,6 +179,106 @@ def test_fetch_goes_on_after_the_last_finished_chunk(spark, path):
     assert {u for u in calls if calls.count(u) == 2} == lost and len(calls) == 40 + len(lost)
 
 
+HEADER = bytes.fromhex("89504E470D0A1A0A0000000D494844520000000300000004")
+
+
+def test_links_are_read_once_whatever_the_chunks(spark, path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    rows = spark.range(60).selectExpr("cast(id as string) identifier", "concat('http://h', id % 5, '/', id) image_url").coalesce(2)
+    links = rows.mapInArrow(count, "identifier string, image_url string")
+    out = images.fetch_in_chunks(links, f"{path}/out", lambda url: HEADER, chunk=7)
+    assert out.where("ok").count() == 60 and seen.value == 60
+    assert images.fetch_in_chunks(links, f"{path}/out", lambda url: HEADER, chunk=7).count() == 60 and seen.value == 60
+    none = images.fetch_in_chunks(links.where("identifier is null"), f"{path}/none", lambda url: HEADER)
+    assert none.count() == 0 and {"ok", "content", "original_width"} <= set(none.columns)
+
+
+def test_killed_fetch_goes_on_without_the_links(spark, path):
+    """The worker dies in some chunk; the next run fetches only chunks that are not finished, and needs no links."""
+    import shutil
+
+    os.makedirs(f"{path}/calls")
+    links = spark.range(60).selectExpr("cast(id as string) identifier", "concat('http://h/', id) image_url")
+    links.write.parquet(f"{path}/source")
+    stored = spark.read.parquet(f"{path}/source")
+    calls = f"{path}/calls"
+
+    def fetch(url, deadly=True):
+        import os as os_
+        import uuid
+
+        name = url.rsplit("/", 1)[1]
+        if deadly and name == "30":
+            os_._exit(3)
+        open(f"{calls}/{name}-{uuid.uuid4().hex}", "w").close()
+        return HEADER
+
+    with pytest.raises(Exception):
+        images.fetch_in_chunks(stored, f"{path}/out", fetch, chunk=10)
+    finished = [d for d in os.listdir(f"{path}/out") if d.startswith("chunk=") and os.path.exists(f"{path}/out/{d}/_SUCCESS")]
+    before = {r["identifier"] for d in finished for r in spark.read.parquet(f"{path}/out/{d}").collect()}
+    shutil.rmtree(f"{path}/source")
+    shutil.rmtree(calls)
+    os.makedirs(calls)
+    out = images.fetch_in_chunks(stored, f"{path}/out", lambda url: fetch(url, False), chunk=10)
+    assert out.where("ok").count() == 60
+    again = {f.split("-")[0] for f in os.listdir(calls)}
+    assert again == {str(i) for i in range(60)} - before
+
+
+def test_host_lanes_bound_requests(spark, path):
+    """No host gets more requests at once than it has lanes, though one host has most URLs."""
+    os.makedirs(f"{path}/spans")
+    spans = f"{path}/spans"
+
+    def fetch(url):
+        import time
+        import uuid
+
+        start = time.time()
+        time.sleep(0.02)
+        with open(f"{spans}/{uuid.uuid4().hex}", "w") as f:
+            f.write(f"{url.split('/')[2]} {start} {time.time()}")
+        return b""
+
+    links = spark.range(80).selectExpr("cast(id as string) identifier", "concat('http://', if(id % 4 = 0, concat('h', id % 7), 'hot'), '/', id) image_url")
+    assert images.fetch_images(links, fetch, threads=16, partitions=6, per_host=3).where("ok").count() == 80
+    events = []
+    for name in os.listdir(spans):
+        host, a, b = open(f"{spans}/{name}").read().split()
+        events += [(float(a), 1, host), (float(b), -1, host)]
+    open_now, most = {}, {}
+    for _, step, host in sorted(events):
+        open_now[host] = open_now.get(host, 0) + step
+        most[host] = max(most.get(host, 0), open_now[host])
+    assert len(events) == 160 and max(most.values()) <= 3 and most["hot"] > 1
+
+
+def test_files_of_rows(spark, path):
+    from pixquill.functions import png
+
+    rows = [("a.png", png.encode(bytes(range(12)), 2, 2)), ("b.png", b"no image"), ("c.jpg", None), ("d.txt", b"text")]
+    df = spark.createDataFrame(rows, "name string, content binary").repartition(3)
+    for target in (f"{path}/one", f"file://{path}/two"):
+        assert sinks.write_files(df, target) == 3 and sinks.write_files(df, target) == 3
+    for folder in ("one", "two"):
+        assert sorted(os.listdir(f"{path}/{folder}")) == ["a.png", "b.png", "d.txt"]
+        (size,) = images.image_size(spark, f"{path}/{folder}").collect()
+        assert (size["width"], size["height"]) == (2, 2) and size["path"].endswith("a.png")
+        assert {r["name"] for r in images.scan_images(spark, f"{path}/{folder}").collect()} == {"a.png", "b.png"}
+    (pixels,) = images.decode_image_files(spark, f"{path}/one").collect()
+    assert bytes(pixels["data"]) == bytes([2, 1, 0, 5, 4, 3, 8, 7, 6, 11, 10, 9])  # BGR
+    for bad in (f"viewfs://x{path}", f"{path}/three"):
+        with pytest.raises(Exception, match="no mounted folder" if "viewfs" in bad else "no name"):
+            sinks.write_files(df.limit(1) if "viewfs" in bad else df.selectExpr("'../x' name", "content"), bad)
+
+
 def test_subsets(spark, path):
     spark.createDataFrame([("i", "x", "o", ["aGk="], 0)], subsets.SUBSET_COLUMNS).write.parquet(f"{path}/subset=coco")
     spark.createDataFrame([("o2", 1)], "outputs string, position long").write.parquet(f"{path}/subset=vqa-v2")
