@@ -167,6 +167,32 @@ def assistant_mask(seg_tokens: Column | str) -> Column:
     )
 
 
+def generated_spans(segs: Column | str) -> Column:
+    """struct(start, end) in characters of the rendered text, for each generated segment that has any."""
+    empty = F.array().cast("array<struct<start:int,end:int>>")
+    start = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
+
+    def add(acc: Column, s: Column) -> Column:
+        end = acc["at"] + F.length(s["text"])
+        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
+        grown = F.when(s["generated"] & (end > acc["at"]), F.concat(acc["spans"], span)).otherwise(acc["spans"])
+        return F.struct(end.alias("at"), grown.alias("spans"))
+
+    return F.aggregate(col(segs), start, add, lambda acc: acc["spans"])
+
+
+def offset_mask(tokens: Column | str, spans: Column | str) -> Column:
+    """1 for tokens (struct with ``start`` and ``end``) that share a character with a span, else 0.
+
+    A token across the edge of a span belongs to it; one of no characters to none.
+    """
+    def inside(t: Column) -> Column:
+        met = F.exists(col(spans), lambda s: (t["start"] < s["end"]) & (s["start"] < t["end"]))
+        return ((t["end"] > t["start"]) & met).cast("int")
+
+    return F.transform(col(tokens), inside)
+
+
 def extend_mask(mask: Column | str) -> Column:
     """Set the position right after each 1 -> 0 edge, so the end-of-turn token
     is learned too."""

@@ -74,10 +74,61 @@ def _jpeg_size(data: Column) -> Column:
     return F.when(usual["done"], usual).otherwise(whole)
 
 
+_USUAL_BOXES = 64
+
+
+def _avif_size(data: Column) -> Column:
+    """struct(pos, w, h, done) after walking the nested boxes of an AVIF file.
+
+    The walk steps into ``meta``, ``iprp`` and ``ipco`` and over all other boxes.
+    Of several sizes (thumbnails, tiles, transparency) the one of the largest area counts.
+    """
+
+    def number(pos: Column, n: int = 4) -> Column:
+        return F.conv(F.hex(F.substring(data, pos.cast("int"), F.lit(n))), 16, 10).try_cast("bigint")
+
+    def state(pos: Column, w: Column, h: Column, done: Column | bool) -> Column:
+        done = F.lit(done) if isinstance(done, bool) else done
+        return F.struct(pos.cast("bigint").alias("pos"), w.cast("int").alias("w"), h.cast("int").alias("h"), done.alias("done"))
+
+    nothing = F.lit(None).cast("int")
+
+    def step(s: Column, _: Column) -> Column:
+        pos = s["pos"]
+        size, kind = number(pos), F.hex(F.substring(data, (pos + 4).cast("int"), F.lit(4)))
+        whole = F.when(size == 1, number(pos + 8, 8)).otherwise(size)
+        w, h = number(pos + 12), number(pos + 16)
+        larger = (kind == "69737065") & (w * h > F.coalesce(s["w"].cast("bigint") * s["h"], F.lit(0)))
+        end = F.octet_length(data)
+        over = pos + whole
+        # a size of 0 means up to the end; one that leads nowhere ends the walk
+        stop = F.coalesce((whole < 8) | (over > end), F.lit(True))
+        return (
+            F.when(s["done"], s)
+            .when(F.length(kind) < 8, state(pos, s["w"], s["h"], True))
+            .when(kind == "6D657461", state(pos + 12, s["w"], s["h"], False))
+            .when(kind.isin("69707270", "6970636F"), state(pos + 8, s["w"], s["h"], False))
+            .otherwise(state(F.coalesce(over, pos), F.when(larger, w).otherwise(s["w"]), F.when(larger, h).otherwise(s["h"]), stop))
+        )
+
+    start = state(F.lit(1), nothing, nothing, False)
+    usual = F.aggregate(F.sequence(F.lit(1), F.lit(_USUAL_BOXES)), start, step)
+    # a box takes at least eight bytes, so this walk reaches the end of any file
+    every = F.aggregate(F.sequence(F.lit(1), F.floor(F.octet_length(data) / 8).cast("int") + 1), start, step)
+    return F.when(usual["done"], usual).otherwise(every)
+
+
+def _is_avif(data: Column) -> Column:
+    """Whether the file type box names the AVIF brands."""
+    brands = F.hex(F.substring(data, 9, 64))
+    return (F.hex(F.substring(data, 5, 4)) == "66747970") & (F.contains(brands, F.lit("61766966")) | F.contains(brands, F.lit("61766973")))
+
+
 def header_size(data: Column | str) -> tuple[Column, Column]:
-    """(width, height) read from a PNG, JPEG, GIF, BMP or WebP header; null for
+    """(width, height) read from a PNG, JPEG, GIF, BMP, WebP or AVIF header; null for
     anything else."""
     d = col(data)
+    avif, boxes = _is_avif(d), _avif_size(d)
     png, gif, bmp = _starts(d, "89504E470D0A1A0A"), _starts(d, "474946"), _starts(d, "424D")
     jpeg = _starts(d, "FFD8FF")
     frame = _jpeg_size(d)
@@ -88,6 +139,7 @@ def header_size(data: Column | str) -> tuple[Column, Column]:
     width = (
         F.when(png, _unsigned(d, 17, 4))
         .when(jpeg, frame["w"])
+        .when(avif, boxes["w"])
         .when(gif, _unsigned(d, 7, 2, little=True))
         .when(bmp, _unsigned(d, 19, 4, little=True))
         .when(lossy, _unsigned(d, 27, 2, little=True).bitwiseAND(0x3FFF))
@@ -97,6 +149,7 @@ def header_size(data: Column | str) -> tuple[Column, Column]:
     height = (
         F.when(png, _unsigned(d, 21, 4))
         .when(jpeg, frame["h"])
+        .when(avif, boxes["h"])
         .when(gif, _unsigned(d, 9, 2, little=True))
         .when(bmp, F.abs(_signed(d, 23)))
         .when(lossy, _unsigned(d, 29, 2, little=True).bitwiseAND(0x3FFF))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..session import scratch
 from ..sources.tables import path_exists
-from .numbering import number_rows
+from .numbering import QUANTILES, number_rows, quantile_bucket
 
 ANSWER_PATH = "$.response.body.choices[0].message.content"
 
@@ -45,19 +45,14 @@ def llm_requests(
     return df.select(F.col(key).cast("string").alias("custom_id"), F.to_json(request).alias("request"))
 
 
-def request_batches(
-    df: DataFrame, key: str, batch_size: int = K.REQUEST_BATCH_SIZE, buckets: int = 65_536
-) -> DataFrame:
-    """Add the batch number: rows by integer key, ``batch_size`` to a batch.
+def request_batches(df: DataFrame, key: str, batch_size: int = K.REQUEST_BATCH_SIZE, buckets: int = QUANTILES) -> DataFrame:
+    """Add the batch number: rows by numeric key, ``batch_size`` to a batch.
 
-    The histogram has at most ``buckets`` rows: the range of the keys is cut
-    evenly, which suits dense ids and hashes alike.
+    Rows are numbered inside ``buckets`` quantiles of the key, so neither far-off
+    keys nor dense ranges put many rows in one of them.  Null keys come first,
+    equal keys in any order.
     """
-    ends = df.agg(F.min(key).alias("low"), F.max(key).alias("high")).first()
-    low, high = ends["low"] or 0, ends["high"] or 0
-    width = max(-(-(high - low + 1) // buckets), 1)
-    bucket = F.floor((F.col(key) - F.lit(low)) / F.lit(width))
-    numbered = number_rows(df, order=[F.col(key)], bucket=bucket, name="_position")
+    numbered = number_rows(df, order=[F.col(key)], bucket=quantile_bucket(df, key, buckets), name="_position")
     return numbered.withColumn("batch", F.floor(F.col("_position") / batch_size)).drop("_position")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,20 +60,22 @@ def _matches(n: int) -> str:
 
 
 def ngram_counts(
-    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = ()
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = (),
+    tokenizer: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """Per pair: text lengths, clipped matches and generated n-grams per order.
 
     Works inside the row: common n-grams are intersected, or, where both sides
     repeat some, sorted together and counted as runs.  Nothing is exploded or
     shuffled, and a long text costs no more than its sort.  ``keep`` columns are
-    carried along.
+    carried along.  ``tokenizer`` maps a text column to an array<string> of its
+    tokens, for example a pandas UDF around another word tokenizer.
     """
     carried = [key, *keep]
     tokens = pairs.select(
         *carried,
-        word_tokens(F.coalesce(gen, F.lit(""))).alias("_gt"),
-        word_tokens(F.coalesce(ref, F.lit(""))).alias("_rt"),
+        tokenizer(F.coalesce(gen, F.lit(""))).alias("_gt"),
+        tokenizer(F.coalesce(ref, F.lit(""))).alias("_rt"),
     )
     grams = tokens.select(
         *carried,
@@ -90,9 +94,11 @@ def ngram_counts(
     )
 
 
-def ngram_overlap(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref") -> DataFrame:
+def ngram_overlap(
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", tokenizer: Callable[[Column], Column] = word_tokens
+) -> DataFrame:
     """(key, n, matches, total) for the orders occurring on either side."""
-    counts = ngram_counts(pairs, key, gen, ref)
+    counts = ngram_counts(pairs, key, gen, ref, tokenizer=tokenizer)
     orders = F.array(
         *[
             F.struct(
@@ -108,14 +114,15 @@ def ngram_overlap(pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref"
 
 
 def sentence_bleu(
-    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = ()
+    pairs: DataFrame, key: str, gen: str = "gen", ref: str = "ref", keep: tuple[str, ...] = (),
+    tokenizer: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """(key, keep, bleu_1 .. bleu_4): cumulative uniform weights, brevity penalty.
 
     A precision without a match has numerator 0.1 over a total of at least 1; a
     pair without any common word scores 0.
     """
-    wide = ngram_counts(pairs, key, gen, ref, keep)
+    wide = ngram_counts(pairs, key, gen, ref, keep, tokenizer)
 
     def log_precision(n: int) -> Column:
         hits = F.col(f"matches_{n}").cast("double")
@@ -168,6 +175,7 @@ def evaluate_captions(
     rank: str = "rank",
     batch: str = "batch",
     losses: tuple[str, ...] = (),
+    tokenizer: Callable[[Column], Column] = word_tokens,
 ) -> DataFrame:
     """Decoded model texts to averaged BLEU: extract the reply, score each pair,
     average over batches and ranks.  Texts without a reply count as empty.
@@ -175,5 +183,5 @@ def evaluate_captions(
     pairs = decoded.select(
         key, rank, batch, *losses, extract_reply(text).alias("gen"), F.col(reference).alias("ref")
     )
-    scored = sentence_bleu(pairs, key, keep=(rank, batch, *losses))
+    scored = sentence_bleu(pairs, key, keep=(rank, batch, *losses), tokenizer=tokenizer)
     return metric_mean(scored, rank, batch, [*BLEU_COLUMNS, *losses])

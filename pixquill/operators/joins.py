@@ -4,41 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-
-from ..session import materialize
+from pyspark.sql import types as T
 
 HOT_SHARE = 10_000
-CELLS = 1 << 20
+#: Counters of the sketch: keys of more than 1/49,000 of the rows are among them.
+TRACKED = 65_536
+#: A right side is broadcast up to so many rows and bytes of its values.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SPREAD = 1021
 
 
 def _hot_keys(left: DataFrame, key: str, share: int) -> tuple[DataFrame | None, bool]:
-    """(keys holding more than 1/``share`` of the keyed rows or None, whether some rows have no key).
+    """(keys that may hold more than 1/``share`` of the keyed rows or None, whether some rows have no key).
 
-    Rows are first counted into hash cells, which combine before the shuffle to
-    at most ``CELLS`` counts; only keys of the few large cells are counted one by
-    one.
+    One aggregate over the left side: a sketch of frequent keys of bounded size,
+    whose error is a fraction of that share.
     """
-    cell = F.when(F.col(key).isNotNull(), F.pmod(F.xxhash64(key), F.lit(CELLS)))
-    cells = materialize(left.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("_n")), "cells")
-    known = F.col("_cell").isNotNull()
-    total, unkeyed = cells.agg(F.sum(F.when(known, F.col("_n"))), F.count_if(~known)).first()
-    # fewer than ``share`` cells can be that large
-    large = [r["_cell"] for r in cells.where(known & (F.col("_n") * share > (total or 0))).collect()]
-    if not large:
+    tracked = max(TRACKED, 6 * share)
+    total, unkeyed, found = left.agg(
+        F.count(key), F.count_if(F.col(key).isNull()), F.call_function("approx_top_k", F.col(key), F.lit(share), F.lit(tracked))
+    ).first()
+    # fewer than ``share`` keys can hold that much
+    hot = [(r[0],) for r in found if r[0] is not None and r[1] * share > total]
+    if not hot:
         return None, unkeyed > 0
-    suspects = F.broadcast(left.sparkSession.createDataFrame([(c,) for c in large], "_cell bigint"))
-    counts = left.select(key, cell.alias("_cell")).join(suspects, "_cell", "left_semi").groupBy(key).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    hot = materialize(counts.where(F.col("_n") * share > total).select(key), "hot")
-    return (None if hot.isEmpty() else hot), unkeyed > 0
+    return left.sparkSession.createDataFrame(hot, T.StructType([T.StructField(key, left.schema[key].dataType)])), unkeyed > 0
+
+
+def _is_small(right: DataFrame) -> bool:
+    """Whether all of ``right`` may be sent to every task; counts no further than the limit."""
+    width = F.lit(0)
+    for field in right.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(f"`{field.name}`")), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return False
+        else:
+            width = width + 8
+    n, size = right.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", share: int = HOT_SHARE) -> DataFrame:
     """``left.join(right, key, how)`` for left, left_semi and left_anti joins.
 
-    A key holding more than 1/``share`` of the keyed left rows is hot, so fewer
+    A right side of a counted small size is broadcast, and nothing moves.  Else a
+    key holding more than 1/``share`` of the keyed left rows is hot, so fewer
     than ``share`` keys are.  Their right rows are broadcast, and left out of the
     shuffled right side; hot and null keys of the left side are dealt over all
     tasks, as they cannot match there.  For a left join ``key`` is unique on the
@@ -47,11 +58,15 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", sh
     """
     if how not in ("left", "left_semi", "left_anti"):
         raise ValueError("how must be left, left_semi or left_anti")
+    if how != "left":
+        right = right.select(key)
+    if _is_small(right):
+        return left.join(F.broadcast(right), key, how)
     hot, unkeyed = _hot_keys(left, key, share)
     if hot is None and (not unkeyed or how == "left_semi"):
         return left.join(right, key, how)
     if how != "left":
-        right = right.select(key).distinct()
+        right = right.distinct()
     values = [c for c in right.columns if c != key]
     # one struct per side: a match with null values is still a match
     packed = right.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), F.struct(key, *values).alias("_right"))

@@ -20,6 +20,33 @@ def digest_bucket(key: Column | str, hex_digits: int = 3) -> Column:
     return F.substring(F.md5(key.cast("string")), 1, hex_digits)
 
 
+#: Buckets of a key's range, about equally full.
+QUANTILES = 4096
+
+
+def quantile_bucket(df: DataFrame, key: str, n: int = QUANTILES, cells: int = 1024) -> Column:
+    """Bucket of a numeric key by approximate quantiles, in the order of the key.
+
+    Far-off keys cost a bucket, not the others their evenness.  The bounds may be
+    anything: they decide the sizes of the buckets, never the order.  Rows whose
+    key is a bound, which may be many, are dealt into ``cells`` by a hash of the row.
+    """
+    shares = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(key, shares, 10 * n)).first()[0] or []
+    bounds = sorted(set(found))
+    known = F.array(*[F.lit(b) for b in bounds]) if bounds else F.array().cast("array<double>")
+    value = F.col(key)
+    # how many bounds lie below: a fold over halving steps
+    steps = [1 << i for i in range(len(bounds).bit_length() - 1, -1, -1)] if bounds else [1]
+    below = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]), F.lit(0),
+        lambda at, step: F.when(F.get(known, at + step - 1) < value, at + step).otherwise(at),
+    )
+    at_bound = F.coalesce(F.get(known, below) == value, F.lit(False))
+    cell = F.when(at_bound, 1 + F.pmod(F.xxhash64(*df.columns), F.lit(cells))).otherwise(F.lit(0))
+    return F.struct(below.alias("quantile"), cell.alias("cell"))
+
+
 def number_rows(
     df: DataFrame,
     order: list[Column | str],

@@ -55,6 +55,26 @@ def tokenize_chat(
     return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
 
 
+def tokenize_offsets(
+    df: DataFrame, tokenizer: Callable[[Column], Column], messages: str = "messages", add_generation_prompt: bool = False
+) -> DataFrame:
+    """Add ``input_ids``, ``attention_mask`` and ``assistant_masks`` from a sub-word tokenizer of whole texts.
+
+    ``tokenizer`` maps the rendered text to an array of struct(id, start, end), the
+    places in characters, for example a pandas UDF around a tokenizer with offsets.
+    It sees the text uncut, so its tokens may lie across the edge of an assistant's
+    content; such a token is in the mask, as the ones inside are.
+    """
+    segs = chat.segments(messages, add_generation_prompt)
+    cut = df.withColumn("_segs", segs).withColumns(
+        {"_tokens": tokenizer(F.array_join(F.transform("_segs", lambda s: s["text"]), "")), "_spans": chat.generated_spans("_segs")}
+    )
+    out = cut.withColumns(
+        {"input_ids": F.transform("_tokens", lambda t: t["id"]), "assistant_masks": chat.offset_mask("_tokens", "_spans")}
+    ).drop("_segs", "_tokens", "_spans")
+    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("input_ids")))
+
+
 def create_labels(df: DataFrame) -> DataFrame:
     """Extend ``assistant_masks`` over the end of turn and add ``labels``."""
     extended = df.withColumn("assistant_masks", chat.extend_mask("assistant_masks"))

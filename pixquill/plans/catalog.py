@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -379,6 +380,33 @@ def label_mask(spark, sf):
     ).select("sample_id", "pos", F.col("_t.assistant_masks").alias("mask"), F.col("_t.labels").alias("label"))
 
 
+def _pieces_of_five(text):
+    """A stand-in for a sub-word tokenizer: pieces of five characters, whatever they hold."""
+
+    @F.pandas_udf("array<struct<id:int,start:int,end:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        import zlib
+
+        def cut(text_):
+            parts = [(a, text_[a : a + 5]) for a in range(0, len(text_), 5)]
+            return [{"id": zlib.crc32(p.encode()) % K.BASE_VOCAB_SIZE, "start": a, "end": a + len(p)} for a, p in parts]
+
+        return texts.map(cut)
+
+    return run(text)
+
+
+@query
+def offset_masks(spark, sf):
+    """Masks and labels of tokens that lie across the edges of the assistant's content."""
+    cut = tokens.create_labels(tokens.tokenize_offsets(_chat(spark, sf), _pieces_of_five))
+    digits = F.array_join(F.transform("assistant_masks", lambda m: m.cast("string")), "")
+    return cut.select(
+        "sample_id", F.size("input_ids").alias("n_tokens"), F.md5(digits).alias("mask_digest"),
+        F.aggregate("labels", F.lit(0).cast("bigint"), lambda n, v: n + F.when(v != K.IGNORE_LABEL, v).otherwise(0)).alias("label_sum"),
+    )
+
+
 PAD_ID = 128_001
 
 
@@ -547,6 +575,12 @@ def zero_shot_blocked(spark, sf):
     return rounded(_classified(spark, sf, 3, slice_labels=3), "confidence")
 
 
+@query
+def zero_shot_label_blocks(spark, sf):
+    """Labels beyond the limit: each block of some labels leaves partial results, put together at the end."""
+    return rounded(_classified(spark, sf, 3, block_bytes=8 * 3 * 64), "confidence")
+
+
 @query
 def class_distribution(spark, sf):
     return rounded(similarity.class_distribution(_classified(spark, sf, 1)), "mean_confidence")
@@ -663,6 +697,18 @@ def bleu_batch_mean(spark, sf):
     return rounded(bleu.metric_mean(scored, "rank", "batch"), *_MEANS)
 
 
+def _blank_words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), " "), lambda w: w != "")
+
+
+@query
+def bleu_of_blank_words(spark, sf):
+    """Matches of the first two orders with another tokenizer: words between blanks."""
+    counts = bleu.ngram_counts(views.caption_pairs(spark, sf), "question_id", tokenizer=_blank_words)
+    orders = [F.col(f"{c}_{n}").cast("bigint").alias(f"{c}_{n}") for n in (1, 2) for c in ("matches", "total")]
+    return counts.select("question_id", "gen_len", "ref_len", *orders)
+
+
 @query
 def evaluate_captions(spark, sf):
     decoded = views.caption_pairs(spark, sf).withColumn(
@@ -744,6 +790,31 @@ def header_size(spark, sf):
     return files.select("page_id", width.alias("width"), height.alias("height"))
 
 
+@query
+def header_formats(spark, sf):
+    """Sizes read back from headers of six formats."""
+    kind = F.pmod(F.col("page_id"), F.lit(6))
+    word = lambda name, n: F.lpad(F.hex(F.col(name).cast("bigint")), 2 * n, "0")
+    little = lambda hexed, n: F.concat(*[F.substring(hexed, 2 * i + 1, 2) for i in range(n - 1, -1, -1)])
+    less = lambda name: F.lpad(F.hex(F.col(name).cast("bigint") - 1), 6, "0")
+    w, h = "original_width", "original_height"
+    avif = (
+        "0000001C6674797061766966000000006176696" + "66D6966316D696166", "0000003C6D65746100000000", "0000000C68646C7200000000",
+        "0000002469707270" + "0000001C6970636F" + "000000146973706500000000",
+    )
+    made = (
+        F.when(kind == 0, F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), word(w, 4), word(h, 4)))
+        .when(kind == 1, F.concat(F.lit("474946383961"), little(word(w, 2), 2), little(word(h, 2), 2)))
+        .when(kind == 2, F.concat(F.lit("424D" + "00" * 16), little(word(w, 4), 4), little(word(h, 4), 4)))
+        .when(kind == 3, F.concat(F.lit("FFD8FFE00004" + "0000" + "FFC0001108"), word(h, 2), word(w, 2), F.lit("03011100")))
+        .when(kind == 4, F.concat(F.lit("524946460000000057454250565038580A00000000000000"), little(less(w), 3), little(less(h), 3)))
+        .otherwise(F.concat(F.lit("".join(avif)), word(w, 4), word(h, 4)))
+    )
+    files = views.links(spark, sf).select("page_id", kind.cast("int").alias("kind"), F.unhex(made).alias("content"))
+    width, height = imagebytes.header_size("content")
+    return files.select("page_id", "kind", width.alias("width"), height.alias("height"))
+
+
 # --- outcomes ---------------------------------------------------------------
 
 
@@ -848,49 +919,105 @@ def collate_hook(spark, sf):
     return tokens.collate_batches(docs, _text_lengths, "doc_id long, batch long, n_chars long, n_padding long, n_rows long")
 
 
-@query
-def resample_images(spark, sf):
-    """Embeddings as 8 x 8 grey images, or 4 x 16 for some, to 32 x 32 RGB."""
+def _grey_images(spark, sf):
+    """Embeddings as 8 x 8 grey images, or 16 x 4 for some."""
     level = F.transform("embedding", lambda x: F.lpad(F.hex(F.floor((x + 1) * 127.5)), 2, "0"))
     wide = rand.hash_uniform("vec_id", "shape") < 0.3
-    images = views.table(spark, sf, "embeddings").select(
+    return views.table(spark, sf, "embeddings").select(
         F.col("vec_id").cast("string").alias("identifier"),
         F.when(wide, F.lit(16)).otherwise(F.lit(8)).alias("width"),
         F.when(wide, F.lit(4)).otherwise(F.lit(8)).alias("height"),
         F.lit(1).alias("n_channels"),
         F.unhex(F.array_join(level, "")).alias("data"),
     )
-    out = resample.resample_images(images, size=32)
+
+
+@query
+def resample_images(spark, sf):
+    """Grey images to 32 x 32 RGB: cut where they are nearly square, else padded."""
+    out = resample.resample_images(_grey_images(spark, sf), size=32)
+    return out.select("identifier", "width", "height", "action", F.md5("data").alias("digest"))
+
+
+def _negative(pixels):
+    return 255 - pixels
+
+
+def _mirrored(pixels):
+    return pixels[:, ::-1]
+
+
+@query
+def resample_transforms(spark, sf):
+    """The same with a list of array functions in place of cutting."""
+    out = resample.resample_images(_grey_images(spark, sf), size=32, transforms=[_negative, _mirrored])
     return out.select("identifier", "width", "height", "action", F.md5("data").alias("digest"))
 
 
 # --- streams ----------------------------------------------------------------
 
 
+class _Stopped(Exception):
+    """A stream that dies between the writing of a batch and its commit."""
+
+
+def _through_failure(run, at: int):
+    """``run(written)`` twice: the first time it dies when batch ``at`` has been written."""
+    from pyspark.errors import StreamingQueryException
+
+    def die(batch_id: int) -> None:
+        if batch_id == at:
+            raise _Stopped
+
+    try:
+        run(die)
+    except StreamingQueryException as e:
+        if "_Stopped" not in str(e):
+            raise
+    run(None)
+
+
+def _in_files(spark, sf, name: str, columns: list[str], key: str) -> str:
+    """A table, which may be a file or a folder, dealt into twelve files."""
+    path = scratch(spark, name)
+    views.table(spark, sf, name).select(*columns).repartition(12, key).write.parquet(path)
+    return path
+
+
 @query
 def ingest_stream(spark, sf):
-    """All pages as a stream of link files into a manifest."""
-    source = stream_ingest.stream_folder(spark, sf, "page_id bigint, url string", glob="pages.parquet")
-    links = source.select(F.col("url").alias("image_url"), F.lit("caption").alias("capsfusion"))
+    """All pages as a stream of link files into a manifest, two files a batch; the stream dies once and goes on."""
+    files = _in_files(spark, sf, "pages", ["page_id", "url"], "page_id")
+    work = scratch(spark, "ingest")
 
     def step(batch):
         return corpus.assign_identifier(batch).withColumns(
             {"original_width": F.length("image_url"), "original_height": F.lit(1)}
         )
 
-    work = scratch(spark, "ingest")
-    stream_ingest.ingest_incremental(links, f"{work}/manifest", f"{work}/checkpoint", step)
+    def run(written):
+        source = stream_ingest.stream_folder(spark, files, "page_id bigint, url string", files_per_batch=2)
+        links = source.select(F.col("url").alias("image_url"), F.lit("caption").alias("capsfusion"))
+        stream_ingest.ingest_incremental(links, f"{work}/manifest", f"{work}/checkpoint", step, written)
+
+    _through_failure(run, at=1)
     done = tables.read_manifest(spark, f"{work}/manifest")
-    return done.select("image_url", "identifier", "original_width", "batch_id")
+    return done.select("image_url", "identifier", "original_width", F.lit(0).cast("bigint").alias("batch_id"))
 
 
 @query
 def stream_counts(spark, sf):
-    source = stream_ingest.stream_folder(spark, sf, "event_id bigint, event_type string", glob="events.parquet")
+    """Counts of all events by outcome, four files a batch, through a failure and a fold."""
+    files = _in_files(spark, sf, "events", ["event_id", "event_type"], "event_id")
     status = F.when(F.col("event_type") == "error", F.lit("failed")).otherwise(F.lit("ok"))
     work = scratch(spark, "counts")
-    counts = stream_ingest.running_counts(source.select(status.alias("status")))
-    stream_ingest.write_running_counts(counts, f"{work}/counts", f"{work}/checkpoint")
+
+    def run(written):
+        source = stream_ingest.stream_folder(spark, files, "event_id bigint, event_type string", files_per_batch=4)
+        stream_ingest.write_running_counts(source.select(status.alias("status")), f"{work}/counts", f"{work}/checkpoint", written=written)
+
+    _through_failure(run, at=1)
+    stream_ingest.compact_running_counts(spark, f"{work}/counts")
     return stream_ingest.read_running_counts(spark, f"{work}/counts")
 
 

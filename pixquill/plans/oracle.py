@@ -186,6 +186,14 @@ v_bleu AS (
     f"max(CASE WHEN n = {n} THEN CASE WHEN m1 = 0 THEN 0.0 ELSE bp * exp(mean) END END) AS bleu_{n}" for n in (1, 2, 3, 4))}
   FROM v_cum GROUP BY question_id)"""
 
+
+
+def blank_words(text: str) -> str:
+    return f"list_filter(string_split(lower(coalesce({text}, '')), ' '), lambda x: x <> '')"
+
+
+V_BLANK = V_BLEU.replace(words("gen"), blank_words("gen")).replace(words("ref"), blank_words("ref"))
+
 BLEU_MEAN = f"""WITH {V_BLEU},
 s AS (SELECT v_bleu.*, rank, batch FROM v_bleu JOIN v_pairs USING (question_id)),
 b AS (SELECT rank, batch, {', '.join(f'avg(bleu_{n}) AS bleu_{n}' for n in (1, 2, 3, 4))} FROM s GROUP BY rank, batch),
@@ -307,6 +315,61 @@ DUMP = """v_line AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) AS turn FROM documents)"""
 
+def _crc_table() -> list[int]:
+    """What the checksum adds for each value of its last byte."""
+    out = []
+    for c in range(256):
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        out.append(c)
+    return out
+
+
+CRC_OF_PART = f"""xor(list_reduce(list_transform(regexp_extract_all(hex(encode(part)), '..'), lambda x: ('0x' || x)::BIGINT),
+    lambda c, b: xor(c >> 8, ({_crc_table()})[(xor(c, b) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT)"""
+
+#: Bicubic resize as relations: taps of each (source, target) size, then columns, then rows.
+SHARP = f"""v_grey AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor((x::FLOAT + 1::FLOAT)::DOUBLE * 127.5::DOUBLE)) AS v,
+    CASE WHEN {u('shape', 'vec_id')} < 0.3 THEN 16 ELSE 8 END AS w, CASE WHEN {u('shape', 'vec_id')} < 0.3 THEN 4 ELSE 8 END AS h FROM embeddings),
+v_shape AS (
+  SELECT *, CASE WHEN crop THEN CASE WHEN w <= h THEN 32 ELSE long_side END ELSE CAST(trunc(w * scale) AS INTEGER) END AS tw,
+    CASE WHEN crop THEN CASE WHEN w <= h THEN long_side ELSE 32 END ELSE CAST(trunc(h * scale) AS INTEGER) END AS th
+  FROM (SELECT DISTINCT w, h, least(w, h)::DOUBLE / greatest(w, h) >= 0.6 AS crop, greatest(w, h) * 32 // least(w, h) AS long_side,
+    32.0::DOUBLE / greatest(w, h) AS scale FROM v_grey)),
+v_pair AS (SELECT DISTINCT w AS a, tw AS b FROM v_shape UNION SELECT h, th FROM v_shape),
+v_center AS (SELECT a, b, i, (i + 0.5::DOUBLE) * (a::DOUBLE / b) AS center, greatest(a::DOUBLE / b, 1.0::DOUBLE) AS spread
+  FROM v_pair, LATERAL (SELECT unnest(range(b)) AS i)),
+v_near AS (SELECT *, list_transform(range(CAST(floor(4 * spread) AS BIGINT) + 3), lambda j: CAST(floor(center - 2 * spread) AS BIGINT) + j) AS n FROM v_center),
+v_raw AS (SELECT *, list_transform(n, lambda p: CASE WHEN p < 0 OR p >= a THEN 0.0::DOUBLE
+    WHEN abs(p + 0.5::DOUBLE - center) / spread < 1 THEN
+      ((1.5::DOUBLE * (abs(p + 0.5::DOUBLE - center) / spread) - 2.5::DOUBLE) * (abs(p + 0.5::DOUBLE - center) / spread)) * (abs(p + 0.5::DOUBLE - center) / spread) + 1
+    WHEN abs(p + 0.5::DOUBLE - center) / spread < 2 THEN
+      -0.5::DOUBLE * ((((abs(p + 0.5::DOUBLE - center) / spread) - 5) * (abs(p + 0.5::DOUBLE - center) / spread) + 8) * (abs(p + 0.5::DOUBLE - center) / spread) - 4)
+    ELSE 0.0::DOUBLE END) AS raw FROM v_near),
+v_taps AS (SELECT a, b, list({{'n': list_transform(n, lambda p: greatest(0, least(p, a - 1))), 'w': list_transform(raw, lambda x: x / list_sum(raw))}} ORDER BY i) AS taps
+  FROM v_raw GROUP BY a, b),
+v_columns AS (
+  SELECT g.vec_id, g.v, g.w, g.h, s.crop, s.tw, s.th, list_transform(range(g.h), lambda y: list_transform(t.taps, lambda p:
+      greatest(0, least(255, floor(list_sum(list_transform(p.n, lambda n, j: p.w[j] * v[y * g.w + n + 1])) + 0.5::DOUBLE))))) AS rows
+  FROM v_grey g JOIN v_shape s ON s.w = g.w AND s.h = g.h JOIN v_taps t ON t.a = g.w AND t.b = s.tw),
+v_sharp AS (
+  SELECT c.*, list_transform(t.taps, lambda p: list_transform(range(c.tw), lambda x:
+      greatest(0, least(255, floor(list_sum(list_transform(p.n, lambda n, j: p.w[j] * rows[n + 1][x + 1])) + 0.5::DOUBLE))))) AS px
+  FROM v_columns c JOIN v_taps t ON t.a = c.h AND t.b = c.th),
+v_placed AS (
+  SELECT *, CAST(CASE WHEN crop THEN -round_even((tw - 32) / 2.0::DOUBLE, 0) ELSE (32 - tw) // 2 END AS BIGINT) AS x0,
+    CAST(CASE WHEN crop THEN -round_even((th - 32) / 2.0::DOUBLE, 0) ELSE (32 - th) // 2 END AS BIGINT) AS y0 FROM v_sharp),
+v_canvas AS (
+  SELECT *, list_transform(range(1024), lambda i: CASE WHEN i // 32 - y0 BETWEEN 0 AND th - 1 AND i % 32 - x0 BETWEEN 0 AND tw - 1
+    THEN CAST(px[i // 32 - y0 + 1][i % 32 - x0 + 1] AS INTEGER) ELSE 0 END) AS canvas FROM v_placed)"""
+
+
+def bytes_digest(levels: str) -> str:
+    """md5 of grey levels as RGB bytes."""
+    return f"md5(unhex(array_to_string(list_transform({levels}, lambda c: repeat(printf('%02X', CAST(c AS INTEGER)), 3)), '')))"
+
+
 SQL = {
     "scan_links": f"WITH {V_LINKS} SELECT page_id, image_url, capsfusion FROM v_links",
     "sample_links": f"WITH {V_LINKS} SELECT page_id, image_url FROM v_links ORDER BY page_id LIMIT 100",
@@ -473,6 +536,7 @@ FROM v_dim a JOIN v_mean b ON a.d = b.d AND b.label = 0 GROUP BY vec_id""",
     "zero_shot_top1": f"WITH {V_ZERO} SELECT id, label, {r6('p')} AS confidence FROM v_rank WHERE rank = 1",
     "zero_shot_top3": zero_shot(3),
     "zero_shot_blocked": zero_shot(3),
+    "zero_shot_label_blocks": zero_shot(3),
     "class_distribution": f"""WITH {V_ZERO}
 SELECT label, count(*) AS items, {r6('avg(p)')} AS mean_confidence FROM v_rank WHERE rank = 1 GROUP BY label""",
     "pool_patches": f"""WITH {V_PATCH},
@@ -499,6 +563,10 @@ SELECT tp, fn, fp, tn, other_num, {r6('acc')} AS acc, {ratio('tp', 'fp')} AS pre
     "precision_recall": f"""WITH {V_MME}, c AS ({confusion('category')})
 SELECT category, {ratio('tp', 'fp')} AS precision, {ratio('tp', 'fn')} AS recall FROM c""",
     "ngram_overlap": f"WITH {V_BLEU} SELECT question_id, CAST(n AS INTEGER) AS n, matches, total FROM v_over",
+    "bleu_of_blank_words": f"""WITH {V_BLANK}
+SELECT t.question_id, CAST(len(g) AS INTEGER) AS gen_len, CAST(len(r) AS INTEGER) AS ref_len, {', '.join(
+    f"CAST(coalesce((SELECT matches FROM v_over v WHERE v.question_id = t.question_id AND v.n = {n}), 0) AS BIGINT) AS matches_{n}, "
+    f"CAST(greatest(len(g) - {n - 1}, 0) AS BIGINT) AS total_{n}" for n in (1, 2))} FROM v_t t""",
     "bleu_sentence": f"""WITH {V_BLEU}
 SELECT question_id, {', '.join(r6(f'bleu_{n}') + f' AS bleu_{n}' for n in (1, 2, 3, 4))} FROM v_bleu""",
     "bleu_batch_mean": BLEU_MEAN,
@@ -551,6 +619,23 @@ SELECT sample_id, CAST(generate_subscripts(n, 1) - 1 AS INTEGER) AS pos, CAST(un
     "collate_hook": """SELECT doc_id, doc_id // 16 AS batch, CAST(length(text) AS BIGINT) AS n_chars,
   CAST(max(length(text)) OVER w - length(text) AS BIGINT) AS n_padding, count(*) OVER w AS n_rows
 FROM documents WINDOW w AS (PARTITION BY doc_id // 16)""",
+    "resample_images": f"""WITH {SHARP}
+SELECT CAST(vec_id AS VARCHAR) AS identifier, CAST(32 AS INTEGER) AS width, CAST(32 AS INTEGER) AS height,
+  CASE WHEN crop THEN 'crop' ELSE 'pad' END AS action, {bytes_digest('canvas')} AS digest FROM v_canvas""",
+    "resample_transforms": f"""WITH {SHARP}
+SELECT CAST(vec_id AS VARCHAR) AS identifier, CAST(CASE WHEN crop THEN w ELSE 32 END AS INTEGER) AS width,
+  CAST(CASE WHEN crop THEN h ELSE 32 END AS INTEGER) AS height, CASE WHEN crop THEN 'crop' ELSE 'pad' END AS action,
+  CASE WHEN crop THEN {bytes_digest('list_transform(range(w * h), lambda i: 255 - v[i // w * w + w - i % w])')}
+    ELSE {bytes_digest('canvas')} END AS digest FROM v_canvas""",
+    "header_formats": f"WITH {V_LINKS} SELECT page_id, CAST(page_id % 6 AS INTEGER) AS kind, w AS width, h AS height FROM v_links",
+    "offset_masks": f"""WITH {chat_view()},
+v_text AS (SELECT sample_id, {HEAD} || {USER} || {header('assistant')} AS head, {strip('assistant')} || chr(10) AS body FROM v_chat),
+v_five AS (SELECT sample_id, head || body || '<|eot_id|>' AS text, length(head) AS low, length(head) + length(body) AS high FROM v_text),
+v_part AS (SELECT *, a, substr(text, a + 1, 5) AS part FROM v_five, LATERAL (SELECT unnest(range(0, length(text), 5)) AS a)),
+v_in AS (SELECT sample_id, a, part, a < high AND low < a + length(part) AS inside FROM v_part),
+v_ext AS (SELECT *, CASE WHEN inside OR lag(inside) OVER (PARTITION BY sample_id ORDER BY a) THEN 1 ELSE 0 END AS mask FROM v_in)
+SELECT sample_id, CAST(count(*) AS INTEGER) AS n_tokens, md5(string_agg(CAST(mask AS VARCHAR), '' ORDER BY a)) AS mask_digest,
+  CAST(sum(CASE WHEN mask = 1 THEN {CRC_OF_PART} % {K.BASE_VOCAB_SIZE} ELSE 0 END) AS BIGINT) AS label_sum FROM v_ext GROUP BY sample_id""",
     "ingest_stream": "SELECT url AS image_url, md5(url) AS identifier, CAST(length(url) AS INTEGER) AS original_width, CAST(0 AS BIGINT) AS batch_id FROM pages",
     "stream_counts": "SELECT CASE WHEN event_type = 'error' THEN 'failed' ELSE 'ok' END AS status, count(*) AS n_rows FROM events GROUP BY 1",
     "serve_requests": f"""WITH {REQUEST},

@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import png
 from ..operators import augment, corpus, ingest, scoring
 from ..session import scratch
-from ..sources import images, nested, sinks, subsets, tables
+from ..sources import eventlog, images, nested, sinks, subsets, tables
 from . import flows, views
 from .oracle import V_FETCH, V_LINKS, V_MME, V_VQA
 
@@ -78,6 +79,39 @@ def scalar_table(spark, sf):
     return tables.read_scalars(spark, path, "view").select("step", "tag", "run", "value")
 
 
+def _timed(spark, sf):
+    return views.scalars(spark, sf).withColumn("wall_time", F.lit(1.5e9) + F.col("step"))
+
+
+@query("""SELECT 'run' || (user_id % 3) AS run, event_type AS tag, event_id AS step, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value,
+  1.5e9::DOUBLE + event_id AS wall_time FROM events WHERE event_type = 'click'""")
+def event_files(spark, sf):
+    """All scalars as event files, one tag read back."""
+    path = scratch(spark, "events")
+    eventlog.write_event_files(_timed(spark, sf), path, rows=2000)
+    return eventlog.read_event_files(spark, path, "click")
+
+
+@query("""WITH s AS (SELECT user_id % 3 AS r, event_id, event_type, count(*) OVER (PARTITION BY user_id % 3) AS n,
+    min(event_id) OVER (PARTITION BY user_id % 3) AS low, max(event_id) OVER (PARTITION BY user_id % 3) AS high FROM events WHERE value IS NOT NULL),
+p AS (SELECT r, CAST(floor((event_id - low) * ceil(n / 2000) / (high - low + 1)) AS INTEGER) AS part FROM s),
+c AS (SELECT r, part, count(*) AS n FROM p GROUP BY ALL)
+SELECT 'run' || r || '.events.out.tfevents.' || lpad(CAST(part AS VARCHAR), 6, '0') AS name,
+  CASE WHEN part % 2 = 0 THEN n - 1 ELSE n END AS scalars, CASE WHEN part % 2 = 0 THEN 1 ELSE 0 END::BIGINT AS damaged FROM c""")
+def damaged_event_files(spark, sf):
+    """Event files of which every other one has a flipped byte in its first scalar."""
+    path = scratch(spark, "events")
+    files = eventlog.event_contents(_timed(spark, sf), rows=2000)
+    at = len(eventlog.frame(eventlog.event(0, 0.0))) + 12 + 3  # a byte of the second record's time
+    flipped = F.concat(
+        F.expr(f"substring(content, 1, {at})"), F.unhex(F.lpad(F.hex(255 - F.conv(F.hex(F.expr(f"substring(content, {at + 1}, 1)")), 16, 10).cast("int")), 2, "0")),
+        F.expr(f"substring(content, {at + 2})"),
+    )
+    content = F.when(F.substring("name", -6, 6).cast("int") % 2 == 0, flipped).otherwise(F.col("content"))
+    sinks.write_files(files.select(F.concat("run", F.lit("."), "name").alias("name"), content.alias("content")), path)
+    return eventlog.damaged_records(spark, path)
+
+
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def table_formats(spark, sf):
     """Partitioned Parquet to JSON lines and back."""
@@ -275,6 +309,39 @@ def image_rows(spark, sf):
     )
 
 
+_BROKEN = "('0x' || substr(md5(url || 'b'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(f"""SELECT page_id, CAST(('0x' || substr(md5(url), 1, 4))::INTEGER % 24 + 1 AS INTEGER) AS width,
+  CAST(('0x' || substr(md5(url), 5, 4))::INTEGER % 24 + 1 AS INTEGER) AS height, {_BROKEN} >= 0.9 AS other_name
+FROM pages WHERE {_BROKEN} >= 0.3""")
+def decoded_files(spark, sf):
+    """Image files of every page: some cut off, some no images, some named after another format.  What decodes is kept."""
+    path = scratch(spark, "files")
+    url, digest = F.col("url"), F.md5("url")
+    side = lambda at: F.conv(F.substring(digest, at, 4), 16, 10).cast("int") % 24 + 1
+    draw = F.conv(F.substring(F.md5(F.concat(url, F.lit("b"))), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+    drawn = views.table(spark, sf, "pages").select(
+        "page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("identifier"), side(1).alias("width"), side(5).alias("height"),
+        F.repeat(F.sha2(url, 512), 30).cast("binary").alias("pixels"), draw.alias("draw"),
+    )
+    encoded = drawn.select("page_id", "identifier", "draw", png.encoded("pixels", "width", "height").alias("png"))
+    content = F.when(F.col("draw") < 0.2, F.expr("substring(png, 1, octet_length(png) - 20)")).when(
+        F.col("draw") < 0.3, F.lit("no image").cast("binary")
+    ).otherwise(F.col("png"))
+    name = F.concat("identifier", F.when(F.col("draw") >= 0.9, F.lit(".jpg")).otherwise(F.lit(".png")))
+    sinks.write_files(encoded.select(name.alias("name"), content.alias("content")), path)
+    # sizes of what decodes, and those of the headers, which cut files have too
+    decoded = images.image_size(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height")
+    headers = images.probe_sizes(images.scan_images(spark, path)).select("name", "original_width", "original_height")
+    samples = encoded.select("page_id", name.alias("name"))
+    kept = corpus.keep_valid_images(samples, decoded, "name")
+    both = kept.join(decoded, "name").join(headers, "name")
+    return both.where("width = original_width and height = original_height").select(
+        "page_id", "width", "height", F.endswith("name", F.lit(".jpg")).alias("other_name")
+    )
+
+
 def _stub_fetch(url: str) -> bytes:
     """A PNG header with sizes from the url, or a failure for about a fifth of them."""
     import hashlib
@@ -295,7 +362,7 @@ _FAILS = "('0x' || substr(md5(image_url), 1, 8))::BIGINT / 4294967296.0::DOUBLE
   CASE WHEN {_FAILS} THEN 0 ELSE 24 END AS n_bytes FROM v_links""")
 def fetch_images(spark, sf):
     identified = corpus.assign_identifier(views.links(spark, sf))
-    out = images.fetch_in_chunks(identified, scratch(spark, "fetched"), _stub_fetch, chunk=200)
+    out = images.fetch_in_chunks(identified, scratch(spark, "fetched"), _stub_fetch, chunk=200, per_host=4)
     return out.select("identifier", "image_url", "ok", "error", F.coalesce(F.octet_length("content"), F.lit(0)).alias("n_bytes"))
 
 

@@ -1,6 +1,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from conftest import SMALL
@@ -41,6 +43,82 @@ def test_ingest_resumes(spark, path):
     assert left.count() == 0
 
 
+class Stopped(Exception):
+    pass
+
+
+def dies_at(number):
+    def written(batch_id):
+        if batch_id == number:
+            raise Stopped
+    return written
+
+
+@pytest.mark.parametrize("at", [0, 2])
+def test_batch_is_repeated_after_a_failure_before_its_commit(spark, path, at):
+    spark.range(50).selectExpr("concat('u', id) image_url", "'c' capsfusion").repartition(10, "image_url").write.parquet(f"{path}/in")
+    seen = []
+
+    def run(written=None):
+        stream = ingest.stream_folder(spark, f"{path}/in", tables.LINKS, files_per_batch=2)
+
+        def step(batch):
+            seen.append(batch.count())
+            return corpus.assign_identifier(batch).withColumns({"original_width": F.lit(1), "original_height": F.lit(1)})
+
+        ingest.ingest_incremental(stream, f"{path}/out", f"{path}/ckpt", step, written)
+
+    with pytest.raises(StreamingQueryException):
+        run(dies_at(at))
+    before = tables.read_manifest(spark, f"{path}/out").count()
+    assert 0 < before < 50 and len(seen) == at + 1
+    run()
+    done = tables.read_manifest(spark, f"{path}/out")
+    assert done.count() == 50 and done.select("image_url").distinct().count() == 50
+    assert sum(seen) == 50 + seen[at] and seen[at + 1] == seen[at]  # the same files again
+
+
+def test_counts_of_batches_add_up_through_failures_and_folds(spark, path):
+    schema, target = "id bigint, status string", f"{path}/counts"
+    rows = spark.range(90).selectExpr("id", "if(id % 3 = 0, 'failed', 'ok') status")
+
+    def totals():
+        return {r["status"]: r["n_rows"] for r in ingest.read_running_counts(spark, target).collect()}
+
+    def run(written=None):
+        source = ingest.stream_folder(spark, f"{path}/in", schema, files_per_batch=2)
+        ingest.write_running_counts(source, target, f"{path}/ckpt", written=written)
+
+    rows.repartition(8, "id").write.parquet(f"{path}/in")
+    with pytest.raises(StreamingQueryException):
+        run(dies_at(1))
+    run()
+    assert totals() == {"ok": 60, "failed": 30}
+    # a batch holds its own rows alone
+    each = spark.read.parquet(target).groupBy("batch_id").agg(F.sum("n_rows").alias("n")).collect()
+    assert len(each) == 4 and sum(r["n"] for r in each) == 90
+    assert ingest.compact_running_counts(spark, target) == 3 and ingest.compact_running_counts(spark, target) == 3
+    assert totals() == {"ok": 60, "failed": 30}
+    rows.limit(9).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    with pytest.raises(StreamingQueryException):
+        run(dies_at(4))
+    run()
+    assert sum(totals().values()) == 99
+    assert ingest.compact_running_counts(spark, target) == 4 and sum(totals().values()) == 99
+
+
+def test_stream_of_a_table_that_is_a_folder_or_a_file(spark, path):
+    spark.range(5).write.parquet(f"{path}/folder.parquet")
+    spark.range(7).coalesce(1).write.parquet(f"{path}/other")
+    part = next(f for f in os.listdir(f"{path}/other") if f.endswith(".parquet"))
+    os.makedirs(f"{path}/flat")
+    os.rename(f"{path}/other/{part}", f"{path}/flat/file.parquet")
+    for folder, n in ((f"{path}/folder.parquet", 5), (f"{path}/flat", 7)):
+        source = ingest.stream_folder(spark, folder, "id bigint")
+        ingest.ingest_incremental(source, f"{folder}-out", f"{folder}-ckpt")
+        assert spark.read.parquet(f"{folder}-out").count() == n
+
+
 def test_absent_manifest_is_empty(spark, path):
     assert tables.read_manifest(spark, f"{path}/none").count() == 0
 
