@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_SHARE = 10_000
-#: Counters of the sketch: keys of more than 1/49,000 of the rows are among them.
-TRACKED = 65_536
+#: Counters of the sketch: keys of more than 1/24,000 of the rows are among them.
+TRACKED = 32_768
 #: A right side is broadcast up to so many rows and bytes of its values.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
 SPREAD = 1021
@@ -20,7 +20,7 @@ def _hot_keys(left: DataFrame, key: str, share: int) -> tuple[DataFrame | None,
     One aggregate over the left side: a sketch of frequent keys of bounded size,
     whose error is a fraction of that share.
     """
-    tracked = max(TRACKED, 6 * share)
+    tracked = max(TRACKED, 3 * share)
     total, unkeyed, found = left.agg(
         F.count(key), F.count_if(F.col(key).isNull()), F.call_function("approx_top_k", F.col(key), F.lit(share), F.lit(tracked))
     ).first()

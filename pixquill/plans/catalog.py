@@ -858,6 +858,36 @@ def batch_predict(spark, sf):
     return out.select("vec_id", r6("total").alias("total"))
 
 
+def _norm_model():
+    """A stand-in model of vectors that fails for some of them."""
+
+    def norm(rows):
+        if any(i % 50 == 7 for i, _ in rows):
+            raise ValueError("no such vector")
+        return [(float(sum(v)), len(v)) for _, v in rows]
+
+    return norm
+
+
+@query
+def durable_inference(spark, sf):
+    """All vectors through a model that fails for some, in chunks; the run dies once and goes on."""
+    path = scratch(spark, "inferred")
+    df = views.table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def die(begun: int) -> None:
+        if begun == 2:
+            raise _Stopped
+
+    how = dict(make_model=_norm_model, inputs=["vec_id", "embedding"], outputs="total double, dims int", chunk=100)
+    try:
+        inference.infer_in_chunks(df, "vec_id", path, done=die, **how)
+    except _Stopped:
+        pass
+    out = inference.infer_in_chunks(df, "vec_id", path, **how)
+    return rounded(out.withColumn("dims", F.coalesce("dims", F.lit(-1))), "total")
+
+
 def _byte_encoder():
     def encode(contents):
         return [[float(len(c)), float(c[0])] if len(c) else None for c in contents]

@@ -605,6 +605,8 @@ SELECT array_to_string(['Download Report', repeat('=', 50), 'Total images proces
   'Images center cropped: ' || crops, 'Images padded with black: ' || pads, repeat('=', 50), 'Common error types:']
   || (SELECT list('  - ' || error_type || ': ' || n ORDER BY '  - ' || error_type || ': ' || n) FROM e), chr(10)) AS value FROM t""",
     "batch_predict": f"SELECT vec_id, {r6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} AS total FROM embeddings",
+    "durable_inference": f"""SELECT vec_id, CASE WHEN vec_id % 50 <> 7 THEN {r6('list_sum(list_transform(embedding, lambda x: x::DOUBLE))')} END AS total,
+  CAST(CASE WHEN vec_id % 50 <> 7 THEN len(embedding) ELSE -1 END AS INTEGER) AS dims, CASE WHEN vec_id % 50 = 7 THEN 'no such vector' END AS error FROM embeddings""",
     "embed_images": """SELECT doc_id, CAST(strlen(text) AS DOUBLE) AS length,
   CAST(('0x' || substr(hex(encode(text)), 1, 2))::BIGINT AS DOUBLE) AS first FROM documents""",
     "llm_augment": f"""WITH {V_VQA},

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.imagebytes import header_size
+from ..operators.chunks import in_chunks
 from ..operators.joins import skew_join
-from .tables import path_exists
 
 IMAGE_GLOB = "*.{jpg,jpeg,JPG,JPEG,png,webp,avif}"
 PHOTO_GLOB = "*.{jpg,jpeg,JPG,JPEG}"
@@ -168,45 +168,20 @@ def fetch_in_chunks(
 ) -> DataFrame:
     """Fetch outcomes with header sizes, kept chunk by chunk under ``path``.
 
-    Links are read once: the distinct ones are written to ``path/links``, then
-    dealt into chunks of about ``chunk`` by a hash of the identifier, a folder
-    each under ``path/plan``.  Fetching a chunk reads its folder alone and leaves
-    ``path/chunk=N``, whose ``_SUCCESS`` is the mark of a finished chunk, which is
-    never fetched again: a run that died goes on where it stopped, without the
-    links.  An outcome whose bytes are no image counts as failed.
+    Links are read once, dealt into chunks of about ``chunk`` by a hash of the
+    identifier, and a finished chunk is never fetched again (``in_chunks``): a run
+    that died goes on where it stopped, without the links.  An outcome whose bytes
+    are no image counts as failed.
     """
-    spark = links.sparkSession
-    kept, plan = f"{path}/links", f"{path}/plan"
-    if not path_exists(spark, f"{plan}/_SUCCESS"):
-        if not path_exists(spark, f"{kept}/_SUCCESS"):
-            links.select("identifier", "image_url").distinct().write.mode("overwrite").parquet(kept)
-        rows = spark.read.parquet(kept)
-        chunks = max(1, -(-rows.count() // chunk))
-        number = F.pmod(F.xxhash64("identifier"), F.lit(chunks)).alias("chunk")
-        # a file per chunk: one task has all rows of a chunk, which are as many as a chunk may have
-        dealt = rows.select("identifier", "image_url", number).repartition("chunk")
-        dealt.write.mode("overwrite").partitionBy("chunk").parquet(plan)
     known = F.col("original_width").isNotNull()
-    # folders of the plan: as many as chunks
-    numbers = sorted(r["chunk"] for r in spark.read.parquet(plan).select("chunk").distinct().collect()) if _has_rows(spark, plan) else []
-    for n in numbers:
-        folder = f"{path}/chunk={n}"
-        if path_exists(spark, f"{folder}/_SUCCESS"):
-            continue
-        own = spark.read.schema("identifier string, image_url string").parquet(f"{plan}/chunk={n}")
-        sized = probe_sizes(fetch_images(own.repartition(spark.sparkContext.defaultParallelism), fetch, **how))
-        error = F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error"))
-        sized.withColumns({"error": error, "ok": F.col("ok") & known}).write.mode("overwrite").parquet(folder)
-    outcome = f"{OUTCOME}, original_width int, original_height int"
-    return spark.read.parquet(*[f"{path}/chunk={n}" for n in numbers]) if numbers else spark.createDataFrame([], outcome)
 
+    def step(own: DataFrame) -> DataFrame:
+        sized = probe_sizes(fetch_images(own, fetch, **how))
+        error = F.when(F.col("ok") & ~known, F.lit("cannot identify image file")).otherwise(F.col("error"))
+        return sized.withColumns({"error": error, "ok": F.col("ok") & known})
 
-def _has_rows(spark: SparkSession, plan: str) -> bool:
-    """Whether a table with folders per chunk has any folder: one of no rows has no schema."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(plan)
-    listed = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(target)
-    return any(f.isDirectory() for f in listed)
+    distinct = links.select(*[F.col(c).cast("string").alias(c) for c in ("identifier", "image_url")]).distinct()
+    return in_chunks(distinct, "identifier", path, step, chunk, f"{OUTCOME}, original_width int, original_height int")
 
 
 def join_local_images(links: DataFrame, files: DataFrame, file_name) -> DataFrame:

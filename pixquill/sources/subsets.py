@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import batched
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,8 @@ from .. import constants as K
 from ..operators.corpus import union_subsets
 from .tables import path_exists
 
+#: Files without rows that are opened at once.
+SUSPECTS = 1000
 SUBSET_COLUMNS = (
     "instruction string, inputs string, outputs string, "
     "image_base64_str array<string>, position bigint"
@@ -26,7 +30,8 @@ def read_subsets(
     own columns.  Unreadable files are skipped and counted: the status table has
     ``files`` and ``unreadable`` per subset, and the status "loaded", "partial"
     (some files are unreadable), "failed" (all are) or "missing".  The count
-    reads footers, and the end of files that gave no rows.
+    reads the footers of files, no column of theirs, and the end of files that
+    gave no rows.
     """
     names = names or K.INSTRUCTION_SUBSETS
     status = {n: "loaded" if path_exists(spark, f"{root}/subset={n}") else "missing" for n in names}
@@ -71,12 +76,14 @@ def _files(spark: SparkSession, root: str, status: dict[str, str], samples: Data
     if samples is not None:
         full = samples.select(*place(F.input_file_name())).distinct()
         rowless = files.join(full, ["subset", "file"], "left_anti")
-    suspects = [r["path"] for r in rowless.select("path").collect()]
-    if suspects:
-        ends = scan(suspects).select(place(F.col("path"))[0], F.substring("content", -4, 4).alias("end"))
-        bad = ends.where(F.coalesce(F.col("end").cast("string"), F.lit("")) != "PAR1").groupBy("subset").agg(F.count(F.lit(1)).alias("_bad"))
-    else:
-        bad = spark.createDataFrame([], "subset string, _bad bigint")
+    # paths come to the driver some at a time, to be opened
+    found: dict[str, int] = {}
+    for some in batched((r["path"] for r in rowless.select("path").toLocalIterator()), SUSPECTS):
+        ends = scan(list(some)).select(place(F.col("path"))[0], F.substring("content", -4, 4).alias("end"))
+        torn = ends.where(F.coalesce(F.col("end").cast("string"), F.lit("")) != "PAR1").groupBy("subset").count()
+        for r in torn.collect():  # a row per subset
+            found[r["subset"]] = found.get(r["subset"], 0) + r["count"]
+    bad = spark.createDataFrame(list(found.items()), "subset string, _bad bigint")
     counts = files.groupBy("subset").agg(F.count(F.lit(1)).alias("files"))
     known = rows.join(counts, "subset", "left").join(bad, "subset", "left").select(
         "subset", "_status", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("_bad", F.lit(0)).alias("unreadable")

@@ -15,7 +15,7 @@ import __spark_entry__ as entry  # noqa: E402
 from conftest import SMALL  # noqa: E402
 
 
-WITHOUT_SQL = {"resample_images"}  # compared with plain loops in test_images
+WITHOUT_SQL: set[str] = set()
 NAMES = sorted(QUERIES | roundtrips.QUERIES)
 
 

@@ -279,6 +279,25 @@ def test_files_of_rows(spark, path):
             sinks.write_files(df.limit(1) if "viewfs" in bad else df.selectExpr("'../x' name", "content"), bad)
 
 
+def test_status_of_many_subset_files(spark, path, monkeypatch):
+    """Files without rows are opened some at a time, the others not at all: no column of a sample is read."""
+    monkeypatch.setattr(subsets, "SUSPECTS", 3)
+    rows = spark.range(20).selectExpr("id position", "'x' inputs")
+    for name in ("full", "torn", "empty"):
+        rows.repartition(4).write.parquet(f"{path}/subset={name}")
+    for i in range(7):
+        with open(f"{path}/subset=torn/part-{i}.parquet", "w") as f:
+            f.write("no parquet")
+    rows.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/subset=empty")
+    samples, status = subsets.read_subsets(spark, path, ["full", "torn", "empty", "none"], "position bigint, inputs string")
+    assert {r["subset"]: (r["status"], r["files"], r["unreadable"]) for r in status.collect()} == {
+        "full": ("loaded", 4, 0), "torn": ("partial", 11, 7), "empty": ("loaded", 5, 0), "none": ("missing", 0, 0)
+    }
+    assert samples.count() == 60
+    names = samples.select(F.input_file_name()).distinct()._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in names
+
+
 def test_subsets(spark, path):
     spark.createDataFrame([("i", "x", "o", ["aGk="], 0)], subsets.SUBSET_COLUMNS).write.parquet(f"{path}/subset=coco")
     spark.createDataFrame([("o2", 1)], "outputs string, position long").write.parquet(f"{path}/subset=vqa-v2")
