@@ -4,7 +4,8 @@ Two character n-gram models of the same order and smoothing are counted over all
 texts: one over the target (texts of good quality), one over everything.  They
 share the vocabulary of characters of the whole corpus, and a text's score is
 the mean over its tokens of target loss minus background loss; lower is closer
-to the target.
+to the target.  Target documents are scored by the model that counted them, as
+all documents are by that of the background, so their scores lean to the target.
 """
 
 from __future__ import annotations

@@ -3,6 +3,12 @@
 Every line is held against a punctuation, a navigation and a boilerplate rule.
 A document fails on the base counts (too few words, too many repeated windows)
 or if the lines that go hold more than ``max_lost`` of its characters.
+
+What the rules mean: a line that is kept ends as a sentence does in European
+languages or Chinese and Japanese, is not mostly punctuation, has fewer than
+``MIN_SEPARATORS`` separators of menus, and names no boilerplate, whose phrases
+are English.  So hard-wrapped prose, verse and lists lose their lines, and
+boilerplate of other languages goes only by the first three.
 """
 
 from __future__ import annotations

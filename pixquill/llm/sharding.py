@@ -53,7 +53,9 @@ def shard_documents(
     ``size`` is the text's UTF-8 bytes plus ``overhead`` (a null text has none,
     and the checksum 0), ``slot`` a gapless number in the shard, ``grown_shard``
     the shard once one more is appended.  Repeated ids share a shard and take a
-    slot each; null ids count as the empty key.
+    slot each; null ids count as the empty key.  The id alone decides, so equal
+    texts under different ids are spread over the shards as any rows are, and a
+    group of copies, however large, fills none of them.
     """
     value = F.encode(F.coalesce(col(text), F.lit("")), "UTF-8")
     key = stable_key(doc_id)

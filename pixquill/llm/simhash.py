@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
 from ..session import materialize, release
 from .common import broadcast_if_small, col, pick, slices
 
@@ -259,7 +260,8 @@ def near_duplicates(
     placed = firsts.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     named = placed.join(names, "root").select("fp", "component_id")
-    return marks.join(named, "fp").select("doc_id", "fp", "component_id")
+    # all copies of a text, and all texts without words, share a fingerprint
+    return skew_join(marks, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def _roots(marks: DataFrame, radius: int, tree_size: int) -> tuple[DataFrame, DataFrame]:

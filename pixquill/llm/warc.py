@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
 from ..session import materialize
 from .common import SLICE_BYTES, broadcast_if_small, col, pick, slices
 
@@ -221,7 +222,8 @@ def with_revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     # most payloads are alone: only those that repeat are joined
     chosen = narrow.groupBy("sha1").agg(F.max("page_id").alias("keep"), F.min("page_id").alias("least"))
     repeated = chosen.where("least < keep").select("sha1", "keep")
-    revisits = narrow.join(repeated, "sha1").where("page_id < keep").select("page_id", "sha1", "keep").distinct()
+    # a third of all pages may be one error page
+    revisits = skew_join(narrow, repeated, "sha1").where("page_id < keep").select("page_id", "sha1", "keep").distinct()
     revisits = broadcast_if_small(materialize(revisits, "revisits"))
     joined = pages.withColumn("sha1", F.sha1(value)).join(revisits, ["page_id", "sha1"], "left")
     return joined.select("page_id", "url", "html", F.col("keep").alias("refers_to"))

@@ -124,19 +124,61 @@ def test_long_texts_in_steps(spark, corpus, monkeypatch):
     assert got == want
 
 
-def test_fences(spark):
-    rng = random.Random(8)
-    rows = [("a", rng.gauss(2, 0.1)) for _ in range(400)] + [("b", 1.0)] * 10
-    per, general = quality_classifier.fences(spark.createDataFrame(rows, "lang string, loss double"))
-    limits = {r["lang"]: r["limit"] for r in per.collect()}
+def brute_limits(known, everyone, accepted=quality_classifier.ACCEPTED):
+    """{lang: limit} from rows (lang, n_tokens, loss), in steps of a thousandth."""
+
+    def quantile(values, q):
+        bins = sorted(math.floor(v * 1000) for v in values)
+        return (bins[math.ceil(q * len(bins) - 1e-9) - 1] + 1) / 1000
+
+    langs = sorted({r[0] for r in known})
+    median = {k: quantile([r[2] for r in known if r[0] == k], 0.5) for k in langs}
+    above = {k: [r[2] - median[k] - 1.5 / math.sqrt(r[1]) for r in known if r[0] == k] for k in langs}
+    if not langs:
+        return {}
+    pooled = quantile([v for vs in above.values() for v in vs], accepted)
+    out = {}
+    for k in langs:
+        weight = len(above[k]) / (len(above[k]) + 200)
+        out[k] = median[k] + weight * quantile(above[k], accepted) + (1 - weight) * pooled
+    for k in {r[0] for r in everyone} - set(langs):
+        out[k] = quantile([r[2] for r in everyone if r[0] == k], 0.5) + pooled
+    return out
+
 
-    def brute(values):
-        bins = sorted(math.floor(v * 1000) + 1 for v in values)
-        at = lambda q: bins[math.ceil(q * len(bins)) - 1] / 1000
-        return at(0.75) + 3 * (at(0.75) - at(0.25))
+def test_limits_equal_brute_force(spark):
+    rng = random.Random(8)
+    row = lambda lang, mean: (lang, rng.choice([30, 400, 9000]), rng.gauss(mean, 0.2))
+    known = [row("a", 2.0) for _ in range(301)] + [row("b", 1.0) for _ in range(7)]
+    everyone = known + [row("c", 3.0) for _ in range(41)] + [row("a", 5.0)]
+    frames = [spark.createDataFrame(r, "lang string, n_tokens bigint, loss double") for r in (known, everyone)]
+    got = {r["lang"]: r["limit"] for r in quality_classifier.language_limits(*frames).collect()}
+    want = brute_limits(known, everyone)
+    assert set(got) == {"a", "b", "c"} and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert quality_classifier.language_limits(frames[0].where("false"), frames[1]).collect() == []
+
+
+def test_verdicts_equal_brute_force(spark):
+    """The whole query from its losses: limits, standard errors, texts without words, languages nobody vouched for."""
+    sf = "/root/testdata/sf0.001"
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    from pyspark.sql import functions as F
 
-    assert set(limits) == {"a"} and abs(limits["a"] - brute([v for k, v in rows if k == "a"])) < 1e-9
-    assert abs(general - brute([v for _, v in rows])) < 1e-9
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("lang", F.when(F.col("doc_id") % 9 == 0, F.lit("xx")).otherwise(F.col("lang")))
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 5, F.lit(" ")).otherwise(F.col("text")))
+    trusted = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id % 9 <> 0").select("doc_id").distinct()
+    only = labels.where("doc_id % 9 <> 0")
+    rows = quality_classifier.perplexities(docs, trusted).collect()
+    good = {r["doc_id"] for r in trusted.collect()}
+    filled = [r for r in rows if r["n_tokens"] > 1]
+    known = [(r["lang"], r["n_tokens"], r["loss"]) for r in filled if not r["trained"] and r["doc_id"] in good]
+    limits = brute_limits(known, [(r["lang"], r["n_tokens"], r["loss"]) for r in filled])
+    assert "xx" in limits and "xx" not in {k[0] for k in known}
+    want = {
+        r["doc_id"]: r["n_tokens"] > 1 and r["loss"] <= limits[r["lang"]] + 1.5 / math.sqrt(r["n_tokens"]) for r in rows
+    }
+    got = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(docs, only).collect()}
+    assert got == want and not want[5] and 0 < sum(want.values()) < len(want)
 
 
 def test_held_out_documents(spark):
