@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import slices
+from .common import slices, text_batches, trim
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -99,6 +99,7 @@ def text_blocks(rows: DataFrame, order: int = ORDER) -> DataFrame:
     occur, ``marked`` how often in rows whose ``mark`` is true.
     """
     kind = rows.schema["doc_id"].dataType.simpleString()
+    text_batches(rows.sparkSession)
 
     def close(prefix: str, made: int, docs: list[pa.RecordBatch], texts: list[str]) -> pa.RecordBatch:
         ids, tags, marks = (pa.concat_arrays([d.column(i) for d in docs]) for i in range(3))
@@ -135,6 +136,8 @@ def text_blocks(rows: DataFrame, order: int = ORDER) -> DataFrame:
                 docs, texts, held, made = [], [], 0, made + 1
         if docs:
             yield close(prefix, made, docs, texts)
+        docs, texts = [], []
+        trim()
 
     schema = (
         f"block string, payload binary, doc_ids array<{kind}>, tags array<string>, marks array<boolean>, "
@@ -297,6 +300,7 @@ def text_losses(blocks: DataFrame, model: DataFrame, names: list[str], size: int
                     [part["doc_ids"].values, part["tags"].values, part["marks"].values, pa.array(size), *map(pa.array, sums)],
                     ["doc_id", "tag", "mark", "n_tokens", *names],
                 )
+            trim()
 
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
     schema = f"doc_id {kind}, tag string, mark boolean, n_tokens bigint, " + ", ".join(f"{n} double" for n in names)

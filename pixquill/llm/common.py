@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -16,6 +17,8 @@ WORD_CLASS = r"[^\x20\x09-\x0D]"
 
 #: Bytes of text that one step inside a task works on at once.
 SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch of texts at most, four times those of a batch that is read: Spark's defaults are for narrow rows.
+TEXT_ROWS = 1000
 
 
 def col(c: Column | str) -> Column:
@@ -33,6 +36,22 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def trim() -> None:
+    """Give freed memory back to the system: a worker lives on from stage to stage, with what it holds."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def text_batches(spark) -> None:
+    """Have the session read and send texts some hundred rows at a time, unless it takes fewer."""
+    for name, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", TEXT_ROWS // 4)):
+        if not 0 < int(spark.conf.get(name)) <= rows:
+            spark.conf.set(name, str(rows))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Arrow batches cut so that each holds about ``limit`` bytes of text, one row at least."""
     for batch in batches:

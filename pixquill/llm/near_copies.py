@@ -27,9 +27,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import skew_join
 from ..session import materialize, release
 from . import simhash
-from .common import broadcast_if_small, pick, slices
+from .common import broadcast_if_small, pick, slices, text_batches, trim
 
 SHINGLE = 5
 #: The similarity as a fraction, so that its limit is exact.
@@ -75,6 +76,7 @@ def band_keys(grams: np.ndarray) -> np.ndarray:
 
 def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """``doc_id, text_key, node, fp, size, keys, grams``: the node's number is a hash of its shingles, which are written as bytes."""
+    text_batches(docs.sparkSession)
     rows = pick(docs, doc_id=doc_id, text=text).withColumn("text_key", simhash.text_key("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +94,7 @@ def _marks(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
                 ],
                 ["doc_id", "text_key", "node", "fp", "size", "keys", "grams"],
             )
+        trim()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_key bigint, node bigint, fp bigint, size bigint, keys array<bigint>, grams binary"
@@ -219,6 +222,7 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(SHARE[1] * common >= SHARE[0] * (len(x) + len(y) - common))
             yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        trim()
 
     both = pairs.select("u", "v").join(left, "u").join(right, "v").select("u", "v", "a", "b")
     found = materialize(both.mapInArrow(run, "u bigint, v bigint"), "similar")
@@ -258,20 +262,19 @@ def node_links(nodes: DataFrame) -> DataFrame:
 
 def _placed(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
     """``doc_id, text_key, group``, written."""
-    marks = materialize(_marks(docs, doc_id, text, shingle), "marks")
-    narrow = [c for c in marks.columns if c not in ("doc_id", "text_key")]
-    copies = marks.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("node")
-    copies = materialize(copies, "copies")
-    # nodes of several rows are put together; the others stay where they are
-    small = broadcast_if_small(copies)
-    nodes = marks.join(small, "node", "left_anti").select(*narrow).unionByName(
-        marks.join(small, "node", "left_semi").groupBy("node").agg(*[F.first(c).alias(c) for c in narrow if c != "node"])
-    )
+    # rows of the written table have numbers
+    marks = materialize(_marks(docs, doc_id, text, shingle).withColumn("row", F.monotonically_increasing_id()), "marks")
+    firsts = marks.groupBy("node").agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("node", "first")
+    firsts = materialize(firsts, "copies")
+    again = marks.select("node", "row").join(broadcast_if_small(firsts), "node").where("row <> first").select("row")
+    again = materialize(again, "again")
+    # one row of each node, read from where it was written
+    nodes = marks.join(broadcast_if_small(again), "row", "left_anti").select("node", "fp", "size", "keys", "grams")
     roots = node_links(nodes.where("size > 0"))
-    known = broadcast_if_small(roots.select(F.col("u").alias("node"), F.col("v").alias("root")))
-    placed = marks.select("doc_id", "text_key", "node").join(known, "node", "left")
+    known = roots.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    placed = skew_join(marks.select("doc_id", "text_key", "node"), known, "node")
     placed = materialize(placed.select("doc_id", "text_key", F.coalesce("root", "node").alias("group")), "groups")
-    release(marks, copies, roots)
+    release(marks, firsts, again, roots)
     return placed
 
 

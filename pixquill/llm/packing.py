@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import pick, rank_in_groups, slices
+from .common import pick, rank_in_groups, slices, text_batches, trim
 
 CAPACITY = 1024
 END_ID = 2
@@ -114,6 +114,7 @@ def token_pieces(
     the capacity is cut into full pieces, but for the first one, which takes
     what is left over.
     """
+    text_batches(docs.sparkSession)
     rows = pick(docs, doc_id=doc_id, text=text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,6 +138,8 @@ def token_pieces(
                 ],
                 ["doc_id", "piece", "start", "length", "ids"],
             )
+        model.clear()
+        trim()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids binary")
