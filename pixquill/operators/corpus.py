@@ -23,22 +23,25 @@ def require_columns(df: DataFrame, names: list[str]) -> DataFrame:
 # --- identifiers ------------------------------------------------------------
 
 
-def latest_identifiers(manifest: DataFrame) -> DataFrame:
-    """One identifier per URL, so that a join keeps the link row count."""
-    return manifest.groupBy("image_url").agg(F.min("identifier").alias("identifier"))
+def latest_identifiers(manifest: DataFrame, key: str = "image_url") -> DataFrame:
+    """One identifier per URL (or other key of a link), so that a join keeps the link row count."""
+    return manifest.groupBy(key).agg(F.min("identifier").alias("identifier"))
 
 
-def join_identifiers(links: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Links with their cached identifier, null where there is none."""
-    return skew_join(links, latest_identifiers(manifest), "image_url")
+def join_identifiers(links: DataFrame, manifest: DataFrame, key: str = "image_url") -> DataFrame:
+    """Links with their cached identifier, null where there is none.
+
+    Rows that share a URL share its identifier; with another ``key`` each has that of its key.
+    """
+    return skew_join(links, latest_identifiers(manifest, key), key)
 
 
-def assign_identifier(links: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
+def assign_identifier(links: DataFrame, manifest: DataFrame | None = None, key: str = "image_url") -> DataFrame:
     """Identifier from the manifest where known, else the md5 of the URL."""
     fresh = F.md5("image_url")
     if manifest is None:
         return links.withColumn("identifier", fresh)
-    return join_identifiers(links, manifest).withColumn("identifier", F.coalesce("identifier", fresh))
+    return join_identifiers(links, manifest, key).withColumn("identifier", F.coalesce("identifier", fresh))
 
 
 def not_done(links: DataFrame, manifest: DataFrame) -> DataFrame:

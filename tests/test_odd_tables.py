@@ -36,3 +36,14 @@ def documents(texts):
 def test_short_and_missing_texts_as_answers(spark, path):
     texts = ["", None, "a", "b\n\nc\n", 'x" [y], \\ ' * 9] * 60
     assert compared(spark, path, "answers_json", documents=documents(texts)) == ""
+
+
+def test_pages_that_share_a_link_keep_their_identifiers(spark, path):
+    n = 60
+    pages = pa.table({
+        "page_id": pa.array(range(n), pa.int64()), "url": [f"http://h/{i % 20}" for i in range(n)], "html": ["<title>t</title>"] * n,
+    })
+    for name in ("assign_identifier", "identifier_left_join", "resume_anti_join"):
+        folder = f"{path}/{name}"
+        os.makedirs(folder)
+        assert compared(spark, folder, name, pages=pages) == ""
