@@ -23,9 +23,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
+#: Bytes that a task reads at most where splits are smaller.
+TASK_BYTES = 32 << 20
 QUOTE, BACKSLASH, OPEN, CLOSE = 34, 92, (91, 123), (93, 125)
 
 
@@ -51,9 +56,9 @@ class Csv:
 
 
 class JsonArray:
-    """Records are the elements of one array: they end with a comma at depth one, outside strings.
+    """Records are the elements of arrays: they end with a comma at depth one, outside strings, or with their array.
 
-    A document that is no array is one record.
+    A file may hold several arrays one after another.  A document that is no array is one record.
     """
 
     separator = ","
@@ -76,16 +81,31 @@ class JsonArray:
         after = np.cumsum(step) + depth
         array = top == OPEN[0]
         inside = (after - step > 0) & (after > 0) if array else (after - step > 0) | (after > 0) | (data != ord(","))
-        cuts = np.flatnonzero(free & (after == 1) & (data == ord(","))) if array else np.empty(0, np.int64)
+        ends = ((after == 1) & (data == ord(","))) | ((after == 0) & (step < 0))
+        cuts = np.flatnonzero(free & ends) if array else np.empty(0, np.int64)
         end = (bool(within[-1]), int(after[-1])) if len(data) else (quoted, depth)
         return Scan(cuts, inside, *end)
 
 
+def fewer_tasks(scan: DataFrame) -> DataFrame:
+    """A scan of files whose small splits share tasks; order inside a split stays."""
+    spark = scan.sparkSession
+    splits = scan.rdd.getNumPartitions()
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    tasks = max(4 * spark.sparkContext.defaultParallelism, -(-splits * size // TASK_BYTES))
+    return scan.coalesce(tasks) if tasks < splits else scan
+
+
 def _lines(spark: SparkSession, path: str | list[str], grammar) -> DataFrame:
-    """``file, block, value``: text between separators, in order inside each split."""
+    """``file, block, value``: text between separators, in order inside each split.
+
+    A task takes as many splits, one after another, as make ``TASK_BYTES``, so
+    that small splits and files don't cost a task each.
+    """
     text = spark.read.option("lineSep", grammar.separator).text(path)
     # hashes keep what is sent to all tasks narrow
-    return text.select(F.xxhash64(F.input_file_name()).alias("file"), F.input_file_block_start().alias("block"), "value")
+    lines = text.select(F.xxhash64(F.input_file_name()).alias("file"), F.input_file_block_start().alias("block"), "value")
+    return fewer_tasks(lines)
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
@@ -103,7 +123,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, b
 
 
 def _bytes(batch: pa.RecordBatch, separator: str) -> bytes:
-    return "".join([v + separator for v in batch.column("value").to_pylist()]).encode("utf-8", "surrogatepass")
+    values = batch.column("value")
+    every = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+    return pc.binary_join(every, separator)[0].as_buffer().to_pybytes() + separator.encode()
 
 
 def _changes(lines: DataFrame, grammar) -> DataFrame:
@@ -137,7 +159,8 @@ def _changes(lines: DataFrame, grammar) -> DataFrame:
 
 
 def split_states(changes: DataFrame) -> DataFrame:
-    """``file, block, quoted, depth, top``: the state at the start of each split, from sums over the splits before."""
+    """``file, block, quoted, depth, top, alone``: the state at the start of each split, from sums over the splits
+    before, and whether it is the only one of its file."""
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     quoted = changes.withColumn("quoted", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
     deeper = quoted.withColumn("deeper", F.when(F.col("quoted"), F.col("inside")).otherwise(F.col("outside")))
@@ -145,24 +168,24 @@ def split_states(changes: DataFrame) -> DataFrame:
     top = F.first(F.when(F.col("top") > 0, F.col("top")), ignorenulls=True).over(every)
     return deeper.select(
         "file", "block", "quoted", F.coalesce(F.sum("deeper").over(before), F.lit(0)).alias("depth"),
-        F.coalesce(top, F.lit(0)).alias("top"),
+        F.coalesce(top, F.lit(0)).alias("top"), (F.count(F.lit(1)).over(every) == 1).alias("alone"),
     )
 
 
-def _pieces(lines: DataFrame, states: DataFrame, grammar) -> DataFrame:
-    """``file, block, at, cut, value``: texts between cuts, numbered in their split; ``cut`` tells that one follows."""
+def _pieces(stated: DataFrame, grammar) -> DataFrame:
+    """``file, block, alone, at, cut, value``: texts between cuts, numbered in their split; ``cut`` tells that one follows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        quoted, depth, top, at, held, key = False, 0, 0, 0, [], None
+        quoted, depth, top, alone, at, held, key = False, 0, 0, False, 0, [], None
 
         def out(texts: list[str], cut: bool) -> pa.RecordBatch:
             n = len(texts)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int64()), pa.array(range(at, at + n), pa.int64()),
+                    pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int64()), pa.array([alone] * n, pa.bool_()), pa.array(range(at, at + n), pa.int64()),
                     pa.array([cut] * n, pa.bool_()), pa.array(texts, pa.string()),
                 ],
-                ["file", "block", "at", "cut", "value"],
+                ["file", "block", "alone", "at", "cut", "value"],
             )
 
         def text(data: np.ndarray) -> bytes:
@@ -173,7 +196,7 @@ def _pieces(lines: DataFrame, states: DataFrame, grammar) -> DataFrame:
                 if key and any(held):
                     yield out([b"".join(held).decode("utf-8", "surrogatepass")], False)
                 key = batch["file"][0].as_py(), batch["block"][0].as_py()
-                quoted, depth, top = (batch[c][0].as_py() for c in ("quoted", "depth", "top"))
+                quoted, depth, top, alone = (batch[c][0].as_py() for c in ("quoted", "depth", "top", "alone"))
                 at, held = 0, []
             data = np.frombuffer(_bytes(batch, grammar.separator), np.uint8)
             found = grammar.scan(data, quoted, depth, top)
@@ -190,38 +213,56 @@ def _pieces(lines: DataFrame, states: DataFrame, grammar) -> DataFrame:
         if key and any(held):
             yield out([b"".join(held).decode("utf-8", "surrogatepass")], False)
 
-    stated = lines.join(F.broadcast(states), ["file", "block"]).select("file", "block", "value", "quoted", "depth", "top")
-    return stated.mapInArrow(run, "file bigint, block bigint, at bigint, cut boolean, value string")
+    return stated.select("file", "block", "value", "quoted", "depth", "top", "alone").mapInArrow(run, "file bigint, block bigint, alone boolean, at bigint, cut boolean, value string")
+
+
+class Splits(NamedTuple):
+    """Lines of files, and how each split changes the state, from one scan that has run."""
 
+    lines: DataFrame
+    changes: DataFrame
 
-def read_records(spark: SparkSession, path: str | list[str], grammar, numbered: bool = False) -> DataFrame:
-    """``file, first, value``, and ``ord`` if ``numbered``: one row per record of the files under ``path``.
+
+def scan_splits(spark: SparkSession, path: str | list[str], grammar) -> Splits:
+    lines = _lines(spark, path, grammar)
+    return Splits(lines, materialize(_changes(lines, grammar), "splits"))
+
+
+def read_records(splits: Splits, grammar, numbered: bool = False) -> DataFrame:
+    """``file, first, value``, and ``ord`` if ``numbered``: one row per record of the scanned files.
 
     ``file`` is a hash of the file's name, ``first`` tells its first record and
     ``ord`` the place of each in it; numbering takes one more scan.  Blank records
-    count as none.
+    count as none.  Files that are not cut up take neither this nor a shuffle.
     """
-    lines = _lines(spark, path, grammar)
-    states = split_states(_changes(lines, grammar))
-    pieces = _pieces(lines, states, grammar)
-    # a split's first piece and its last one without a cut may be parts of a record
-    edges = pieces.where((F.col("at") == 0) | ~F.col("cut"))
-    cut_before = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
-    # the record goes on until a piece that a cut follows
-    joined = (
-        edges.withColumn("record", F.coalesce(F.sum(F.col("cut").cast("int")).over(cut_before), F.lit(0)))
-        .groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
-        .select(
-            "file", F.element_at("parts", -1)["block"].alias("block"), F.element_at("parts", -1)["at"].alias("at"),
-            ((F.element_at("parts", 1)["block"] == 0) & (F.element_at("parts", 1)["at"] == 0)).alias("first"),
-            F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"),
+    states = split_states(splits.changes)
+    stated = splits.lines.join(F.broadcast(states), ["file", "block"])
+    pieces = _pieces(stated, grammar)
+    # a file in one split has no parts of records
+    whole = pieces.where(F.col("alone") | (F.col("at") > 0) & F.col("cut"))
+    every = whole.select("file", "block", "at", (F.col("at") == 0).alias("first"), "value")
+    cut_up = not states.where(~F.col("alone")).isEmpty()
+    if cut_up:
+        parts = _pieces(stated.where(~F.col("alone")), grammar)
+        # a split's first piece and its last one without a cut may be parts of a record
+        edges = parts.where((F.col("at") == 0) | ~F.col("cut"))
+        cut_before = Window.partitionBy("file").orderBy("block", "at").rowsBetween(Window.unboundedPreceding, -1)
+        # the record goes on until a piece that a cut follows
+        joined = (
+            edges.withColumn("record", F.coalesce(F.sum(F.col("cut").cast("int")).over(cut_before), F.lit(0)))
+            .groupBy("file", "record").agg(F.sort_array(F.collect_list(F.struct("block", "at", "value"))).alias("parts"))
+            .select(
+                "file", F.element_at("parts", -1)["block"].alias("block"), F.element_at("parts", -1)["at"].alias("at"),
+                ((F.element_at("parts", 1)["block"] == 0) & (F.element_at("parts", 1)["at"] == 0)).alias("first"),
+                F.array_join(F.transform("parts", lambda p: p["value"]), "").alias("value"),
+            )
         )
-    )
-    whole = pieces.where((F.col("at") > 0) & F.col("cut")).select("file", "block", "at", F.lit(False).alias("first"), "value")
-    every = whole.unionByName(joined)
+        every = every.unionByName(joined)
     filled = every.where(F.btrim("value", F.lit(" \t\r\n")) != "")
     if not numbered:
         return filled.select("file", "first", "value")
+    if not cut_up:
+        return filled.select("file", "first", F.col("at").alias("ord"), "value")
     # records belong to the split where they end: as many as it has cuts
     counts = pieces.groupBy("file", "block").agg(F.sum(F.col("cut").cast("bigint")).alias("n"))
     earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -231,9 +272,8 @@ def read_records(spark: SparkSession, path: str | list[str], grammar, numbered:
     )
 
 
-def torn_files(spark: SparkSession, path: str | list[str], grammar) -> DataFrame:
+def torn_files(changes: DataFrame) -> DataFrame:
     """``file, quoted, depth`` of files that end inside quotes or brackets."""
-    changes = _changes(_lines(spark, path, grammar), grammar)
     ends = changes.join(split_states(changes).select("file", "block", "quoted", "depth"), ["file", "block"])
     deeper: Column = F.when(F.col("quoted"), F.col("inside")).otherwise(F.col("outside"))
     total = ends.groupBy("file").agg((F.sum("odd") % 2 == 1).alias("quoted"), F.sum(deeper).alias("depth"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import JsonArray, read_records, torn_files
+from .blocks import JsonArray, read_records, scan_splits, torn_files
 
 VQA_QUESTIONS = "questions array<struct<question_id: bigint, image_id: bigint, question: string>>"
 VQA_ANNOTATIONS = (
@@ -36,12 +36,12 @@ def unpack(docs: DataFrame, field: str) -> DataFrame:
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The records of files that hold one top-level JSON array each.
+    """The records of files that hold one top-level JSON array each, or several after one another.
 
     Files are cut into records by many tasks, wherever their splits begin.  A
     document that is no array is one record; a record that is none gives nulls.
     """
-    records = read_records(spark, path, JsonArray)
+    records = read_records(scan_splits(spark, path, JsonArray), JsonArray)
     return records.select(F.from_json("value", schema).alias("_r")).select("_r.*")
 
 
@@ -52,9 +52,10 @@ def read_answers(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     fails on a file that ends inside its array and on an element that is no
     array; otherwise such an element gives a row of nulls.
     """
-    if strict and not torn_files(spark, path, JsonArray).isEmpty():
+    splits = scan_splits(spark, path, JsonArray)
+    if strict and not torn_files(splits.changes).isEmpty():
         raise ValueError(f"a file of {path} ends inside its array")
-    records = read_records(spark, path, JsonArray, numbered=True)
+    records = read_records(splits, JsonArray, numbered=True)
     read = F.from_json("value", "array<string>")
     if strict:
         refuse = F.raise_error(F.concat(F.lit("no array of answers: "), F.left("value", F.lit(80))))

@@ -137,3 +137,33 @@ def test_compressed_files_are_read_whole(fine, path):
         json.dump([{"instruction": "a, b", "input": str(i), "output": "]"} for i in range(40)], f)
     assert nested.read_json_array(fine, path, nested.QA_DUMP).count() == 40
     assert os.listdir(path) == ["a.json.gz"]
+
+
+def test_several_arrays_in_one_file(spark, fine, path):
+    parts = [[{"instruction": f"{k}, ]", "input": str(i), "output": "[" * i} for i in range(n)] for k, n in (("a", 9), ("b", 1), ("c", 0), ("d", 30))]
+    with open(f"{path}/arrays.json", "w") as f:
+        f.write("\n".join(json.dumps(p) for p in parts) + "\n")
+    want = sorted((r["instruction"], r["input"], r["output"]) for p in parts for r in p)
+    for session in (spark, fine):
+        assert sorted(map(tuple, nested.read_json_array(session, path, nested.QA_DUMP).collect())) == want
+
+
+def test_small_splits_share_tasks(spark, fine, path):
+    rows = [[f"q{i}", "w", "Yes", "x" * 90] for i in range(400)]
+    for name in "ab":
+        with open(f"{path}/{name}.json", "w") as f:
+            json.dump(rows, f)
+    lines = blocks._lines(fine, path, blocks.JsonArray)
+    assert lines.select("file", "block").distinct().count() > 500
+    assert lines.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    got = nested.read_answers(fine, path).collect()
+    assert sorted((r["ord"], r["question_id"]) for r in got) == sorted((i, r[0]) for i, r in enumerate(rows) for _ in "ab")
+
+
+def test_files_in_one_split_are_neither_shuffled_nor_counted(spark, path):
+    for k in range(5):
+        with open(f"{path}/{k}.json", "w") as f:
+            json.dump([[f"{k}-{i}", "w", "Yes", "x"] for i in range(k)], f)
+    got = nested.read_answers(spark, path)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["question_id"], r["ord"]) for r in got.collect()) == sorted((f"{k}-{i}", i) for k in range(5) for i in range(k))
