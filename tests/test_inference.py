@@ -74,3 +74,23 @@ def test_inference_goes_on_after_the_last_finished_chunk(spark, path):
     assert sorted((r["id"], r["y"]) for r in got) == [(i, float(i)) for i in range(60)]
     assert len(os.listdir(calls)) == 60 and seen.value == 60  # every row once, the table once
     assert inference.infer_in_chunks(df.where("false"), "id", f"{path}/none", **how).collect() == []
+
+
+def test_many_chunks_take_a_bounded_number_of_jobs(spark, path, monkeypatch):
+    from pixquill.operators import chunks
+
+    monkeypatch.setattr(chunks, "MAX_CHUNKS", 4, raising=False)
+    begun = []
+
+    def die(n):
+        begun.append(n)
+        if len(begun) == 3:
+            raise KeyError
+
+    df = spark.range(120).selectExpr("id", "id * 1.0D x")
+    how = dict(make_model=lambda: lambda rows: [x for (x,) in rows], inputs=["x"], outputs="y double", chunk=5, done=die)
+    with pytest.raises(KeyError):
+        inference.infer_in_chunks(df, "id", f"{path}/out", **how)
+    got = inference.infer_in_chunks(df, "id", f"{path}/out", **how).collect()
+    assert sorted((r["id"], r["y"]) for r in got) == [(i, float(i)) for i in range(120)]
+    assert begun == [0, 1, 2, 0, 1]
