@@ -130,9 +130,9 @@ def json_array(spark, sf):
     path = scratch(spark, "arrays")
     record = F.struct(F.col("text").alias("instruction"), F.col("lang").alias("input"), F.col("source").alias("output"))
     docs = views.table(spark, sf, "documents").groupBy(F.floor(F.col("doc_id") / 64).alias("part"))
-    arrays = docs.agg(F.to_json(F.collect_list(record)).alias("value"))
-    arrays.write.partitionBy("part").text(path)
-    return nested.read_json_array(spark, path, nested.QA_DUMP).drop("part")
+    arrays = docs.agg(F.encode(F.to_json(F.collect_list(record)), "UTF-8").alias("content"))
+    sinks.write_files(arrays.select(F.concat(F.col("part").cast("string"), F.lit(".json")).alias("name"), "content"), path)
+    return nested.read_json_array(spark, path, nested.QA_DUMP)
 
 
 @query(f"WITH {V_VQA} SELECT question_id, image_id, question, answer AS multiple_choice_answer, answer_type FROM v_vqa")
@@ -142,7 +142,9 @@ def vqa_files(spark, sf):
     for rows, field in ((views.vqa_questions(spark, sf), "questions"), (views.vqa_annotations(spark, sf), "annotations")):
         paths.append(scratch(spark, field))
         every = rows.withColumn("_i", F.col("image_id")).groupBy("_i").agg(F.collect_list(F.struct(*rows.columns)).alias(field))
-        every.select("_i", F.to_json(F.struct(field)).alias("value")).write.partitionBy("_i").text(paths[-1])
+        name = F.concat(F.col("_i").cast("string"), F.lit(".json"))
+        # one folder: one per file would have to be made, committed and listed each
+        sinks.write_files(every.select(name.alias("name"), F.encode(F.to_json(F.struct(field)), "UTF-8").alias("content")), paths[-1])
     return corpus.vqa_join(*nested.read_vqa(spark, *paths)).select(
         "question_id", "image_id", "question", "multiple_choice_answer", "answer_type"
     )
