@@ -8,6 +8,7 @@ from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_batches
 from .chunks import in_chunks
 
 EVAL_BATCH = 16
@@ -46,6 +47,7 @@ def embed_images(
     ``make_encoder()`` returns a function from a list of bytes to a list of
     vectors, None for an image it cannot decode.
     """
+    small_batches(images.sparkSession)
     names = [f"{f.name} {f.dataType.simpleString()}" for f in images.schema.fields]
     schema = ", ".join([*names, "embedding array<float>"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import chat
+from ..session import small_batches
 from .joins import skew_join
 from .numbering import digest_bucket, number_rows
 
@@ -63,8 +64,10 @@ def tokenize_offsets(
     ``tokenizer`` maps the rendered text to an array of struct(id, start, end), the
     places in characters, for example a pandas UDF around a tokenizer with offsets.
     It sees the text uncut, so its tokens may lie across the edge of an assistant's
-    content; such a token is in the mask, as the ones inside are.
+    content; such a token is in the mask, as the ones inside are.  Texts go to
+    Python some hundred at a time, as their tokens take far more room.
     """
+    small_batches(df.sparkSession)
     segs = chat.segments(messages, add_generation_prompt)
     cut = df.withColumn("_segs", segs).withColumns(
         {"_tokens": tokenizer(F.array_join(F.transform("_segs", lambda s: s["text"]), "")), "_spans": chat.generated_spans("_segs")}

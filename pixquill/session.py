@@ -7,12 +7,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 #: Input bytes that one shuffle partition should stand for.
 PARTITION_BYTES = 128 << 20
+#: Rows of texts, images or tokens that go to Python at once.
+BATCH_ROWS = 256
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def build_session(app: str = "pixquill", master: str | None = None, input_bytes: int | None = None, **conf) -> SparkSession:
@@ -58,6 +62,24 @@ def ship(spark: SparkSession) -> None:
     context._pixquill_shipped = True
 
 
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """Have the session send wide rows to Python some hundred at a time, unless it sends fewer: what a worker holds
+    then doesn't grow with the table."""
+    if not 0 < int(spark.conf.get(ARROW_ROWS)) <= rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
+@contextmanager
+def in_small_batches(spark: SparkSession):
+    """``small_batches`` for the jobs that run inside."""
+    before = spark.conf.get(ARROW_ROWS)
+    small_batches(spark)
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_ROWS, before)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import in_small_batches
 from .nested import line_order
 
 TSV_COLUMNS = "img_name string, question string, gt_ans string, pred_ans string"
@@ -122,7 +123,8 @@ def write_images(images: DataFrame, path: str, encoder: Callable | None = None)
         rows = rows.mapInPandas(
             run, "identifier string, width int, height int, data binary, encoded binary"
         )
-    rows.write.mode("overwrite").parquet(path)
+    with in_small_batches(images.sparkSession):
+        rows.write.mode("overwrite").parquet(path)
 
 
 def append_scalars(rows: DataFrame, path: str) -> None:
@@ -164,4 +166,5 @@ def write_files(files: DataFrame, path: str, opener: Callable | None = None) ->
             yield pd.DataFrame({"n": [len(pdf)]})
 
     written = files.select("name", "content").where("name is not null and content is not null").mapInPandas(run, "n bigint")
-    return written.groupBy().sum("n").first()[0] or 0
+    with in_small_batches(files.sparkSession):
+        return written.groupBy().sum("n").first()[0] or 0

@@ -94,3 +94,31 @@ def test_many_chunks_take_a_bounded_number_of_jobs(spark, path, monkeypatch):
     got = inference.infer_in_chunks(df, "id", f"{path}/out", **how).collect()
     assert sorted((r["id"], r["y"]) for r in got) == [(i, float(i)) for i in range(120)]
     assert begun == [0, 1, 2, 0, 1]
+
+
+def test_wide_rows_go_to_python_some_hundred_at_a_time(spark, path):
+    from pyspark.sql import functions as F
+    from pixquill.operators import tokens
+    from pixquill.session import ARROW_ROWS, BATCH_ROWS
+    from pixquill.sources import sinks
+
+    wide = spark.newSession()
+    images = wide.range(0, 3000, 1, 1).select(
+        F.col("id").cast("string").alias("identifier"), F.lit(1).alias("width"), F.lit(1).alias("height"), F.lit(b"x").alias("data"),
+    )
+    os.makedirs(f"{path}/sizes")
+    sizes = f"{path}/sizes"
+    before = wide.conf.get(ARROW_ROWS)
+    sinks.write_images(images, f"{path}/images", lambda data, w, h: data)
+    sinks.write_files(images.select(F.col("identifier").alias("name"), F.col("data").alias("content")), f"{path}/files")
+    assert wide.conf.get(ARROW_ROWS) == before and len([n for n in os.listdir(f"{path}/files") if n[0] != "."]) == 3000
+
+    @F.pandas_udf("array<struct<id:int,start:int,end:int>>")
+    def cut(texts):
+        open(f"{sizes}/{len(texts)}", "w").close()
+        return texts.map(lambda t: [])
+
+    chats = wide.range(0, 3000, 1, 1).select("id", F.array(F.struct(F.lit("user").alias("role"), F.lit("hi").alias("content"))).alias("messages"))
+    assert tokens.tokenize_offsets(chats, cut).select(F.sum(F.size("input_ids"))).first()[0] == 0
+    assert inference.embed_images(images, lambda: lambda c: [None] * len(c), content="data").count() == 3000
+    assert 0 < max(map(int, os.listdir(sizes))) <= BATCH_ROWS
