@@ -1,7 +1,7 @@
 """Quality classifier: perplexity under a Kneser-Ney model of trusted text.
 
-An interpolated modified Kneser-Ney model of characters is trained on a bounded
-sample of trusted documents.  Every document's windows are joined with the
+An interpolated modified Kneser-Ney model of characters is trained on half of the
+trusted documents, dealt by hash.  Every document's windows are joined with the
 model's tables, which gives its perplexity.  The other trusted documents tell
 what is usual in their language: how far their losses lie above the language's
 median, less one standard error of the mean loss, which matters for short texts.
@@ -23,11 +23,9 @@ from .common import broadcast_if_small
 #: Characters of a window.  Windows of three repeat far more often inside a block than longer ones,
 #: so the tables that travel stay small.
 ORDER = 3
-#: Trusted documents that the model is trained on, at most.
-TRAINING_DOCUMENTS = 4000
 #: The deviations of all languages count as so many documents of a language, so rare ones lean on them smoothly.
 POOLED_WEIGHT = 200
-#: Share of the trusted documents outside the training sample that is accepted in each language.
+#: Share of the trusted documents of the other half that is accepted in each language.
 ACCEPTED = 0.97
 #: About the standard deviation of the loss of one token, in nats.
 TOKEN_SPREAD = 1.5
@@ -35,23 +33,26 @@ TOKEN_SPREAD = 1.5
 STEPS = 1000
 
 
-def training_ids(trusted: DataFrame, size: int = TRAINING_DOCUMENTS) -> DataFrame:
-    """At most ``size`` ids, and at most half of them, drawn by hash."""
+def training_ids(trusted: DataFrame, size: int | None = None) -> DataFrame:
+    """Half of the ids, drawn by hash, and at most ``size`` if that is given.
+
+    The other half gives the limits: a model is surer of texts that it was trained on.
+    """
     ids = trusted.select("doc_id").where("doc_id is not null").distinct()
     order, bucket = hash_order("doc_id", "trusted")
-    return ids.where(among_first(ids, order, bucket, lambda n: F.least(F.lit(size), F.floor(n / 2))))
+    return ids.where(among_first(ids, order, bucket, lambda n: F.least(F.lit(size), F.floor(n / 2)) if size is not None else F.floor(n / 2)))
 
 
 def perplexities(
     docs: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang",
-    order: int = ORDER, size: int = TRAINING_DOCUMENTS,
+    order: int = ORDER, size: int | None = None,
 ) -> DataFrame:
     """``doc_id, lang, trained, n_tokens, loss``: mean loss per token in nats, of each row of ``docs``."""
     sample = training_ids(trusted, size).withColumn("mark", F.lit(True))
     rows = docs.select(
         F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("tag")
     )
-    blocks = char_lm.text_blocks(rows.join(F.broadcast(sample), "doc_id", "left"), order)
+    blocks = char_lm.text_blocks(rows.join(broadcast_if_small(sample), "doc_id", "left"), order)
     counts = char_lm.gram_counts(blocks).where("marked > 0").select("gram", F.col("marked").alias("c"))
     top = materialize(counts, "grams")
     levels = char_lm.continuation_levels(top, order)

@@ -237,3 +237,8 @@ def test_limits_of_rare_languages(spark):
         assert set(limits[name]) == {"a", "b", "rare"}
         assert 1.82 < limits[name]["rare"] < 2.0  # junk of 2.64 goes; the pooled fence would be near 9
     assert abs(limits["few"]["rare"] - limits["many"]["rare"]) < 0.1
+
+
+def test_the_classifier_trains_on_half_of_any_number_of_documents(spark):
+    for n in (9_000, 9):
+        assert quality_classifier.training_ids(spark.range(n).toDF("doc_id")).count() == n // 2
