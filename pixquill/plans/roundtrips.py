@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import png
 from ..operators import augment, corpus, ingest, scoring
-from ..session import scratch
+from ..session import materialize, scratch
 from ..sources import eventlog, images, nested, sinks, subsets, tables
 from . import flows, views
 from .oracle import V_FETCH, V_LINKS, V_MME, V_VQA
@@ -335,6 +335,8 @@ def decoded_files(spark, sf):
     sinks.write_files(encoded.select(name.alias("name"), content.alias("content")), path)
     # sizes of what decodes, and those of the headers, which cut files have too
     decoded = images.image_size(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "width", "height")
+    # read by two joins, which look at its size first
+    decoded = materialize(decoded, "decoded")
     headers = images.probe_sizes(images.scan_images(spark, path)).select("name", "original_width", "original_height")
     samples = encoded.select("page_id", name.alias("name"))
     kept = corpus.keep_valid_images(samples, decoded, "name")

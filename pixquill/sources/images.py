@@ -14,28 +14,37 @@ from ..operators.joins import skew_join
 
 IMAGE_GLOB = "*.{jpg,jpeg,JPG,JPEG,png,webp,avif}"
 PHOTO_GLOB = "*.{jpg,jpeg,JPG,JPEG}"
+#: Splits of image files, of a few dozen each, that share a task.
+SPLITS_PER_TASK = 16
 OUTCOME = "identifier string, image_url string, ok boolean, error string, elapsed double, content binary"
 
 
+def grouped(scan: DataFrame) -> DataFrame:
+    """A scan of many small files in fewer tasks: a task of a few dozen files takes longer to start than to run."""
+    splits, parallel = scan.rdd.getNumPartitions(), scan.sparkSession.sparkContext.defaultParallelism
+    tasks = max(4 * parallel, -(-splits // SPLITS_PER_TASK))
+    return scan.coalesce(tasks) if tasks < splits else scan
+
+
 def scan_images(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataFrame:
     """Encoded image files: (path, name, content)."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path)
-    return files.select(
+    return grouped(files.select(
         "path", F.element_at(F.split("path", "/"), -1).alias("name"), "content"
-    )
+    ))
 
 
 def decode_image_files(spark: SparkSession, path: str, glob: str = IMAGE_GLOB) -> DataFrame:
     """Decoded images (path, width, height, n_channels, data); files that do not
     decode are left out.  ``data`` is row-wise BGR as the image source gives it."""
     reader = spark.read.format("image").option("dropInvalid", True).option("pathGlobFilter", glob)
-    return reader.load(path).select(
+    return grouped(reader.load(path).select(
         F.col("image.origin").alias("path"),
         F.col("image.width").alias("width"),
         F.col("image.height").alias("height"),
         F.col("image.nChannels").alias("n_channels"),
         F.col("image.data").alias("data"),
-    )
+    ))
 
 
 def decode_contents(df: DataFrame, decoder: Callable, content: str = "content", rows: int = 32) -> DataFrame:

@@ -266,3 +266,17 @@ def test_instruction_corpus_flow(spark):
     assert {(r["width"], r["height"]) for r in images.collect()} == {(9, 7)}
     rows_plan = samples._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
     assert "Exchange" not in rows_plan
+
+
+def test_small_files_share_tasks(spark, path):
+    fine = spark.newSession()
+    for name in ("openCostInBytes", "maxPartitionBytes"):
+        fine.conf.set(f"spark.sql.files.{name}", "64")
+    for i in range(200):
+        with open(f"{path}/{i}.png", "wb") as f:
+            f.write(bytes([i]) * 64)
+    most = 4 * spark.sparkContext.defaultParallelism
+    found = source.scan_images(fine, path)
+    assert found.rdd.getNumPartitions() <= most
+    assert sorted(r["content"][0] for r in found.collect()) == list(range(200))
+    assert source.decode_image_files(fine, path).rdd.getNumPartitions() <= most
