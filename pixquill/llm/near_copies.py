@@ -8,8 +8,11 @@ against the shingles themselves before it links.
 
 Three searches follow each other.  In the first every tree gives its nodes to a
 few leaders, so a large group takes one pair per node.  In the second nodes look
-for the nearest of another group, in the third for all of other groups that are
-left: a shard whose nodes are all in one group is closed.
+for the nearest of another group; a shard whose nodes are all in one group is
+closed.  In the third the nodes that the trees still find near another group take
+their shingles to the shards that are left, where all of them are compared at
+once: what leaves a task is one link for two groups that it joins, never a list
+of pairs that are merely close.
 
 Two nodes at the limit share no band key once in ``(1 - 0.8^3)^20``, 6 in ten
 million pairs; the radii lie five standard deviations above the distance expected
@@ -40,6 +43,8 @@ BANDS, ROWS = 20, 3
 #: Bits that fingerprints of near copies differ by at most; few shingles leave more to chance.
 RADIUS, SMALL_RADIUS, SMALL = 24, 28, 32
 TREE_SIZE = 1024
+#: Nodes, and bytes of their shingles, that are compared with as many others in a task of the third search.
+BLOCK_SIZE, BLOCK_BYTES = 4096, 4 << 20
 #: Multipliers of the min-hashes.
 MULTIPLIERS = np.random.default_rng(10).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -135,6 +140,7 @@ def _pairs_in_trees(entries: DataFrame, counts: DataFrame, search: str) -> DataF
     ``entries`` (key, node, fp, size, root) are dealt into trees of about
     ``TREE_SIZE`` nodes.  Leaders are looked for inside each tree; the searches
     for other groups send each tree to the nodes of the others, two trees at a time.
+    ``near`` tells only which nodes are near another group, as ``u`` and as ``v``.
     """
     sized = entries.join(broadcast_if_small(counts), "key")
     trees = F.ceil(F.col("n") / TREE_SIZE).cast("int")
@@ -160,6 +166,7 @@ def _pairs_in_trees(entries: DataFrame, counts: DataFrame, search: str) -> DataF
         tree = np.arange(len(fp)) if alone else np.flatnonzero(inside)
         best = np.full(len(asked), 65)
         partner = np.zeros(len(asked), np.int64)
+        met = np.zeros(len(fp), bool)
         for t, hits in simhash.BKTree(fp[tree]).near(fp[asked], SMALL_RADIUS):
             at, q = tree[t], asked[hits]
             good = (root[q] != root[at]) & _fit(size[q], size[at]) & _near(fp[q], fp[at], size[q], size[at])
@@ -168,14 +175,17 @@ def _pairs_in_trees(entries: DataFrame, counts: DataFrame, search: str) -> DataF
             hits, q = hits[good], q[good]
             if not len(q):
                 continue
-            distance = np.bitwise_count(fp[q] ^ fp[at])
-            if search == "all":
-                yield node[q], np.full(len(q), node[at]), distance
+            if search == "near":
+                met[q] = met[at] = True
             else:
+                distance = np.bitwise_count(fp[q] ^ fp[at])
                 closer = distance < best[hits]
                 best[hits[closer]], partner[hits[closer]] = distance[closer], node[at]
+        if search == "near":
+            yield node[met], node[met], np.zeros(met.sum())
+            return
         some = best < 65
-        if search == "nearest" and some.any():
+        if some.any():
             yield node[asked[some]], partner[some], best[some]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,13 +240,121 @@ def verified(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found
 
 
+def similar_in_block(
+    inside: np.ndarray, alone: bool, node: np.ndarray, root: np.ndarray, grams: list[np.ndarray]
+) -> Iterator[tuple[int, int]]:
+    """Links (u, v) that join the groups ``root`` of all similar nodes of a block, or (not ``alone``) of similar nodes
+    of two blocks, the first one those ``inside``.  One link for each two groups it joins, so fewer than there are groups.
+    """
+    size = np.array([len(g) for g in grams])
+    values, at, n = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(grams)), size)
+    shared = n[at] > 1
+    # shingles of its own alone keep a node from being similar to any other
+    able = SHARE[1] * np.bincount(owner[shared], minlength=len(grams)) >= SHARE[0] * size
+    use = shared & able[owner]
+    at, owner = at[use], owner[use]
+    if not able.any() or (root[able] == root[able][0]).all():
+        return
+    if alone:
+        groups, members = np.unique(root[able], return_counts=True)
+        asked = np.flatnonzero(able & (root != groups[members.argmax()]))
+    else:
+        asked = np.flatnonzero(able & ~inside)
+    target = able if alone else able & inside
+    # the targets that have each shingle, one after the other
+    held = np.flatnonzero(target[owner])
+    held = held[np.argsort(at[held], kind="stable")]
+    ends = np.cumsum(np.bincount(at[held], minlength=len(values)))
+    holders = owner[held]
+    first = np.searchsorted(owner, np.arange(len(grams) + 1))
+    up: dict[int, int] = {}
+
+    def top(group: int) -> int:
+        while group in up:
+            group = up[group]
+        return group
+
+    for i in asked:
+        own = at[first[i] : first[i + 1]]
+        stop = ends[own]
+        start = np.where(own > 0, ends[own - 1], 0)
+        count = stop - start
+        places = np.repeat(stop - np.cumsum(count), count) + np.arange(count.sum())
+        common = np.bincount(holders[places], minlength=len(grams))
+        found = np.flatnonzero((SHARE[1] * common >= SHARE[0] * (size + size[i] - common)) & (root != root[i]) & target)
+        for group, j in zip(*np.unique(root[found], return_index=True)):
+            a, b = top(int(group)), top(int(root[i]))
+            if a != b:
+                up[a] = b
+                yield int(node[i]), int(node[found[j]])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (key, a, b), which follow each other."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("key", "a", "b")], axis=1)
+        starts = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]).any(axis=1))) if len(keys) else []
+        for a, b in itertools.pairwise([*starts, len(keys)]):
+            if held and tuple(keys[a]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links_in_shards(entries: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``u, v``, written: links that join the groups of all similar nodes among ``entries`` (key, node, size, root).
+
+    Each open shard is cut into blocks of bounded size, and two blocks at a time
+    meet in a task with the shingles of their nodes.
+    """
+    span = entries.groupBy("key").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("grams")
+    )
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK_SIZE), F.ceil(F.col("grams") * 8 / BLOCK_BYTES)).cast("int")
+    counts = materialize(span.where("low <> high").select("key", blocks.alias("blocks")), "open")
+    asked = entries.join(broadcast_if_small(counts), "key", "left_semi").select("node").distinct()
+    asked = materialize(asked, "asked")
+    known = nodes.join(broadcast_if_small(asked), "node", "left_semi")
+    known = known.join(broadcast_if_small(roots.select(F.col("u").alias("node"), F.col("v").alias("root"))), "node", "left")
+    own = F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int")
+    dealt = (
+        known.select("node", F.coalesce("root", "node").alias("root"), "grams", F.explode("keys").alias("key"))
+        .join(broadcast_if_small(counts), "key")
+        .select("*", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "node", "root", "grams")
+    )
+    dealt = dealt.repartition("key", "a", "b").sortWithinPartitions("key", "a", "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches):
+            own, node, root = (block.column(c).to_numpy() for c in ("own", "node", "root"))
+            first, last = block.column("a")[0].as_py(), block.column("b")[0].as_py()
+            if (root == root[0]).all() or first != last and len({*own}) < 2:
+                continue
+            grams = [np.frombuffer(g.as_buffer(), np.uint64) for g in block.column("grams")]
+            found = list(similar_in_block(own == first, first == last, node, root, grams))
+            u, v = (pa.array([x[i] for x in found], pa.int64()) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([u, v], ["u", "v"])
+        trim()
+
+    similar = materialize(dealt.mapInArrow(run, "u bigint, v bigint"), "similar")
+    release(counts, asked)
+    return similar
+
+
 def node_links(nodes: DataFrame) -> DataFrame:
     """``u, v``: nodes (node, fp, size, keys, grams) that are not the smallest of their group, with that smallest one."""
     each = nodes.select(F.explode("keys").alias("key"), "node", "fp", "size")
     shared = materialize(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "keys")
     entries = materialize(each.join(broadcast_if_small(shared.select("key")), "key", "left_semi"), "entries")
     roots = None
-    for search in ("leaders", "nearest", "all"):
+    for search in ("leaders", "nearest", "near"):
         if roots is None:
             marked, counts = entries.withColumn("root", F.col("node")), shared
         else:
@@ -246,12 +364,15 @@ def node_links(nodes: DataFrame) -> DataFrame:
             span = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
             counts = materialize(span.where("low <> high").select("key", "n"), "open")
         found = _pairs_in_trees(marked, counts, search)
-        if search != "all":
-            # one partner per node here: by rank among leaders, else the nearest
+        if search == "near":
+            pairs = materialize(found.select(F.col("u").alias("node")).distinct(), "near")
+            similar = _links_in_shards(marked.join(broadcast_if_small(pairs), "node", "left_semi"), roots, nodes)
+        else:
+            # one partner per node: by rank among leaders, else the nearest
             best = F.struct(F.when(F.lit(search == "nearest"), F.col("distance")), F.xxhash64("v"), "v")
             found = found.groupBy("u").agg(F.min(best).alias("best")).select("u", "best.v")
-        pairs = materialize(found.select("u", "v").distinct(), "pairs")
-        similar = verified(pairs, nodes)
+            pairs = materialize(found.distinct(), "pairs")
+            similar = verified(pairs, nodes)
         if roots is not None:
             release(marked, counts)
         last, roots = roots, simhash.components(similar if roots is None else roots.unionByName(similar))

@@ -81,6 +81,64 @@ def test_chain_of_copies_is_one_group(spark):
     assert [r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()] == [0]
 
 
+def halo(rng, copies=150, words=120):
+    """Texts of one base with few to many words changed: some are one group, many are only close to it."""
+    word = lambda: "".join(rng.choices("abcdefghij", k=6))
+    base = [word() for _ in range(words)]
+    texts = []
+    for i in range(copies):
+        copy = list(base)
+        for at in rng.sample(range(words), i % 12 // 2):
+            copy[at] = word()
+        texts.append(" ".join(copy))
+    return list(enumerate(texts))
+
+
+@pytest.mark.parametrize("block", [4096, 16])
+def test_close_texts_that_are_no_copies_cost_no_pairs(spark, monkeypatch, block):
+    """Of a large group and what is close to it, tables between the jobs hold a few rows per text, not one per pair."""
+    monkeypatch.setattr(near_copies, "BLOCK_SIZE", block, raising=False)
+    written, write = [], near_copies.materialize
+
+    def counted(df, name):
+        found = write(df, name)
+        written.append((name, found.count()))
+        return found
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    rows = halo(random.Random(15))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r["doc_id"] for r in near_copies.drop_near_copies(docs).collect()}
+    assert kept == brute_kept(rows) and 20 < len(kept) < 100
+    assert all(n <= len(rows) for name, n in written if name in ("pairs", "near", "asked")), written
+
+
+@pytest.mark.parametrize("alone", [True, False])
+def test_links_of_a_block_join_what_all_pairs_join(alone):
+    rng = random.Random(16)
+    grams = [near_copies.shingles(t) for _, t in halo(rng, 80, 90) + halo(rng, 40, 30)]
+    inside = np.arange(len(grams)) % 2 == 0
+    # some groups are known before
+    root = np.array([0 if i % 12 == 1 and i < 40 else i for i in range(len(grams))])
+
+    def groups(links):
+        label = root.copy()
+        for a, b in links:
+            x, y = sorted((label[a], label[b]))
+            label[label == y] = x
+        return len(np.unique(label)), (label == label[:, None]).tolist()
+
+    pairs = []
+    for i, a in enumerate(grams):
+        for j in range(i):
+            common = len(np.intersect1d(a, grams[j], assume_unique=True))
+            if (alone or inside[i] != inside[j]) and 5 * common >= 4 * (len(a) + len(grams[j]) - common):
+                pairs.append((i, j))
+    found = list(near_copies.similar_in_block(inside, alone, np.arange(len(grams)), root, grams))
+    assert len(pairs) > 100 and groups(found) == groups(pairs)
+    assert len(found) == len(np.unique(root)) - groups(found)[0]
+
+
 def test_pairs_at_the_limit_are_found():
     """Recall of band keys and radii over pairs of similarity 0.8, short texts among them."""
     rng = np.random.default_rng(13)
