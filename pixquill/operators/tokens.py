@@ -169,19 +169,22 @@ def special_token_map(tokens: DataFrame, base: int = K.BASE_VOCAB_SIZE) -> DataF
     )
 
 
-def lookup_token_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1) -> DataFrame:
+def lookup_token_ids(tokens: DataFrame, vocab: DataFrame, unknown: int = -1, complete: bool = False) -> DataFrame:
     """Add ``token_id`` to a long table with a ``token`` column.
 
     The most frequent tokens (ids below a constant, hence of bounded size) and
     the added tokens, which stand many times in a sample though their ids come
     last, are broadcast and never shuffled.  The remaining rows join the rest of
-    the vocabulary; a frequent token that it lacks is dealt over all tasks.
+    the vocabulary; a frequent token that it lacks is dealt over all tasks.  With
+    ``complete``, for a vocabulary built from these very tokens, no frequent one
+    is left outside the first, so none is looked for.
     """
     ids = vocab.select("token", "token_id")
     first = (F.col("token_id") < HEAD_VOCABULARY) | F.col("token").isin([t for _, t in K.ADDED_TOKENS])
     head = F.broadcast(ids.where(first))
     common = tokens.join(head, "token")
-    rare = skew_join(tokens.join(head, "token", "left_anti"), ids.where(~first), "token")
+    others, rest = tokens.join(head, "token", "left_anti"), ids.where(~first)
+    rare = others.join(rest, "token", "left") if complete else skew_join(others, rest, "token")
     rare = rare.withColumn("token_id", F.coalesce("token_id", F.lit(unknown).cast("bigint")))
     return common.unionByName(rare)
 
